@@ -7,7 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from evidentia.llm.common import table
+from evidentia.llm.line_dedup import dedup_lines
 from evidentia.llm.near_dup import near_duplicates
+from evidentia.llm.quality import judged, ledger
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the three-line passages that occurred before."""
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed_lines")
+
+
+OP1_SQL = """
+with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as ln from documents),
+t as (select doc_id, ln, line, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) as s from l),
+s as (select doc_id, ln, s, row_number() over (partition by doc_id order by ln) as k from t where s <> ''),
+w as (select doc_id, k, s, lead(s, 1) over (partition by doc_id order by k) as s1, lead(s, 2) over (partition by doc_id order by k) as s2 from s),
+f as (select doc_id, k, row_number() over (partition by s, s1, s2 order by doc_id, k) as nth from w where s2 is not null),
+gone as (select distinct f.doc_id, s.ln from f cross join (values (0), (1), (2)) as v(j) join s on s.doc_id = f.doc_id and s.k = f.k + v.j where nth > 1),
+kept as (select l.doc_id, string_agg(l.line, chr(10) order by l.ln) as text from l anti join gone on l.doc_id = gone.doc_id and l.ln = gone.ln group by 1),
+n as (select doc_id, count(*) as n_lines from s group by 1),
+r as (select doc_id, count(*) as n_removed_lines from gone group by 1)
+select d.doc_id, case when r.doc_id is null then d.text else coalesce(kept.text, '') end as text,
+       coalesce(n_lines, 0) as n_lines, coalesce(n_removed_lines, 0) as n_removed_lines
+from documents d left join kept using (doc_id) left join n using (doc_id) left join r using (doc_id)
+"""
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,9 +38,36 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4)
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule ledger of every document and the verdict of the present policy."""
+    book = judged(ledger(table(spark, sf_dir, "documents")))
+    return book.select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_bits")
+
+
+OP9_SQL = r"""
+with d as (select doc_id, coalesce(text, '') as text from documents),
+w as (select doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from d),
+p as (select doc_id, w, unnest(range(1, greatest(len(w) - 1, 1))) as i from w),
+g as (select doc_id, i, count(*) over (partition by doc_id, w[i], w[i + 1], w[i + 2]) as n from p),
+r as (select doc_id, count(distinct i + j) as n_repeat_words from g cross join (values (0), (1), (2)) as v(j) where n > 1 group by 1),
+l as (select doc_id, unnest(string_split(text, chr(10))) as line from d),
+q as (select doc_id, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines from l where regexp_matches(line, '[^\x20\x09-\x0D]') group by 1),
+m as (select w.doc_id, len(w)::bigint as n_words, coalesce(length(list_aggregate(w, 'string_agg', '')), 0)::bigint as word_chars,
+      length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::bigint as n_symbols, coalesce(n_dup_lines, 0)::bigint as n_dup_lines,
+      coalesce(n_repeat_words, 0)::bigint as n_repeat_words, coalesce(n_lines, 0) as n_lines,
+      length(regexp_replace(text, '[^\p{L}]+', '', 'g')) as n_letters, length(regexp_replace(text, '[^\p{Lu}]+', '', 'g')) as n_capitals
+      from w left join r using (doc_id) left join q using (doc_id)),
+b as (select *, (case when n_words < 50 then 1 else 0 end + case when 100 * n_repeat_words > 50 * n_words then 2 else 0 end
+      + case when 10 * n_symbols > 2 * n_words then 4 else 0 end + case when n_letters > 0 and 2 * n_capitals > n_letters then 8 else 0 end
+      + case when n_words > 0 and (word_chars < 2 * n_words or word_chars > 25 * n_words) then 16 else 0 end
+      + case when n_lines >= 4 and 10 * n_dup_lines > 6 * n_lines then 32 else 0 end)::bigint as failed_bits from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_bits & 3) <> 0 as base_failed, failed_bits = 0 as kept, failed_bits from b
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_near_duplicates": op7_near_duplicates}
+    return {f.__name__: f for f in (op1_line_dedup, op7_near_duplicates, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_line_dedup": OP1_SQL, "op9_quality_rules": OP9_SQL}
