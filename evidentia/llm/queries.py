@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from evidentia.llm.bpe import encode_documents
 from evidentia.llm.common import table
 from evidentia.llm.line_dedup import dedup_lines
+from evidentia.llm.mixing import mix
 from evidentia.llm.near_dup import near_duplicates
 from evidentia.llm.quality import judged, ledger
 
@@ -33,6 +35,16 @@ from documents d left join kept using (doc_id) left join n using (doc_id) left j
 """
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of each document."""
+    return mix(table(spark, sf_dir, "documents")).select("doc.doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again."""
+    return encode_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingle sets are at least 0.8 similar."""
     return near_duplicates(table(spark, sf_dir, "documents"), k=4)
@@ -66,7 +78,7 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op7_near_duplicates, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_line_dedup, op3_mixing, op4_bpe, op7_near_duplicates, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
