@@ -11,7 +11,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import importlib
-from collections.abc import Iterator
+import struct
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -119,6 +120,12 @@ class PrefixTable:
             if fits:
                 last[end] = token
 
+    def restart(self, keep: int, data: bytes) -> None:
+        """Become the table of ``data``, which agrees with the present string in its first ``keep`` bytes."""
+        self.data = data
+        del self.last[keep:]
+        self._fill(len(data))
+
     def append(self, more: bytes) -> None:
         self.data += more
         self._fill(len(self.data))
@@ -154,36 +161,44 @@ class PrefixTable:
 class Encoder:
     """Encodes texts piece by piece as the tiktoken library does, with a bounded memory of pieces."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = 500_000):
         self.v = Vocabulary(ranks)
         self.pattern = regex.compile(pattern)
         self.remember = remember
         self.seen: dict[str, bytes] = {}
-
-    def piece(self, piece: str) -> bytes:
-        """The ids of one match of the pattern, as little-endian unsigned 32-bit integers."""
-        known = self.seen.get(piece)
-        if known is None:
-            data = piece.encode("utf-8", "replace")
-            whole = self.v.ranks.get(data)
-            ids = [whole] if whole is not None else PrefixTable(self.v, data).tokens()
-            known = np.array(ids, "<u4").tobytes()
-            if len(self.seen) >= self.remember:
-                self.seen.clear()
-            if len(data) <= 4096:
-                self.seen[piece] = known
-        return known
+        self.by_id = [self.v.tokens.get(i, b"") for i in range(max(self.v.tokens) + 1)]
+
+    def learn(self, pieces: Iterable[str]) -> None:
+        """Encodes pieces: in order, so that one shares the table of the prefix that it has in common with the last."""
+        ranks, by_id, seen, table, before = self.v.ranks, self.by_id, self.seen, PrefixTable(self.v), b""
+        for data, piece in sorted((p.encode("utf-8", "replace"), p) for p in pieces):
+            whole = ranks.get(data)
+            if whole is not None:
+                seen[piece] = whole.to_bytes(4, "little")
+                continue
+            common = next((i for i, (x, y) in enumerate(zip(before, data, strict=False)) if x != y), min(len(before), len(data)))
+            table.restart(common, data)
+            before, last, at, ids = data, table.last, len(data), []
+            while at:
+                token = last[at - 1]
+                ids.append(token)
+                at -= len(by_id[token])
+            seen[piece] = struct.pack(f"<{len(ids)}I", *reversed(ids))
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        split = list(map(self.pattern.findall, texts))
+        if len(self.seen) > self.remember:
+            self.seen.clear()
+        self.learn(set().union(*split).difference(self.seen))
+        found = self.seen.__getitem__
+        return [np.frombuffer(b"".join(map(found, x)), "<u4") for x in split]
 
     def encode(self, text: str) -> np.ndarray:
-        seen, pieces = self.seen, self.pattern.findall(text)
-        try:
-            return np.frombuffer(b"".join([seen[p] for p in pieces]), "<u4")
-        except KeyError:
-            return np.frombuffer(b"".join([self.piece(p) for p in pieces]), "<u4")
+        return self.encode_all([text])[0]
 
     def decode(self, ids: np.ndarray) -> bytes:
-        tokens = self.v.tokens
-        return b"".join([tokens[i] for i in ids.tolist()])
+        return b"".join(map(self.by_id.__getitem__, ids.tolist()))
 
 
 class EncodedText:
@@ -219,7 +234,9 @@ class EncodedText:
         return self.edit(len(self.text), len(self.text), more)
 
     def ids(self) -> np.ndarray:
-        return np.frombuffer(b"".join([self.e.piece(self.text[a:b]) for a, b in self.spans]), "<u4")
+        pieces = [self.text[a:b] for a, b in self.spans]
+        self.e.learn(set(pieces).difference(self.e.seen))
+        return np.frombuffer(b"".join(map(self.e.seen.__getitem__, pieces)), "<u4")
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
@@ -248,8 +265,8 @@ def encode_documents(
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part, out = batch.iloc[at : at + 256], []
-                for doc_id, text in zip(part["doc_id"].array, part["text"], strict=True):
-                    ids = encoder.encode(text if isinstance(text, str) else "")
+                texts = [x if isinstance(x, str) else "" for x in part["text"]]
+                for doc_id, ids in zip(part["doc_id"].array, encoder.encode_all(texts), strict=True):
                     back = encoder.decode(ids)
                     row = (doc_id, len(ids), len(back), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(back).hexdigest())
                     out.append((*row, ids.astype(np.int64)) if with_ids else row)

@@ -11,29 +11,26 @@ from evidentia.llm.common import staged
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``(id, label)`` for every end of ``edges(a, b)``; label is the smallest id of the component.
 
-    Each round lets every node take the smallest label among its neighbours, tells the former label of the node
-    about it, and then follows labels of labels once.  The rounds needed grow with the logarithm of the longest
-    path.  A hub's edges meet it in a join of two staged tables, which adaptive execution can split, and every
-    aggregation is a minimum, which is combined before the shuffle.
+    Each round points every node at its smallest neighbour (or itself, where it is smaller), follows these pointers
+    once more, and contracts the edges to what is pointed at.  At least half of the nodes go in a round, and the edges
+    shrink with them.  Pointers are minima, combined before the shuffle; a hub's edges meet its pointer in a join of two
+    staged tables, which adaptive execution can split.
     """
-    both = staged(
-        edges.select(F.col("a").alias("a"), F.col("b").alias("b")).union(edges.select("b", "a")).filter("a <> b").distinct(), "edges"
-    )
-    labels = staged(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("label")), "labels")
+    edges = staged(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    labels = None
     for _ in range(most_rounds):
-        heard = both.join(labels, both.a == labels.id).select(F.col("b").alias("id"), "label")
-        told = labels.join(heard.select(F.col("id").alias("to"), F.col("label").alias("news")), labels.id == F.col("to"))
-        told = told.filter("news < label").select(F.col("label").alias("id"), F.col("news").alias("label"))
-        best = staged(
-            labels.select("id", "label", F.col("label").alias("old"))
-            .unionByName(heard.unionByName(told).withColumn("old", F.lit(None).cast(labels.schema["label"].dataType)))
-            .groupBy("id")
-            .agg(F.min("label").alias("label"), F.min("old").alias("old")),
-            "best",
-        )
-        jump = best.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        new = staged(best.join(jump, "label", "left").select("id", F.least("label", F.coalesce("next", "label")).alias("label"), "old"), "labels")
-        if new.filter("label <> old").isEmpty():
-            return new.select("id", "label")
-        labels = new.select("id", "label")
+        ends = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
+        point = staged(ends.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("to")), "point")
+        onward = point.select(F.col("id").alias("to"), F.col("to").alias("then"))
+        point = staged(point.join(onward, "to").select("id", F.col("then").alias("to")), "jumped")
+        if labels is None:
+            labels = point.withColumnRenamed("to", "label")
+        else:
+            moved = point.select(F.col("id").alias("label"), "to")
+            labels = staged(labels.join(moved, "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
+        to_a, to_b = point.select(F.col("id").alias("a"), F.col("to").alias("x")), point.select(F.col("id").alias("b"), F.col("to").alias("y"))
+        left = edges.join(to_a, "a").join(to_b, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        edges = staged(left.distinct(), "edges")
+        if edges.isEmpty():
+            return labels
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -4,9 +4,8 @@
    the same set form a class, represented by its smallest id.
 2. Representatives that share a band of ``rows`` sketch coordinates are candidates.  With 56 bands of 7 rows a pair
    at a similarity of exactly 0.8 shares none with a probability of 2e-6, one at 0.85 with 4e-10.
-3. Every member of a bucket is verified on full sets against the bucket's smallest and largest id, so a bucket of n
-   gives 2n pairs at most, not n * n.  That settles buckets of up to three, and those whose members turn out
-   connected, which are nearly all.
+3. Every member of a bucket is verified on full sets against the bucket's smallest id, so a bucket of n gives n - 1
+   pairs, not n * n.  That settles buckets of two, and those whose members turn out connected, which are nearly all.
 4. The rest has an exact way: the buckets still in several components are joined into clusters, clusters are dealt
    into blocks of 128 documents and every pair of blocks is compared on full sets in a task of its own.  A task
    holds two blocks whatever the cluster's size, and returns one link for each two components.
@@ -96,8 +95,7 @@ def _between_blocks(num: int, den: int):
         u, v = np.nonzero(links)
         if not len(u):
             return none
-        _, first = np.unique(np.stack([np.minimum(la[u], lb[v]), np.maximum(la[u], lb[v])]), axis=1, return_index=True)
-        return pd.DataFrame({"a": left["id"].to_numpy()[u[first]], "b": right["id"].to_numpy()[v[first]]})
+        return pd.DataFrame({"a": la[u], "b": lb[v]}).drop_duplicates()
 
     return run
 
@@ -122,16 +120,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     entries = own.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
     buckets = staged(
         entries.groupBy("key")
-        .agg(F.min(F.struct("id", "n")).alias("low"), F.max(F.struct("id", "n")).alias("high"), F.count("*").alias("size"))
-        .filter("low.id <> high.id"),
+        .agg(F.min(F.struct("id", "n")).alias("low"), F.max("id").alias("high"), F.count("*").alias("size"))
+        .filter("low.id <> high")
+        .drop("high"),
         "buckets",
     )
-    members = staged(entries.join(buckets, "key").select("key", "id", "n", "low", "high", "size"), "members")
+    members = staged(entries.join(buckets, "key").select("key", "id", "n", "low", "size"), "members")
 
-    ends = members.select(F.col("id").alias("x"), "n", F.explode(F.array("low", "high")).alias("p")).filter("x <> p.id")
-    ends = ends.filter(f"{den} * least(n, p.n) >= {num} * greatest(n, p.n)")
-    pairs = staged(ends.select(F.greatest("x", "p.id").alias("b"), F.least("x", "p.id").alias("a")).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(members.filter("size > 3").select(F.col("id").alias("doc_id"))).union(pairs.select("b")).distinct()
+    near = members.filter(f"id <> low.id and {den} * least(n, low.n) >= {num} * greatest(n, low.n)")
+    pairs = staged(near.select(F.col("low.id").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(members.filter("size > 2").select(F.col("id").alias("doc_id"))).union(pairs.select("b")).distinct()
     sets = staged(base.join(staged(wanted, "wanted"), "doc_id", "left_semi").mapInPandas(_sets(k), "id long, shingles binary"), "sets")
     sides = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(
         sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b"
@@ -139,23 +137,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     links = staged(sides.mapInPandas(_linked(num, den), "a long, b long").distinct(), "links")
     labels = connected_components(links)
 
-    # the exact way for buckets that the pivots left in several components
-    named = members.filter("size > 3").select("key", "id", F.col("low.id").alias("first")).join(labels, "id", "left")
+    # the exact way for buckets that this left in several components
+    named = members.filter("size > 2").select("key", "id").join(labels, "id", "left")
     split = named.groupBy("key").agg(F.min(F.coalesce("label", "id")).alias("l"), F.max(F.coalesce("label", "id")).alias("h")).filter("l <> h")
     split = staged(split.select("key"), "split")
     if not split.isEmpty():
-        loose = members.filter("size > 3").join(split, "key").select(F.col("low.id").alias("a"), F.col("id").alias("b")).distinct()
+        loose = members.filter("size > 2").join(split, "key").select(F.col("low.id").alias("a"), F.col("id").alias("b")).distinct()
         clusters = staged(connected_components(loose).withColumnRenamed("label", "cluster").join(labels, "id", "left"), "clusters")
         sizes = staged(clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
         dealt = clusters.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         dealt = staged(dealt.select("id", F.coalesce("label", "id").alias("label"), "cluster", "block", "blocks"), "dealt")
         spread = dealt.join(sets, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        spread = spread.select(
-            "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "label", "shingles"
-        )
-        more = staged(spread.groupBy("cluster", "i", "j").applyInPandas(_between_blocks(num, den), "a long, b long"), "more")
-        if not more.isEmpty():
-            labels = connected_components(links.unionByName(more))
+        spread = spread.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "label", "shingles")
+        more = staged(spread.groupBy("cluster", "i", "j").applyInPandas(_between_blocks(num, den), "a long, b long").distinct(), "more")
+        if not more.isEmpty():  # links between components: both ends are labels
+            joined = connected_components(more).select(F.col("id").alias("label"), F.col("label").alias("final"))
+            every = labels.unionByName(more.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id", F.col("id").alias("label"))).distinct()
+            labels = staged(every.join(joined, "label", "left").select("id", F.coalesce("final", "label").alias("label")), "relabelled")
 
     # back to the documents: only classes of several documents or of linked representatives change anything
     known = classes.join(labels, classes.id == labels.id, "left").select("h1", "h2", "n_shingles", F.coalesce("label", classes.id).alias("component"), "copies", "label")
