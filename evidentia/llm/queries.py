@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from evidentia.llm import pii, secrets
 from evidentia.llm.bpe import encode_documents
 from evidentia.llm.common import table
 from evidentia.llm.line_dedup import dedup_lines
@@ -50,6 +51,16 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document, with the terms that disclose it."""
+    return pii.scan(table(spark, sf_dir, "documents")).drop("version")
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secrets.scan(table(spark, sf_dir, "documents")).drop("version")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule ledger of every document and the verdict of the present policy."""
     book = judged(ledger(table(spark, sf_dir, "documents")))
@@ -78,7 +89,7 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op3_mixing, op4_bpe, op7_near_duplicates, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_line_dedup, op3_mixing, op4_bpe, op7_near_duplicates, op8_pii, op9_quality_rules, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
