@@ -58,7 +58,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         "covered",
     )
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"), *_own(docs["doc_id"], docs["text"]))
-    rows = rows.join(covered, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("version") == F.col("c_version")), "left")
+    # the texts move to what is removed from them at every size, so that a plan seen on little data is the one that runs on much
+    rows = rows.join(covered.hint("merge"), F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("version") == F.col("c_version")), "left")
     rows = rows.withColumn("solid", _solid(F.col("doc.text").cast("string"))).withColumn(
         "gone",
         F.array_distinct(F.flatten(F.transform("starts", lambda p: F.array(*[p + j for j in range(WINDOW)])))),
