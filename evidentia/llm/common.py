@@ -38,3 +38,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def words(text: Column) -> Column:
     """The array of a text's words; empty for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
+
+
+def fenced(df: DataFrame) -> DataFrame:
+    """The same rows behind a generator, so that filters above don't move below and repeat costly columns inside themselves."""
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
