@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import licenses, pii, secrets
+from evidentia.llm import ann, licenses, pii, secrets
 from evidentia.llm.bpe import encode_documents
 from evidentia.llm.common import table
 from evidentia.llm.line_dedup import dedup_lines
@@ -51,6 +51,11 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest others of every twentieth vector."""
+    return ann.search(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingle sets are at least 0.8 similar."""
     return near_duplicates(table(spark, sf_dir, "documents"), k=4)
@@ -94,7 +99,7 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op3_mixing, op4_bpe, op5_license_scan, op7_near_duplicates, op8_pii, op9_quality_rules, op10_secrets)}
+    return {f.__name__: f for f in (op1_line_dedup, op3_mixing, op4_bpe, op5_license_scan, op6_nearest, op7_near_duplicates, op8_pii, op9_quality_rules, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
