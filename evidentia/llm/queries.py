@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import ann, licenses, pii, secrets
+from evidentia.llm import ann, html_extract, licenses, pii, secrets
 from evidentia.llm.bpe import encode_documents
 from evidentia.llm.common import table
 from evidentia.llm.line_dedup import dedup_lines
@@ -36,6 +36,11 @@ from documents d left join kept using (doc_id) left join n using (doc_id) left j
 """
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words the mix takes of each document."""
     return mix(table(spark, sf_dir, "documents")).select("doc.doc_id", "size", "source_size", "target", "taken")
@@ -99,7 +104,7 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op3_mixing, op4_bpe, op5_license_scan, op6_nearest, op7_near_duplicates, op8_pii, op9_quality_rules, op10_secrets)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_html_text, op3_mixing, op4_bpe, op5_license_scan, op6_nearest, op7_near_duplicates, op8_pii, op9_quality_rules, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
