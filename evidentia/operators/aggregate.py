@@ -135,7 +135,7 @@ def count_patterns(df: DataFrame, id_col: str, text: str, patterns: Mapping[str,
 
 def count_pivot(df: DataFrame, key: str, item: str, items: Sequence[str], value: Column | None = None) -> DataFrame:
     """D15, F5.  Counts (or sums) by item in columns, 0 where there is none."""
-    return df.groupBy(key).pivot(item, list(items)).agg(F.count("*") if value is None else F.sum(value)).fillna(0)
+    return df.groupBy(key).pivot(item, list(items)).agg(F.count(F.lit(1)) if value is None else F.sum(value)).fillna(0)
 
 
 def incidence(df: DataFrame, key: str, item: str, items: Sequence[str]) -> DataFrame:
