@@ -10,15 +10,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     """P(|Z| >= |z|)."""
     return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)), na_action="ignore").astype("float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_tail_df1(x: pd.Series) -> pd.Series:
     """P(chi-square with one degree of freedom >= x)."""
     return x.map(lambda v: math.erfc(math.sqrt(max(0.0, v) / 2)), na_action="ignore").astype("float64")
@@ -120,7 +121,7 @@ def conclude(df: DataFrame, p: str = "p_holm", alpha: float = 0.05) -> DataFrame
     return df.withColumn("conclusion", text)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def hypergeometric_tail(k: pd.Series, n: pd.Series, m: pd.Series, total: pd.Series) -> pd.Series:
     """P(X >= k): of ``total`` entities m bear a term, n are drawn."""
 
