@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def window_size(n: int, window: int = 251, least: int = 29) -> int:
     """E1.  The window for n rows: as given if n is over five times it, else a fifth (``least`` at least); made odd."""
-    w = window if window <= n // 5 else max(window // 5, least)
+    w = window if window < n // 5 else max(window // 5, least)
     return w + (w % 2 == 0)
 
 
@@ -40,7 +40,7 @@ def combined_pep(df: DataFrame, key: str, source: str, pep: str, is_decoy: str,
         return F.least(2 * F.sum("decoy").over(frame), n) / n
 
     size = F.count("*").over(W.partitionBy("combination"))
-    return keys.withColumn("combined_pep", F.when(F.floor(size / 5) >= window, over(window // 2)).otherwise(over(small // 2)))
+    return keys.withColumn("combined_pep", F.when(F.floor(size / 5) > window, over(window // 2)).otherwise(over(small // 2)))
 
 
 def dedup(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:

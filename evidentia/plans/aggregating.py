@@ -252,7 +252,7 @@ with l as (select *, row_number() over (partition by l_returnflag, l_orderkey or
 greatest(0.001, least(0.999, l_discount)) as p, l_tax > 0.06 as d from lineitem),
 k as (select l_orderkey, string_agg(l_returnflag, '&' order by l_returnflag) as combination, product(p) as p, product(1 - p) as q, max(d::int) as decoy from l where n = 1 group by 1),
 b as (select l_orderkey, combination, decoy, round(p / (p + q), 12) as bayes_pep, count(*) over (partition by combination) as size from k)
-select l_orderkey, combination, decoy, bayes_pep, round(case when size // 5 >= 251
+select l_orderkey, combination, decoy, bayes_pep, round(case when size // 5 > 251
 then least(2 * sum(decoy) over w125, count(*) over w125) / count(*) over w125 else least(2 * sum(decoy) over w25, count(*) over w25) / count(*) over w25 end, 9) as combined_pep
 from b window w125 as (partition by combination order by bayes_pep, l_orderkey rows between 125 preceding and 125 following), w25 as (partition by combination order by bayes_pep, l_orderkey rows between 25 preceding and 25 following)
 """)
