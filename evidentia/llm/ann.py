@@ -76,7 +76,7 @@ def _valid(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         ids, dims, data = [], [], []
         for i, v in zip(batch["vec_id"].array, batch["v"], strict=True):
-            if v is None or len(v) == 0 or i is pd.NA or i is None:
+            if v is None or len(v) == 0:
                 continue
             x = np.array([np.nan if y is None else y for y in v], np.float64)
             if np.isfinite(x).all() and x.any():
@@ -104,7 +104,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
     """
     spark = vectors.sparkSession
     result = "query_id long, rank int, vec_id long, score double"
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")).filter("vec_id is not null")
     rows = staged(rows.mapInPandas(_valid, "vec_id long, dim long, x binary"), "valid")
     dims = rows.groupBy("dim").count().orderBy(F.desc("count"), F.desc("dim")).limit(1).collect()
     if not dims:

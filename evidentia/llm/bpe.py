@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.llm.common import id_in, id_out
+
 
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -271,6 +273,7 @@ def encode_documents(
                     row = (doc_id, len(ids), len(back), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(back).hexdigest())
                     out.append((*row, ids.astype(np.int64)) if with_ids else row)
                 made = pd.DataFrame(out, columns=["doc_id", "n_tokens", "n_bytes", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
-                yield made.astype({"doc_id": "Int64"})
+                yield made
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, schema)
+    texts = docs.select(id_in(F.col("doc_id")).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.mapInPandas(run, schema).withColumn("doc_id", id_out(F.col("doc_id")))

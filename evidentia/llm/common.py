@@ -35,6 +35,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Stands for a null id within Python, where a column with nulls would turn into floating point and lose digits.
+NO_ID = -(2**63)
+
+
+def id_in(col: Column) -> Column:
+    return F.coalesce(col.cast("long"), F.lit(NO_ID))
+
+
+def id_out(col: Column) -> Column:
+    return F.when(col != NO_ID, col)
+
+
 def words(text: Column) -> Column:
     """The array of a text's words; empty for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")

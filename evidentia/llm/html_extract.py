@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm.block_labels import PATH_DIM, WORD_DIM, Labeller, features
+from evidentia.llm.common import id_in, id_out
 from evidentia.llm.html_blocks import Block, blocks
 
 SAMPLE = 240  # pages that the labeller is trained on, at most
@@ -100,7 +101,7 @@ def train(sample: list[str], seed: int = 5) -> Labeller | None:
             continue
         known = [(b, weak_label(b)) for b in page]
         made.append((features(page)[:LONGEST], np.array([y is True for _, y in known], np.float32)[:LONGEST]))
-        for _ in range(LAYOUTS):
+        for _ in range(max(LAYOUTS, LAYOUTS * SAMPLE // len(pages))):  # as many in all from a smaller sample
             own, y = layout(main[: LONGEST // 2], other, r)
             made.append((features(own)[:LONGEST], y[:LONGEST]))
     drop = np.random.RandomState(seed)  # in some blocks words are left out, so that their tags must do
@@ -116,7 +117,7 @@ def extract(pages: DataFrame, labeller: Labeller | None = None) -> DataFrame:
     empty html, and pages without main text, have an empty text.  Repeated rows give equal results; other columns are
     ignored.  Where no labelled text is found to train on, blocks are judged by their semantic elements alone.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    rows = pages.select(id_in(F.col("page_id")).alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     if labeller is None:
         sample = rows.filter("html is not null").orderBy(F.xxhash64("page_id", "url"), "page_id").select("html").limit(SAMPLE)
         labeller = train([r["html"] for r in sample.collect()])
@@ -133,4 +134,5 @@ def extract(pages: DataFrame, labeller: Labeller | None = None) -> DataFrame:
                      "n_blocks": [len(p) for p in split], "n_main": [int(m.sum()) for m in marks]}
                 )
 
-    return rows.mapInPandas(run, "page_id long, url string, text string, n_chars long, n_blocks long, n_main long")
+    made = rows.mapInPandas(run, "page_id long, url string, text string, n_chars long, n_blocks long, n_main long")
+    return made.withColumn("page_id", id_out(F.col("page_id")))

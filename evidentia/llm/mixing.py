@@ -14,14 +14,16 @@ import json
 from collections import deque
 from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import staged, words
+from evidentia.llm.common import id_in, staged, words
 
 MOST_PATTERNS = 100_000
 LEAST_BUCKET = 1_000
+POOL = 200
 
 
 def capped_shares(sizes: Mapping[str | None, int], weights: Sequence[float] = (5, 2, 1), total: float = 1.5, cap: float = 2.0) -> dict[str | None, float]:
@@ -103,15 +105,30 @@ def route(capacity: Mapping[str, int], members: Mapping[str, Sequence[str | None
     return flow
 
 
+def best_subset(sizes: list[int], room: int) -> list[bool]:
+    """Which of a few sizes to take so that their sum is the largest that fits; sums are the bits of an integer."""
+    reach = [1]
+    for w in sizes:
+        reach.append((reach[-1] | reach[-1] << w) & ((1 << (room + 1)) - 1))
+    at, taken = reach[-1].bit_length() - 1, [False] * len(sizes)
+    for i in range(len(sizes) - 1, -1, -1):
+        if not reach[i] >> at & 1:
+            taken[i] = True
+            at -= sizes[i]
+    return taken
+
+
 def _fill(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of a bucket's documents, in their seeded order, those that still fit into what is left of the rest."""
-    rows = rows.sort_values(["h", "id"], na_position="first")
-    left, more = int(rows["room"].iloc[0]), []
-    for size, n in zip(rows["size"], rows["n"], strict=True):
-        fits = size * n <= left
-        left -= size * n * fits
-        more.append(int(fits))
-    return pd.DataFrame({"id": rows["id"].array, "h": rows["h"].array, "more": more}).astype({"id": "Int64"})
+    """Of a bucket's documents, in their seeded order, those that still fit; the last POOL of them fill what is left."""
+    rows = rows.sort_values(["h", "id"])
+    sizes = (rows["size"] * rows["n"]).tolist()
+    head, left = max(0, len(sizes) - POOL), int(rows["room"].iloc[0])
+    keep, more = sum(sizes[head:]) // 2, []
+    for w in sizes[:head]:
+        more.append(w <= left - keep)
+        left -= w * more[-1]
+    more += best_subset(sizes[head:], left)
+    return pd.DataFrame({"id": rows["id"].array, "h": rows["h"].array, "more": np.array(more, np.int64)})
 
 
 def mix(
@@ -133,7 +150,7 @@ def mix(
     whole = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
     names = F.sort_array(F.array_distinct(F.array(docs["source"].cast("string")) if sources is None else sources))
     base = docs.select(
-        whole.alias("doc"), F.to_json(names).alias("pattern"), docs["doc_id"].cast("long").alias("id"), F.size(words(docs["text"].cast("string"))).cast("long").alias("size")
+        whole.alias("doc"), F.to_json(names).alias("pattern"), id_in(docs["doc_id"]).alias("id"), F.size(words(docs["text"].cast("string"))).cast("long").alias("size")
     ).withColumn("h", F.xxhash64(F.lit(seed), "id", "doc.text", "pattern"))
     found = base.groupBy("pattern").agg(F.sum("size").alias("words"), F.count("*").alias("n")).limit(MOST_PATTERNS + 1).collect()
     if len(found) > MOST_PATTERNS:

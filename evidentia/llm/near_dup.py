@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import staged
+from evidentia.llm.common import id_in, id_out, staged
 from evidentia.llm.graph import connected_components
 from evidentia.llm.sketching import WordHasher, band_keys, overlap, shingle_set, sketch
 
@@ -111,7 +111,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"
-    prepared = staged(base.mapInPandas(_prepared(k, rows, bands), schema), "prepared")
+    made = base.withColumn("doc_id", id_in(F.col("doc_id"))).mapInPandas(_prepared(k, rows, bands), schema)
+    prepared = staged(made.withColumn("doc_id", id_out(F.col("doc_id"))), "prepared")
     full = prepared.filter("n_shingles > 0 and doc_id is not null")
     classes = staged(full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "classes")
 

@@ -8,6 +8,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.llm.common import id_in
+
 #: (kind, start, end) in code points, end exclusive.
 Span = tuple[str, int, int]
 
@@ -21,9 +23,9 @@ def sha256(text: str) -> str:
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """doc_id, text and ``version``, a hash that tells texts apart that share a doc_id."""
+    """doc_id (NO_ID for null), text and ``version``, a hash that tells texts apart that share a doc_id."""
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("version"))
+    return docs.select(id_in(F.col("doc_id")).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("version"))
 
 
 def masked(text: str, spans: Iterable[Span], marks: dict[str, str]) -> str:

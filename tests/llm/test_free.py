@@ -1,0 +1,293 @@
+"""The operators that run Python in tasks."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+
+import brute
+import numpy as np
+import public_tokenizers as P
+import pytest
+import tiktoken
+
+from evidentia.llm import ann, html_extract, pii, secrets
+from evidentia.llm.bpe import EncodedText, Encoder, PrefixTable, encode_documents, load_ranks
+from evidentia.llm.html_blocks import blocks
+from evidentia.llm.block_labels import DIM, Labeller, features, padded
+from evidentia.llm.mixing import capped_shares, mix, mixed_documents, route
+from evidentia.llm.near_dup import near_duplicates
+from evidentia.llm.sketching import WordHasher, shingle_set, sketch
+
+RANKS = load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+REFERENCE = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+
+
+# near-duplicates
+
+
+def test_near_duplicates_brute(docs):
+    for k in (4, 5):
+        want = brute.components({r["doc_id"]: r["text"] for r in docs.collect()}, k)
+        got = {r["doc_id"]: r for r in near_duplicates(docs, k=k).collect()}
+        assert {i: r["component_id"] for i, r in got.items()} == want
+        assert all(r["kept"] == (i == want[i]) for i, r in got.items())
+
+
+def test_near_duplicates_hard_group(spark):
+    """Copies of copies: links that the buckets' pivots alone don't settle."""
+    r, base = random.Random(3), [f"w{i}" for i in range(120)]
+    texts = [base]
+    for _ in range(160):
+        t = list(r.choice(texts))
+        for _ in range(r.randint(1, 4)):
+            t[r.randrange(len(t))] = f"n{r.randrange(10**6)}"
+        texts.append(t)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()}
+    assert got == brute.components(dict(rows), 4)
+
+
+def test_near_duplicates_edges(edges, nothing):
+    got = near_duplicates(edges, k=4).collect()
+    by = {r["doc_id"]: r for r in got}
+    assert len(got) == edges.count() and by[2]["component_id"] == 1 and not by[2]["kept"] and by[7]["component_id"] == 6
+    assert all(r["component_id"] is None and r["kept"] for r in got if r["doc_id"] is None)
+    assert (by[3]["n_shingles"], by[4]["n_shingles"], by[5]["n_shingles"], by[8]["n_shingles"]) == (0, 0, 0, 1) and by[4]["component_id"] == 4
+    assert near_duplicates(nothing).count() == 0
+
+
+def test_sketch_fills_and_estimates():
+    h, r = WordHasher(), random.Random(1)
+    a, b = [f"a{i}" for i in range(400)], [f"b{i}" for i in range(100)]
+    one, two = shingle_set(" ".join(a), 1, h), shingle_set(" ".join(a[:300] + b), 1, h)
+    s = sketch([one, two, shingle_set("single", 1, h), shingle_set("", 1, h)], 256)
+    assert (s[:3] != np.iinfo(np.uint64).max).all() and (s[3] == 0).all()
+    assert abs((s[0] == s[1]).mean() - 0.6) < 0.12
+    assert len(shingle_set("A b\x0bC a B c", 3, h)) == 3 and r is not None
+
+
+# mixing
+
+
+def test_mixing(docs):
+    got = mix(docs).selectExpr("doc.doc_id", "doc.source", "doc.text", "size", "source_size", "target", "taken").collect()
+    by: dict = {}
+    for r in got:
+        assert r["size"] == len(brute.WORD.findall(r["text"] or "")) and r["taken"] in (0, r["size"], 2 * r["size"])
+        by.setdefault(r["source"], []).append(r)
+    sizes = {s: sum(r["size"] for r in own) for s, own in by.items()}
+    wanted = capped_shares(sizes)
+    assert sum(wanted.values()) == pytest.approx(1.5 * sum(sizes.values()))
+    for s, own in by.items():
+        assert own[0]["source_size"] == sizes[s] and own[0]["target"] == pytest.approx(wanted[s]) and wanted[s] <= 2 * sizes[s] + 1e-6
+        assert abs(sum(r["taken"] for r in own) - wanted[s]) <= max(20, 0.03 * wanted[s])
+    again = {r["doc_id"]: r["taken"] for r in mix(docs.repartition(7)).selectExpr("doc.doc_id", "taken").collect()}
+    assert again == {r["doc_id"]: r["taken"] for r in got}
+
+
+def test_mixing_buckets(spark):
+    """Enough documents that the rest ends within one bucket of many."""
+    rows = [(i, " ".join(["w"] * (i % 9 + 1)), "ab"[i % 10 == 0]) for i in range(12_000)]
+    got = mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).selectExpr("doc.source", "target", "taken").toPandas()
+    for _, own in got.groupby("source"):
+        assert abs(own["taken"].sum() - own["target"].iloc[0]) <= 2
+
+
+def test_flow_reroutes_overlaps():
+    assert sum(route({"ab": 10, "a": 5}, {"ab": ["a", "b"], "a": ["a"]}, {"a": 5, "b": 10}, 1).values()) == 15
+    flow = route({"ab": 10, "a": 5, "b": 3}, {"ab": ["a", "b"], "a": ["a"], "b": ["b"]}, {"a": 12, "b": 14}, 2)
+    assert sum(v for (_, s), v in flow.items() if s == "a") == 12 and sum(v for (_, s), v in flow.items() if s == "b") == 14
+    assert sum(v for (p, _), v in flow.items() if p == "ab") <= 20
+
+
+def test_mixing_edges(edges, nothing):
+    got = mix(edges).collect()
+    assert len(got) == edges.count() and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
+    assert {r["taken"] for r in got if r["doc"]["doc_id"] in (3, 4, 5)} == {0}
+    assert mixed_documents(edges).columns == edges.columns
+    assert mix(nothing).count() == 0
+
+
+# byte-level BPE
+
+
+def test_bpe_as_tiktoken(docs, edges, nothing):
+    for df in (docs, edges):
+        texts = {(r["doc_id"], hashlib.sha256((r["text"] or "").encode()).hexdigest()): r["text"] or "" for r in df.collect()}
+        for r in encode_documents(df).collect():
+            ids = REFERENCE.encode_ordinary(texts[r["doc_id"], r["decoded_sha256"]])
+            assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+    assert encode_documents(nothing).count() == 0
+
+
+def test_bpe_appends_and_edits():
+    e, r, letters = Encoder(RANKS, P.PATTERN), random.Random(1), "ab cdé'st  \n\n012 #$%日本語\U0001f389xyzABC're"
+    draw = lambda n: "".join(r.choice(letters) for _ in range(r.randint(0, n)))
+    for _ in range(150):
+        t = EncodedText(e, draw(60))
+        for _ in range(3):
+            i = r.randint(0, len(t.text))
+            t.edit(i, r.randint(i, min(len(t.text), i + 5)), draw(5))
+            assert t.ids().tolist() == REFERENCE.encode_ordinary(t.text)
+        t.append("'re now")
+        assert t.ids().tolist() == REFERENCE.encode_ordinary(t.text)
+    p, data = PrefixTable(e.v, b"abcabc" * 300), b"abcabc" * 300
+    assert p.edit(900, 903, b"zz") < 300 and p.last == PrefixTable(e.v, data[:900] + b"zz" + data[903:]).last
+
+
+# html
+
+
+def test_blocks():
+    page = "<html><head><title>t</title></head><body><nav><a href=x>Home</a></nav><article><h1>A &amp; B</h1><p>one<br>two <b>th</b>ree<p>four<!-- no --><script>var a='</p>'</script></article></body>"
+    assert [b.text for b in blocks(page)] == ["Home", "A & B", "one two three", "four"]
+    assert blocks(None) == blocks("") == []
+
+
+def test_labeller_gradients():
+    r = np.random.RandomState(0)
+    x, mask = padded([r.normal(size=(n, DIM)).astype(np.float32) for n in (3, 5)])
+    y, net = (r.random_sample(mask.shape) < 0.5).astype(np.float32), Labeller(1)
+
+    def loss():
+        odds = net.forward(x, mask).astype(np.float64)
+        return ((np.logaddexp(0, odds) - y * odds) * mask).sum() / mask.sum()
+
+    grads = net.gradients(x, mask, y)
+    for name in net.w:
+        at = tuple(r.randint(n) for n in net.w[name].shape)
+        net.w[name][at] += 1e-2
+        up = loss()
+        net.w[name][at] -= 2e-2
+        down = loss()
+        net.w[name][at] += 1e-2
+        assert grads[name][at] == pytest.approx((up - down) / 2e-2, abs=2e-3)
+
+
+def test_extraction_held_out(spark, sf_dir):
+    """Trained on some pages; layouts made of others' texts, and the others themselves, are held out."""
+    pages = [r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").orderBy("page_id").collect()]
+    cut = len(pages) * 2 // 3
+    net, r = html_extract.train(pages[:cut]), random.Random(9)
+    split = [blocks(h) for h in pages[cut:]]
+    right = [bool(m) == (html_extract.weak_label(b) is True) for p, own in zip(split, net.label([features(p) for p in split]), strict=True) for b, m in zip(p, own, strict=True)]
+    assert sum(right) / len(right) > 0.98
+    other = [b.text for p in split for b in p if html_extract.weak_label(b) is False]
+    made = [html_extract.layout([b for b in p if html_extract.weak_label(b)][:30], other, r) for p in split if any(html_extract.weak_label(b) for b in p)]
+    labels = net.label([features(p) for p, _ in made])
+    assert sum(int((m == (y > 0)).sum()) for (_, y), m in zip(made, labels, strict=True)) / sum(len(y) for _, y in made) > 0.95
+
+
+def test_extraction_edges(spark):
+    article = "<body><nav><a href=1>Menu</a></nav><article><h1>Title</h1><p>Some long text of the article, with words.</p></article><footer>foot</footer></body>"
+    rows = [(1, "u", article), (1, "u", article), (2, None, None), (3, "u", ""), (None, "u", "<p>loose"), (5, "u", "<nav>only</nav>")]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as text", "2 as n_main")).collect()
+    assert len(got) == 6 and {r["text"] for r in got if r["page_id"] in (2, 3)} == {""} and all(r["n_chars"] == len(r["text"]) for r in got)
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+# nearest neighbours
+
+
+def truth(rows, k=20, every=20):
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
+    out = {}
+    for n in np.flatnonzero(ids % every == 0):
+        s = (x * x[n]).sum(1)
+        s[n] = -np.inf
+        best = np.lexsort((ids, -s))[: min(k, len(ids) - 1)]
+        out[int(ids[n])] = [(int(ids[j]), s[j]) for j in best]
+    return out
+
+
+def test_nearest_recall(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    want, got = truth([(r["vec_id"], r["embedding"]) for r in e.collect()]), {}
+    for r in ann.search(e, lambda i: i % 20 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert set(got) == set(want) and all(len(got[q]) == 20 for q in got)
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
+
+
+def test_nearest_edges(spark):
+    nan = float("nan")
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (20, [0.0, 2.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [None, 1.0]), (7, []), (8, [1.0, 2.0, 3.0]), (None, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as cell", "2 as x", "3 as score")
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.search(df, lambda i: i % 20 == 0).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 20, 0.0), (20, 1, 0, 0.0), (20, 2, 1, 0.0), (20, 3, 2, 0.0)]
+    assert ann.search(df.limit(0), lambda i: i % 20 == 0).count() == 0
+
+
+# personal data and secrets
+
+
+def plain_pii(t):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    for kind, pattern, least, most in (("card", r"[0-9]([\x20-]?[0-9])+", 13, 19), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 9, 15)):
+        for m in re.finditer(pattern, t):
+            d = re.sub("[^0-9]", "", m[0])
+            if least <= len(d) <= most and (kind == "phone" or pii.luhn(d)):
+                out.append((kind, *m.span()))
+    return out
+
+
+def test_pii_base(docs):
+    r = random.Random(3)
+    texts = ["".join(r.choice("a@b.c1 2-+()_%9.1.2.3") for _ in range(r.randint(1, 40))) for _ in range(5000)] + [x["text"] for x in docs.collect()]
+    assert all(pii.base_spans(t) == plain_pii(t) for t in texts)
+
+
+def test_pii_terms_disclose(spark):
+    fill = "alpha beta gamma delta epsilon zeta eta theta".split()
+    r = random.Random(1)
+    rows = [(i, " ".join(r.choice(fill) for _ in range(30))) for i in range(60)]
+    for i in range(60, 66):
+        rows.append((i, f"{r.choice(fill)} {r.choice(fill)} {i} ask Bartleby at bart@office.example {r.choice(fill)} {i}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: x["spans"] for x in pii.scan(df).collect()}
+    texts = dict(rows)
+    terms = {i: {texts[i][int(a) : int(b)] for k, a, b in (s.split(":") for s in got[i].split(",")) if k == "term"} for i in range(60, 66)}
+    assert all("Bartleby" in t and not t & set(fill) for t in terms.values()) and all(got[i] == "" for i in range(60))
+    clean = {x["doc_id"]: x["text"] for x in pii.sanitised(df).collect()}
+    assert "[EMAIL]" in clean[60] and "Bartleby" not in clean[60] and clean[0] == texts[0]
+
+
+def test_pii_and_secrets_edges(edges, nothing):
+    for scan in (pii.scan, secrets.scan):
+        got = scan(edges).collect()
+        assert len(got) == edges.count() and all(r["spans"] == "" for r in got if r["doc_id"] in (3, 4, 5)) and scan(nothing).count() == 0
+        assert all(r["base_sha256"] == hashlib.sha256(b"").hexdigest() for r in got if r["doc_id"] in (3, 4, 5))
+
+
+def test_secret_base(docs):
+    def plain(t):
+        out = [("assign", *m.span()) for m in re.finditer(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", t, re.A) if len(m[2]) >= 6]
+        out += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        out += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        return sorted(out, key=lambda s: (s[1], secrets.KINDS.index(s[0])))
+
+    r = random.Random(2)
+    parts = ["password", "API_KEY", "token", " = ", ":", '"', "AKIA", "0123456789abcdef01234567", "ABCDEFGHIJKLMNOP", "xyz", " "]
+    for t in ["".join(r.choice(parts) for _ in range(r.randint(1, 12))) for _ in range(3000)] + [x["text"] for x in docs.collect()]:
+        assert secrets.base_spans(t) == plain(t)
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ('k = "aX9f83kdk29dkQ"\npassword = k', ["aX9f83kdk29dkQ"]),
+        ('{"db_password": "hunter2secretX9"}', ["hunter2secretX9"]),
+        ("export API_KEY=abcd1234efgh5678", ["abcd1234efgh5678"]),
+        ('password: str = "Zx81kfj29fkQ"', ["Zx81kfj29fkQ"]),
+        ("cfg[\"aws_secret_access_key\"] = 'wJalrXUtnFEMI/K7MDENG'", ["wJalrXUtnFEMI/K7MDENG"]),
+        ("the secret: nothing here at all", []),
+        ('name = "aX9f83kdk29dkQ"', []),
+        ('password = "changeme"', []),
+    ],
+)
+def test_secret_literals(text, want):
+    assert [text[a:b] for _, a, b in secrets.literal_spans(text)] == want
+    assert all(w not in secrets.redacted(text) for w in want)
