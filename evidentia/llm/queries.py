@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from evidentia.llm import ann, html_extract, licenses, pii, secrets
 from evidentia.llm.bpe import encode_documents
 from evidentia.llm.common import table
+from evidentia.llm.license_templates import TEMPLATES
 from evidentia.llm.line_dedup import dedup_lines
 from evidentia.llm.mixing import mix
 from evidentia.llm.near_dup import near_duplicates
@@ -61,6 +62,17 @@ def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
 
 
+def op5_sql() -> str:
+    """Exact containment of every notice in every document, without windows or bands."""
+    rows = ", ".join("('{}', {}, '{}')".format(a, i, t.replace("'", "''")) for a, texts in TEMPLATES.items() for i, t in enumerate(texts))
+    cut = lambda source, key: f"""select {key}, p as at_word, array_to_string(w[p + 1 : p + 5], ' ') as s from (select {key}, w, unnest(range(0, greatest(len(w) - 4, 0))) as p
+        from (select {key}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as w from {source}))"""
+    return f"""with n(license, notice, text) as (values {rows}), ns as (select distinct license, notice, s from ({cut("n", "license, notice")})),
+    size as (select license, notice, count(*) as n_notice from ns group by all), ds as ({cut("documents", "doc_id")}),
+    m as (select doc_id, license, notice, count(distinct s) as n_shared, min(at_word) as at_word from ds join ns using (s) group by all)
+    select doc_id, license, notice::int as notice, n_shared, n_notice, n_shared / n_notice as containment, at_word from m join size using (license, notice) where 100 * n_shared >= 80 * n_notice"""
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingle sets are at least 0.8 similar."""
     return near_duplicates(table(spark, sf_dir, "documents"), k=4)
@@ -108,4 +120,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op9_quality_rules": OP9_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op5_license_scan": op5_sql(), "op9_quality_rules": OP9_SQL}
