@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidentia.functions.scalars import list_median, monoisotopic_mass
+from evidentia.operators.graph import settled
 
 
 def collapse(df: DataFrame, keys: Sequence[str], cols: Sequence[str], sep: str = ";") -> DataFrame:
@@ -28,20 +29,27 @@ def explode_list(df: DataFrame, col: str, sep: str = ";", keep_null: bool = Fals
     return df.withColumn(col, (F.explode_outer if keep_null else F.explode)(F.split(col, sep)))
 
 
-def assign_ids(df: DataFrame, prefix: str, order: Sequence[Column | str], name: str, part: Sequence[str] = ()) -> DataFrame:
-    """E4.  ``<prefix>0`` .. in the given order.
+def numbered(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
+    """0, 1 .. in the given order, which should leave no ties.
 
-    Numbers come from each range partition's size and the place within it, so no task holds all rows.
+    Rows are sorted by range and written once with their place in their partition; partitions' sizes, summed up, give
+    the offsets.  No task holds all rows, and what is numbered doesn't change when it is read again.
     """
-    if part:
-        n = F.row_number().over(W.partitionBy(*part).orderBy(*order)) - 1
-        return df.withColumn(name, F.concat(F.lit(prefix), n.cast("string")))
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_pos", F.monotonically_increasing_id())
-    ranged = ranged.withColumn("_part", F.shiftright("_pos", 33)).withColumn("_pos", F.col("_pos").bitwiseAND(F.lit((1 << 33) - 1)))
+    ranged = settled(ranged.withColumn("_part", F.shiftright("_pos", 33)).withColumn("_pos", F.col("_pos").bitwiseAND(F.lit((1 << 33) - 1))))
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_size"))
     before = F.coalesce(F.sum("_size").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("_part", before.alias("_before"))
-    return ranged.join(F.broadcast(offsets), "_part").withColumn(name, F.concat(F.lit(prefix), (F.col("_before") + F.col("_pos")).cast("string"))).select(*df.columns, name)
+    offsets = sizes.select("_part", before.alias("_before"))  # a row for each partition
+    return ranged.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_pos")).select(*df.columns, name)
+
+
+def assign_ids(df: DataFrame, prefix: str, order: Sequence[Column | str], name: str, part: Sequence[str] = ()) -> DataFrame:
+    """E4.  ``<prefix>0`` .. in the given order, over all rows or within parts."""
+    if part:
+        made = df.withColumn(name, F.row_number().over(W.partitionBy(*part).orderBy(*order)) - 1)
+    else:
+        made = numbered(df, order, name)
+    return made.withColumn(name, F.concat(F.lit(prefix), F.col(name).cast("string")))
 
 
 def aggregate_unmatched(df: DataFrame, key: str, source: str, means: Sequence[str]) -> DataFrame:

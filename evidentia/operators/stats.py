@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from evidentia.operators.aggregate import numbered
+
 
 @F.pandas_udf(DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
@@ -158,7 +160,7 @@ def running_sum_es(ranked: DataFrame, entity: str, score: str, sets: DataFrame,
     Only members' places matter: just after the i-th of them at rank r the sum is hits(i) - (r - i) / (n - n_set), so the
     ranking is joined to the members and nothing is expanded to sets times entities.
     """
-    place = ranked.select(entity, score, F.row_number().over(W.orderBy(F.desc(score), entity)).alias("_rank"))
+    place = numbered(ranked.select(entity, score), [F.desc(score), F.col(entity)], "_rank").withColumn("_rank", F.col("_rank") + 1)
     n = ranked.agg(F.count("*").alias("_n"))
     hits = sets.select(set_name, entity).distinct().join(place, entity)
     at, whole = W.partitionBy(set_name).orderBy("_rank"), W.partitionBy(set_name)
@@ -171,11 +173,11 @@ def running_sum_es(ranked: DataFrame, entity: str, score: str, sets: DataFrame,
 def gsea(ranked: DataFrame, entity: str, score: str, sets: DataFrame, set_name: str, n_perm: int = 100, seed: int = 1) -> DataFrame:
     """K10.  Scores with permutation p-values: a replicate column, and in each replicate members drawn anew by hashed rank."""
     real = running_sum_es(ranked, entity, score, sets, set_name)
-    numbered = ranked.select(entity).withColumn("_k", F.row_number().over(W.orderBy(entity)))
-    drawn = sets.select(set_name, entity).distinct().join(numbered, entity).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
+    places = numbered(ranked.select(entity), [entity], "_k").withColumn("_k", F.col("_k") + 1)
+    drawn = sets.select(set_name, entity).distinct().join(places, entity).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
     n = ranked.count()
     drawn = drawn.withColumn("_to", F.pmod(F.xxhash64("rep", F.lit(seed), set_name, "_k"), F.lit(n)) + 1)
-    named = numbered.select(F.col("_k").alias("_to"), F.col(entity).alias("_e"))
+    named = places.select(F.col("_k").alias("_to"), F.col(entity).alias("_e"))
     fake = drawn.join(named, "_to").select(F.concat_ws("\x1f", set_name, F.col("rep").cast("string")).alias("_sr"), F.col("_e").alias(entity))
     null = running_sum_es(ranked, entity, score, fake, "_sr").select(F.split("_sr", "\x1f")[0].alias(set_name), F.col("es").alias("_null"))
     return real.join(null, set_name).groupBy(set_name, "es", "n_members").agg(((F.count_if(F.col("_null") >= F.col("es")) + 1) / (F.count("*") + 1)).alias("p"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evidentia.operators.aggregate import numbered
 from evidentia.operators.graph import components
 
 
@@ -117,7 +118,7 @@ def silhouette(pairs: DataFrame, labels: DataFrame, id_col: str, cluster: str) -
 
 def sampled_pairs(df: DataFrame, id_col: str, n: int, seed: int = 1) -> DataFrame:
     """J4.  n pairs of different rows, drawn by hashed numbers: both ends meet their rows by rank."""
-    ranked = df.select(id_col).withColumn("_k", F.row_number().over(W.orderBy(id_col)) - 1)
+    ranked = numbered(df.select(id_col), [id_col], "_k")
     total = df.count()
     draws = df.sparkSession.range(n).select(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(total)).alias("_x"), F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(max(1, total - 1))).alias("_y"))
     draws = draws.withColumn("_y", F.when(F.col("_y") >= F.col("_x"), F.col("_y") + 1).otherwise(F.col("_y")))
