@@ -142,3 +142,60 @@ def test_same_under_other_partitions(spark, sf_dir):
         made.append(sorted(plans.queries()["combined_pep"](spark, sf_dir).collect()))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert made[0] == made[1]
+
+
+def test_flatten_xrefs(spark):
+    from evidentia.sources import io
+
+    doc = (
+        '{"uniProtKBCrossReferences": [{"database": "GO", "id": "GO:1", "properties": [{"value": "C:x"}, {"value": "IDA:y"}]}, {"database": "InterPro", "id": "IPR1", "properties": [{"value": "d"}]},'
+        ' {"database": "Pfam", "id": "PF1", "properties": [{"value": "p"}]}]}'
+    )
+    df = spark.createDataFrame([("a", doc), ("b", None), ("c", '{"uniProtKBCrossReferences": []}')], "id string, j string")
+    got = {r["id"]: tuple(r)[1:] for r in io.flatten_xrefs(df, "j", ["GO", "Pfam", "InterPro"]).collect()}
+    assert got == {"a": ("GO:1_C:x", "PF1_p", "IPR1", "IDA:y"), "b": (None,) * 4, "c": (None,) * 4}
+
+
+def test_preamble_and_manifest(spark, tmp_path):
+    from evidentia.sources import io
+
+    (tmp_path / "a.tsv").write_text("## tool 1.0\n##\n#query\tscore\nq1\t5\nq2\t7\n")
+    got = io.read_after_marker(spark, str(tmp_path / "a.tsv"), ["#query", "#qseqid"], ["query", "score"]).collect()
+    assert sorted((r["query"], r["score"]) for r in got) == [("q1", "5"), ("q2", "7")]
+    (tmp_path / "r.tsv").write_text("id\tscore\tproteins\np1\t3\tA\tB\tC\np2\t4\n")
+    got = io.read_ragged(spark, str(tmp_path / "r.tsv"), ["id", "score"], "proteins").collect()
+    assert sorted((r["id"], tuple(r["proteins"])) for r in got) == [("p1", ("A", "B", "C")), ("p2", ())]
+
+
+def test_entity_similarity_and_generic_terms(spark):
+    edges = spark.createDataFrame([("b", "a"), ("c", "a"), ("d", "b")], "child string, parent string")
+    values = I.semantic_values(edges, "child", "parent", 0.8)
+    pairs = spark.createDataFrame([("b", "c"), ("c", "d")], "x string, y string")
+    sim = {(r["x"], r["y"]): r["similarity"] for r in I.wang_similarity(values, pairs, "x", "y").collect()}
+    assert sim[("b", "c")] == pytest.approx(1.6 / 3.6)
+    terms = spark.createDataFrame([("e1", "b"), ("e2", "c")], "e string, t string")
+    bma = I.best_match_average(terms, I.wang_similarity(values, pairs, "x", "y"), "e", "t", "x", "y").first()
+    assert (bma["e1"], bma["e2"], bma["similarity"]) == ("e1", "e2", pytest.approx(1.6 / 3.6))
+    closed = I.closure(edges, "child", "parent")
+    assert {(r["node"], r["ancestor"], r["depth"]) for r in closed.collect()} == {("b", "a", 1), ("c", "a", 1), ("d", "b", 1), ("d", "a", 2)}
+    names = spark.createDataFrame([("a", "ion binding"), ("b", "metal binding"), ("c", "dna binding"), ("d", "zinc binding")], "node string, name string")
+    level = I.levels(closed, spark.createDataFrame([("a",)], "node string"))
+    got = I.generic_terms(closed, names, level, min_level=-1, min_variants=2).collect()
+    assert [(r["node"], r["n_variants"]) for r in got] == [("a", 3)]
+
+
+def test_sampled_pairs_and_null(spark):
+    df = spark.range(50).withColumnRenamed("id", "k")
+    got = V.sampled_pairs(df, "k", 200).collect()
+    assert len(got) == 200 and all(r["a"] != r["b"] for r in got)
+    stats, null = spark.createDataFrame([(1.0,), (9.5,)], "s double"), spark.range(10).selectExpr("cast(id as double) as v")
+    assert {r["s"]: r["p"] for r in V.empirical_p(stats, "s", null, "v").collect()} == {1.0: 0.2, 9.5: 1.0}
+    assert {r["s"]: r["p"] for r in V.empirical_p(stats, "s", null, "v", tail="right").collect()} == {1.0: 0.9, 9.5: 0.0}
+
+
+def test_drop_contained_and_representatives(spark):
+    rows = [(1, "abcdefghijklmnop"), (2, "cdefghijkl"), (3, "abcdefghijklmnop"), (4, "zzzzzzzzzzzz"), (5, "short")]
+    df = spark.createDataFrame(rows, "id long, s string")
+    assert sorted(r["id"] for r in J.drop_contained(df, "id", "s").collect()) == [1, 4, 5]
+    got = {r["id"]: (r["representative"], r["n_members"]) for r in V.representatives(df.withColumn("g", F.lit("x")), "g", "id", "s").collect()}
+    assert got[2] == got[1] == got[3] == (1, 3) and got[4] == (4, 1)
