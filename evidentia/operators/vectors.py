@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -124,8 +122,3 @@ def sampled_pairs(df: DataFrame, id_col: str, n: int, seed: int = 1) -> DataFram
     draws = draws.withColumn("_y", F.when(F.col("_y") >= F.col("_x"), F.col("_y") + 1).otherwise(F.col("_y")))
     a, b = ranked.select(F.col("_k").alias("_x"), F.col(id_col).alias("a")), ranked.select(F.col("_k").alias("_y"), F.col(id_col).alias("b"))
     return draws.join(a, "_x").join(b, "_y").select("a", "b")
-
-
-def columns_of(frames: Sequence[DataFrame]) -> list[str]:
-    """Columns that all frames have."""
-    return [c for c in frames[0].columns if all(c in f.columns for f in frames)]
