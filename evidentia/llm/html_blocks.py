@@ -87,7 +87,7 @@ class _Reader(HTMLParser):
         own = [tag]
         for key, value in attrs:
             if key in ("class", "id", "role") and value:
-                own += [f"{tag[:0]}.{w.lower()}" for w in NAME.findall(value)[:8]]
+                own += [f".{w.lower()}" for w in NAME.findall(value)[:8]]
         self.stack.append(_Open(tag, tuple(own)))
         self.silent += tag in SILENT
         self.links += tag == "a"
