@@ -23,7 +23,7 @@ from evidentia.llm.common import id_in, staged, words
 
 MOST_PATTERNS = 100_000
 LEAST_BUCKET = 1_000
-POOL = 200
+MOST_BITS = 1 << 30  # of the sums that the search for the best subset holds at once
 
 
 def capped_shares(sizes: Mapping[str | None, int], weights: Sequence[float] = (5, 2, 1), total: float = 1.5, cap: float = 2.0) -> dict[str | None, float]:
@@ -119,16 +119,34 @@ def best_subset(sizes: list[int], room: int) -> list[bool]:
 
 
 def _fill(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of a bucket's documents, in their seeded order, those that still fit; the last POOL of them fill what is left."""
+    """Of a bucket's documents, in their seeded order, those that still fit; then the best subset of as many as MOST_BITS lets in.
+
+    The search may give back what the order took, so it never fills less.  Where not all get in, the smallest do.
+    """
     rows = rows.sort_values(["h", "id"])
-    sizes = (rows["size"] * rows["n"]).tolist()
-    head, left = max(0, len(sizes) - POOL), int(rows["room"].iloc[0])
-    keep, more = sum(sizes[head:]) // 2, []
-    for w in sizes[:head]:
-        more.append(w <= left - keep)
+    sizes, room = (rows["size"] * rows["n"]).tolist(), int(rows["room"].iloc[0])
+    more, left = [], room
+    for w in sizes:
+        more.append(w <= left)
         left -= w * more[-1]
-    more += best_subset(sizes[head:], left)
-    return pd.DataFrame({"id": rows["id"].array, "h": rows["h"].array, "more": np.array(more, np.int64)})
+    fit = sorted((i for i, w in enumerate(sizes) if 0 < w <= room), key=sizes.__getitem__)
+    if left and not all(more[i] for i in fit):
+        pool: list[int] = []
+        for i in fit:
+            given = left + sizes[i] * more[i]
+            if (len(pool) + 1) * (given + 1) > MOST_BITS:
+                break
+            pool.append(i)
+            left = given
+        pool.sort()
+        for i, taken in zip(pool, best_subset([sizes[i] for i in pool], left), strict=True):
+            more[i] = taken
+    taken = np.array(more, np.int64)
+    return pd.DataFrame({"pattern": rows["pattern"].array, "id": rows["id"].array, "h": rows["h"].array, "more": taken, "filled": taken * np.array(sizes, np.int64)})
+
+
+def _bucket(seed: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), "h"), F.col("buckets"))
 
 
 def mix(
@@ -152,7 +170,8 @@ def mix(
     base = docs.select(
         whole.alias("doc"), F.to_json(names).alias("pattern"), id_in(docs["doc_id"]).alias("id"), F.size(words(docs["text"].cast("string"))).cast("long").alias("size")
     ).withColumn("h", F.xxhash64(F.lit(seed), "id", "doc.text", "pattern"))
-    found = base.groupBy("pattern").agg(F.sum("size").alias("words"), F.count("*").alias("n")).limit(MOST_PATTERNS + 1).collect()
+    slim = staged(base.drop("doc"), "sizes")
+    found = slim.groupBy("pattern").agg(F.sum("size").alias("words"), F.count("*").alias("n")).limit(MOST_PATTERNS + 1).collect()
     if len(found) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
     members = {r["pattern"]: json.loads(r["pattern"]) for r in found}
@@ -165,29 +184,49 @@ def mix(
     sent = dict.fromkeys(capacity, 0)
     for (p, _), n in route(capacity, members, {s: round(x) for s, x in wanted.items()}, repeats).items():
         sent[p] += n
-    plan = []
+    plan, buckets, open_ = {}, {}, []
     for r in found:
         p = r["pattern"]
         times, rest = divmod(sent[p], capacity[p]) if capacity[p] else (0, 0)
         first = members[p][0] if members[p] else None
-        buckets = max(1, round(r["n"] / max(LEAST_BUCKET, r["n"] ** 0.5)))
-        plan.append((p, times, rest, buckets, sizes.get(first, 0), float(wanted.get(first, 0.0))))
-    plan = spark.createDataFrame(plan, "pattern string, times long, rest long, buckets long, source_size long, target double")
-    dealt = base.join(F.broadcast(plan), "pattern").withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "h"), F.col("buckets")))
-
-    # where the rest ends: sums by bucket, and in the bucket that holds the end, document by document
-    sums = dealt.groupBy("pattern", "bucket").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
-    sums = sums.selectExpr("*", "sum(words) over (partition by pattern order by bucket rows unbounded preceding) - words as before")
-    ends = staged(sums.filter("before <= rest and rest < before + words").selectExpr("pattern", "bucket as end", "rest - before as room"), "ends")
-    dealt = dealt.join(F.broadcast(ends), "pattern", "left")  # a row for each pattern at most
-    last = dealt.filter("bucket = end").groupBy("pattern", "room", "id", "h", "size").agg(F.count("*").alias("n"))
-    more = staged(last.groupBy("pattern").applyInPandas(_fill, "id long, h long, more long"), "more")
+        buckets[p] = max(1, round(r["n"] / max(LEAST_BUCKET, r["n"] ** 0.5)))
+        plan[p] = (times, sizes.get(first, 0), float(wanted.get(first, 0.0)))
+        if rest:
+            open_.append((p, buckets[p], -1, rest))
+
+    # where the rest ends: sums by bucket of what isn't larger than it, and in the bucket that holds the end, document
+    # by document; what that bucket can't fill goes on to those after it
+    steps: dict[str, list[tuple[int, int, int]]] = {p: [] for p in plan}
+    more = None
+    while open_:
+        now = spark.createDataFrame(open_, "pattern string, buckets long, past long, rest long")
+        fits = slim.join(F.broadcast(now), "pattern").withColumn("bucket", _bucket(seed)).filter("bucket > past and size > 0 and size <= rest")
+        sums = fits.groupBy("pattern", "bucket").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
+        sums = sums.selectExpr("*", "sum(words) over (partition by pattern order by bucket rows unbounded preceding) - words as before")
+        ends = {r["pattern"]: (r["end"], r["room"]) for r in sums.filter("before <= rest and rest < before + words").selectExpr("pattern", "bucket as end", "rest - before as room").collect()}
+        for p, n, past, rest in open_:
+            steps[p].append((past, ends[p][0] if p in ends else n, rest))
+        if not ends:
+            break
+        edge = spark.createDataFrame([(p, end, room) for p, (end, room) in ends.items()], "pattern string, end long, room long")
+        last = fits.join(F.broadcast(edge), "pattern").filter("bucket = end").groupBy("pattern", "room", "id", "h", "size").agg(F.count("*").alias("n"))
+        made = staged(last.groupBy("pattern").applyInPandas(_fill, "pattern string, id long, h long, more long, filled long"), "more")
+        filled = {r["pattern"]: r["filled"] for r in made.groupBy("pattern").agg(F.sum("filled").alias("filled")).collect()}
+        more = made if more is None else more.unionByName(made)
+        open_ = [(p, buckets[p], end, room - filled[p]) for p, (end, room) in ends.items() if filled[p] < room and end + 1 < buckets[p]]
+
+    rows = [(p, *plan[p], buckets[p], steps[p]) for p in plan]
+    settled = spark.createDataFrame(rows, "pattern string, times long, source_size long, target double, buckets long, steps array<struct<past:long,end:long,rest:long>>")
+    dealt = base.join(F.broadcast(settled), "pattern").withColumn("bucket", _bucket(seed))
     columns = ["doc", "size", "pattern", "source_size", "target"]
-    settled = dealt.filter("bucket <> end or end is null").select(
-        *columns, (F.col("size") * (F.col("times") + F.when(F.col("bucket") < F.col("end"), 1).otherwise(0))).alias("taken")
-    )
-    edge = dealt.filter("bucket = end").join(more.withColumnRenamed("id", "m_id").withColumnRenamed("h", "m_h"), F.col("h").eqNullSafe(F.col("m_h")) & F.col("id").eqNullSafe(F.col("m_id")))
-    return settled.unionByName(edge.select(*columns, (F.col("size") * (F.col("times") + F.col("more"))).alias("taken")))
+    whole_buckets = F.exists("steps", lambda x: (F.col("bucket") > x["past"]) & (F.col("bucket") < x["end"]) & (F.col("size") <= x["rest"]))
+    if more is None:
+        return dealt.select(*columns, (F.col("size") * (F.col("times") + whole_buckets.cast("long"))).alias("taken"))
+    at_end = F.exists("steps", lambda x: F.col("bucket") == x["end"])
+    out = dealt.filter(~at_end).select(*columns, (F.col("size") * (F.col("times") + whole_buckets.cast("long"))).alias("taken"))
+    more = more.select(F.col("id").alias("m_id"), F.col("h").alias("m_h"), "more")
+    edge = dealt.filter(at_end).join(more, F.col("h").eqNullSafe(F.col("m_h")) & F.col("id").eqNullSafe(F.col("m_id")), "left")
+    return out.unionByName(edge.select(*columns, (F.col("size") * (F.col("times") + F.coalesce("more", F.lit(0)))).alias("taken")))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:

@@ -95,6 +95,18 @@ def test_mixing_buckets(spark):
         assert abs(own["taken"].sum() - own["target"].iloc[0]) <= 2
 
 
+def test_mixing_one_long_document(spark):
+    """A document far larger than the room, wherever it stands, costs the others nothing; nor does one larger than a bucket's room."""
+    r = random.Random(5)
+    for n, long in ((1_000, 1_000_000), (1_000, 200_000), (6_000, 500_000)):
+        sizes = [r.randint(100, 500) for _ in range(n)]
+        want = sum(sizes) * 28 // 30
+        rows = [(i, " ".join(["w"] * s), "a") for i, s in enumerate(sizes)]
+        for doc_id in range(10**6, 10**6 + 4):  # other ids, other places in the seeded order
+            df = spark.createDataFrame([*rows, (doc_id, " ".join(["w"] * long), "a")], "doc_id long, text string, source string").repartition(8)
+            assert mix(df, targets=lambda _: {"a": float(want)}, repeats=1).selectExpr("sum(taken)").first()[0] == want  # noqa: B023
+
+
 def test_flow_reroutes_overlaps():
     assert sum(route({"ab": 10, "a": 5}, {"ab": ["a", "b"], "a": ["a"]}, {"a": 5, "b": 10}, 1).values()) == 15
     flow = route({"ab": 10, "a": 5, "b": 3}, {"ab": ["a", "b"], "a": ["a"], "b": ["b"]}, {"a": 12, "b": 14}, 2)
