@@ -1,17 +1,19 @@
 """Personal data: patterns find the protected entities, corpus statistics find the terms that give them away.
 
-Addresses, cards and phone numbers that the patterns find are the protected entities.  For a term t seen within a few
-words of an entity e, ``PMI(t; e) / IC(e)`` says what share of e's information t discloses: 1 if t occurs nowhere but
+Addresses, cards and phone numbers that the patterns find are the protected entities.  For a term t in documents that
+hold an entity e, ``PMI(t; e) / IC(e)`` says what share of e's information t discloses: 1 if t occurs nowhere but
 with e.  Probabilities are shares of all documents.  Terms at or over the threshold, seen with e in enough different
-surroundings (copies of a passage count once), are spans of kind ``term`` wherever they stand near e, and the text
-replaces them as it does the entities.
+surroundings of e (copies of a passage count once), are spans of kind ``term`` wherever they stand, also in documents
+without e, and the text replaces them as it does the entities.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,8 +34,8 @@ ANY_DIGIT = re.compile(r"[0-9]")
 ENDS = ".,;:!?\"'()[]{}<>*#$%&|"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
-REACH = 5  # words on either side of an entity
-LEAST_SEEN = 3  # different surroundings in which a term stands near an entity
+REACH = 5  # words on either side of an entity that are its surroundings
+LEAST_SEEN = 3  # different surroundings of an entity in documents that hold a term
 DISCLOSES = 0.8  # share of the entity's information
 MOST_SENT = 200_000  # candidate terms that are sent to every task at most; more of them are joined
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
@@ -104,27 +106,34 @@ def term(word: str) -> str:
     return word if len(word) >= 3 else ""
 
 
-def mentions(text: str, spans: list[Span]) -> list[tuple[str, str, int, int, str]]:
-    """(entity, term, start, end, surroundings) for every term within REACH words of an entity."""
-    out = []
+def pieces(text: str, spans: list[Span]) -> Iterator[re.Match]:
+    """Words outside the spans; of a word that a span cuts, what stands outside."""
+    at = 0
+    for _, a, b in sorted(spans, key=lambda s: s[1]):
+        if at < a:
+            yield from WORD.finditer(text, at, a)
+        at = max(at, b)
+    yield from WORD.finditer(text, at)
+
+
+def mentions(text: str, spans: list[Span]) -> list[tuple[str, str]]:
+    """(entity, surroundings) for every entity: a digest of the words within REACH of it."""
+    out, taken = set(), bytearray(len(text))
+    for _, a, b in spans:
+        taken[a:b] = b"\1" * (b - a)
+    ends = [m.span() for m in WORD.finditer(text)] if spans else []
+    starts = [a for a, _ in ends]
     for kind, a, b in spans:
-        before, after = list(WORD.finditer(text, max(0, a - 400), a))[-REACH:], []
-        for m in WORD.finditer(text, b):
-            after.append(m)
-            if len(after) == REACH:
-                break
-        near = [m for m in before + after if not any(x < m.end() and m.start() < y for _, x, y in spans)]
-        around = sha256(" ".join(m[0] for m in near))[:16]
-        for m in near:
-            if t := term(m[0]):
-                start = m.end() - len(m[0].lstrip(ENDS))
-                out.append((entity(kind, text[a:b]), t, start, m.start() + len(m[0].rstrip(ENDS)), around))
-    return out
+        i = bisect_left(starts, a)
+        before = [(x, min(y, a)) for x, y in ends[max(0, i - REACH) : i]]
+        near = [text[x:y] for x, y in before + [m.span() for m in islice(WORD.finditer(text, b), REACH)] if 1 not in taken[x:y]]
+        out.add((entity(kind, text[a:b]), sha256(" ".join(near))[:16]))
+    return sorted(out)
 
 
 SCANNED = (
     "doc_id long, version long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, "
-    "near array<struct<entity:string,term:string,start:long,end:long,around:string>>"
+    "entities array<struct<entity:string,around:string>>, terms array<string>"
 )
 
 
@@ -135,64 +144,104 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             text = text if isinstance(text, str) else ""
             spans = base_spans(text)
             base, n = written(spans), Counter(k for k, _, _ in spans)
-            near = [dict(zip(("entity", "term", "start", "end", "around"), m, strict=True)) for m in mentions(text, spans)]
-            out.append((doc_id, version, *(n[k] for k in KINDS), sha256(base), base, near))
-        yield pd.DataFrame(out, columns=["doc_id", "version", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "near"])
+            own = [dict(zip(("entity", "around"), m, strict=True)) for m in mentions(text, spans)]
+            terms = sorted({term(m[0]) for m in pieces(text, spans)} - {""}) if spans else []
+            out.append((doc_id, version, *(n[k] for k in KINDS), sha256(base), base, own, terms))
+        yield pd.DataFrame(out, columns=["doc_id", "version", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "entities", "terms"])
+
 
+def _terms(text: str) -> tuple[list[Span], set[str]]:
+    """The base spans of a text, and the terms outside them."""
+    spans = base_spans(text)
+    return spans, set(map(term, {m[0] for m in pieces(text, spans)} if spans else set(WORD.findall(text)))) - {""}
 
-def _occurrences(texts: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
-    """``(term, n_docs)``: how many documents hold each wanted term."""
-    if n_wanted <= MOST_SENT:
-        terms = frozenset(r["term"] for r in wanted.toLocalIterator())
 
-        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            seen: Counter[str] = Counter()
-            for batch in batches:
-                for text in batch["text"]:
-                    if isinstance(text, str):
-                        seen.update(terms.intersection(map(term, set(text.split()))))
-            yield pd.DataFrame({"term": list(seen), "n": list(seen.values())}).astype({"term": "object", "n": "int64"})
+def _sent(wanted: DataFrame) -> frozenset[str] | None:
+    """The wanted terms, unless they are too many to send."""
+    return frozenset(r["term"] for r in wanted.toLocalIterator()) if wanted.count() <= MOST_SENT else None
 
-        counted = texts.select("text").mapInPandas(count, "term string, n long")
-        return counted.groupBy("term").agg(F.sum("n").alias("n_docs"))
 
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _occurrences(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(term, n_seen)``: how many documents hold each wanted term."""
+    terms = _sent(wanted)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: Counter[str] = Counter()
         for batch in batches:
             for text in batch["text"]:
                 if isinstance(text, str):
-                    yield pd.DataFrame({"term": sorted(set(map(term, set(text.split()))) - {""})}, dtype="object")
+                    held = _terms(text)[1]
+                    if terms is None:
+                        yield pd.DataFrame({"term": sorted(held), "n": 1}).astype({"term": "object", "n": "int64"})
+                    else:
+                        seen.update(terms & held)
+        yield pd.DataFrame({"term": list(seen), "n": list(seen.values())}).astype({"term": "object", "n": "int64"})
+
+    counted = texts.select("text").mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_seen"))
+    return counted if terms is not None else counted.join(wanted, "term", "left_semi")
+
 
-    counted = texts.select("text").mapInPandas(spread, "term string").groupBy("term").agg(F.count("*").alias("n_docs"))
-    return counted.join(wanted, "term", "left_semi")
+def _places(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(doc_id, version, start, end)``: where every document holds the wanted terms."""
+    terms, columns = _sent(wanted), ["doc_id", "version", "term", "start", "end"]
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for doc_id, text, version in zip(batch["doc_id"].array, batch["text"], batch["version"], strict=True):
+                if not isinstance(text, str):
+                    continue
+                spans, held = _terms(text)
+                if terms is not None and terms.isdisjoint(held):
+                    continue
+                for m in pieces(text, spans):
+                    if (t := term(m[0])) and (terms is None or t in terms):
+                        out.append((doc_id, version, t, m.end() - len(m[0].lstrip(ENDS)), m.start() + len(m[0].rstrip(ENDS))))
+                    if len(out) >= 10_000:
+                        yield pd.DataFrame(out, columns=columns)
+                        out = []
+            if out:
+                yield pd.DataFrame(out, columns=columns)
+
+    held = texts.mapInPandas(find, "doc_id long, version long, term string, start long, end long")
+    return (held if terms is not None else held.join(wanted, "term", "left_semi")).drop("term")
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """``(doc_id, version, n_email, n_ip, n_card, n_phone, base_sha256, spans)`` for every row of ``docs(doc_id, text)``.
 
     Null and empty texts have no spans.  Rows equal in doc_id and text share one result.  Other columns are ignored.
-    Texts are read twice at most and never shuffled; what is joined are the terms near entities.
+    Texts are read three times at most; what is shuffled are the terms of documents that hold an entity, and where the terms that may
+    disclose one stand.  Pairs go early only by bounds: an entity of too few surroundings has no term, and a term is in
+    at least as many documents as hold it together with any entity.
     """
-    texts = identified(docs)
-    found = staged(texts.mapInPandas(_scan, SCANNED).withColumn("doc_id", id_out(F.col("doc_id"))), "found")
-    near = found.filter("size(near) > 0").select("doc_id", "version", F.inline("near"))
-    kinds = near.select("entity", "term", "around").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_around")).filter(f"n_around >= {LEAST_SEEN}")
-    pairs = near.select("entity", "term", "doc_id", "version").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    pairs = staged(kinds.join(pairs, ["entity", "term"]), "pairs")
-    columns = ["doc_id", "version", *(f"n_{k}" for k in KINDS), "base_sha256"]
+    texts, doc = identified(docs), ["doc_id", "version"]
+    found = staged(texts.mapInPandas(_scan, SCANNED), "found")
+    columns = [id_out(F.col("doc_id")).alias("doc_id"), "version", *(f"n_{k}" for k in KINDS), "base_sha256"]
+    n_docs = found.count()
+    share = lambda n: F.log2(F.col("n_both") * n_docs / (F.col(n) * F.col("n_entity"))) / F.log2(n_docs / F.col("n_entity"))
+    holds = found.filter("size(entities) > 0")
+    who = holds.select(*doc, F.inline("entities")).distinct()
+    named = who.select("entity", *doc).distinct().groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") < n_docs)
+    often = who.select("entity", "around").distinct().groupBy("entity").agg(F.count("*").alias("n_around")).filter(f"n_around >= {LEAST_SEEN}")
+    own = who.join(named.join(often, "entity"), "entity").groupBy(*doc).agg(F.collect_list(F.struct("entity", "n_entity", "around")).alias("own"))
+    near = staged(own.join(holds.groupBy(*doc).agg(F.first("terms").alias("terms")), doc), "near")
+    pairs = near.select(F.inline(F.array_distinct(F.transform("own", lambda x: F.struct(x["entity"].alias("entity"), x["n_entity"].alias("n_entity"))))), "terms")
+    pairs = pairs.select("entity", "n_entity", F.explode("terms").alias("term")).groupBy("entity", "n_entity", "term").agg(F.count("*").alias("n_both"))
+    least = near.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_least"))
+    pairs = staged(pairs.join(least, "term").filter(share("n_least") >= DISCLOSES).drop("n_least"), "bounded")
+    kinds = near.select(F.inline("own"), "terms").select("entity", "around", F.explode("terms").alias("term")).join(pairs, ["entity", "term"], "left_semi").distinct()
+    kinds = kinds.groupBy("entity", "term").agg(F.count("*").alias("n_around")).filter(f"n_around >= {LEAST_SEEN}")
+    pairs = staged(pairs.join(kinds, ["entity", "term"], "left_semi"), "pairs")
     wanted = staged(pairs.select("term").distinct(), "wanted")
-    n_wanted = wanted.count()
-    if not n_wanted:
+    if wanted.isEmpty():
         return found.select(*columns, F.col("base").alias("spans"))
-    n_docs = found.count()
-    named = near.select("entity", "doc_id", "version").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    known = pairs.join(_occurrences(texts, wanted, n_wanted), "term").join(named, "entity")
-    ratio = F.log2(F.col("n_both") * n_docs / (F.col("n_docs") * F.col("n_entity"))) / F.log2(n_docs / F.col("n_entity"))
-    telling = staged(known.filter(F.col("n_entity") < n_docs).filter(ratio >= DISCLOSES).select("entity", "term"), "telling")
-    more = near.join(telling, ["entity", "term"]).select("doc_id", "version", "start", "end").distinct()
-    more = more.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
+    seen = _occurrences(texts, wanted)
+    telling = staged(pairs.join(seen, "term").filter(share("n_seen") >= DISCLOSES).select("term").distinct(), "telling")
+    more = _places(texts, telling).groupBy(*doc).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
     more = staged(more.withColumnsRenamed({"doc_id": "t_id", "version": "t_version"}), "more")
     added = F.array_join(F.transform("terms", lambda x: F.concat(F.lit("term:"), x["start"].cast("string"), F.lit(":"), x["end"].cast("string"))), ",")
-    out = found.drop("near").join(more, F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("version") == F.col("t_version")), "left")
+    out = found.drop("entities", "terms").join(more, (F.col("doc_id") == F.col("t_id")) & F.col("version").eqNullSafe(F.col("t_version")), "left")
     return out.select(*columns, F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), added).alias("spans"))
 
 
