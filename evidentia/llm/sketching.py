@@ -10,11 +10,13 @@ coordinates is concentrated as in ``t`` independent draws.
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 import numpy as np
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-_S33, _S32 = np.uint64(33), np.uint64(32)
-_LOW = np.uint64(0xFFFFFFFF)
+_S33 = np.uint64(33)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -24,53 +26,43 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S33)
 
 
-_TABLE = mix64(np.arange(1, 257, dtype=np.uint64))
-_BASE, _STEPS = np.uint64(0x9E3779B97F4A7C15), np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+CHUNK = 1 << 22  # bytes of a text that are split into words at once
 
-def _powers(base: int, n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)]), dtype=np.uint64)
 
+class WordHasher(dict):
+    """64 bits of a keyed digest (BLAKE2b) for each word of a text; those of the last ``most`` words are kept."""
 
-class WordHasher:
-    """64-bit hashes of the words of a text, from prefix sums of its bytes (no loop over words).
+    def __init__(self, most: int = 500_000):
+        self.most = most
 
-    The sum of ``table[byte] * base**position`` over a word, divided by ``base**start``, depends on the word alone.
-    """
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        found = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return found
 
-    def __init__(self):
-        self.up = self.down = np.empty(0, np.uint64)
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.uint64)
-        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-        if len(raw) > len(self.up):
-            n = max(4096, 2 * len(raw))
-            self.up, self.down = _powers(int(_BASE), n), _powers(pow(int(_BASE), -1, 1 << 64), n)
-        solid = ~_SPACE[raw]
-        edge = np.flatnonzero(np.diff(solid, prepend=False, append=False))
-        start, end = edge[::2], edge[1::2]
-        if not len(start):
-            return np.empty(0, np.uint64)
-        with np.errstate(over="ignore"):
-            sums = np.cumsum(_TABLE[_LOWER[raw]] * self.up[: len(raw)], dtype=np.uint64)
-            before = np.where(start > 0, sums[start - 1], np.uint64(0))
-            return mix64((sums[end - 1] - before) * self.down[start] + (end - start).astype(np.uint64))
+    def of(self, text: str | None) -> np.ndarray:
+        """One hash for each word: runs of bytes other than ASCII white space, with A-Z lowered."""
+        raw, at, out = (text or "").encode("utf-8", "surrogatepass").lower(), 0, []
+        while at < len(raw):
+            cut = _SPACE.search(raw, at + CHUNK) if at + CHUNK < len(raw) else None
+            end = cut.start() if cut else len(raw)
+            words = raw[at:end].split()
+            out.append(np.fromiter(map(self.__getitem__, words), np.uint64, len(words)))
+            at = end
+        return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
 def shingle_set(text: str | None, k: int, hasher: WordHasher) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's k-word shingles.
 
-    Words are runs of bytes other than ASCII white space, with A-Z lowered.  A text of fewer than k words has its
-    whole word sequence as one shingle; no text, or none but white space, gives the empty set.
+    A text of fewer than k words has its whole word sequence as one shingle; no text, or none but white space, gives the
+    empty set.  Two shingles of which only one word differs never share a hash (each step is a bijection); others do with
+    a probability of 2**-64, so comparing two sets of n errs with about n * n * 2**-64.
     """
-    h = hasher(text)
+    h = hasher.of(text)
     if not len(h):
         return h
     width = min(k, len(h))
@@ -78,8 +70,8 @@ def shingle_set(text: str | None, k: int, hasher: WordHasher) -> np.ndarray:
     with np.errstate(over="ignore"):
         s = np.full(n, np.uint64(width))
         for j in range(width):
-            s += h[j : j + n] * (_STEPS[j % 5] + np.uint64(2 * (j // 5)))
-        s = np.sort(mix64(s))
+            s = mix64(s * _STEP + h[j : j + n])
+    s.sort()
     return s[np.diff(s, prepend=~s[:1]) != 0]
 
 

@@ -12,12 +12,12 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 
-from evidentia.llm import ann, html_extract, pii, secrets
+from evidentia.llm import ann, html_extract, pii, secrets, sketching
 from evidentia.llm.bpe import EncodedText, Encoder, PrefixTable, encode_documents, load_ranks
 from evidentia.llm.html_blocks import blocks
 from evidentia.llm.block_labels import DIM, Labeller, features, padded
 from evidentia.llm.mixing import capped_shares, mix, mixed_documents, route
-from evidentia.llm.near_dup import near_duplicates
+from evidentia.llm.near_dup import distinct_documents, near_duplicates
 from evidentia.llm.sketching import WordHasher, shingle_set, sketch
 
 RANKS = load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
@@ -58,6 +58,48 @@ def test_near_duplicates_edges(edges, nothing):
     assert near_duplicates(nothing).count() == 0
 
 
+def test_near_duplicates_boilerplate(spark):
+    """Texts alike in their boilerplate alone meet in many buckets; pairs and chains among them are found all the same."""
+    r = random.Random(8)
+    boiler = [f"b{i}" for i in range(60)]
+    own = lambda n: [f"o{r.randrange(10**9)}" for _ in range(n)]
+    texts = [boiler + own(45) for _ in range(150)]
+    texts += [t[:-3] + own(3) for t in texts[:40]]
+    texts += [t[:-6] + own(6) for t in texts[150:170]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    want = brute.components(dict(rows), 4)
+    got = {x["doc_id"]: x["component_id"] for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()}
+    assert got == want and len(set(want.values())) == 150
+
+
+def test_near_duplicates_shared_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    df = spark.createDataFrame([(3, a), (5, a), (5, b), (7, b), (7, ""), (9, c), (9, ""), (11, "")], "doc_id long, text string")
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(df, k=4).collect()}
+    assert got == {(3, 37, 3, True), (5, 37, 3, False), (7, 37, 3, False), (7, 0, 3, False), (9, 37, 9, True), (9, 0, 9, True), (11, 0, 11, True)}
+
+
+def test_distinct_documents(spark):
+    """Every row is a document: no text is lost through a doc_id that another text has too."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (7, b), (None, b), (None, c), (None, c), (9, ""), (9, ""), (10, None)]
+    got = sorted(((r["doc_id"], r["text"]) for r in distinct_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()), key=str)
+    assert got == sorted([(3, a), (5, b), (None, c), (9, ""), (9, ""), (10, None)], key=str)
+
+
+def test_word_hashes_are_sound(spark):
+    """Two long words that every polynomial modulo a power of two confuses; texts split in chunks hash as whole ones."""
+    t = "a"
+    while len(t) < 2048:
+        t += t.translate(str.maketrans("ab", "ba"))
+    rows = [(1, t), (2, t.translate(str.maketrans("ab", "ba")))]
+    assert {r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()} == {1, 2}
+    text = " ".join(f"wörd{i} X{i % 7}" for i in range(3000))
+    whole, sketching.CHUNK = WordHasher().of(text), 1000
+    parts, sketching.CHUNK = WordHasher(most=50).of(text), 1 << 22
+    assert (whole == parts).all() and len(whole) == 6000
+
+
 def test_sketch_fills_and_estimates():
     h, r = WordHasher(), random.Random(1)
     a, b = [f"a{i}" for i in range(400)], [f"b{i}" for i in range(100)]
