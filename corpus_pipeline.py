@@ -14,7 +14,7 @@ from evidentia.llm.bpe import encode_documents
 from evidentia.llm.common import fenced, staged, table
 from evidentia.llm.line_dedup import dedup_lines
 from evidentia.llm.mixing import mixed_documents
-from evidentia.llm.near_dup import near_duplicates
+from evidentia.llm.near_dup import distinct_documents
 from evidentia.llm.quality import judged, ledger
 
 
@@ -32,11 +32,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, 0.8); rows that share a doc_id are one document."""
-    kept = staged(near_duplicates(docs, k=5, num=80, den=100).filter("kept and doc_id is not null").select("doc_id").distinct(), "kept")
-    named = docs.join(kept.hint("merge"), "doc_id", "left_semi").withColumn("text_hash", F.xxhash64("text"))
-    first = named.selectExpr("*", "row_number() over (partition by doc_id order by text_hash) as nth").filter("nth = 1")
-    return first.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    """One row of each group of near-duplicate texts (five-word shingles, 0.8)."""
+    return distinct_documents(docs, k=5, num=80, den=100)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
