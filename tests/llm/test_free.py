@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 import brute
 import numpy as np
@@ -360,8 +361,45 @@ def test_secret_base(docs):
         ("the secret: nothing here at all", []),
         ('name = "aX9f83kdk29dkQ"', []),
         ('password = "changeme"', []),
+        ('password = """aX9f83kd\nk29dkQz1"""', []),
+        ('password = """aX9f83kdk29dkQ"""', ["aX9f83kdk29dkQ"]),
+        ("<db><password>aX9f83kdk29dkQ</password></db>", ["aX9f83kdk29dkQ"]),
+        ('<add key="DbPassword" value="aX9f83kdk29dkQ"/>', ["aX9f83kdk29dkQ"]),
+        ("<key>api_token</key>\n<string>aX9f83kdk29dkQ</string>", ["aX9f83kdk29dkQ"]),
+        ("db:\n  password: |\n    aX9f83kdk29dkQ\n  user: me", ["aX9f83kdk29dkQ"]),
+        ("tokens:\n  - aX9f83kdk29dkQ\n  - bX9f83kdk29dkR\nnames:\n  - cX9f83kdk29dkS", ["aX9f83kdk29dkQ", "bX9f83kdk29dkR"]),
+        ('#define DB_PASSWORD "aX9f83kdk29dkQ"', ["aX9f83kdk29dkQ"]),
+        ('passwords = ["aX9f83kdk29dkQ", "bX9f83kdk29dkR"]', ["aX9f83kdk29dkQ", "bX9f83kdk29dkR"]),
+        ('client.set("auth_token", "aX9f83kdk29dkQ")', ["aX9f83kdk29dkQ"]),
+        ('connect(host="h", password="aX9f83kdk29dkQ")', ["aX9f83kdk29dkQ"]),
+        ('secret = "aX9f83k" + \\\n  "dk29dkQ"', ["aX9f83k", "dk29dkQ"]),
+        ('secret = ("aX9f83k"\n          "dk29dkQ")', ["aX9f83k", "dk29dkQ"]),
+        ('password = K\nK = "aX9f83kdk29dkQ"', ["aX9f83kdk29dkQ"]),
+        ('def f():\n    k = "aX9f83kdk29dkQ"\ndef g():\n    password = k', []),
+        ('void f() { k = "aX9f83kdk29dkQ"; } void g() { password = k; }', []),
+        ('k = "aX9f83kdk29dkQ"\nk = other(1)\nj = k\npassword = j', ["aX9f83kdk29dkQ"]),
+        ('a = "aX9f83k"\nb = a + "dk29dkQ"\ndb_password = b', ["aX9f83k", "dk29dkQ"]),
+        ("password = get_password()\ntoken = config.token_value\nsecret = load_secret", []),
+        ('# it\'s old: password = "aX9f83kdk29dkQ"\nx = 1', ["aX9f83kdk29dkQ"]),
+        ("// don't\npassword = 'aX9f83kdk29dkQ' // isn't", ["aX9f83kdk29dkQ"]),
+        ('cfg["' + "x" * 69 + '_password"] = "aX9f83kdk29dkQ"', ["aX9f83kdk29dkQ"]),
+        ("a.b.c.d.e.f.g.h.i.j.password = 'aX9f83kdk29dkQ'", ["aX9f83kdk29dkQ"]),
+        ('var password string = "aX9f83kdk29dkQ"', ["aX9f83kdk29dkQ"]),
+        ("password: Dict[str, Tuple[int, Optional[SomethingLonger], Any]] = 'aX9f83kdk29dkQ'", ["aX9f83kdk29dkQ"]),
+        ('{"passwords": {"prod": "aX9f83kdk29dkQ"}, "prod": "bX9f83kdk29dkR"}', ["aX9f83kdk29dkQ"]),
+        ("mysql --user me --password aX9f83kdk29dkQ db", ["aX9f83kdk29dkQ"]),
+        ("ENV API_TOKEN aX9f83kdk29dkQ", ["aX9f83kdk29dkQ"]),
+        ("The author's key idea: it's a pass, don't 'token' me = so.", []),
     ],
 )
 def test_secret_literals(text, want):
     assert [text[a:b] for _, a, b in secrets.literal_spans(text)] == want
     assert all(w not in secrets.redacted(text) for w in want)
+
+
+def test_secret_lexer_is_linear():
+    """Odd quotes, open comments and deep brackets neither fail nor take long."""
+    for part in ('password = "', "token: '", "/* secret ", "<password>", "((((", "{[{[", 'k = k + "a"\npassword = k\n', "a:b:", '"""', "<!-- key=", "password = [\n"):
+        began = time.perf_counter()
+        secrets.literal_spans(part * 20_000 + "password")
+        assert time.perf_counter() - began < 20, part
