@@ -1,22 +1,30 @@
 """Personal data: patterns find the protected entities, corpus statistics find the terms that give them away.
 
-Addresses, cards and phone numbers that the patterns find are the protected entities.  For a term t in documents that
-hold an entity e, ``PMI(t; e) / IC(e)`` says what share of e's information t discloses: 1 if t occurs nowhere but
-with e.  Probabilities are shares of all documents.  Terms at or over the threshold, seen with e in enough different
-surroundings of e (copies of a passage count once), are spans of kind ``term`` wherever they stand, also in documents
-without e, and the text replaces them as it does the entities.
+Addresses, cards and phone numbers that the patterns find are the protected entities.  What a term t discloses of an entity e is
+``PMI(t; e) / IC(e) = log2(P(e | t) / P(e)) / log2(1 / P(e))``, 1 if t occurs nowhere but with e; what it leaves open is
+``-log2 P(e | t)`` bits.  P(e) is e's share of all documents.  P(e | t) is not the plain ratio of counts but the lower end of its
+Wilson interval, so that few observations prove little:
+
+* documents that hold t are observations of whether e is in them; copies (the same words around each mention of e) count once;
+* standing within REACH words of e is one more observation for each such passage.
+
+So a rare word right beside an entity, or one that comes back with it in different passages, discloses it, and a rare word elsewhere
+in the one document that names it doesn't.  Terms over both thresholds are spans of kind ``term`` wherever they stand, also in
+documents without e, and the text replaces them as it does the entities.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm.common import id_in, id_out, staged
@@ -35,9 +43,10 @@ ENDS = ".,;:!?\"'()[]{}<>*#$%&|"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 REACH = 5  # words on either side of an entity that are its surroundings
-LEAST_SEEN = 3  # different surroundings of an entity in documents that hold a term
-DISCLOSES = 0.8  # share of the entity's information
-MOST_SENT = 200_000  # candidate terms that are sent to every task at most; more of them are joined
+DISCLOSES = 0.8  # least share of the entity's information that a telling term discloses
+LEAVES = 1.0  # most bits that it leaves open
+Z = 1.28  # of the Wilson interval: nine in ten true ratios are above its lower end
+BITS = 26  # of the digests in the map of wanted terms, which has 2^26 bits = 8 MB whatever their number
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
 
 
@@ -116,9 +125,9 @@ def pieces(text: str, spans: list[Span]) -> Iterator[re.Match]:
     yield from WORD.finditer(text, at)
 
 
-def mentions(text: str, spans: list[Span]) -> list[tuple[str, str]]:
-    """(entity, surroundings) for every entity: a digest of the words within REACH of it."""
-    out, taken = set(), bytearray(len(text))
+def mentions(text: str, spans: list[Span]) -> list[tuple[str, str, list[str]]]:
+    """(entity, digest of the words within REACH of it, their terms) for every entity."""
+    out, taken = {}, bytearray(len(text))
     for _, a, b in spans:
         taken[a:b] = b"\1" * (b - a)
     ends = [m.span() for m in WORD.finditer(text)] if spans else []
@@ -127,13 +136,13 @@ def mentions(text: str, spans: list[Span]) -> list[tuple[str, str]]:
         i = bisect_left(starts, a)
         before = [(x, min(y, a)) for x, y in ends[max(0, i - REACH) : i]]
         near = [text[x:y] for x, y in before + [m.span() for m in islice(WORD.finditer(text, b), REACH)] if 1 not in taken[x:y]]
-        out.add((entity(kind, text[a:b]), sha256(" ".join(near))[:16]))
-    return sorted(out)
+        out[entity(kind, text[a:b]), sha256(" ".join(near))[:16]] = sorted({term(w) for w in near} - {""})
+    return [(e, around, near) for (e, around), near in sorted(out.items())]
 
 
 SCANNED = (
     "doc_id long, version long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, "
-    "entities array<struct<entity:string,around:string>>, terms array<string>"
+    "entities array<struct<entity:string,around:string,near:array<string>>>, terms array<string>"
 )
 
 
@@ -144,7 +153,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             text = text if isinstance(text, str) else ""
             spans = base_spans(text)
             base, n = written(spans), Counter(k for k, _, _ in spans)
-            own = [dict(zip(("entity", "around"), m, strict=True)) for m in mentions(text, spans)]
+            own = [dict(zip(("entity", "around", "near"), m, strict=True)) for m in mentions(text, spans)]
             terms = sorted({term(m[0]) for m in pieces(text, spans)} - {""}) if spans else []
             out.append((doc_id, version, *(n[k] for k in KINDS), sha256(base), base, own, terms))
         yield pd.DataFrame(out, columns=["doc_id", "version", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "entities", "terms"])
@@ -156,46 +165,57 @@ def _terms(text: str) -> tuple[list[Span], set[str]]:
     return spans, set(map(term, {m[0] for m in pieces(text, spans)} if spans else set(WORD.findall(text)))) - {""}
 
 
-def _sent(wanted: DataFrame) -> frozenset[str] | None:
-    """The wanted terms, unless they are too many to send."""
-    return frozenset(r["term"] for r in wanted.toLocalIterator()) if wanted.count() <= MOST_SENT else None
+def _marked(terms: DataFrame) -> bytes:
+    """A map of 2^BITS bits with those of the terms' digests set: what isn't marked is not among the terms."""
+    at = (F.crc32("term").bitwiseAND(F.lit((1 << BITS) - 1)) + 1).alias("at")  # buckets of 2^15 begin with the number 1
+    made = terms.select(at).groupBy(F.call_function("bitmap_bucket_number", F.col("at")).alias("bucket"))
+    made = made.agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", F.col("at"))).alias("bits"))
+    out = bytearray(1 << (BITS - 3))
+    for r in made.collect():  # 2^(BITS - 15) rows of 4 KB at most
+        out[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = r["bits"]
+    return bytes(out)
+
+
+def _has(bits: bytes, found: str) -> bool:
+    at = zlib.crc32(found.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
+    return bool(bits[at >> 3] >> (at & 7) & 1)
 
 
 def _occurrences(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """``(term, n_seen)``: how many documents hold each wanted term."""
-    terms = _sent(wanted)
+    marked = texts.sparkSession.sparkContext.broadcast(_marked(wanted))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter[str] = Counter()
+        bits, seen = marked.value, Counter()
+        flush = lambda: pd.DataFrame({"term": list(seen), "n": list(seen.values())}).astype({"term": "object", "n": "int64"})
         for batch in batches:
             for text in batch["text"]:
                 if isinstance(text, str):
-                    held = _terms(text)[1]
-                    if terms is None:
-                        yield pd.DataFrame({"term": sorted(held), "n": 1}).astype({"term": "object", "n": "int64"})
-                    else:
-                        seen.update(terms & held)
-        yield pd.DataFrame({"term": list(seen), "n": list(seen.values())}).astype({"term": "object", "n": "int64"})
+                    seen.update(t for t in _terms(text)[1] if _has(bits, t))
+                    if len(seen) > 100_000:
+                        yield flush()
+                        seen.clear()
+        yield flush()
 
     counted = texts.select("text").mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_seen"))
-    return counted if terms is not None else counted.join(wanted, "term", "left_semi")
+    return counted.join(wanted, "term", "left_semi")
 
 
 def _places(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """``(doc_id, version, start, end)``: where every document holds the wanted terms."""
-    terms, columns = _sent(wanted), ["doc_id", "version", "term", "start", "end"]
+    marked, columns = texts.sparkSession.sparkContext.broadcast(_marked(wanted)), ["doc_id", "version", "term", "start", "end"]
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = marked.value
         for batch in batches:
             out = []
             for doc_id, text, version in zip(batch["doc_id"].array, batch["text"], batch["version"], strict=True):
                 if not isinstance(text, str):
                     continue
                 spans, held = _terms(text)
-                if terms is not None and terms.isdisjoint(held):
-                    continue
-                for m in pieces(text, spans):
-                    if (t := term(m[0])) and (terms is None or t in terms):
+                held = {t for t in held if _has(bits, t)}
+                for m in pieces(text, spans) if held else ():
+                    if (t := term(m[0])) in held:
                         out.append((doc_id, version, t, m.end() - len(m[0].lstrip(ENDS)), m.start() + len(m[0].rstrip(ENDS))))
                     if len(out) >= 10_000:
                         yield pd.DataFrame(out, columns=columns)
@@ -204,44 +224,62 @@ def _places(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pd.DataFrame(out, columns=columns)
 
     held = texts.mapInPandas(find, "doc_id long, version long, term string, start long, end long")
-    return (held if terms is not None else held.join(wanted, "term", "left_semi")).drop("term")
+    return held.join(wanted, "term", "left_semi").drop("term")
+
+
+def disclosed(n_docs: int, n_entity: Column, n_seen: Column, n_both: Column, n_around: Column, n_near: Column) -> tuple[Column, Column]:
+    """The share of the entity's information that a term discloses, and the bits that it leaves open."""
+    n = n_seen * n_around / n_both + n_near
+    p = (n_around + n_near) / n
+    low = (p + Z * Z / (2 * n) - Z * F.sqrt(p * (1 - p) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
+    return F.log2(low * n_docs / n_entity) / F.log2(F.lit(n_docs) / n_entity), -F.log2(low)
+
+
+def telling_terms(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """``(entity, term, n_entity, n_seen, n_both, n_around, n_near, share, open)``: the pairs over the thresholds."""
+    n_docs, doc = found.count(), ["doc_id", "version"]
+    holds = found.filter("size(entities) > 0").dropDuplicates(doc)  # rows equal in doc_id and text are one document
+    holds = staged(holds.select(*doc, "entities", "terms"), "holds")
+    who = holds.select(*doc, F.inline("entities"), "terms")
+    near = who.select("entity", "around", F.explode("near").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_near"))
+    passages = F.xxhash64(F.sort_array(F.collect_set("around"))).alias("passages")
+    each = staged(who.groupBy(*doc, "entity").agg(passages, F.collect_set("near").alias("near"), F.first("terms").alias("terms")), "each")
+    known = each.groupBy("entity").agg(F.count("*").alias("n_entity"), F.count_distinct("passages").alias("n_all")).filter(F.col("n_entity") < n_docs)
+    # beside an entity of one passage only what stands near it can disclose it; entities of several count in whole documents
+    own = F.array_distinct(F.when(F.col("n_all") > 1, F.col("terms")).otherwise(F.flatten("near")))
+    each = staged(each.join(known, "entity").select("entity", "n_entity", "passages", own.alias("terms")), "counted")
+    both = each.select("entity", "n_entity", F.explode("terms").alias("term")).groupBy("entity", "n_entity", "term").agg(F.count("*").alias("n_both"))
+    least = holds.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_least"))
+    pairs = both.join(near, ["entity", "term"], "left").join(least, "term").withColumn("n_near", F.coalesce("n_near", F.lit(0)))
+
+    def over(df: DataFrame, n_seen: str, n_around: str) -> DataFrame:
+        share, open_ = disclosed(n_docs, *[F.col(c) for c in ("n_entity", n_seen, "n_both", n_around, "n_near")])
+        return df.withColumns({"share": share, "open": open_}).filter((F.col("share") >= DISCLOSES) & (F.col("open") <= LEAVES))
+
+    # bounds: at least as many documents hold a term as do so with any entity, and each is one passage at most
+    pairs = staged(over(pairs, "n_least", "n_both").drop("n_least"), "bounded")
+    held = each.select("entity", F.explode("terms").alias("term"), "passages").join(pairs.select("entity", "term"), ["entity", "term"], "left_semi")
+    held = held.distinct().groupBy("entity", "term").agg(F.count("*").alias("n_around"))
+    pairs = staged(over(pairs.join(held, ["entity", "term"]), "n_both", "n_around"), "pairs")
+    seen = _occurrences(texts, staged(pairs.select("term").distinct(), "wanted"))
+    return staged(over(pairs.join(seen, "term"), "n_seen", "n_around"), "telling")
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """``(doc_id, version, n_email, n_ip, n_card, n_phone, base_sha256, spans)`` for every row of ``docs(doc_id, text)``.
 
     Null and empty texts have no spans.  Rows equal in doc_id and text share one result.  Other columns are ignored.
-    Texts are read three times at most; what is shuffled are the terms of documents that hold an entity, and where the terms that may
-    disclose one stand.  Pairs go early only by bounds: an entity of too few surroundings has no term, and a term is in
-    at least as many documents as hold it together with any entity.
+    Texts are read three times; what is shuffled are terms beside entities, all terms of documents with an entity of several
+    passages, counts of terms that may disclose one, and where those that do stand.
     """
     texts, doc = identified(docs), ["doc_id", "version"]
     found = staged(texts.mapInPandas(_scan, SCANNED), "found")
-    columns = [id_out(F.col("doc_id")).alias("doc_id"), "version", *(f"n_{k}" for k in KINDS), "base_sha256"]
-    n_docs = found.count()
-    share = lambda n: F.log2(F.col("n_both") * n_docs / (F.col(n) * F.col("n_entity"))) / F.log2(n_docs / F.col("n_entity"))
-    holds = found.filter("size(entities) > 0")
-    who = holds.select(*doc, F.inline("entities")).distinct()
-    named = who.select("entity", *doc).distinct().groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") < n_docs)
-    often = who.select("entity", "around").distinct().groupBy("entity").agg(F.count("*").alias("n_around")).filter(f"n_around >= {LEAST_SEEN}")
-    own = who.join(named.join(often, "entity"), "entity").groupBy(*doc).agg(F.collect_list(F.struct("entity", "n_entity", "around")).alias("own"))
-    near = staged(own.join(holds.groupBy(*doc).agg(F.first("terms").alias("terms")), doc), "near")
-    pairs = near.select(F.inline(F.array_distinct(F.transform("own", lambda x: F.struct(x["entity"].alias("entity"), x["n_entity"].alias("n_entity"))))), "terms")
-    pairs = pairs.select("entity", "n_entity", F.explode("terms").alias("term")).groupBy("entity", "n_entity", "term").agg(F.count("*").alias("n_both"))
-    least = near.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_least"))
-    pairs = staged(pairs.join(least, "term").filter(share("n_least") >= DISCLOSES).drop("n_least"), "bounded")
-    kinds = near.select(F.inline("own"), "terms").select("entity", "around", F.explode("terms").alias("term")).join(pairs, ["entity", "term"], "left_semi").distinct()
-    kinds = kinds.groupBy("entity", "term").agg(F.count("*").alias("n_around")).filter(f"n_around >= {LEAST_SEEN}")
-    pairs = staged(pairs.join(kinds, ["entity", "term"], "left_semi"), "pairs")
-    wanted = staged(pairs.select("term").distinct(), "wanted")
-    if wanted.isEmpty():
-        return found.select(*columns, F.col("base").alias("spans"))
-    seen = _occurrences(texts, wanted)
-    telling = staged(pairs.join(seen, "term").filter(share("n_seen") >= DISCLOSES).select("term").distinct(), "telling")
+    telling = staged(telling_terms(texts, found).select("term").distinct(), "terms")
     more = _places(texts, telling).groupBy(*doc).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
     more = staged(more.withColumnsRenamed({"doc_id": "t_id", "version": "t_version"}), "more")
     added = F.array_join(F.transform("terms", lambda x: F.concat(F.lit("term:"), x["start"].cast("string"), F.lit(":"), x["end"].cast("string"))), ",")
     out = found.drop("entities", "terms").join(more, (F.col("doc_id") == F.col("t_id")) & F.col("version").eqNullSafe(F.col("t_version")), "left")
+    columns = [id_out(F.col("doc_id")).alias("doc_id"), "version", *(f"n_{k}" for k in KINDS), "base_sha256"]
     return out.select(*columns, F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), added).alias("spans"))
 
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import time
+from collections import Counter, defaultdict
 
 import brute
 import numpy as np
@@ -17,8 +19,10 @@ from evidentia.llm import ann, html_extract, pii, secrets, sketching
 from evidentia.llm.bpe import EncodedText, Encoder, PrefixTable, encode_documents, load_ranks
 from evidentia.llm.html_blocks import blocks
 from evidentia.llm.block_labels import DIM, Labeller, features, padded
+from evidentia.llm.common import staged
 from evidentia.llm.mixing import capped_shares, mix, mixed_documents, route
 from evidentia.llm.near_dup import distinct_documents, near_duplicates
+from evidentia.llm.spans import identified
 from evidentia.llm.sketching import WordHasher, shingle_set, sketch
 
 RANKS = load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
@@ -330,6 +334,40 @@ def test_pii_terms_anywhere(spark):
     assert not any("Bartleby" in t or "Scrivener" in t for t in clean.values())
 
 
+def test_pii_terms_are_those_of_plain_counts(spark):
+    """Terms on the table, and their measures, are those of counting in plain Python."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows, n_docs = [(r["doc_id"], r["text"] or "") for r in docs.collect()], docs.count()
+    spans = {i: pii.base_spans(t) for i, t in rows}
+    terms = {i: {pii.term(m[0]) for m in pii.pieces(t, spans[i])} - {""} for i, t in rows}
+    seen, holds, around, near = Counter(x for own in terms.values() for x in own), defaultdict(set), defaultdict(set), defaultdict(set)
+    for i, t in rows:
+        for e, a, own in pii.mentions(t, spans[i]):
+            holds[e].add(i)
+            around[e, i].add(a)
+            for x in own:
+                near[e, x].add(a)
+    want = {}
+    for e, own in holds.items():
+        for x in {x for i in own for x in terms[i]}:
+            both = [i for i in own if x in terms[i]]
+            n_around, n_near = len({frozenset(around[e, i]) for i in both}), len(near[e, x])
+            n = seen[x] * n_around / len(both) + n_near
+            p, z = (n_around + n_near) / n, pii.Z
+            low = (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+            if math.log2(low * n_docs / len(own)) / math.log2(n_docs / len(own)) >= pii.DISCLOSES and -math.log2(low) <= pii.LEAVES:
+                want[e, x] = (seen[x], len(both), n_around, n_near)
+    texts = identified(docs)
+    found = staged(texts.mapInPandas(pii._scan, pii.SCANNED), "found")
+    got = {(r["entity"], r["term"]): (r["n_seen"], r["n_both"], r["n_around"], r["n_near"]) for r in pii.telling_terms(texts, found).collect()}
+    assert got == want and len(want) > 20
+    marked = {r["doc_id"]: r["spans"] for r in pii.scan(docs).collect()}
+    telling = {x for _, x in want}
+    for i, t in rows:
+        words = {(m.end() - len(m[0].lstrip(pii.ENDS)), m.start() + len(m[0].rstrip(pii.ENDS))) for m in pii.pieces(t, spans[i]) if pii.term(m[0]) in telling}
+        assert {(int(a), int(b)) for k, a, b in (x.split(":") for x in marked[i].split(",") if x) if k == "term"} == words
+
+
 def test_pii_and_secrets_edges(edges, nothing):
     for scan in (pii.scan, secrets.scan):
         got = scan(edges).collect()
