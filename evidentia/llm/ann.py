@@ -6,9 +6,12 @@ length and the inner product of the coded and the true direction.  From these, `
 within an error of ``|q| |r| sqrt((1 - a*a) / (a*a)) * Z / sqrt(D - 1)`` save for a share of cases that falls off as
 a normal tail does in Z.
 
-A search first visits the cells nearest to the query, then every other cell that could still hold a better vector by
-the same kind of bound.  In a cell, vectors whose upper bound reaches the k-th best lower bound are scored exactly.
-Cells are dealt out in blocks of BLOCK vectors by BLOCK queries, so no task grows with a cell or a frequent vector.
+A search first visits the cells nearest to the query, then those others that could still hold a better vector.  What a cell's
+residuals can add to ``<q, centre>`` is bounded surely along the AXES directions in which residuals of the sample vary most, by the
+cell's largest projections on them; across them the query is taken to be as good as random to the residuals, up to Z_CELL deviations.
+That last part is no sure bound: recall is measured, not proven.  In a cell, vectors whose upper bound reaches the k-th best lower
+bound are scored exactly.  Cells are dealt out in blocks of BLOCK vectors by BLOCK queries, so no task grows with a cell or a
+frequent vector; to which cell a query goes is kept as a pair of numbers, and its vector joins it only on the way to the block.
 """
 
 from __future__ import annotations
@@ -26,7 +29,9 @@ BLOCK = 2048
 MOST_CELLS = 4096
 SAMPLE = 20_000  # vectors that the centroids are fitted on, at most
 FIRST_CELLS = 6
+RESULT = "query_id long, rank int, vec_id long, score double"
 Z_CODE, Z_CELL = 3.0, 3.0
+AXES = 16
 
 
 def rotation(dim: int, seed: int) -> np.ndarray:
@@ -71,19 +76,16 @@ def estimate(q: np.ndarray, centre: np.ndarray, bits: np.ndarray, length: np.nda
     return (q @ centre)[:, None] + length * along, norm[:, None] * (off + 1e-6 * (length + np.sqrt((centre * centre).sum())))
 
 
-def _valid(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows whose vector is there, finite and not zero, as float64 bytes."""
+def axes(sample: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The directions (as columns) in which what is left of the sample varies most."""
+    rest = sample - centres[nearest(sample, centres)]
+    return np.linalg.eigh(rest.T @ rest)[1][:, ::-1][:, : min(AXES, sample.shape[1])]
+
+
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Vectors as float64 bytes."""
     for batch in batches:
-        ids, dims, data = [], [], []
-        for i, v in zip(batch["vec_id"].array, batch["v"], strict=True):
-            if v is None or len(v) == 0:
-                continue
-            x = np.array([np.nan if y is None else y for y in v], np.float64)
-            if np.isfinite(x).all() and x.any():
-                ids.append(i)
-                dims.append(len(x))
-                data.append(x.tobytes())
-        yield pd.DataFrame({"vec_id": pd.array(ids, "Int64"), "dim": pd.array(dims, "int64"), "x": pd.Series(data, dtype="object")})
+        yield batch[["vec_id", "row", "dim"]].assign(x=[np.asarray(v, np.float64).tobytes() for v in batch["v"]])
 
 
 def _stack(x: pd.Series) -> np.ndarray:
@@ -96,24 +98,32 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 
 def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 11) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row for which ``is_query`` (a condition over the id) holds, its k
-    nearest others by inner product in double precision, ties to the smaller id.
+    nearest other rows by inner product in double precision, ties to the smaller id.
 
-    Rows without id, and vectors null, empty, zero or holding a null or a value that isn't finite take no part, nor do
-    vectors of another length than most have.  Rows that share an id are different vectors of one name, and a query
-    leaves out all of its own name.  With fewer than k others, all are returned; an empty table gives an empty result.
+    Rows without id, and vectors null, empty, zero or holding a null or a value that isn't finite take no part.  Vectors are
+    compared with those of their own length.  Rows that share an id are different vectors of one name: each is a query of
+    its own, and a neighbour of the others.  With fewer than k others, all are returned; an empty table gives an empty result.
     """
-    spark = vectors.sparkSession
-    result = "query_id long, rank int, vec_id long, score double"
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")).filter("vec_id is not null")
-    rows = staged(rows.mapInPandas(_valid, "vec_id long, dim long, x binary"), "valid")
-    dims = rows.groupBy("dim").count().orderBy(F.desc("count"), F.desc("dim")).limit(1).collect()
-    if not dims:
-        return spark.createDataFrame([], result)
-    dim, n = dims[0]["dim"], dims[0]["count"]
-    rows = rows.filter(F.col("dim") == dim)
-    sample = rows.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(SAMPLE).select("x").toPandas()["x"]
-    centres = fit_centroids(_stack(sample), max(1, min(MOST_CELLS, round(n**0.5 / 2))), seed=seed)
-    turn = rotation(dim, seed)
+    v = F.col("v")
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")).filter(F.col("vec_id").isNotNull() & finite)
+    rows = rows.select("vec_id", F.monotonically_increasing_id().alias("row"), F.size("v").cast("long").alias("dim"), "v")
+    rows = staged(rows.mapInPandas(_packed, "vec_id long, row long, dim long, x binary"), "valid")
+    out = None
+    for r in rows.groupBy("dim").count().orderBy("dim").collect():
+        own = _search(rows.filter(F.col("dim") == r["dim"]), r["dim"], r["count"], is_query, k, seed)
+        out = own if out is None else out.unionByName(own)
+    return vectors.sparkSession.createDataFrame([], RESULT) if out is None else out
+
+
+def _search(rows: DataFrame, dim: int, n: int, is_query, k: int, seed: int) -> DataFrame:
+    spark = rows.sparkSession
+    # about 0.95 SAMPLE of the rows by hash, so that nothing else reaches the driver
+    drawn = rows.filter(F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(max(n, 1))) < int(0.95 * SAMPLE)) if n > SAMPLE else rows
+    sample = _stack(drawn.select("x").limit(SAMPLE).toPandas()["x"])
+    sample = sample[np.lexsort(sample.T)]
+    centres = fit_centroids(sample, max(1, min(MOST_CELLS, round(n**0.5 / 2))), seed=seed)
+    turn, along = rotation(dim, seed), axes(sample, centres)
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -122,50 +132,55 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
             x = _stack(batch["x"])
             own = nearest(x, centres)
             bits, length, aligned = encode(x, own, centres, turn)
+            on = (x - centres[own]) @ along
+            off = np.sqrt(np.maximum(0, length**2 - (on * on).sum(1)))
             yield pd.DataFrame(
-                {"cell": own, "vec_id": batch["vec_id"], "x": batch["x"], "bits": [b.tobytes() for b in bits], "length": length, "aligned": aligned}
+                {"cell": own, "vec_id": batch["vec_id"], "row": batch["row"], "x": batch["x"], "bits": [b.tobytes() for b in bits], "length": length, "aligned": aligned, "on": list(np.abs(on)), "off": off}
             )
 
-    coded = staged(rows.mapInPandas(code, "cell long, vec_id long, x binary, bits binary, length double, aligned double"), "coded")
-    cells = coded.groupBy("cell").agg(F.count("*").alias("n"), F.max("length").alias("reach")).toPandas()  # MOST_CELLS rows at most
-    reach, blocks = np.full(len(centres), -1.0), np.zeros(len(centres), np.int64)
-    reach[cells["cell"]], blocks[cells["cell"]] = cells["reach"], -(-cells["n"] // BLOCK)
+    coded = staged(rows.mapInPandas(code, "cell long, vec_id long, row long, x binary, bits binary, length double, aligned double, on array<double>, off double"), "coded")
+    widest = [F.max(F.get("on", F.lit(j))).alias(f"on{j}") for j in range(along.shape[1])]
+    cells = coded.groupBy("cell").agg(F.count("*").alias("n"), F.max("off").alias("off"), *widest).toPandas()  # MOST_CELLS rows at most
+    used, blocks = np.zeros(len(centres), bool), np.zeros(len(centres), np.int64)
+    on, off = np.zeros((len(centres), along.shape[1])), np.zeros(len(centres))
+    used[cells["cell"]], blocks[cells["cell"]], off[cells["cell"]] = True, -(-cells["n"] // BLOCK), cells["off"]
+    on[cells["cell"]] = cells[[f"on{j}" for j in range(along.shape[1])]].to_numpy()
     sizes = spark.createDataFrame([(int(c), int(b)) for c, b in enumerate(blocks) if b], "cell long, blocks long")
-    queries = rows.filter(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), "x", F.lit(None).cast("double").alias("least"))
+    queries = rows.filter(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), F.col("row").alias("query"), "x")
 
     def probe(first: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                if not len(batch):
-                    continue
-                q = _stack(batch["x"])
-                near = q @ centres.T
-                near[:, reach < 0] = -np.inf
-                order = np.argsort(-near, axis=1, kind="stable")[:, :FIRST_CELLS]
-                went = np.zeros(near.shape, bool)
-                np.put_along_axis(went, order, True, axis=1)
-                went[:, reach < 0] = False
-                if not first:
-                    could = near + Z_CELL * np.sqrt((q * q).sum(1))[:, None] * np.maximum(reach, 0) / np.sqrt(dim)
-                    least = batch["least"].fillna(-np.inf).to_numpy(float)
-                    went = ~went & (reach >= 0) & (could >= least[:, None])
-                i, c = np.nonzero(went)
-                yield pd.DataFrame({"cell": c, "query_id": batch["query_id"].to_numpy()[i], "q": batch["x"].to_numpy()[i], "least": batch["least"].to_numpy()[i]})
+                for at in range(0, len(batch), BLOCK):
+                    part = batch.iloc[at : at + BLOCK]
+                    q, least = _stack(part["x"]), part["least"].fillna(-np.inf).to_numpy(float)
+                    near = q @ centres.T
+                    near[:, ~used] = -np.inf
+                    went = np.zeros(near.shape, bool)
+                    np.put_along_axis(went, np.argsort(-near, axis=1, kind="stable")[:, :FIRST_CELLS], True, axis=1)
+                    went &= used
+                    if not first:
+                        q_on = q @ along
+                        q_off = np.sqrt(np.maximum(0, (q * q).sum(1) - (q_on * q_on).sum(1)))
+                        could = near + np.abs(q_on) @ on.T + Z_CELL / np.sqrt(max(1, dim - along.shape[1])) * q_off[:, None] * off
+                        went = ~went & used & (could >= least[:, None])
+                    i, c = np.nonzero(went)
+                    yield pd.DataFrame({"cell": c, "query": part["query"].to_numpy()[i], "least": least[i]})
 
         return run
 
     def within(key: tuple, data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(data) and len(asked):
-            data = data.sort_values("vec_id")
-            x, ids = _stack(data["x"]), data["vec_id"].to_numpy()
+            data = data.sort_values(["vec_id", "row"])
+            x, ids, own_rows = _stack(data["x"]), data["vec_id"].to_numpy(), data["row"].to_numpy()
             bits = np.frombuffer(b"".join(data["bits"]), np.uint8).reshape(len(x), -1)
-            q, names = _stack(asked["q"]), asked["query_id"].to_numpy()
+            q, names = _stack(asked["q"]), asked["query"].to_numpy()
             guess, off = estimate(q, centres[key[0]], bits, data["length"].to_numpy(), data["aligned"].to_numpy(), turn)
             low, high = guess - off, guess + off
-            least = asked["least"].fillna(-np.inf).to_numpy(float)
+            least = asked["least"].to_numpy(float)
             for j in range(len(q)):
-                others = ids != names[j]
+                others = own_rows != names[j]
                 sure = low[j][others]
                 bar = least[j] if len(sure) < k else max(least[j], np.partition(sure, len(sure) - k)[len(sure) - k])
                 at = np.flatnonzero(others & (high[j] >= bar))
@@ -173,27 +188,29 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
                 at, score = at[score >= least[j]], score[score >= least[j]]
                 best = _best(ids[at], score, k)
                 if len(best):
-                    out.append((names[j], ids[at][best].tolist(), score[best].tolist()))
-        return pd.DataFrame(out, columns=["query_id", "ids", "scores"])
+                    out.append((names[j], ids[at][best].tolist(), own_rows[at][best].tolist(), score[best].tolist()))
+        return pd.DataFrame(out, columns=["query", "ids", "rows", "scores"])
 
     def visit(asked: DataFrame) -> DataFrame:
         asked = staged(asked, "asked")
-        per_cell = asked.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("q_blocks"))
-        shape = staged(per_cell.join(sizes, "cell"), "shape")
-        left = coded.join(F.broadcast(shape), "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
+        shape = staged(asked.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("q_blocks")).join(sizes, "cell"), "shape")
+        left = coded.drop("on", "off").join(F.broadcast(shape), "cell").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")))
         left = left.withColumn("q_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_blocks") - 1))).drop("blocks", "q_blocks")
-        right = asked.join(F.broadcast(shape), "cell").withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.col("q_blocks")))
+        right = asked.join(F.broadcast(shape), "cell").withColumn("q_block", F.pmod(F.xxhash64("query"), F.col("q_blocks")))
         right = right.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks", "q_blocks")
+        right = right.join(queries.select("query", F.col("x").alias("q")), "query")
         keys = ["cell", "block", "q_block"]
-        met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(within, "query_id long, ids array<long>, scores array<double>")
-        return met.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("m")).select("query_id", F.col("m.ids").alias("vec_id"), F.col("m.scores").alias("score"))
+        met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(within, "query long, ids array<long>, rows array<long>, scores array<double>")
+        met = met.select("query", F.explode(F.arrays_zip("ids", "rows", "scores")).alias("m"))
+        return met.select("query", F.col("m.ids").alias("vec_id"), F.col("m.rows").alias("row"), F.col("m.scores").alias("score"))
 
     def ranked(found: DataFrame) -> DataFrame:
-        return found.selectExpr("*", "row_number() over (partition by query_id order by score desc, vec_id) as rank").filter(f"rank <= {k}")
-
-    pairs = "cell long, query_id long, q binary, least double"
-    first = staged(ranked(visit(queries.mapInPandas(probe(True), pairs))).drop("rank"), "first")
-    bars = first.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).select("query_id", F.when(F.col("n") >= k, F.col("least")).alias("least"))
-    again = queries.drop("least").join(bars, "query_id", "left")
-    second = visit(again.mapInPandas(probe(False), pairs))
-    return ranked(first.unionByName(staged(second, "second"))).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        return found.selectExpr("*", "row_number() over (partition by query order by score desc, vec_id, row) as rank").filter(f"rank <= {k}")
+
+    pairs = "cell long, query long, least double"
+    none = F.lit(None).cast("double").alias("least")
+    first = staged(ranked(visit(queries.select("query", "x", none).mapInPandas(probe(True), pairs))).drop("rank"), "first")
+    bars = first.groupBy("query").agg(F.min("score").alias("least"), F.count("*").alias("n")).select("query", F.when(F.col("n") >= k, F.col("least")).alias("least"))
+    second = visit(queries.select("query", "x").join(bars, "query", "left").mapInPandas(probe(False), pairs))
+    best = ranked(first.unionByName(staged(second, "second")))
+    return best.join(queries.select("query", "query_id"), "query").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

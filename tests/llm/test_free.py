@@ -270,12 +270,41 @@ def test_nearest_recall(spark, sf_dir):
     assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
 
 
+def test_nearest_low_rank(spark):
+    """What is left of the vectors lies in a plane: cells that a bound for random directions would pass over hold neighbours."""
+    r = np.random.RandomState(4)
+    base, plane = r.normal(size=(30, 48)), np.linalg.qr(r.normal(size=(48, 2)))[0]
+    x = base[r.randint(30, size=4000)] * 0.05 + (r.standard_t(2, size=(4000, 2)) * 3) @ plane.T
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    want, got = truth(rows), {}
+    for m in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 20 == 0).collect():
+        got.setdefault(m["query_id"], set()).add(m["vec_id"])
+    assert np.mean([len(got[q] & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.98
+
+
+def test_nearest_repeated_rows(spark):
+    """Rows that share an id are queries of their own, and neighbours of each other."""
+    r = np.random.RandomState(2)
+    rows = [(i, v.tolist()) for i, v in enumerate(r.normal(size=(60, 8)))]
+    rows += [rows[20], rows[40], (40, rows[41][1])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 20 == 0).collect()
+    x = np.array([v for _, v in rows])
+    want = []
+    for n, (i, _) in enumerate(rows):
+        if i % 20 == 0:
+            s = (x * x[n]).sum(1)
+            order = sorted((m for m in range(len(rows)) if m != n), key=lambda m: (-s[m], rows[m][0]))  # noqa: B023
+            want += [(i, k + 1, rows[m][0], s[m]) for k, m in enumerate(order[:20])]
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) == 120
+
+
 def test_nearest_edges(spark):
-    nan = float("nan")
-    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (20, [0.0, 2.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [None, 1.0]), (7, []), (8, [1.0, 2.0, 3.0]), (None, [1.0, 1.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as cell", "2 as x", "3 as score")
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (20, [0.0, 2.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [None, 1.0]), (7, []), (8, [1.0, 2.0, 3.0])]
+    rows += [(None, [1.0, 1.0]), (9, [-inf, 1.0]), (40, [0.0, 0.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as cell", "2 as x", "3 as score", "4 as row")
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.search(df, lambda i: i % 20 == 0).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 20, 0.0), (20, 1, 0, 0.0), (20, 2, 1, 0.0), (20, 3, 2, 0.0)]
+    assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 20, 0.0), (20, 1, 0, 0.0), (20, 2, 1, 0.0), (20, 3, 2, 0.0), (40, 1, 8, 6.0)]
     assert ann.search(df.limit(0), lambda i: i % 20 == 0).count() == 0
 
 
