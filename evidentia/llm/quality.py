@@ -50,8 +50,9 @@ def mask(names: Iterable[str]) -> int:
 def measured(docs: DataFrame) -> DataFrame:
     """``doc`` (the whole row as a struct) and the measurements of its ``text``, each a long.
 
-    n_repeat_words: every three-word window becomes a hash with its position in the low bits; after sorting, windows
-    that occur twice or more are neighbours, and the words they cover are counted once each.
+    n_repeat_words: every three-word window becomes a hash with its position in the low bits; after sorting, windows that
+    may occur twice are neighbours.  Those are sorted again by their words, which settles it, and the words they cover
+    are counted once each.
     """
     text = F.coalesce(F.col("doc.text").cast("string"), F.lit(""))
     out = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"))
@@ -65,7 +66,11 @@ def measured(docs: DataFrame) -> DataFrame:
     high = lambda x: F.call_function("shiftrightunsigned", x, F.col("low"))
     twice = F.filter("s", lambda x, j: (high(x) == high(F.get("s", j - 1))) | (high(x) == high(F.get("s", j + 1))))
     at = F.expr("shiftleft(1L, low) - 1")
-    covered = F.flatten(F.transform(twice, lambda x: F.array(x.bitwiseAND(at), x.bitwiseAND(at) + 1, x.bitwiseAND(at) + 2)))
+    word = lambda x, j: F.get("w", x.bitwiseAND(at).cast("int") + j)
+    spelt = lambda x: F.struct(F.concat_ws(" ", word(x, 0), word(x, 1), word(x, 2)).alias("words"), x.bitwiseAND(at).alias("at"))
+    again = F.filter("t", lambda x, j: (x["words"] == F.get("t", j - 1)["words"]) | (x["words"] == F.get("t", j + 1)["words"]))
+    covered = F.flatten(F.transform(again, lambda x: F.array(x["at"], x["at"] + 1, x["at"] + 2)))
+    out = out.withColumn("t", F.sort_array(F.transform(twice, spelt)))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     kept_only = lambda pattern: F.length(F.regexp_replace(text, pattern, ""))
     out = out.select(
