@@ -17,17 +17,21 @@ from evidentia.llm.quality import judged, ledger
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without the three-line passages that occurred before."""
+    """Documents without the passages of three lines, or of one or two long ones, that occurred before."""
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed_lines")
 
 
-OP1_SQL = """
+OP1_SQL = r"""
 with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as ln from documents),
 t as (select doc_id, ln, line, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) as s from l),
 s as (select doc_id, ln, s, row_number() over (partition by doc_id order by ln) as k from t where s <> ''),
-w as (select doc_id, k, s, lead(s, 1) over (partition by doc_id order by k) as s1, lead(s, 2) over (partition by doc_id order by k) as s2 from s),
-f as (select doc_id, k, row_number() over (partition by s, s1, s2 order by doc_id, k) as nth from w where s2 is not null),
-gone as (select distinct f.doc_id, s.ln from f cross join (values (0), (1), (2)) as v(j) join s on s.doc_id = f.doc_id and s.k = f.k + v.j where nth > 1),
+c as (select *, len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) as n from s),
+w as (select doc_id, k, s, n, lead(s, 1) over o as s1, lead(s, 2) over o as s2, lead(n, 1) over o as n1 from c window o as (partition by doc_id order by k)),
+v as (select doc_id, k, 3 as size, s, s1, s2 from w where s2 is not null
+      union all select doc_id, k, 1, s, '', '' from w where n > 50
+      union all select doc_id, k, 2, s, s1, '' from w where n <= 50 and n1 <= 50 and n + n1 > 50),
+f as (select doc_id, k, size, row_number() over (partition by size, s, s1, s2 order by doc_id, k) as nth from v),
+gone as (select distinct f.doc_id, s.ln from f join s on s.doc_id = f.doc_id and s.k >= f.k and s.k < f.k + f.size where nth > 1),
 kept as (select l.doc_id, string_agg(l.line, chr(10) order by l.ln) as text from l anti join gone on l.doc_id = gone.doc_id and l.ln = gone.ln group by 1),
 n as (select doc_id, count(*) as n_lines from s group by 1),
 r as (select doc_id, count(*) as n_removed_lines from gone group by 1)

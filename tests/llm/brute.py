@@ -43,11 +43,16 @@ def dedup_lines(rows: list[tuple]) -> dict:
         lines = (text or "").split("\n")
         solid = [j for j, x in enumerate(lines) if x.strip(" \t\x0b\x0c\r")]
         gone = set()
-        for k in range(len(solid) - 2):
-            key = tuple(lines[j].strip(" \t\x0b\x0c\r") for j in solid[k : k + 3])
-            if key in seen:
-                gone |= set(solid[k : k + 3])
-            seen.add(key)
+        strip = [lines[j].strip(" \t\x0b\x0c\r") for j in solid]
+        n = [len(WORD.findall(x)) for x in strip]
+        for k in range(len(solid)):
+            for size in (1, 2, 3):
+                if k + size > len(solid) or size == 1 and n[k] <= 50 or size == 2 and (max(n[k], n[k + 1]) > 50 or n[k] + n[k + 1] <= 50):
+                    continue
+                key = tuple(strip[k : k + size])
+                if key in seen:
+                    gone |= set(solid[k : k + size])
+                seen.add(key)
         out[i] = "\n".join(x for j, x in enumerate(lines) if j not in gone) if gone else text
     return out
 

@@ -45,6 +45,20 @@ def test_line_dedup_merges_overlaps(spark):
     assert got == {1: "a\nb\nc\nd\ne", 2: "x\ny", 3: "\nz", 4: "a\nb"}
 
 
+def test_line_dedup_long_lines(spark):
+    """Passages of over 50 words go between other neighbours too, in one line or two; shorter ones stay."""
+    long, half, short = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("a", 51), ("b", 26), ("c", 25)))
+    rows = [(1, f"x\n{long}\ny"), (2, f"p\n{long} \nq"), (3, long), (4, f"{half}\n{half}r"), (5, f"s\n{half}\n\n{half}r\nt"), (6, f"u\n{short}\n{half}"), (7, f"{short}\n{short}"), (8, f"v\n{short}\n{short}\nw")]
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.dedup_lines(rows) and got[2] == "p\nq" and got[3] == "" and got[5] == "s\n\nt" and got[6] == rows[5][1] and got[8] == rows[7][1]
+
+
+def test_line_dedup_within_a_text(spark):
+    rows = [(1, "a\na\na\na\nz"), (2, "b\nb\nb")]
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(spark.createDataFrame(rows * 2, "doc_id long, text string")).collect()}
+    assert got == {1: "a\nz", 2: "b\nb\nb"}
+
+
 def test_quality_brute_and_edges(edges, nothing, docs):
     for df in (edges, docs):
         for r in ledger(df).collect():
@@ -53,6 +67,13 @@ def test_quality_brute_and_edges(edges, nothing, docs):
     assert ledger(nothing).count() == 0
 
 
+def test_quality_of_a_very_long_text(spark):
+    """No window of 2 million distinct words repeats, whatever their hashes; with three words said again, six do."""
+    df = spark.range(1).selectExpr("id as doc_id", "array_join(transform(sequence(1, 2000000), i -> concat('w', i)), ' ') as text")
+    rows = ledger(df.union(df.selectExpr("doc_id", "concat(text, ' w7 w8 w9')"))).select("n_words", "n_repeat_words").collect()
+    assert sorted(map(tuple, rows)) == [(2_000_000, 0), (2_000_003, 6)]
+
+
 def test_policies_and_ablations(docs):
     book = judged(ledger(docs)).cache()
     rows = book.collect()
