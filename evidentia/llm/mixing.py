@@ -47,61 +47,54 @@ def capped_shares(sizes: Mapping[str | None, int], weights: Sequence[float] = (5
     return out
 
 
-def route(capacity: Mapping[str, int], members: Mapping[str, Sequence[str | None]], quota: Mapping[str | None, int], repeats: int) -> dict[tuple[str, str | None], int]:
+def route(capacity: Mapping[str, int], members: Mapping[str, Sequence[str | None]], quota: Mapping[str | None, int], costs: Sequence[float]) -> dict[tuple[str, str | None], int]:
     """The min-cost flow: words of pattern p that serve source s, as ``{(p, s): words}``.
 
-    The costs of a pattern's repetitions are convex and those of all patterns alike, so cheapest paths come level by
-    level: each level opens another ``capacity`` for every pattern, and augmenting paths (breadth first) may reroute
-    what earlier levels sent.
+    Pattern p offers ``capacity[p]`` words at ``costs[0]`` each, as many again at ``costs[1]``, and so on; costs don't fall, so they
+    are convex in what a pattern sends.  Only these first edges cost anything.  What sets of words can be sent on from
+    the patterns form a polymatroid, so it is best to take the offers from cheap to dear, each as far as it goes; augmenting
+    paths (breadth first) reroute what others sent where that lets more through, and never send a pattern less than before.
     """
+    if any(a > b for a, b in zip(costs, costs[1:], strict=False)):
+        raise ValueError("costs of repetitions must not fall")
     flow: dict[tuple[str, str | None], int] = {}
-    spare, wants = dict.fromkeys(capacity, 0), dict(quota)
-    serves: dict[str | None, list[str]] = {}
-    for p in capacity:
-        for s in members[p]:
-            serves.setdefault(s, []).append(p)
-    for _ in range(repeats):
-        for p, c in capacity.items():
-            spare[p] += c
-            for s in members[p]:  # direct paths first
-                move = min(spare[p], wants.get(s, 0))
-                if move > 0:
-                    flow[p, s] = flow.get((p, s), 0) + move
-                    spare[p] -= move
-                    wants[s] -= move
-        for start in [s for s in wants if wants[s] > 0]:
-            while wants[start] > 0:
-                back: dict[tuple[str, object], tuple[str, object] | None] = {("s", start): None}
-                queue, end = deque([("s", start)]), None
-                while queue and end is None:
-                    kind, x = queue.popleft()
-                    if kind == "s":  # a pattern could serve x
-                        for p in serves.get(x, ()):
-                            if ("p", p) not in back:
-                                back["p", p] = (kind, x)
-                                if spare[p] > 0:
-                                    end = ("p", p)
-                                    break
-                                queue.append(("p", p))
-                    else:  # by taking from what it sends to y, if y finds another
-                        for y in members[x]:
-                            if ("s", y) not in back and flow.get((x, y), 0) > 0:
-                                back["s", y] = (kind, x)
-                                queue.append(("s", y))
-                if end is None:
-                    break
-                path = [end]
-                while back[path[-1]] is not None:
-                    path.append(back[path[-1]])
-                pairs = list(zip(path[::2], path[1::2], strict=False))  # (pattern, source) pairs that gain
-                takes = [(path[i + 1], path[i]) for i in range(1, len(path) - 1, 2)]  # (pattern, source) that lose
-                move = min([spare[end[1]], wants[start], *(flow[p[1], s[1]] for p, s in takes)])
-                for p, s in pairs:
-                    flow[p[1], s[1]] = flow.get((p[1], s[1]), 0) + move
-                for p, s in takes:
-                    flow[p[1], s[1]] -= move
-                spare[end[1]] -= move
-                wants[start] -= move
+    wants, gets = dict(quota), {s: [] for p in capacity for s in members[p]}  # patterns that serve a source
+    for _, p in sorted((cost, p) for p in capacity for cost in costs):
+        left = capacity[p]
+        while left > 0:
+            back: dict[tuple[str, object], tuple[str, object] | None] = {("p", p): None}
+            queue, end = deque([("p", p)]), None
+            while queue and end is None:
+                kind, x = queue.popleft()
+                if kind == "p":
+                    for s in members[x]:
+                        if ("s", s) not in back:
+                            back["s", s] = (kind, x)
+                            if wants.get(s, 0) > 0:
+                                end = ("s", s)
+                                break
+                            queue.append(("s", s))
+                else:  # a pattern that serves x could serve another source instead
+                    for q in gets[x]:
+                        if ("p", q) not in back and flow[q, x] > 0:
+                            back["p", q] = (kind, x)
+                            queue.append(("p", q))
+            if end is None:
+                break
+            path = [end]
+            while back[path[-1]] is not None:
+                path.append(back[path[-1]])
+            path = [x for _, x in reversed(path)]  # pattern, source, pattern, source ...
+            gains, loses = list(zip(path[::2], path[1::2], strict=True)), list(zip(path[2::2], path[1::2], strict=False))
+            move = min([left, wants[end[1]], *(flow[q, s] for q, s in loses)])
+            for q, s in gains:
+                if (q, s) not in flow:
+                    gets[s].append(q)
+                flow[q, s] = flow.get((q, s), 0) + move
+            for q, s in loses:
+                flow[q, s] -= move
+            wants[end[1]] -= move
+            left -= move
     return flow
 
 
@@ -153,14 +146,14 @@ def mix(
     docs: DataFrame,
     sources: Column | None = None,
     targets: Callable[[dict[str | None, int]], dict[str | None, float]] = capped_shares,
-    repeats: int = 2,
+    costs: Sequence[float] = (0, 1),
     seed: int = 7,
 ) -> DataFrame:
     """``doc`` (the whole row), ``size`` (its words), ``pattern``, ``source_size``, ``target`` and ``taken`` words.
 
     ``sources`` is an array of the sources a row belongs to (default: its ``source``); source_size and target are those
     of the first.  ``targets`` gets the words of each source and returns the words the mix should take for it.  Whole
-    documents are taken, ``taken`` is 0, 1 ... ``repeats`` times ``size``, and equal inputs give equal results.  Texts
+    documents are taken, ``taken`` is 0, 1 ... ``len(costs)`` times ``size`` (``costs``: of a word's first use, its second ...), and equal inputs give equal results.  Texts
     null or empty have size 0 and are never taken.  A null source is a source like any other.  Rows equal in doc_id,
     text and sources share one result.  An empty table gives an empty result.
     """
@@ -182,7 +175,7 @@ def mix(
             sizes[s] = sizes.get(s, 0) + capacity[p]
     wanted = targets(sizes)
     sent = dict.fromkeys(capacity, 0)
-    for (p, _), n in route(capacity, members, {s: round(x) for s, x in wanted.items()}, repeats).items():
+    for (p, _), n in route(capacity, members, {s: round(x) for s, x in wanted.items()}, costs).items():
         sent[p] += n
     plan, buckets, open_ = {}, {}, []
     for r in found:
