@@ -1,11 +1,12 @@
-"""License scans: MinHash bands over overlapping windows retrieve notices, exact shingle containment confirms them.
+"""License scans: MinHash bands over overlapping text windows retrieve notices, exact shingle containment confirms them.
 
 A text's words (runs of letters and digits, lowered) give five-word shingles.  A notice of m shingles is cut into
-segments whose length is the largest of SCALES that fits, one every half length and one at its end; a text is covered
+segments at every length of SCALES up to m, one every half length and one at its end; a text is covered
 by windows of the same lengths, one every quarter, so that a copy of a segment meets a window that shares seven eighths
-of either.  At that, 0.78 similar, 24 bands of two rows meet with a probability of 1 - 2e-10; at 0.5, of 0.999.  A
-window that meets a segment proposes the notice, and the notice's shingles are then looked up in the text around the
-window: one that holds 80 % of them, counted exactly, is a match.  DataFrame functions only.
+of either.  At that, 0.78 similar, 24 bands of two rows meet with a probability of 1 - 2e-10; at 0.5, of 0.999; a piece that is
+the same surely meets.  A window that meets a segment proposes the notice, and a text that holds 80 % of its distinct shingles,
+wherever in the text, counted exactly, is a match.  As segments go down to two shingles, what is cut into pieces by foreign words is proposed
+too, unless no two of its shingles stand side by side.  DataFrame functions only.
 
 Texts that hold no shingle of any notice can't match; they are left out before windows are made.
 """
@@ -61,12 +62,13 @@ def notices(spark: SparkSession, templates: dict[str, tuple[str, ...]] | None =
 def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """``(doc_id, license, notice, n_shared, n_notice, containment, at_word)``: a row for each notice a document holds.
 
-    ``at_word`` is the place among the document's words of the first shared shingle.  Null, empty and short texts match
+    ``n_shared`` counts the notice's distinct shingles that are anywhere in the text, and ``at_word`` is the place among its words
+    of the first of them.  Null, empty and short texts match
     nothing; rows equal in doc_id and text give one row for each notice, not one each.  Rows without doc_id are told
     apart by their texts.  Other columns are ignored.
     """
     known = staged(notices(docs.sparkSession, templates), "notices")
-    # the fixed list's shingles, a few hundred numbers
+    # the fixed list's shingles, some thousand numbers
     listed = sorted({x for r in known.select("sh").collect() for x in r["sh"]})
     some = F.array(*[F.lit(x) for x in listed]).cast("array<long>")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("version"), tokens(F.col("text")).alias("tokens"))
@@ -74,33 +76,18 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None) -
     held = staged(texts.filter(F.arrays_overlap("sh", some)), "held")
 
     found = None
-    for scale, upto in zip(SCALES, (*SCALES[1:], None), strict=True):
-        own = known.filter(F.size("sh") >= scale) if upto is None else known.filter((F.size("sh") >= scale) & (F.size("sh") < upto))
+    for scale in SCALES:
+        own = known.filter(F.size("sh") == 1 if scale == 1 else F.size("sh") >= scale)
         segments = fenced(_cut(own, scale, max(1, scale // 2)).select("license", "notice", "scale", "part")).select("license", "notice", "scale", F.explode(_bands("part")).alias("band"))
         windows = fenced(_cut(held, scale, max(1, scale // 4)).select("doc_id", "version", "scale", "start", "part")).filter(F.arrays_overlap("part", some))
         windows = windows.select("doc_id", "version", "scale", "start", F.explode(_bands("part")).alias("band"))
         met = windows.join(F.broadcast(segments), ["scale", "band"]).select("doc_id", "version", "license", "notice", "scale", "start").distinct()
         found = met if found is None else found.unionByName(met)
-    proposed = staged(found.groupBy("doc_id", "version", "license", "notice").agg(F.collect_set(F.struct("start", "scale")).alias("met")), "proposed")
+    proposed = staged(found.select("doc_id", "version", "license", "notice").distinct(), "proposed")
     same = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.version") == F.col("p.version"))
     pairs = held.dropDuplicates(["doc_id", "version"]).alias("d").join(proposed.alias("p"), same).join(F.broadcast(known.withColumnRenamed("sh", "wanted")), ["license", "notice"])
-    n = F.size("wanted")
-    around = F.transform(
-        "met",
-        lambda m: F.struct(
-            F.greatest(F.lit(0), m["start"] - n).alias("low"),
-            F.slice(F.col("d.sh"), F.greatest(F.lit(0), m["start"] - n) + 1, m["scale"] + 2 * n).alias("part"),
-        ),
-    )
-    counted = pairs.select(F.col("d.doc_id"), F.col("d.version"), "license", "notice", n.alias("n_notice"), "wanted", F.explode(around).alias("a"))
-    counted = counted.select(
-        "doc_id", "version", "license", "notice", "n_notice",
-        F.size(F.array_intersect("a.part", "wanted")).alias("n_shared"),
-        (F.col("a.low") + F.array_min(F.transform(F.array_intersect("a.part", "wanted"), lambda x: F.array_position("a.part", x))) - 1).alias("at_word"),
-    )
-    best = counted.filter(100 * F.col("n_shared") >= CONTAINED * F.col("n_notice")).groupBy("doc_id", "version", "license", "notice", "n_notice")
-    best = best.agg(F.max("n_shared").alias("n_shared"), F.min("at_word").alias("at_word"))
-    return best.select(
-        "doc_id", "license", "notice", F.col("n_shared").cast("long").alias("n_shared"), F.col("n_notice").cast("long").alias("n_notice"),
-        (F.col("n_shared") / F.col("n_notice")).alias("containment"), F.col("at_word").cast("long").alias("at_word"),
-    )
+    counted = fenced(pairs.select(F.col("d.doc_id").alias("doc_id"), "license", "notice", "d.sh", F.size("wanted").cast("long").alias("n_notice"), F.array_intersect("d.sh", "wanted").alias("shared")))
+    matches = counted.filter(100 * F.size("shared") >= CONTAINED * F.col("n_notice"))
+    first = F.array_min(F.transform("shared", lambda x: F.array_position("sh", x))) - 1
+    n_shared = F.size("shared").cast("long")
+    return matches.select("doc_id", "license", "notice", n_shared.alias("n_shared"), "n_notice", (n_shared / F.col("n_notice")).alias("containment"), first.cast("long").alias("at_word"))

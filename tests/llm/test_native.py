@@ -108,5 +108,16 @@ def test_licenses_brute(spark, docs):
     assert {(r["doc_id"], r["license"], r["notice"]): r["n_shared"] for r in got} == want and len(got) == len(want)
 
 
+def test_licenses_in_pieces_and_twice(spark):
+    """Containment is that of the whole text: a notice in pieces, one met twice, and one far into a very long text are matches."""
+    notice = TEMPLATES["Zlib"][0]
+    w = notice.split()
+    far = " ".join(f"x{i}" for i in range(200_000))
+    texts = [" ".join(w[: len(w) // 2] + ["foreign"] * 400 + w[len(w) // 2 :]), f"lead {notice} between {notice}", f"{far} {notice}", " ".join(w[: len(w) // 2])]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect() if r["license"] == "Zlib"}
+    assert set(got) == {0, 1, 2} and got[0]["n_shared"] == got[0]["n_notice"] - 4 and got[1]["containment"] == 1
+    assert (got[0]["at_word"], got[1]["at_word"], got[2]["at_word"]) == (0, 1, 200_000)
+
+
 def test_licenses_edges(edges, nothing):
     assert licenses.scan(edges).count() == 0 and licenses.scan(nothing).count() == 0
