@@ -52,7 +52,7 @@ class Labeller:
         self.w = {f"x{d}": glorot(DIM, 4 * HIDDEN) for d in "fb"} | {f"h{d}": glorot(HIDDEN, 4 * HIDDEN) for d in "fb"}
         self.w |= {f"c{d}": np.repeat(np.float32([0, 1, 0, 0]), HIDDEN) for d in "fb"} | {"o": glorot(2 * HIDDEN, 1), "p": np.zeros(1, np.float32)}
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str) -> tuple[np.ndarray, list]:
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool = True) -> tuple[np.ndarray, list]:
         """States over time (steps x pages x HIDDEN) of one direction; ``x`` in reading order, mask 0 behind a page's end."""
         w, bias, steps = self.w["h" + d], self.w["c" + d], []
         h, c = np.zeros((x.shape[1], HIDDEN), np.float32), np.zeros((x.shape[1], HIDDEN), np.float32)
@@ -64,15 +64,16 @@ class Labeller:
             m = mask[t][:, None]
             c_new = (f * c + i * g) * m
             tanh = np.tanh(c_new)
-            steps.append((h, c, i, f, o, g, tanh, m))
+            if keep:
+                steps.append((h, c, i, f, o, g, tanh, m))
             h, c = o * tanh * m, c_new
             out[t] = h
         return out, steps
 
     def forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):
         back = reversed_pages(x, mask)
-        hf, sf = self._run(x, mask, "f")
-        hb, sb = self._run(back, mask, "b")
+        hf, sf = self._run(x, mask, "f", keep)
+        hb, sb = self._run(back, mask, "b", keep)
         both = np.concatenate([hf, reversed_pages(hb, mask)], axis=2)
         odds = (both @ self.w["o"])[:, :, 0] + self.w["p"]
         return (odds, (back, sf, sb, both)) if keep else odds
@@ -115,15 +116,19 @@ class Labeller:
                     self.w[name] -= rate * (0.3 if k >= rounds - 3 else 1) * (a / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         return self
 
-    def label(self, pages: list[np.ndarray], batch: int = 64) -> list[np.ndarray]:
-        """For each page, which blocks are main text."""
+    def label(self, pages: list[np.ndarray], batch: int = 64, most: int = 1 << 14) -> list[np.ndarray]:
+        """For each page, which blocks are main text.  Pages of like length go together, as long as they have ``most`` blocks with the padding."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
         order = sorted((i for i in range(len(pages)) if len(pages[i])), key=lambda i: len(pages[i]))
-        for at in range(0, len(order), batch):
-            own = order[at : at + batch]
-            odds = self.forward(*padded([pages[i] for i in own]))
-            for j, i in enumerate(own):
-                out[i] = odds[: len(pages[i]), j] > 0
+        own: list[int] = []
+        for n, i in enumerate(order):
+            own.append(i)
+            after = order[n + 1] if n + 1 < len(order) else None
+            if after is None or len(own) == batch or (len(own) + 1) * len(pages[after]) > most:
+                odds = self.forward(*padded([pages[j] for j in own]))
+                for k, j in enumerate(own):
+                    out[j] = odds[: len(pages[j]), k] > 0
+                own = []
         return out
 
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 # Elements by what HTML makes of them.
 SILENT = frozenset(("script", "style", "noscript", "template", "head", "title", "svg", "math", "iframe", "object", "canvas", "select", "option", "textarea", "button"))
+CLOSED = frozenset(("button", "canvas", "iframe", "math", "noscript", "object", "option", "select", "svg", "template", "textarea"))
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 INLINE = frozenset(
     ("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt",
@@ -18,7 +20,9 @@ CLOSES_P = frozenset(
      "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul")
 )
 SAME_CLOSES = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
+IN_HEAD = frozenset(("base", "link", "meta", "noscript", "script", "style", "template", "title"))
 NAME = re.compile(r"[A-Za-z]+|[0-9]+")
+END = re.compile(r"</(button|canvas|iframe|math|noscript|object|option|select|svg|template|textarea)\b", re.IGNORECASE)
 
 
 @dataclass
@@ -41,8 +45,9 @@ class _State:
 
 
 class _Reader(HTMLParser):
-    def __init__(self) -> None:
+    def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
+        self.ends = Counter(m[1].lower() for m in END.finditer(html))  # end tags still to come
         self.stack: list[_Open] = []
         self.blocks: list[Block] = []
         self.now = _State()
@@ -78,7 +83,9 @@ class _Reader(HTMLParser):
             self._pop(at)
         if tag in SAME_CLOSES and (at := self._find((tag,), SAME_CLOSES[tag])) >= 0:
             self._pop(at)
-        if tag == "body" and (at := self._find(("head",))) >= 0:
+        if self.stack and self.stack[-1].tag == "head" and tag not in IN_HEAD or tag == "body":
+            self._leave_head()
+        if tag == "button" and (at := self._find(("button",))) >= 0:
             self._pop(at)
         if tag not in INLINE:
             self._flush()
@@ -87,7 +94,9 @@ class _Reader(HTMLParser):
         own = [tag]
         for key, value in attrs:
             if key in ("class", "id", "role") and value:
-                own += [f".{w.lower()}" for w in NAME.findall(value)[:8]]
+                own += [f".{w.lower()}" for w in NAME.findall(value)]
+        if tag in SILENT and tag in CLOSED and not self.ends[tag]:
+            return  # it is never closed, so what follows isn't in it
         self.stack.append(_Open(tag, tuple(own)))
         self.silent += tag in SILENT
         self.links += tag == "a"
@@ -97,13 +106,20 @@ class _Reader(HTMLParser):
         if tag not in VOID:
             self.handle_endtag(tag)
 
+    def _leave_head(self) -> None:
+        if (at := self._find(("head",))) >= 0:
+            self._pop(at)
+
     def handle_endtag(self, tag: str) -> None:
         if tag in VOID:
             return
+        self.ends[tag] -= 1
         if (at := self._find((tag,))) >= 0:
             self._pop(at)
 
     def handle_data(self, data: str) -> None:
+        if self.stack and self.stack[-1].tag == "head" and data.strip():
+            self._leave_head()
         if not self.silent:
             self.now.parts.append(data)
             self.now.linked += len(data) * (self.links > 0)
@@ -111,10 +127,12 @@ class _Reader(HTMLParser):
 
 def blocks(html: str | None) -> list[Block]:
     """The text blocks of a page in page order.  Inline elements don't end a block, ``br`` counts as white space, and
-    scripts, styles, comments, form fields and what is in ``head`` have no text.  Null or empty html has no blocks."""
+    scripts, styles, comments, form fields and what is in ``head`` have no text.  Tags that HTML lets out are put in: a head ends where
+    something begins that can't be in it, and a button, object and the like that nothing closes holds nothing.  Null or empty html
+    has no blocks."""
     if not html:
         return []
-    reader = _Reader()
+    reader = _Reader(html)
     reader.feed(html)
     reader.close()
     reader._flush()

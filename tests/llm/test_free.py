@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -151,16 +152,56 @@ def test_mixing_one_long_document(spark):
         rows = [(i, " ".join(["w"] * s), "a") for i, s in enumerate(sizes)]
         for doc_id in range(10**6, 10**6 + 4):  # other ids, other places in the seeded order
             df = spark.createDataFrame([*rows, (doc_id, " ".join(["w"] * long), "a")], "doc_id long, text string, source string").repartition(8)
-            assert mix(df, targets=lambda _: {"a": float(want)}, repeats=1).selectExpr("sum(taken)").first()[0] == want  # noqa: B023
+            assert mix(df, targets=lambda _: {"a": float(want)}, costs=(0,)).selectExpr("sum(taken)").first()[0] == want  # noqa: B023
 
 
 def test_flow_reroutes_overlaps():
-    assert sum(route({"ab": 10, "a": 5}, {"ab": ["a", "b"], "a": ["a"]}, {"a": 5, "b": 10}, 1).values()) == 15
-    flow = route({"ab": 10, "a": 5, "b": 3}, {"ab": ["a", "b"], "a": ["a"], "b": ["b"]}, {"a": 12, "b": 14}, 2)
+    assert sum(route({"ab": 10, "a": 5}, {"ab": ["a", "b"], "a": ["a"]}, {"a": 5, "b": 10}, (0,)).values()) == 15
+    flow = route({"ab": 10, "a": 5, "b": 3}, {"ab": ["a", "b"], "a": ["a"], "b": ["b"]}, {"a": 12, "b": 14}, (0, 1))
     assert sum(v for (_, s), v in flow.items() if s == "a") == 12 and sum(v for (_, s), v in flow.items() if s == "b") == 14
     assert sum(v for (p, _), v in flow.items() if p == "ab") <= 20
 
 
+def test_flow_costs_least():
+    """Over random overlaps the flow serves as much as any, at the least cost: both by trying every supply of the patterns."""
+    r = random.Random(6)
+    for _ in range(60):
+        names = ["a", "b", "c"]
+        members = {p: sorted(r.sample(names, r.randint(1, 3))) for p in "pqr"}
+        capacity, quota = {p: r.randint(0, 3) for p in members}, {s: r.randint(0, 5) for s in names}
+        costs = sorted(r.randint(0, 4) for _ in range(2))
+        price = lambda p, n: sum(min(max(n - k * capacity[p], 0), capacity[p]) * c for k, c in enumerate(costs))  # noqa: B023, E731
+
+        def served(supply):  # Hall: what a set of sources wants and what patterns that serve it supply
+            best = math.inf
+            for mask in range(8):
+                own = {s for j, s in enumerate(names) if mask >> j & 1}
+                best = min(best, sum(quota[s] for s in names if s not in own) + sum(n for p, n in supply.items() if own & set(members[p])))  # noqa: B023
+            return best
+
+        tries = [dict(zip("pqr", t, strict=True)) for t in itertools.product(*[range(2 * capacity[p] + 1) for p in "pqr"])]
+        full = [(sum(price(p, n) for p, n in t.items()), -sum(t.values())) for t in tries if served(t) == sum(t.values())]
+        most = max(-n for _, n in full)
+        flow = route(capacity, members, quota, costs)
+        sent = {p: sum(v for (q, _), v in flow.items() if q == p) for p in "pqr"}
+        assert sum(sent.values()) == most and all(sum(v for (_, s), v in flow.items() if s == t) <= quota[t] for t in names)
+        assert sum(price(p, n) for p, n in sent.items()) == min(c for c, n in full if -n == most)
+        assert all(v >= 0 and s in members[p] for (p, s), v in flow.items())
+
+
+def test_mixing_overlapping_sources(spark):
+    """Rows of several sources: each source gets its quota from the patterns that hold it, dear repetitions last."""
+    rows = [(i, " ".join(["w"] * (i % 7 + 1)), ["ab", "a", "b"][i % 3]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kinds string")
+    df = df.selectExpr("doc_id", "text", "kinds as source", "split(kinds, '') as own")
+    got = mix(df, sources=df["own"], targets=lambda sizes: {"a": sizes["a"] * 0.9, "b": sizes["b"] * 0.75}).groupBy("pattern").agg({"taken": "sum", "size": "sum"}).collect()
+    taken = {r["pattern"]: (r["sum(taken)"], r["sum(size)"]) for r in got}
+    n = {p: s for p, (_, s) in taken.items()}
+    want = round((n['["a"]'] + n['["a","b"]']) * 0.9) + round((n['["b"]'] + n['["a","b"]']) * 0.75)
+    assert abs(sum(t for t, _ in taken.values()) - want) <= 10 and all(t <= 2 * s for t, s in taken.values())
+    assert sum(max(0, t - s) for t, s in taken.values()) <= max(0, want - sum(n.values())) + 10  # nothing repeated without need
+
+
 def test_mixing_edges(edges, nothing):
     got = mix(edges).collect()
     assert len(got) == edges.count() and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
@@ -205,6 +246,67 @@ def test_blocks():
     assert blocks(None) == blocks("") == []
 
 
+def test_blocks_without_optional_tags():
+    assert [b.text for b in blocks("<html><head><title>t</title><h1>Hello</h1><p>one<p>two")] == ["Hello", "one", "two"]
+    assert [b.text for b in blocks("<head><meta charset=x>loose words<p>one")] == ["loose words", "one"]
+    assert [b.text for b in blocks("<div><button>Buy<p>one</p></div><object><p>two</p>")] == ["Buy", "one", "two"]
+    assert [b.text for b in blocks("<button>Buy<button>Sell</button><p>one</p><select><option>a<option>b</select><p>two")] == ["one", "two"]
+    assert blocks("<div class='" + " ".join(f"w{i}" for i in range(40)) + " telling'>x</div>")[0].path[-1] == ".telling"
+
+
+# (page, main text) by hand: one layout each
+TRUTH = [
+    ("<body><nav><a href=/>Home</a> <a href=/n>News</a></nav><article><h1>The bridge is open</h1><p>After two years of work the old bridge carries traffic again.</p>"
+     "<p>Drivers had been sent around by the mill since the spring of last year.</p></article><footer>All rights reserved 2024</footer></body>",
+     ["The bridge is open", "After two years of work the old bridge carries traffic again.", "Drivers had been sent around by the mill since the spring of last year."]),
+    ("<div class=header><div class=menu><ul><li><a href=a>Start</a><li><a href=b>Shop</a></ul></div></div><div class=content><p>Bees find their way home by the sun, by scent and by what they remember.</p>"
+     "<p>Those that are carried a long way off circle first, then fly in a straight line.</p></div><div class=sidebar><ul><li><a href=c>More on insects</a></ul></div><div class=footer>Imprint and contact</div>",
+     ["Bees find their way home by the sun, by scent and by what they remember.", "Those that are carried a long way off circle first, then fly in a straight line."]),
+    ("<html><head><title>x</title><style>p{}</style></head><body><div class=cookie-notice><p>We use cookies. Accept all?</p></div><main><h2>Bread without kneading</h2>"
+     "<p>Stir flour, water, salt and a little yeast, and leave the bowl alone until the next day.</p><p>Heat the pot in the oven before the dough goes in.</p></main>"
+     "<section class=comments><h2>Comments</h2><p>Mine came out flat, what did I do wrong?</p></section></body></html>",
+     ["Bread without kneading", "Stir flour, water, salt and a little yeast, and leave the bowl alone until the next day.", "Heat the pot in the oven before the dough goes in."]),
+    ("<body><div class=topbar><a href=l>Log in</a></div><div class='post content'><h1>Notes on rust</h1><p>Iron that is painted on the outside rusts from within if water gets behind the paint.</p>"
+     "<div class=advert><p>Buy our paint now, half price!</p></div><p>That is why old railings fail at their feet, where the rain stands.</p></div><div class=newsletter><form><label>Your mail</label><input></form></div></body>",
+     ["Notes on rust", "Iron that is painted on the outside rusts from within if water gets behind the paint.", "That is why old railings fail at their feet, where the rain stands."]),
+    ("<body><header><h1>The Daily Something</h1><nav><ul><li><a href=1>World</a><li><a href=2>Sport</a></ul></nav></header><section class=story><p>The match was over after twenty minutes, when the visitors had scored three times.</p>"
+     "<blockquote>We never found into the game, the trainer said.</blockquote></section><aside><h3>Read also</h3><ul><li><a href=3>Table and results</a></ul></aside><footer><p>Contact, privacy, terms</p></footer></body>",
+     ["The match was over after twenty minutes, when the visitors had scored three times.", "We never found into the game, the trainer said."]),
+    ("<body><nav><a href=1>Menu</a></nav><form><p>Search the site</p></form><footer>Nothing here</footer></body>", []),
+]
+
+
+def test_extraction_of_pages_labelled_by_hand(spark, sf_dir):
+    rows = [(i, "u", page) for i, (page, _) in enumerate(TRUTH)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    labeller = html_extract.train(html_extract.sampled(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")))
+    right = wrong = 0
+    for r in html_extract.extract(pages, labeller).collect():
+        every, want = [b.text for b in blocks(TRUTH[r["page_id"]][0])], TRUTH[r["page_id"]][1]
+        got = r["text"].split("\n\n") if r["text"] else []
+        assert set(want) <= set(every)
+        wrong += len(set(got) ^ set(want))
+        right += len(every) - len(set(got) ^ set(want))
+    assert right / (right + wrong) >= 0.9
+
+
+def test_extraction_without_semantic_elements(spark):
+    """Pages of plain div layouts: a labeller is fitted all the same, and finds their texts."""
+    fill = lambda i: f"Sentence number {i} tells of things that happened long ago, in a place that nobody knows any more, as it is told."
+    page = "<body><div class=menu><ul><li><a href=1>Start</a><li><a href=2>Shop</a></ul></div><div class=content><p>{}</p><p>{}</p></div><div class=footer>Imprint</div></body>"
+    rows = [(i, "u", page.format(fill(i), fill(i + 100))) for i in range(20)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sum(r["text"] == f"{fill(r['page_id'])}\n\n{fill(r['page_id'] + 100)}" for r in got) >= 18
+
+
+def test_extraction_of_a_very_long_page(spark):
+    net = html_extract.train([])
+    html = "<article>" + "".join(f"<p>Some words of paragraph {i} of a long text.</p>" for i in range(100_000)) + "</article>"
+    rows = [(1, "u", html), (2, "u", "<article><p>Short, but it is an article with words.</p></article>"), (3, "u", html[:5000])]
+    got = {r["page_id"]: r["n_blocks"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), net).collect()}
+    assert got[1] == 100_000 and got[2] == 1
+
+
 def test_labeller_gradients():
     r = np.random.RandomState(0)
     x, mask = padded([r.normal(size=(n, DIM)).astype(np.float32) for n in (3, 5)])
