@@ -55,3 +55,21 @@ def words(text: Column) -> Column:
 def fenced(df: DataFrame) -> DataFrame:
     """The same rows behind a generator, so that filters above don't move below and repeat costly columns inside themselves."""
     return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+
+
+#: Bits of the numbers in a bitmap, which has 2^26 bits = 8 MB whatever is marked in it.
+BITS = 26
+
+
+def bitmap(df: DataFrame, at: Column) -> bytes:
+    """A map with the bits at the low BITS bits of ``at`` set, for tasks to leave out what surely isn't in ``df`` before an exact join.
+
+    It is made by aggregation; 2^(BITS - 15) rows of 4 KB at most reach the driver.
+    """
+    at = (at.bitwiseAND(F.lit((1 << BITS) - 1)) + 1).alias("at")  # buckets of 2^15 begin with the number 1
+    made = df.select(at).groupBy(F.call_function("bitmap_bucket_number", F.col("at")).alias("bucket"))
+    made = made.agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", F.col("at"))).alias("bits"))
+    out = bytearray(1 << (BITS - 3))
+    for r in made.collect():
+        out[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = r["bits"]
+    return bytes(out)

@@ -20,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import NO_ID, id_in, id_out, staged
+from evidentia.llm.common import BITS, NO_ID, bitmap, id_in, id_out, staged
 from evidentia.llm.graph import connected_components
 from evidentia.llm.sketching import WordHasher, band_keys, overlap, shingle_set, sketch
 
@@ -56,13 +57,17 @@ def _prepared(k: int, rows: int, bands: int):
     return run
 
 
-def _sets(k: int):
+def _sets(k: int, marked: Broadcast):
+    """Sets of the rows whose ``at`` is marked."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = WordHasher()
+        hasher, bits = WordHasher(), np.frombuffer(marked.value, np.uint8)
         for batch in batches:
+            at = batch["at"].to_numpy()
+            batch = batch[(bits[at >> 3] >> (at & 7) & 1).astype(bool)]
             for at in range(0, len(batch), 256):
                 part = batch.iloc[at : at + 256]
-                yield pd.DataFrame({"id": part["id"].array, "shingles": [shingle_set(x, k, hasher).tobytes() for x in part["text"]]})
+                yield part[["doc_id", "version"]].assign(shingles=[shingle_set(x, k, hasher).tobytes() for x in part["text"]])
 
     return run
 
@@ -160,8 +165,11 @@ def _components(classes: DataFrame, texts: DataFrame, k: int, num: int, den: int
     pairs = _against_first(members, num, den)
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.filter("size > 2").select("id")).distinct()
     wanted = staged(wanted.join(classes.select("id", "first.doc_id", "first.version"), "id"), "wanted")
-    texts = texts.join(wanted, ["doc_id", "version"]).dropDuplicates(["id"])
-    sets = staged(texts.select("id", "text").mapInPandas(_sets(k), "id long, shingles binary"), "sets")
+    # texts stay where they lie: only sets of wanted rows, and of those that share a bit with one, are made and moved
+    at = F.xxhash64("doc_id", "version").bitwiseAND(F.lit((1 << BITS) - 1))
+    marked = texts.sparkSession.sparkContext.broadcast(bitmap(wanted, at))
+    made = texts.withColumn("at", at).mapInPandas(_sets(k, marked), "doc_id long, version long, shingles binary")
+    sets = staged(made.join(wanted, ["doc_id", "version"]).dropDuplicates(["doc_id", "version"]).select("id", "shingles"), "sets")
     links = _verified(pairs, sets, num, den)
     labels = connected_components(links)
 
@@ -173,7 +181,11 @@ def _components(classes: DataFrame, texts: DataFrame, k: int, num: int, den: int
     for r in own.mapInPandas(_tallied, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # SLOTS rows at most
         counts[r["slot"]] = r["n"]
     members = _members(staged(own.mapInPandas(_rarest(counts, num, den), "key long, id long, n long"), "rarest"))
-    links = staged(links.union(_verified(_against_first(members, num, den), sets, num, den)), "links")
+    # a pair within one component would tell nothing new
+    pairs = _against_first(members, num, den)
+    of = lambda end: labels.select(F.col("id").alias(end), F.col("label").alias(f"of_{end}"))
+    pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
+    links = staged(links.union(_verified(staged(pairs, "apart"), own, num, den)), "links")
     labels = connected_components(links)
 
     members = _open_members(members, labels)
@@ -184,7 +196,7 @@ def _components(classes: DataFrame, texts: DataFrame, k: int, num: int, den: int
     sizes = staged(clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
     dealt = clusters.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = staged(dealt.select("id", F.coalesce("label", "id").alias("label"), "cluster", "block", "blocks"), "dealt")
-    spread = dealt.join(sets, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = dealt.join(own, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "label", "shingles")
     more = spread.groupBy("cluster", "i", "j").applyInPandas(_between_blocks(num, den), "a long, b long").distinct()
     return connected_components(staged(links.union(more), "links"))

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import id_in, id_out, staged
+from evidentia.llm.common import BITS, bitmap, id_in, id_out, staged
 from evidentia.llm.spans import Span, identified, masked, sha256, written
 
 # The kinds of base spans in their order, and the characters of their patterns.
@@ -46,7 +46,6 @@ REACH = 5  # words on either side of an entity that are its surroundings
 DISCLOSES = 0.8  # least share of the entity's information that a telling term discloses
 LEAVES = 1.0  # most bits that it leaves open
 Z = 1.28  # of the Wilson interval: nine in ten true ratios are above its lower end
-BITS = 26  # of the digests in the map of wanted terms, which has 2^26 bits = 8 MB whatever their number
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
 
 
@@ -165,17 +164,6 @@ def _terms(text: str) -> tuple[list[Span], set[str]]:
     return spans, set(map(term, {m[0] for m in pieces(text, spans)} if spans else set(WORD.findall(text)))) - {""}
 
 
-def _marked(terms: DataFrame) -> bytes:
-    """A map of 2^BITS bits with those of the terms' digests set: what isn't marked is not among the terms."""
-    at = (F.crc32("term").bitwiseAND(F.lit((1 << BITS) - 1)) + 1).alias("at")  # buckets of 2^15 begin with the number 1
-    made = terms.select(at).groupBy(F.call_function("bitmap_bucket_number", F.col("at")).alias("bucket"))
-    made = made.agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", F.col("at"))).alias("bits"))
-    out = bytearray(1 << (BITS - 3))
-    for r in made.collect():  # 2^(BITS - 15) rows of 4 KB at most
-        out[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = r["bits"]
-    return bytes(out)
-
-
 def _has(bits: bytes, found: str) -> bool:
     at = zlib.crc32(found.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
     return bool(bits[at >> 3] >> (at & 7) & 1)
@@ -183,7 +171,7 @@ def _has(bits: bytes, found: str) -> bool:
 
 def _occurrences(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """``(term, n_seen)``: how many documents hold each wanted term."""
-    marked = texts.sparkSession.sparkContext.broadcast(_marked(wanted))
+    marked = texts.sparkSession.sparkContext.broadcast(bitmap(wanted, F.crc32("term")))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits, seen = marked.value, Counter()
@@ -203,7 +191,7 @@ def _occurrences(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _places(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """``(doc_id, version, start, end)``: where every document holds the wanted terms."""
-    marked, columns = texts.sparkSession.sparkContext.broadcast(_marked(wanted)), ["doc_id", "version", "term", "start", "end"]
+    marked, columns = texts.sparkSession.sparkContext.broadcast(bitmap(wanted, F.crc32("term"))), ["doc_id", "version", "term", "start", "end"]
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = marked.value
