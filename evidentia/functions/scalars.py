@@ -82,6 +82,18 @@ def list_union(*cols: Column) -> Column:
     return F.when(F.coalesce(*cols).isNotNull(), both)
 
 
+def list_clean(col: Column, only: str | None = None, drop: Sequence[str] = ("-", ""), suffix: str | None = None) -> Column:
+    """B9.  The distinct elements of a delimited cell (``;`` or ``,``): without placeholders, without a suffix pattern, only those
+    that start with ``only``."""
+    out = F.transform(F.split(col, "[;,]"), lambda x: F.trim(x))
+    if suffix:
+        out = F.transform(out, lambda x: F.regexp_replace(x, suffix, ""))
+    out = F.filter(out, lambda x: ~x.isin(*drop))
+    if only:
+        out = F.filter(out, lambda x: x.startswith(only))
+    return F.array_sort(F.array_distinct(out))
+
+
 def second_smallest(col: Column) -> Column:
     """B10.  The second of the sorted values, or the only one."""
     values = F.array_sort(F.array_compact(F.transform(col, lambda x: x.try_cast("double"))))
@@ -136,6 +148,18 @@ def rewrite(col: Column, pairs: Mapping[str, str]) -> Column:
     return col
 
 
+def insert_masses(seq: Column, mods: Column) -> Column:
+    """B18.  ``[mass]`` behind the residues that an array of ``(location, mass)`` names (1-based)."""
+    own = lambda i: F.filter(mods, lambda m: m["location"] == i + 1)
+    return F.array_join(F.transform(F.split(seq, ""), lambda x, i: F.concat(x, F.array_join(F.transform(own(i), lambda m: F.concat(F.lit("["), m["mass"].cast("string"), F.lit("]"))), ""))), "")
+
+
+def flanked(seq: Column, pre: Column | str = "-", post: Column | str = "-") -> Column:
+    """B18.  ``pre.SEQ.post``."""
+    side = lambda x: F.lit(x) if isinstance(x, str) else x
+    return F.concat(side(pre), F.lit("."), seq, F.lit("."), side(post))
+
+
 def first_substitution(col: Column, pairs: Sequence[tuple[str, str]]) -> Column:
     """B26.  Only the first pattern that matches is replaced."""
     out = None
@@ -203,11 +227,11 @@ def charge_one_hots(charge: Column, charges: Sequence[int] = (1, 2, 3, 4, 5)) ->
 
 
 def tryptic_flags(flanked: Column) -> dict[str, Column]:
-    """B17.  Of ``K.PEPTIDE.R``: does a cut after K or R explain either end."""
+    """B17.  Of ``K.PEPTIDE.R``: does a cut after K or R, but not before P, explain either end; K and R in all."""
     return {
-        "enz_n": (flanked.rlike(r"^[KR\-]\.")).cast("int"),
-        "enz_c": (flanked.rlike(r"[KR]\.[^.]*$") | flanked.endswith(".-")).cast("int"),
-        "n_kr": F.length(F.regexp_replace(strip_termini(flanked), "[^KR]", "")),
+        "enz_n": flanked.rlike(r"^([KR]\.[^P]|-)").cast("int"),
+        "enz_c": flanked.rlike(r"[KR](\[[^\]]*\])?\.[^P]$|-$").cast("int"),
+        "n_kr": F.length(F.regexp_replace(F.upper(flanked), "[^KR]", "")),
     }
 
 

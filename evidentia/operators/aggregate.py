@@ -43,6 +43,17 @@ def numbered(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFra
     return ranged.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_pos")).select(*df.columns, name)
 
 
+def running_sums(df: DataFrame, order: Sequence[Column | str], sums: Mapping[str, str]) -> DataFrame:
+    """Adds running sums (``{name: column}``) in an order that leaves no ties, over range partitions and the sums before each."""
+    ranged = settled(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row for each partition
+    whole = ranged.groupBy("_part").agg(*[F.sum(c).alias(f"_all_{n}") for n, c in sums.items()])
+    offsets = whole.select("_part", *[F.coalesce(F.sum(f"_all_{n}").over(before), F.lit(0)).alias(f"_before_{n}") for n in sums])
+    run = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    made = ranged.withColumns({f"_run_{n}": F.sum(c).over(run) for n, c in sums.items()}).join(F.broadcast(offsets), "_part")
+    return made.select(*df.columns, *[(F.col(f"_before_{n}") + F.col(f"_run_{n}")).alias(n) for n in sums])
+
+
 def assign_ids(df: DataFrame, prefix: str, order: Sequence[Column | str], name: str, part: Sequence[str] = ()) -> DataFrame:
     """E4.  ``<prefix>0`` .. in the given order, over all rows or within parts."""
     if part:
@@ -141,6 +152,29 @@ def count_patterns(df: DataFrame, id_col: str, text: str, patterns: Mapping[str,
     return df.select(id_col, *[F.regexp_count(text, F.lit(p)).cast("long").alias(n) for n, p in patterns.items()])
 
 
+def count_mods(df: DataFrame, id_col: str, list_col: str, pattern: str, name: str = "modification", n: str = "n") -> DataFrame:
+    """D14.  ``(id, modification, n)``: modifications as a pattern of one group finds them, and in how many distinct elements of the
+    row's list each occurs."""
+    each = df.select(id_col, F.explode(F.array_distinct(list_col)).alias("_p"))
+    found = each.select(id_col, F.explode(F.array_distinct(F.regexp_extract_all("_p", F.lit(pattern), F.lit(1)))).alias(name))
+    return found.groupBy(id_col, name).agg(F.count("*").alias(n))
+
+
+def mods_cell(counts: DataFrame, id_col: str, name: str = "modification", n: str = "n") -> DataFrame:
+    """D14.  One cell ``name n|name n`` a row, by name."""
+    cell = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(name, n))), lambda x: F.concat_ws(" ", x[name], x[n].cast("string"))), "|")
+    return counts.groupBy(id_col).agg(cell.alias("mods"))
+
+
+def mod_matrix(df: DataFrame, id_col: str, cell: str, names: Sequence[str]) -> DataFrame:
+    """D14.  Cells read back: a column for each name, 0 where it is absent, and each one's share of the row's total."""
+    each = df.select(id_col, F.explode(F.split(cell, r"\|")).alias("_c"))
+    each = each.select(id_col, F.regexp_extract("_c", r"^(.*) \d+$", 1).alias("_m"), F.regexp_extract("_c", r" (\d+)$", 1).cast("long").alias("_n"))
+    wide = each.groupBy(id_col).pivot("_m", list(names)).agg(F.sum("_n")).fillna(0)
+    total = sum((F.col(f"`{x}`") for x in names), F.lit(0))
+    return wide.select("*", *[F.try_divide(F.col(f"`{x}`").cast("double"), total).alias(f"{x}_share") for x in names])
+
+
 def count_pivot(df: DataFrame, key: str, item: str, items: Sequence[str], value: Column | None = None) -> DataFrame:
     """D15, F5.  Counts (or sums) by item in columns, 0 where there is none."""
     return df.groupBy(key).pivot(item, list(items)).agg(F.count(F.lit(1)) if value is None else F.sum(value)).fillna(0)
@@ -168,7 +202,7 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     n = df.groupBy(a, b).agg(F.count("*").alias("n"))
     rows, cols = n.groupBy(a).agg(F.sum("n").alias("n_a")), n.groupBy(b).agg(F.sum("n").alias("n_b"))
     total = rows.agg(F.sum("n_a").alias("total"))
-    grid = rows.join(F.broadcast(cols)).join(F.broadcast(total))  # levels by levels: what the table is
+    grid = rows.crossJoin(cols).join(F.broadcast(total))  # levels by levels: what the table is; total is one row
     made = grid.join(n, [a, b], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return made.withColumn("expected", F.col("n_a") * F.col("n_b") / F.col("total"))
 
@@ -221,8 +255,28 @@ def summarise(df: DataFrame, cols: Sequence[str], by: str) -> DataFrame:
     return long.groupBy(by, "metric").agg(F.avg("value").alias("mean"), F.stddev("value").alias("sd"))
 
 
+def percent_change(summary: DataFrame, by: str, a: object, b: object) -> DataFrame:
+    """D23.  ``(b - a) / a`` of each metric's mean between two groups of a summary; null where a is 0."""
+    mean = lambda x: F.max(F.when(F.col(by) == x, F.col("mean")))
+    both = summary.groupBy("metric").agg(mean(a).alias("mean_a"), mean(b).alias("mean_b"))
+    return both.withColumn("change", F.try_divide(F.col("mean_b") - F.col("mean_a"), F.col("mean_a")))
+
+
+def to_wide(df: DataFrame, keys: Sequence[str], name: str, value: str, names: Sequence[str]) -> DataFrame:
+    """D28.  A column for each name; null where a key has none."""
+    return df.groupBy(*keys).pivot(name, list(names)).agg(F.first(value))
+
+
+def transpose(df: DataFrame, name: str, rows: Sequence[str], by: str = "column") -> DataFrame:
+    """D28.  Columns become rows and the named rows columns."""
+    cols = [c for c in df.columns if c != name]
+    long = df.select(name, *[F.col(c).cast("string").alias(c) for c in cols]).unpivot([name], cols, by, "_v")
+    return to_wide(long, [by], name, "_v", rows)
+
+
 def empai(proteins: DataFrame, id_col: str, seq: str, peptides: DataFrame, peptide: str, mass_range: tuple[float, float] = (600.0, 3500.0)) -> DataFrame:
-    """D24.  10 ** (observed / observable) - 1; observable: tryptic peptides in the mass range, observed: distinct peptides."""
+    """D24.  10 ** (observed / observable) - 1; observable: tryptic peptides in the mass range, observed: distinct peptides.
+    Proteins without an observable or an observed peptide have none."""
     pieces = proteins.select(id_col, F.explode(F.array_distinct(F.split(seq, "(?<=[KR])(?!P)"))).alias("_p")).filter(F.col("_p") != "")
     able = pieces.filter(monoisotopic_mass(F.col("_p")).between(*mass_range)).groupBy(id_col).agg(F.count("*").alias("observable"))
     seen = peptides.select(id_col, peptide).distinct().groupBy(id_col).agg(F.count("*").alias("observed"))

@@ -19,6 +19,8 @@ def settled(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base}/graph-{uuid.uuid4().hex}"
@@ -52,17 +54,22 @@ def unify_groups(df: DataFrame, id_col: str, groups: str, none: str = "U") -> Da
 
 
 def closure(edges: DataFrame, child: str, parent: str, most_rounds: int = 100) -> DataFrame:
-    """I2, I3.  ``(node, ancestor, depth)`` for all ancestors by the shortest path; the paths double each round."""
-    known = settled(edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).filter("node <> ancestor").distinct().withColumn("depth", F.lit(1)))
-    n: tuple = ()
+    """I2, I3.  ``(node, ancestor, depth)`` for all ancestors by the shortest path.
+
+    Each round joins what the last one found with all that is known by then, so paths double and old pairs aren't joined again:
+    a shortest path of n edges has its first half, rounded up to the last power of two, among the pairs of the round before.
+    """
+    pair = ["node", "ancestor"]
+    fresh = known = settled(edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).filter("node <> ancestor").distinct().withColumn("depth", F.lit(1)))
     for _ in range(most_rounds):
         onward = known.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("far"), F.col("depth").alias("more"))
-        longer = known.join(onward, "ancestor").select("node", F.col("far").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
-        new = settled(known.unionByName(longer).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")))
-        total = new.agg(F.count("*").alias("n"), F.sum("depth").alias("d")).first()
-        if (total["n"], total["d"]) == n:
-            return new
-        known, n = new, (total["n"], total["d"])
+        longer = fresh.join(onward, "ancestor").select("node", F.col("far").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
+        longer = longer.groupBy(*pair).agg(F.min("depth").alias("depth"))
+        before = known.select(*pair, F.col("depth").alias("was"))
+        fresh = settled(longer.join(before, pair, "left").filter("was is null or depth < was").select(*pair, "depth"))
+        if fresh.isEmpty():
+            return known
+        known = settled(known.join(fresh, pair, "left_anti").unionByName(fresh))
     raise RuntimeError("closure did not settle")
 
 
@@ -126,26 +133,22 @@ def best_match_average(terms: DataFrame, similarity: DataFrame, entity: str, ter
     return each.groupBy(F.least("e1", "e2").alias("e1"), F.greatest("e1", "e2").alias("e2")).agg(F.avg("_m").alias("similarity"))
 
 
-def select_parents(closed: DataFrame, level: DataFrame, n: int, min_level: int = 2, most: int = 10_000) -> DataFrame:
+def select_parents(closed: DataFrame, level: DataFrame, n: int, min_level: int = 2) -> DataFrame:
     """I7.  Up to n representative terms: those with at most 1/n of all terms below them and deep enough, greedily by the
-    number below them, passing over what stands under a chosen one.
-
-    Only candidates reach the driver: at most ``most``, the largest; their number is that of an ontology's upper terms.
+    number below them, passing over what stands under a chosen one.  Each of the n rounds takes the best that is left by
+    one aggregate; only it reaches the driver.
     """
-    spark = closed.sparkSession
-    below = n_descendants(closed)
     total = level.count()
-    ranked = below.join(level, "node").filter((F.col("n_children") <= total / n) & (F.col("level") >= min_level)).orderBy(F.desc("n_children"), "node").limit(most)
-    candidates = settled(ranked)
-    pairs = closed.join(candidates.select("node"), "node", "left_semi").join(candidates.select(F.col("node").alias("ancestor")), "ancestor", "left_semi")
-    above: dict = {}
-    for r in pairs.select("node", "ancestor").toLocalIterator():
-        above.setdefault(r["node"], set()).add(r["ancestor"])
-    chosen: list = []
-    for r in candidates.orderBy(F.desc("n_children"), "node").collect():
-        if len(chosen) < n and not above.get(r["node"], set()) & set(chosen):
-            chosen.append(r["node"])
-    return spark.createDataFrame([(c,) for c in chosen], candidates.select("node").schema)
+    left = n_descendants(closed).join(level, "node").filter((F.col("n_children") <= total / n) & (F.col("level") >= min_level))
+    left, chosen = settled(left.select("node", "n_children")), []
+    for _ in range(n):
+        best = left.agg(F.min_by("node", F.struct(-F.col("n_children"), F.col("node"))).alias("node")).first()["node"]
+        if best is None:
+            break
+        chosen.append(best)
+        under = closed.filter(F.col("ancestor") == best).select("node")
+        left = settled(left.filter(F.col("node") != best).join(under, "node", "left_anti"))
+    return closed.sparkSession.createDataFrame([(c,) for c in chosen], level.select("node").schema)
 
 
 def assign_category(items: DataFrame, item: str, term: str, mapping: DataFrame, parent: str, priority: list | None = None) -> DataFrame:

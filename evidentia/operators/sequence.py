@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from evidentia.operators.windows import interval_coverage
 
-# Classes of residues by their side chains.
+# Classes of residues (NP non-polar, PN polar neutral, PA polar acidic, PB polar basic).
 RESIDUE_CLASS = {
-    "A": "aliphatic", "G": "aliphatic", "I": "aliphatic", "L": "aliphatic", "V": "aliphatic", "M": "sulfur", "C": "sulfur", "F": "aromatic", "W": "aromatic",
-    "Y": "aromatic", "S": "hydroxyl", "T": "hydroxyl", "N": "amide", "Q": "amide", "D": "acidic", "E": "acidic", "H": "basic", "K": "basic", "R": "basic", "P": "imino",
+    "A": "NP", "C": "PN", "D": "PA", "E": "PA", "F": "NP", "G": "NP", "H": "PB", "I": "NP", "K": "PB", "L": "NP", "M": "NP", "N": "PN", "O": "PB", "P": "NP", "Q": "PN",
+    "R": "PB", "S": "PN", "T": "PN", "U": "PA", "V": "NP", "W": "NP", "Y": "PN",
 }
 
 
@@ -41,11 +41,17 @@ def tokens(aligned: Column) -> Column:
     return F.regexp_extract_all(aligned, F.lit(r"(\[[A-Z]+\]|.)"), F.lit(1))
 
 
-def merge_alignments(df: DataFrame, part: Sequence[str], aligned: str) -> DataFrame:
-    """G2.  Position by position the letters that occur: a gap if none, the letter if one, else all in a bracket, sorted."""
-    each = df.select(*part, F.posexplode(tokens(F.col(aligned))).alias("pos", "_t"))
-    letters = F.filter(F.split(F.regexp_replace("_t", r"[\[\]]", ""), ""), lambda x: ~x.isin("", "-"))
-    at = each.groupBy(*part, "pos").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(letters)))).alias("_a"))
+def merge_alignments(df: DataFrame, part: Sequence[str], aligned: str, order: str | None = None) -> DataFrame:
+    """G2.  Position by position the letters that occur: a gap if none, the letter if one, else all in a bracket, in the order of the
+    rows that brought them (``order``), or sorted where no order is given."""
+    came = F.lit(0) if order is None else F.col(order)
+    each = df.select(*part, came.alias("_o"), F.posexplode(tokens(F.col(aligned))).alias("pos", "_t"))
+    each = each.select(*part, "pos", "_o", F.posexplode(F.split(F.regexp_replace("_t", r"[\[\]]", ""), "")).alias("_i", "_l"))
+    if order is None:
+        each = each.withColumn("_i", F.lit(0))
+    first = each.groupBy(*part, "pos", "_l").agg(F.min(F.struct("_o", "_i")).alias("_f"))
+    letter = F.when(~F.col("_l").isin("", "-"), F.struct("_f", "_l"))
+    at = first.groupBy(*part, "pos").agg(F.transform(F.array_sort(F.collect_list(letter)), lambda x: x["_l"]).alias("_a"))
     written = F.when(F.size("_a") == 0, "-").when(F.size("_a") == 1, F.get("_a", F.lit(0))).otherwise(F.concat(F.lit("["), F.array_join("_a", ""), F.lit("]")))
     joined = at.withColumn("_w", written).groupBy(*part).agg(F.sort_array(F.collect_list(F.struct("pos", "_w"))).alias("_all"))
     return joined.select(*part, F.array_join(F.transform("_all", lambda x: x["_w"]), "").alias("consensus"))
@@ -75,6 +81,18 @@ def coverage_by_source(df: DataFrame, part: str, source: str, sources: Sequence[
     return each.join(interval_coverage(df, [part], start, end).select(part, F.col("covered").alias("total")), part)
 
 
+def coverage_contribution(df: DataFrame, part: str, source: str, kind: str, sources: Sequence[str], kinds: Sequence[str], start: str, end: str) -> DataFrame:
+    """G4.  Covered length and number of rows by source, by kind of alignment and of rows without a source, in columns; 0 where
+    there is nothing; and the number of all rows."""
+    named = F.coalesce(F.nullif(F.col(source), F.lit("unknown")), F.lit("unidentified"))
+    both = df.withColumn("_of", F.explode(F.array(F.concat(F.lit("source_"), named), F.concat(F.lit("kind_"), F.col(kind)))))
+    columns = [*[f"source_{s}" for s in sources], "source_unidentified", *[f"kind_{k}" for k in kinds]]
+    covered = interval_coverage(both, [part, "_of"], start, end).select(part, "_of", F.col("covered").cast("long").alias("covered"))
+    counted = both.groupBy(part, "_of").agg(F.count("*").alias("n"))
+    wide = counted.join(covered, [part, "_of"], "left").groupBy(part).pivot("_of", columns).agg(F.sum("covered").alias("covered"), F.sum("n").alias("n")).fillna(0)
+    return wide.join(df.groupBy(part).agg(F.count("*").alias("n_all")), part)
+
+
 def coverage_without(df: DataFrame, part: str, source: str, sources: Sequence[str], start: str, end: str) -> DataFrame:
     """G5.  Covered length without each source's rows; 0 where nothing is left."""
     out = df.withColumn("left_out", F.explode(F.array(*[F.lit(s) for s in sources])))  # as many copies as sources

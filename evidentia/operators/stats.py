@@ -6,13 +6,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from evidentia.operators.aggregate import numbered
+from evidentia.operators.aggregate import numbered, running_sums
 
 
 @F.pandas_udf(DoubleType())
@@ -30,8 +31,11 @@ def chi2_tail_df1(x: pd.Series) -> pd.Series:
 def average_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Adds ``rank`` (mean over ties) and ``ties``: from counts by value, so what is ordered are distinct values."""
     n = df.groupBy(*by, value).agg(F.count("*").alias("ties"))
-    before = F.coalesce(F.sum("ties").over(W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return df.join(n.withColumn("rank", before + (F.col("ties") + 1) / 2), [*by, value])
+    if by:
+        n = n.withColumn("_run", F.sum("ties").over(W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, 0)))
+    else:
+        n = running_sums(n, [value], {"_run": "ties"})
+    return df.join(n.withColumn("rank", F.col("_run") - (F.col("ties") - 1) / 2).drop("_run"), [*by, value])
 
 
 def rank_sum(df: DataFrame, value: str, group: str, a: str, b: str) -> DataFrame:
@@ -68,18 +72,96 @@ def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
     return s.select("n", "df", h.alias("h"))
 
 
+def upper_gamma(a: float, x: float) -> float:
+    """Q(a, x), the regularised upper incomplete gamma function: a series below a + 1, a continued fraction above."""
+    if x <= 0:
+        return 1.0
+    scale = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x < a + 1:
+        term = total = 1 / a
+        n = a
+        while term > total * 1e-15:
+            n += 1
+            term *= x / n
+            total += term
+        return 1 - total * scale
+    b, c = x + 1 - a, 1e300
+    d = 1 / b
+    out = d
+    for i in range(1, 10_000):
+        b += 2
+        d = 1 / (b - i * (i - a) * d)
+        c = b - i * (i - a) / c
+        out *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    return out * scale
+
+
+def incomplete_beta(a: float, b: float, x: float) -> float:
+    """I_x(a, b), the regularised incomplete beta function, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - incomplete_beta(b, a, 1 - x)
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
+    out = d
+    for m in range(1, 10_000):
+        for e in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / (1 + e * d), 1 + e / c
+            out *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    return out * math.exp(a * math.log(x) + b * math.log(1 - x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)) / a
+
+
+@F.pandas_udf(DoubleType())
+def chi2_tail(x: pd.Series, df: pd.Series) -> pd.Series:
+    """P(chi-square with df degrees of freedom >= x)."""
+    return pd.Series([None if pd.isna(v) or not k else upper_gamma(k / 2, v / 2) for v, k in zip(x, df, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(DoubleType())
+def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
+    """P(|T| >= |t|) with df degrees of freedom."""
+    return pd.Series([None if pd.isna(v) or k <= 0 else incomplete_beta(k / 2, 0.5, k / (k + v * v)) for v, k in zip(t, df, strict=True)], dtype="float64")
+
+
+def one_sided(p: Column, z: Column, alternative: str) -> Column:
+    """The p-value of ``greater`` or ``less`` from a two-sided one."""
+    toward = z >= 0 if alternative == "greater" else z <= 0
+    return F.when(toward, p / 2).otherwise(1 - p / 2)
+
+
+def alternatives(df: DataFrame, z: str = "z") -> DataFrame:
+    """K1, K2.  Adds ``p``, ``p_greater`` and ``p_less`` by the normal approximation."""
+    p = df.withColumn("p", normal_two_sided(z))
+    return p.withColumns({f"p_{a}": one_sided(F.col("p"), F.col(z), a) for a in ("greater", "less")})
+
+
 def cor_test(df: DataFrame, x: str, y: str) -> DataFrame:
-    """K4.  Pearson's r, n and t."""
+    """K4.  Pearson's r, n, t and its two-sided p."""
     s = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).agg(F.corr(x, y).alias("r"), F.count("*").alias("n"))
-    return s.withColumn("t", F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r"))))
+    s = s.withColumn("t", F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r"))))
+    return s.withColumn("p", t_two_sided("t", F.col("n") - 2))
 
 
 def ks2(df: DataFrame, value: str, group: str, a: str, b: str) -> DataFrame:
-    """K5.  The largest difference of two groups' distribution functions."""
+    """K5.  The largest difference of two groups' distribution functions, and its asymptotic p (Kolmogorov's series)."""
     at = df.filter(F.col(group).isin(a, b) & F.col(value).isNotNull()).groupBy(value).agg(F.count_if(F.col(group) == a).alias("_a"), F.count_if(F.col(group) == b).alias("_b"))
-    run, whole = W.orderBy(value), W.partitionBy(F.lit(1))
-    share = lambda c: F.sum(c).over(run) / F.sum(c).over(whole)
-    return at.select((share("_a") - share("_b")).alias("_d")).agg(F.max(F.abs("_d")).alias("d")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "d")
+    n = at.agg(F.sum("_a").alias("_na"), F.sum("_b").alias("_nb"))
+    run = running_sums(at, [value], {"_ra": "_a", "_rb": "_b"}).join(F.broadcast(n))  # one row
+    d = run.groupBy("_na", "_nb").agg(F.max(F.abs(F.col("_ra") / F.col("_na") - F.col("_rb") / F.col("_nb"))).alias("d"))
+    effective = F.col("_na") * F.col("_nb") / (F.col("_na") + F.col("_nb")) * F.col("d") * F.col("d")
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * effective))
+    return d.select(F.lit(a).alias("a"), F.lit(b).alias("b"), "d", F.when(effective < 0.01, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), series))).alias("p"))
+
+
+def chi_square_table(ct: DataFrame, a: str, b: str, n: str = "n") -> DataFrame:
+    """K6.  The test of a whole r x c contingency table: statistic, degrees of freedom and p."""
+    s = ct.agg(F.sum(F.pow(F.col(n) - F.col("expected"), F.lit(2.0)) / F.col("expected")).alias("chi2"), F.count_distinct(a).alias("_r"), F.count_distinct(b).alias("_c"))
+    s = s.select("chi2", ((F.col("_r") - 1) * (F.col("_c") - 1)).alias("df"))
+    return s.withColumn("p", chi2_tail("chi2", "df"))
 
 
 def one_vs_rest(ct: DataFrame, n: str = "n") -> DataFrame:
@@ -131,8 +213,14 @@ def hypergeometric_tail(k: pd.Series, n: pd.Series, m: pd.Series, total: pd.Seri
         return math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
 
     def tail(k: int, n: int, m: int, total: int) -> float:
-        top = min(n, m)
-        return min(1.0, sum(math.exp(log_choose(m, i) + log_choose(total - m, n - i) - log_choose(total, n)) for i in range(max(k, n + m - total), top + 1)))
+        low, top = max(k, n + m - total, 0), min(n, m)
+        if low > top:
+            return 0.0
+        first = log_choose(m, low) + log_choose(total - m, n - low) - log_choose(total, n)
+        i = np.arange(low, top, dtype=float)  # each term from the one before
+        steps = np.log((m - i) * (n - i)) - np.log((i + 1) * (total - m - n + i + 1))
+        logs = first + np.concatenate([[0.0], np.cumsum(steps)])
+        return min(1.0, float(np.exp(logs - logs.max()).sum() * math.exp(logs.max())))
 
     return pd.Series([tail(*map(int, x)) for x in zip(k, n, m, total, strict=True)], dtype="float64")
 
@@ -171,13 +259,22 @@ def running_sum_es(ranked: DataFrame, entity: str, score: str, sets: DataFrame,
 
 
 def gsea(ranked: DataFrame, entity: str, score: str, sets: DataFrame, set_name: str, n_perm: int = 100, seed: int = 1) -> DataFrame:
-    """K10.  Scores with permutation p-values: a replicate column, and in each replicate members drawn anew by hashed rank."""
+    """K10.  Scores with permutation p-values: a replicate column, and in each replicate as many members drawn anew, none twice.
+
+    Replicate r of a set takes the places ``(x * i + y) mod p`` for i = 0, 1 .., with p the first prime from the number of entities on and x, y
+    hashed from both: these differ for different i, and what lies beyond the last place is passed over.
+    """
     real = running_sum_es(ranked, entity, score, sets, set_name)
-    places = numbered(ranked.select(entity), [entity], "_k").withColumn("_k", F.col("_k") + 1)
-    drawn = sets.select(set_name, entity).distinct().join(places, entity).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
+    places = numbered(ranked.select(entity), [entity], "_k")
     n = ranked.count()
-    drawn = drawn.withColumn("_to", F.pmod(F.xxhash64("rep", F.lit(seed), set_name, "_k"), F.lit(n)) + 1)
-    named = places.select(F.col("_k").alias("_to"), F.col(entity).alias("_e"))
-    fake = drawn.join(named, "_to").select(F.concat_ws("\x1f", set_name, F.col("rep").cast("string")).alias("_sr"), F.col("_e").alias(entity))
+    prime = next(q for q in range(max(n, 2), 2 * n + 3) if all(q % f for f in range(2, math.isqrt(q) + 1)))
+    sizes = sets.select(set_name, entity).distinct().join(ranked.select(entity), entity, "left_semi").groupBy(set_name).agg(F.count("*").alias("_m"))
+    drawn = sizes.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
+    hashed = lambda salt, mod: F.pmod(F.xxhash64("rep", F.lit(seed + salt), set_name), F.lit(mod))
+    drawn = drawn.withColumns({"_x": hashed(0, prime - 1) + 1, "_y": hashed(1, prime)})
+    drawn = drawn.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1 + (prime - n))))
+    drawn = drawn.withColumn("_k", (F.col("_x") * F.col("_i") + F.col("_y")) % prime).filter(F.col("_k") < n)
+    drawn = drawn.withColumn("_nth", F.row_number().over(W.partitionBy(set_name, "rep").orderBy("_i"))).filter("_nth <= _m")
+    fake = drawn.join(places, "_k").select(F.concat_ws("\x1f", set_name, F.col("rep").cast("string")).alias("_sr"), entity)
     null = running_sum_es(ranked, entity, score, fake, "_sr").select(F.split("_sr", "\x1f")[0].alias(set_name), F.col("es").alias("_null"))
     return real.join(null, set_name).groupBy(set_name, "es", "n_members").agg(((F.count_if(F.col("_null") >= F.col("es")) + 1) / (F.count("*") + 1)).alias("p"))

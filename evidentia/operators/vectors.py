@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evidentia.operators.aggregate import numbered
-from evidentia.operators.graph import components
+from evidentia.operators.aggregate import numbered, running_sums
+from evidentia.operators.graph import components, settled
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -58,9 +58,8 @@ def empirical_p(stats: DataFrame, stat: str, null: DataFrame, value: str, tail:
     Both are ranked in one ordered pass: the null's running count at each statistic's place.
     """
     n = null.agg(F.count("*").alias("_total"))
-    side = F.asc if tail == "left" else F.desc
     both = stats.withColumn("_v", F.col(stat)).withColumn("_null", F.lit(0)).unionByName(null.select(F.col(value).alias("_v"), F.lit(1).alias("_null")), allowMissingColumns=True)
-    beyond = both.groupBy("_v").agg(F.sum("_null").alias("_n")).withColumn("_c", F.sum("_n").over(W.orderBy(side("_v"))))
+    beyond = running_sums(both.groupBy("_v").agg(F.sum("_null").alias("_n")), [F.asc("_v") if tail == "left" else F.desc("_v")], {"_c": "_n"})
     return stats.join(beyond.select(F.col("_v").alias(stat), "_c"), stat).join(F.broadcast(n)).withColumn("p", F.col("_c") / F.col("_total")).drop("_c", "_total")
 
 
@@ -69,27 +68,47 @@ def cluster_at(pairs: DataFrame, cutoff: float) -> DataFrame:
     return components(pairs.filter(F.col("distance") <= cutoff), "a", "b")
 
 
-def profile_distance(counts: DataFrame, entity: str, feature: str, n: str) -> DataFrame:
-    """J6.  Bray-Curtis and quantitative Jaccard distance of all pairs of entities' count profiles."""
-    total = counts.groupBy(entity).agg(F.sum(n).alias("_t"))
-    x = counts.select(F.col(entity).alias("a"), feature, F.col(n).alias("_x"))
-    y = counts.select(F.col(entity).alias("b"), feature, F.col(n).alias("_y"))
-    shared = x.join(y, feature).filter("a < b").groupBy("a", "b").agg(F.sum(F.least("_x", "_y")).alias("_m"))
-    ends = total.select(F.col(entity).alias("a"), F.col("_t").alias("_ta")), total.select(F.col(entity).alias("b"), F.col("_t").alias("_tb"))
-    made = shared.join(ends[0], "a").join(ends[1], "b").withColumn("bray_curtis", 1 - 2 * F.col("_m") / (F.col("_ta") + F.col("_tb")))
+def profile_distance(counts: DataFrame, entity: str, feature: str, n: str, block: int = 256) -> DataFrame:
+    """J6.  Bray-Curtis and quantitative Jaccard distance of all pairs of entities' count profiles; 1 where they share nothing.
+
+    Counts are summed up by entity into a map first.  Pairs are made as in ``pairwise``: all of them are the result.
+    """
+    profile = counts.groupBy(entity, feature).agg(F.sum(n).alias("_n")).groupBy(entity).agg(F.map_from_entries(F.collect_list(F.struct(feature, "_n"))).alias("_p"), F.sum("_n").alias("_t"))
+    profile = settled(profile)
+    blocks = max(1, -(-profile.count() // block))
+    left = profile.select(F.col(entity).alias("a"), F.col("_p").alias("_pa"), F.col("_t").alias("_ta"), F.pmod(F.xxhash64(entity), F.lit(blocks)).alias("i"))
+    right = profile.select(F.col(entity).alias("b"), F.col("_p").alias("_pb"), F.col("_t").alias("_tb"), F.pmod(F.xxhash64(entity), F.lit(blocks)).alias("j"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    met = left.withColumn("j", every).join(right.withColumn("i", every), ["i", "j"]).filter("a < b")
+    both = F.aggregate(F.map_keys("_pa"), F.lit(0).cast("double"), lambda s, k: s + F.coalesce(F.least(F.try_element_at("_pa", k), F.try_element_at("_pb", k)), F.lit(0)) * F.try_element_at("_pb", k).isNotNull().cast("int"))
+    made = met.select("a", "b", (1 - 2 * both / (F.col("_ta") + F.col("_tb"))).alias("bray_curtis"))
     return made.select("a", "b", "bray_curtis", (2 * F.col("bray_curtis") / (1 + F.col("bray_curtis"))).alias("jaccard"))
 
 
 def representatives(df: DataFrame, group: str, id_col: str, seq: str, k: int = 8, least: float = 0.8) -> DataFrame:
     """J7.  Members of a group whose k-mers lie within another member's by ``least`` cluster with it; the longest stands
-    for the cluster.  K-mers of one group that many members share are counted, not paired twice."""
+    for the cluster (ties: the smallest id).
+
+    Members with the same k-mers are one.  If a set lies within another by ``least``, then so does at least one of any
+    ``n - ceil(least * n) + 1`` of its n k-mers; its rarest are taken, so what many members share isn't paired.  Candidates are
+    then compared on full sets.
+    """
     starts = F.sequence(F.lit(1), F.greatest(F.length(seq) - k + 1, F.lit(1)))
-    kmers = df.select(group, id_col, F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(seq), i, F.lit(k))))).alias("_k"))
-    size = kmers.groupBy(group, id_col).agg(F.count("*").alias("_n"))
-    a, b = kmers.withColumnRenamed(id_col, "a"), kmers.withColumnRenamed(id_col, "b")
-    shared = a.join(b, [group, "_k"]).filter("a < b").groupBy(group, "a", "b").agg(F.count("*").alias("_s"))
-    sized = shared.join(size.select(group, F.col(id_col).alias("a"), F.col("_n").alias("_na")), [group, "a"]).join(size.select(group, F.col(id_col).alias("b"), F.col("_n").alias("_nb")), [group, "b"])
-    labels = components(sized.filter(F.col("_s") >= least * F.least("_na", "_nb")), "a", "b")
+    made = df.select(group, id_col, F.array_sort(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(F.col(seq), i, F.lit(k)))))).alias("_set"))
+    made = settled(made)
+    sets = settled(made.groupBy(group, "_set").agg(F.min(id_col).alias("_id")))
+    each = sets.select(group, "_id", F.size("_set").alias("_n"), F.explode("_set").alias("_k"))
+    rare = each.join(each.groupBy(group, "_k").agg(F.count("*").alias("_f")), [group, "_k"]).filter("_f > 1 or _n = 1")
+    firsts = rare.groupBy(group, "_id", "_n").agg(F.array_sort(F.collect_list(F.struct("_f", "_k"))).alias("_all"))
+    # k-mers of one member alone come first in the order and can be passed over, but they count
+    wanted = F.col("_n") - F.ceil(F.col("_n") * least) + 1 - (F.col("_n") - F.size("_all"))
+    firsts = firsts.filter(wanted > 0).select(group, F.col("_id").alias("a"), F.explode(F.slice("_all", 1, wanted.cast("int"))).alias("_x")).select(group, "a", F.col("_x._k").alias("_k"))
+    met = firsts.join(each.select(group, F.col("_id").alias("b"), "_k"), [group, "_k"]).filter("a <> b").select(group, "a", "b").distinct()
+    side = lambda end: sets.select(group, F.col("_id").alias(end), F.col("_set").alias(f"_{end}"))
+    pairs = met.join(side("a"), [group, "a"]).join(side("b"), [group, "b"])
+    linked = pairs.filter(F.size(F.array_intersect("_a", "_b")) >= least * F.least(F.size("_a"), F.size("_b"))).select("a", "b")
+    same = made.join(sets, [group, "_set"]).filter(F.col(id_col) != F.col("_id")).select(F.col("_id").alias("a"), F.col(id_col).alias("b"))
+    labels = components(linked.union(same), "a", "b")
     own = df.join(labels.withColumnRenamed("id", id_col), id_col, "left").withColumn("cluster", F.coalesce("label", id_col)).drop("label")
     best = own.groupBy(group, "cluster").agg(F.min_by(id_col, F.struct(-F.length(seq), F.col(id_col))).alias("representative"), F.count("*").alias("n_members"))
     return own.select(group, id_col, "cluster").join(best, [group, "cluster"])

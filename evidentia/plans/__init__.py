@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that define QUERIES (name -> callable) and ORACLES (name -> SQL).
-MODULES: tuple[str, ...] = ("joining", "aggregating", "positions", "graphs", "testing", "scalars")
+MODULES: tuple[str, ...] = ("joining", "aggregating", "positions", "graphs", "testing", "scalars", "records")
 
 
 def _gather(attribute: str) -> dict:

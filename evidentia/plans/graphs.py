@@ -73,7 +73,10 @@ def wang_similarity(spark, sf_dir):
     return made.withColumn("similarity", F.round("similarity", 6))
 
 
-@R.query()
+@R.query(f"""{_DAG}, l as (select node, min(depth) as level from c where ancestor = 1 group by 1 union all select 1, 0), n as (select ancestor as node, count(distinct node) as n from c group by 1),
+k as (select node, n, row_number() over (order by n desc, node) as r from n join l using (node) where n <= (select count(*) from l) / 5 and level >= 2), u as (select distinct node, ancestor from c),
+g as (select 0::bigint as r, []::bigint[] as s union all select g.r + 1, case when len(g.s) < 5 and not exists (select 1 from u where u.node = k.node and list_contains(g.s, u.ancestor)) then list_append(g.s, k.node) else g.s end from g join k on k.r = g.r + 1)
+select unnest(s) as node from g where r = (select max(r) from g)""")
 def select_parents(spark, sf_dir):
     """Five representative nodes."""
     closed = I.closure(dag(spark, sf_dir), "child", "parent")
@@ -176,39 +179,44 @@ def group_cohesion(spark, sf_dir):
     return J.group_cohesion(J.pairwise(e, "vec_id", "embedding"), e, "vec_id", "label").withColumn("cohesion", F.round("cohesion", 6))
 
 
-@R.query("""
-with n as (select o_totalprice as v from orders where o_orderkey % 2 = 0), s as (select o_orderkey, o_totalprice as v from orders where o_orderkey % 97 = 0)
-select o_orderkey, round((select count(*) from n where n.v <= s.v) / (select count(*) from n), 9) as p from s
-""")
+@R.query("select o_orderkey, round((count(*) over (order by o_totalprice))::double / count(*) over (), 9) as p from orders")
 def empirical_p(spark, sf_dir):
-    """Prices against the distribution of even orders' prices."""
+    """Every order's price against the distribution of all."""
     o = table(spark, sf_dir, "orders")
-    stats = o.filter("o_orderkey % 97 = 0").select("o_orderkey", F.col("o_totalprice").alias("v"))
-    return J.empirical_p(stats, "v", o.filter("o_orderkey % 2 = 0"), "o_totalprice").select("o_orderkey", F.round("p", 9).alias("p"))
+    return J.empirical_p(o.select("o_orderkey", F.col("o_totalprice").alias("v")), "v", o, "o_totalprice").select("o_orderkey", F.round("p", 9).alias("p"))
 
 
-@R.query()
+@R.query("""
+with recursive e as (select vec_id, embedding::double[] as v from embeddings), d as (select a.vec_id as a, b.vec_id as b from e a join e b on a.vec_id < b.vec_id where 1 - list_cosine_similarity(a.v, b.v) <= 0.71),
+u as (select a, b from d union select b, a from d), r as (select a as id, a as root from u union select u.b, r.root from r join u on u.a = r.id) select id, min(root) as label from r group by 1
+""")
 def threshold_clusters(spark, sf_dir):
     """Components of vectors nearer than 0.71."""
     return J.cluster_at(J.pairwise(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), 0.71)
 
 
 @R.query("""
-with n as (select user_id, event_type, count(*) as n from events group by all), t as (select user_id, sum(n) as t from n group by 1),
-m as (select a.user_id as a, b.user_id as b, sum(least(a.n, b.n)) as m from n a join n b on a.event_type = b.event_type and a.user_id < b.user_id group by all)
-select a, b, round(1 - 2 * m / (x.t + y.t), 9) as bray_curtis, round(2 * (1 - 2 * m / (x.t + y.t)) / (1 + (1 - 2 * m / (x.t + y.t))), 9) as jaccard from m join t x on x.user_id = a join t y on y.user_id = b
+with e as (select user_id, event_type || (user_id % 5) as k from events), n as (select user_id, k, count(*) as n from e group by all), t as (select user_id, sum(n) as t from n group by 1),
+m as (select a.user_id as a, b.user_id as b, sum(least(a.n, b.n)) as m from n a join n b on a.k = b.k and a.user_id < b.user_id group by all), p as (select x.user_id as a, y.user_id as b, x.t + y.t as t from t x join t y on x.user_id < y.user_id),
+d as (select a, b, 1 - 2 * coalesce(m, 0) / t as d from p left join m using (a, b)) select a, b, round(d, 9) as bray_curtis, round(2 * d / (1 + d), 9) as jaccard from d
 """)
 def profile_distance(spark, sf_dir):
-    """Distances of users' profiles of events."""
-    n = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    return J.profile_distance(n, "user_id", "event_type", "n").withColumns({c: F.round(c, 9) for c in ("bray_curtis", "jaccard")})
+    """Distances of users' profiles of events; users of other classes share none."""
+    kind = F.concat("event_type", (F.col("user_id") % 5).cast("string")).alias("k")
+    n = table(spark, sf_dir, "events").groupBy("user_id", kind).agg(F.count("*").alias("n"))
+    return J.profile_distance(n, "user_id", "k", "n").withColumns({c: F.round(c, 9) for c in ("bray_curtis", "jaccard")})
 
 
-@R.query()
+@R.query("""
+with recursive k as (select distinct source, doc_id, substr(text, i, 24) as k from (select source, doc_id, text, unnest(range(1, greatest(length(text) - 23, 1) + 1)) as i from documents)), n as (select source, doc_id, count(*) as n from k group by all),
+s as (select a.source, a.doc_id as a, b.doc_id as b, count(*) as s from k a join k b on a.source = b.source and a.k = b.k and a.doc_id < b.doc_id group by all),
+e as (select a, b from s join n x on x.source = s.source and x.doc_id = a join n y on y.source = s.source and y.doc_id = b where s >= 0.8 * least(x.n, y.n)), u as (select a, b from e union select b, a from e),
+r as (select a as id, a as root from u union select u.b, r.root from r join u on u.a = r.id), l as (select id, min(root) as label from r group by 1), c as (select source, doc_id, length(text) as n, coalesce(label, doc_id) as cluster from documents left join l on id = doc_id),
+b as (select source, cluster, count(*) as n_members, arg_min(doc_id, (-n, doc_id)) as representative from c group by all) select c.source, doc_id, c.cluster, representative, n_members from c join b on b.source = c.source and b.cluster = c.cluster
+""")
 def representatives(spark, sf_dir):
-    """Documents of a source that stand for their near-copies."""
-    d = table(spark, sf_dir, "documents").withColumn("head", F.regexp_extract("text", r"^[^\n]*", 0))
-    return J.representatives(d, "source", "doc_id", "head", k=24)
+    """Documents of a source that stand for those that lie within them."""
+    return J.representatives(table(spark, sf_dir, "documents").select("source", "doc_id", "text"), "source", "doc_id", "text", k=24)
 
 
 @R.query()

@@ -256,7 +256,7 @@ with f as (select s_nationkey, min(s_suppkey) as fallback from supplier group by
 select o_orderkey, coalesce(own, fallback) as supplier, own is null as filled from orders join customer on o_custkey = c_custkey left join l on l_orderkey = o_orderkey left join f on s_nationkey = c_nationkey
 """)
 def attach_and_fill(spark, sf_dir):
-    """orders' suppliers, filled from the customer's nation where a line gives none."""
+    """orders' suppliers, filled from the customer's nation where a line gives none."""
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     own = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_suppkey").alias("own"))
     back = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(F.min("s_suppkey").alias("fallback"))
@@ -295,7 +295,7 @@ def keep_and_drop(spark, sf_dir):
 
 
 @R.query("""
-select a.doc_id from documents a where length(a.text) < 48 or not exists (select 1 from documents b where b.doc_id <> a.doc_id and length(b.text) >= 48 and contains(b.text, a.text) and (length(b.text) > length(a.text) or b.doc_id < a.doc_id))
+select a.doc_id from documents a where a.text is null or not exists (select 1 from documents b where b.doc_id <> a.doc_id and contains(b.text, a.text) and (length(b.text) > length(a.text) or b.doc_id < a.doc_id))
 """)
 def drop_contained(spark, sf_dir):
     """Documents that lie within no other."""

@@ -90,11 +90,15 @@ _D = """with d as (select doc_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g
 t as (select doc_id, i, substr(seq, i + 1, 1) as s, case when i % 11 = 0 then '-' when (i + doc_id) % 7 = 0 then 'K' else substr(seq, i + 1, 1) end as t from p)"""
 
 
-@R.query(f"{_D} select doc_id, count(*) as n, count(distinct s) as n_kinds, min(i) as first, max(i) as last from t where t <> '-' and t <> s group by 1")
+_CLASSES = "c(r, k) as (values " + ", ".join(f"('{r}', '{k}')" for r, k in G.RESIDUE_CLASS.items()) + ")"
+
+
+@R.query(f"""{_D}, {_CLASSES}, x as (select doc_id, i, s || '->' || t as change, a.k || '->' || b.k as type, (a.k = b.k)::int as conservative from t left join c a on a.r = s left join c b on b.r = t where t <> '-' and t <> s)
+select doc_id, change, type, conservative, count(*) as n, min(i) as first, max(i) as last from x group by all""")
 def mismatches(spark, sf_dir):
-    """Letters that an edited copy changes."""
+    """Letters that an edited copy changes, with the change of their class."""
     made = G.mismatches(aligned_documents(spark, sf_dir), "doc_id", "seq", "aligned")
-    return made.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct(F.substring("change", 1, 1)).alias("n_kinds"), F.min("index").cast("long").alias("first"), F.max("index").cast("long").alias("last"))
+    return made.groupBy("doc_id", "change", "type", "conservative").agg(F.count("*").alias("n"), F.min("index").cast("long").alias("first"), F.max("index").cast("long").alias("last"))
 
 
 @R.query(f"{_D} select doc_id, sum((t <> '-' and t <> s)::int)::int as n_mismatches, round(1 - sum((t = '-')::int) / count(*), 9) as coverage from t group by 1")
@@ -103,21 +107,22 @@ def alignment_metrics(spark, sf_dir):
     return G.alignment_metrics(aligned_documents(spark, sf_dir), "doc_id", "seq", "aligned").withColumn("coverage", F.round("coverage", 9))
 
 
-_B = """with b as (select item_id // 4 as part, substr(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) || repeat('-', 60), 1, 60) as a from benchmark), p as (select part, a, unnest(range(1, 61)) as i from b),
-t as (select part, i, substr(a, i, 1) as t from p)"""
+_B = """with raw as (select item_id, item_id // 4 as part, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) as a from benchmark), b as (select item_id, part, a || repeat('-', (max(length(a)) over (partition by part) - length(a))::int) as a from raw),
+p as (select item_id, part, a, unnest(range(1, length(a) + 1)) as i from b), t as (select item_id, part, i, substr(a, i, 1) as t from p)"""
 
 
 def stacked_items(spark, sf_dir):
-    """Benchmark items, four by four, as lines of 60 letters or gaps."""
-    a = F.substring(F.rpad(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), 60, "-"), 1, 60)
-    return table(spark, sf_dir, "benchmark").select(F.floor(F.col("item_id") / 4).alias("part"), a.alias("a"))
+    """Benchmark items, four by four, as lines of letters and gaps as long as the longest of the four."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.floor(F.col("item_id") / 4).alias("part"), F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("a"))
+    longest = b.groupBy("part").agg(F.max(F.length("a")).alias("n"))
+    return b.join(longest, "part").select("item_id", "part", F.concat("a", F.repeat(F.lit("-"), F.col("n") - F.length("a"))).alias("a"))
 
 
-@R.query(f"""{_B}, s as (select part, i, string_agg(distinct t, '' order by t) filter (t <> '-') as s from t group by all)
+@R.query(f"""{_B}, f as (select part, i, t, min(item_id) as f from t where t <> '-' group by all), w as (select distinct part, i from t), s as (select part, i, string_agg(t, '' order by f) as s from w left join f using (part, i) group by all)
 select part, string_agg(case when s is null then '-' when length(s) = 1 then s else '[' || s || ']' end, '' order by i) as consensus from s group by 1""")
 def consensus(spark, sf_dir):
-    """Alternatives of stacked items place by place."""
-    return G.merge_alignments(stacked_items(spark, sf_dir), ["part"], "a")
+    """Alternatives of stacked items place by place, in the order of the items."""
+    return G.merge_alignments(stacked_items(spark, sf_dir), ["part"], "a", order="item_id")
 
 
 @R.query(f"""{_B}, n as (select part, i, t, sum((t <> '-')::int) as n from t group by all), r as (select *, row_number() over (partition by part, i order by n desc, t) as r from n)
@@ -128,33 +133,43 @@ def majority_consensus(spark, sf_dir):
 
 
 @R.query("""
-with d as (select doc_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) as s from documents), t as (select doc_id, s, translate(s, 'XU', '') as clean from d where length(s) >= 10)
-select doc_id, length(s)::int as raw_length, (length(s) - length(clean))::int as n_dropped from t
+with d as (select doc_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) as s from documents), t as (select doc_id, translate(s, 'XU', '') as s from d where length(s) >= 10),
+b as (select doc_id, false as decoy, s from t union all select doc_id, true, reverse(s) from t)
+select doc_id, decoy, length(s)::int as n, regexp_replace(s, '[BNDZQEJLI]', '?', 'g') as others from b
 """)
 def target_decoy(spark, sf_dir):
-    """A target and a decoy for each long enough document; what the two share and what was dropped."""
+    """A target and a reversed decoy for each long enough document, letters that stand for two read as either."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("seq"))
     both = H.build_database([d], "doc_id", "seq")
-    target = both.filter("not decoy").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("seq").alias("t"))
-    decoy = both.filter("decoy").select(F.regexp_replace("doc_id", "rev_", "").cast("long").alias("doc_id"), F.reverse("seq").alias("r"))
-    paired = target.join(decoy, "doc_id").filter("t = r").join(d, "doc_id")
-    return paired.select("doc_id", F.length("seq").alias("raw_length"), (F.length("seq") - F.length("t")).alias("n_dropped"))
+    own = F.regexp_replace("doc_id", "rev_", "").cast("long")
+    return both.select(own.alias("doc_id"), "decoy", F.length("seq").alias("n"), F.regexp_replace("seq", "[BNDZQEJLI]", "?").alias("others"))
 
 
-@R.query("select true as balanced")
+@R.query("""
+with d as (select doc_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) as s from documents where length(regexp_replace(text, '[^A-Za-z]', '', 'g')) >= 10)
+select count(*) as n_targets, count(*) as n_decoys, true as kept_targets, true as real_decoys from d
+""")
 def balance_decoys(spark, sf_dir):
-    """H2: identified entries of the target/decoy table with as many decoys as targets."""
+    """H2: identified entries with as many decoys as targets: all targets stay, and every decoy is some target reversed."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("seq"))
     both = H.build_database([d], "doc_id", "seq")
     found = both.filter("not decoy or crc32(doc_id) % 3 = 0").select("doc_id")
     made = H.balance_decoys(found, "doc_id", both, "seq")
-    return made.agg((F.count_if("decoy") == F.count_if(~F.col("decoy"))).alias("balanced"))
+    targets = both.filter("not decoy").select(F.xxhash64("seq").alias("h"), F.lit(1).alias("t")).distinct()
+    checked = made.withColumn("h", F.xxhash64(F.when(F.col("decoy"), F.reverse("seq")).otherwise(F.col("seq")))).join(targets, "h", "left")
+    return checked.agg(
+        F.count_if(~F.col("decoy")).alias("n_targets"), F.count_if("decoy").alias("n_decoys"),
+        (F.count_distinct(F.when(~F.col("decoy"), F.col("doc_id"))) == F.count_if(~F.col("decoy"))).alias("kept_targets"), F.every(F.col("t").isNotNull()).alias("real_decoys"),
+    )
 
 
-@R.query("select source, least(count(*), 20) as n from documents group by 1")
+@R.query("select source, least(count(*), 20) as n, least(count(*), 20) as n_distinct, true as all_of_source from documents group by 1")
 def cap_per_stratum(spark, sf_dir):
-    """H3: documents of a source, 20 at most (a sampling operator)."""
-    return H.cap_per_stratum(table(spark, sf_dir, "documents"), "source", 20, "doc_id").groupBy("source").agg(F.count("*").alias("n"))
+    """H3: documents of a source, 20 different ones at most (a sampling operator)."""
+    d = table(spark, sf_dir, "documents")
+    made = H.cap_per_stratum(d, "source", 20, "doc_id").select("doc_id", "source")
+    real = d.select("doc_id", F.col("source").alias("real"))
+    return made.join(real, "doc_id").groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_distinct"), F.every(F.col("source").eqNullSafe(F.col("real"))).alias("all_of_source"))
 
 
 @R.query("""

@@ -21,7 +21,7 @@ case when regexp_matches(url, '/en/') then 'english' when regexp_matches(url, '/
 case when not contains(url, 'feed') then url end as no_feed, len(list_distinct(string_split(url, '/')))::int as n_parts from pages
 """)
 def scalar_strings(spark, sf_dir):
-    """Cleaning and classes of urls."""
+    """Cleaning and classes of urls."""
     p = table(spark, sf_dir, "pages")
     url = F.col("url")
     return p.select(
@@ -41,7 +41,7 @@ select p_partkey, p_brand || ' ' || p_name as header, coalesce(nullif(regexp_ext
 case when contains(p_type, 'E') then replace(p_type, 'E', '3') when contains(p_type, 'A') then replace(p_type, 'A', '4') else p_type end as coded, array_to_string(list_sort(list_distinct(list_concat(string_split(p_name, ' '), [p_brand]))), ';') as words from part
 """)
 def header_strings(spark, sf_dir):
-    """Headers made of part names."""
+    """Headers made of part names."""
     return table(spark, sf_dir, "part").select(
         "p_partkey",
         F.concat_ws(" ", "p_brand", "p_name").alias("header"),
@@ -110,12 +110,12 @@ def source_ids(spark, sf_dir):
 
 
 @R.query("""
-with d as (select doc_id, repeat('-', (doc_id % 5)::int) || regexp_replace(left(text, 30), '[^A-Za-z]', '', 'g') || '--' as a from documents)
+with d as (select doc_id, repeat('-', (doc_id % 5)::int) || regexp_replace(text, '[^A-Za-z]', '', 'g') || '--' as a from documents)
 select doc_id, (case when regexp_matches(a, '[A-Za-z]') then doc_id % 5 + 1 else 0 end)::int as span_start, (case when regexp_matches(a, '[A-Za-z]') then length(a) - 2 else 0 end)::int as span_end, replace(a, '-', '') as span_text from d
 """)
 def aligned_span(spark, sf_dir):
     """First and last letter of padded texts."""
-    body = F.regexp_replace(F.substring("text", 1, 30), "[^A-Za-z]", "")
+    body = F.regexp_replace("text", "[^A-Za-z]", "")
     d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.repeat(F.lit("-"), (F.col("doc_id") % 5).cast("int")), body, F.lit("--")).alias("a"))
     return d.select("doc_id", *[c.alias(n) for n, c in S.aligned_span(F.col("a")).items()])
 
@@ -127,6 +127,15 @@ def _place(spark, sf_dir, name):
     return f"{base}/scan-{uuid.uuid4().hex}/{name}"
 
 
+@R.query("select p_partkey::varchar as id, 'mutant A->T of ' || p_brand as description, p_name || p_type as seq from part")
+def fasta_scan(spark, sf_dir):
+    """A4: records with a bar in their header and sequences of two lines."""
+    path = _place(spark, sf_dir, "records")
+    p = table(spark, sf_dir, "part")
+    p.select(F.concat(F.lit(">"), F.col("p_partkey").cast("string"), F.lit(" mutant A->T of "), "p_brand", F.lit("\n"), "p_name", F.lit("\n"), "p_type")).write.text(path)
+    return io.read_fasta(spark, path)
+
+
 @R.query("select p_brand as id, string_agg(p_name, ' ' order by p_partkey) as seq from part group by 1")
 def fasta_roundtrip(spark, sf_dir):
     """A4: brands' names written as FASTA records and read back."""
@@ -158,11 +167,12 @@ def ragged_roundtrip(spark, sf_dir):
 
 @R.query("select 'T:' || p_partkey as child, 'T:' || (p_partkey // 2) as parent, 'is_a' as relation from part where p_partkey > 1")
 def obo_roundtrip(spark, sf_dir):
-    """Parts as ontology terms, written as stanzas and read back as edges."""
+    """Parts as ontology terms, written as stanzas among those of relations, and read back as edges."""
     path = _place(spark, sf_dir, "obo")
     p = table(spark, sf_dir, "part")
     up = F.when(F.col("p_partkey") > 1, F.concat(F.lit("\nis_a: T:"), F.floor(F.col("p_partkey") / 2).cast("string"), F.lit(" ! up"))).otherwise("")
-    p.select(F.concat(F.lit("[Term]\nid: T:"), F.col("p_partkey").cast("string"), F.lit("\nname: "), "p_name", F.lit("\nnamespace: parts"), up, F.lit("\n"))).write.text(path)
+    typedef = F.when(F.col("p_partkey") % 3 == 0, "\n[Typedef]\nid: regulates\nname: regulates\nis_a: T:999\n").otherwise("")
+    p.select(F.concat(F.lit("[Term]\nid: T:"), F.col("p_partkey").cast("string"), F.lit("\nname: "), "p_name", F.lit("\nnamespace: parts"), up, F.lit("\n"), typedef)).write.text(path)
     return io.read_obo(spark, path)[0]
 
 
@@ -176,23 +186,23 @@ def vocabulary_roundtrip(spark, sf_dir):
     return made.select("accession", "name", F.array_join("GO", ";").alias("go"))
 
 
-@R.query("select n_name as seqid, n_nationkey as start, n_nationkey + 10 as \"end\", r_name as attributes from nation join region on n_regionkey = r_regionkey")
+@R.query("select c_name as seqid, c_nationkey as start, c_nationkey + 10 as \"end\", c_mktsegment as attributes from customer")
 def gff_roundtrip(spark, sf_dir):
-    """Features written with comments and read back."""
+    """A10: features written with comments and read back."""
     path = _place(spark, sf_dir, "gff")
-    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    n.select(F.format_string("%s\tsrc\tnation\t%d\t%d\t.\t+\t.\t%s", "n_name", "n_nationkey", F.col("n_nationkey") + 10, "r_name").alias("value")).unionByName(spark.sql("select '#comment' as value")).write.text(path)
+    rows = F.format_string("%s\tsrc\tnation\t%d\t%d\t.\t+\t.\t%s", "c_name", "c_nationkey", F.col("c_nationkey") + 10, "c_mktsegment")
+    table(spark, sf_dir, "customer").select(rows.alias("value")).unionByName(spark.sql("select '#comment' as value")).write.text(path)
     return io.read_gff(spark, path).select("seqid", "start", "end", "attributes")
 
 
-@R.query("select r_name as \"group\", n_name as member from nation join region on n_regionkey = r_regionkey where n_nationkey < 20")
+@R.query("select p_brand || '-' || p_size as \"group\", 'm' || p_partkey as member from part where p_size < 20")
 def groups_roundtrip(spark, sf_dir):
-    """A JSON dictionary of groups, inverted and restricted to known members."""
+    """JSON dictionaries of groups, one a line, inverted and restricted to known members."""
     path = _place(spark, sf_dir, "json")
-    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    groups = n.groupBy("r_name").agg(F.collect_list("n_name").alias("m"))
-    groups.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("r_name", "m"))))).coalesce(1).write.text(path)
-    return io.read_groups(spark, path, table(spark, sf_dir, "nation").filter("n_nationkey < 20").select(F.col("n_name").alias("member"))).select("group", "member")
+    p = table(spark, sf_dir, "part").withColumn("member", F.concat(F.lit("m"), F.col("p_partkey").cast("string")))
+    groups = p.groupBy(F.concat_ws("-", "p_brand", F.col("p_size").cast("string")).alias("g")).agg(F.collect_list("member").alias("m"))
+    groups.select(F.to_json(F.map_from_arrays(F.array("g"), F.array("m")))).write.text(path)
+    return io.read_groups(spark, path, p.filter("p_size < 20").select("member"), lines=True).select("group", "member")
 
 
 @R.query("select vec_id, len(embedding)::int as dim from embeddings where vec_id in (select p_partkey from part where p_size = 7)")

@@ -46,14 +46,16 @@ def kruskal(spark, sf_dir):
 @R.query("select round(corr(l_quantity, l_extendedprice), 9) as r, count(*) as n, round(corr(l_quantity, l_extendedprice) * sqrt((count(*) - 2) / (1 - corr(l_quantity, l_extendedprice) ** 2)), 4) as t from lineitem")
 def correlation(spark, sf_dir):
     """K4: quantity and price of lines."""
-    return K.cor_test(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice").withColumns({"r": F.round("r", 9), "t": F.round("t", 4)})
+    return K.cor_test(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice").drop("p").withColumns({"r": F.round("r", 9), "t": F.round("t", 4)})
 
 
 @R.query("""with c as (select value, sum((event_type = 'view')::int) as a, sum((event_type = 'click')::int) as b from events where event_type in ('view', 'click') group by 1),
-d as (select sum(a) over (order by value) / sum(a) over () - sum(b) over (order by value) / sum(b) over () as d from c) select 'view' as a, 'click' as b, round(max(abs(d)), 9) as d from d""")
+d as (select sum(a) over (order by value) / sum(a) over () - sum(b) over (order by value) / sum(b) over () as d from c),
+m as (select max(abs(d)) as d, (select sum(a) * sum(b) / (sum(a) + sum(b)) from c) as e from d), k as (select sum((case when i % 2 = 1 then 2 else -2 end) * exp(-2.0 * i * i * e * d * d)) as p from m, range(1, 101) as r(i))
+select 'view' as a, 'click' as b, round(d, 9) as d, round(case when e * d * d < 0.01 then 1 else greatest(0, least(1, p)) end, 6) as p from m, k""")
 def ks(spark, sf_dir):
     """K5: distributions of views' and clicks' values."""
-    return K.ks2(table(spark, sf_dir, "events"), "value", "event_type", "view", "click").withColumn("d", F.round("d", 9))
+    return K.ks2(table(spark, sf_dir, "events"), "value", "event_type", "view", "click").select("a", "b", F.round("d", 9).alias("d"), F.round("p", 6).alias("p"))
 
 
 @R.query("""with n as (select p_type, p_brand, count(*) as n from part group by all), a as (select p_type, count(*) as n_a from part group by 1), b as (select p_brand, count(*) as n_b from part group by 1),
@@ -69,6 +71,19 @@ def contingency_chi_or(spark, sf_dir):
     return made.select("p_type", "p_brand", "n", *[F.round(c, 6).alias(c) for c in ("expected", "chi2", "odds_ratio", "ci_low", "ci_high")])
 
 
+_PAIRS = "('click', 'error'), ('click', 'purchase'), ('click', 'signup'), ('click', 'view'), ('error', 'purchase'), ('error', 'signup'), ('error', 'view'), ('purchase', 'signup'), ('purchase', 'view'), ('signup', 'view')"
+
+
+@R.query(f"""with f(a, b) as (values {_PAIRS}), d as (select a, b, event_type as g, value as v from events join f on event_type in (a, b)),
+r as (select *, count(*) over (partition by a, b, v) as t, rank() over (partition by a, b order by v) + (count(*) over (partition by a, b, v) - 1) / 2 as r from d),
+s as (select a, b, sum(r) filter (g = a) as ra, (count(*) filter (g = a))::double as na, (count(*) filter (g = b))::double as nb, sum(t * t - 1) as t from r group by 1, 2)
+select a, b, round((ra - na * (na + 1) / 2 - na * nb / 2) / sqrt(na * nb / 12 * ((na + nb + 1) - t / ((na + nb) * (na + nb - 1)))), 6) as z from s""")
+def pairwise_rank_sums(spark, sf_dir):
+    """K8: rank-sum statistics of all pairs of event types; p-values and words are tested by themselves."""
+    made = K.all_pairs(table(spark, sf_dir, "events"), "value", "event_type", ["click", "error", "purchase", "signup", "view"])
+    return made.select("a", "b", F.round("z", 6).alias("z"))
+
+
 @R.query()
 def all_pairs_tests(spark, sf_dir):
     """Rank-sum tests of all pairs of event types, adjusted, in words."""

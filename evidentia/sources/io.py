@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -19,11 +19,18 @@ def write_table(df: DataFrame, path: str, sep: str = "\t", null: str = "NA") ->
 
 
 def read_many(spark: SparkSession, paths: str | Sequence[str], schema: str, source: str, sep: str = "\t") -> DataFrame:
-    """A2, H4.  Files of one schema; the source's name comes from the file's path by a pattern of one group."""
+    """A2.  Files of one schema; the source's name comes from the file's path by a pattern of one group."""
     df = spark.read.csv(paths, schema=schema, sep=sep, header=True, nullValue="NA")
     return df.withColumn("source", F.regexp_extract(F.col("_metadata.file_path"), source, 1))
 
 
+def combine_taxa(spark: SparkSession, paths: str | Sequence[str], schema: str, id_col: str, keep: Column | None = None, pattern: str = r"([^/]+)\.tsv$", sep: str = "\t") -> DataFrame:
+    """H4.  Tables of many taxa stacked: the taxon from the file's name, also behind each id; rows by a condition."""
+    every = read_many(spark, paths, schema, pattern, sep).withColumnRenamed("source", "taxon")
+    kept = every if keep is None else every.filter(keep)
+    return kept.withColumn(id_col, F.concat_ws("-", F.col(id_col).cast("string"), "taxon"))
+
+
 def read_ragged(spark: SparkSession, path: str, fixed: Sequence[str], tail: str, sep: str = "\t") -> DataFrame:
     """A3.  The first fields by name, all that follow as one list; the header line is left out."""
     parts = spark.read.text(path).select(F.split("value", sep).alias("f")).filter(F.get("f", F.lit(0)) != fixed[0])
@@ -33,8 +40,8 @@ def read_ragged(spark: SparkSession, path: str, fixed: Sequence[str], tail: str,
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """A4.  ``(id, description, seq)``."""
-    records = spark.read.text(path, lineSep=">").filter(F.trim("value") != "")
+    """A4.  ``(id, description, seq)``.  A record starts with ``>`` at the start of a line."""
+    records = spark.read.text(path, lineSep="\n>").select(F.regexp_replace("value", "^>", "").alias("value")).filter(F.trim("value") != "")
     lines = F.split(F.regexp_replace("value", "\r", ""), "\n")
     header = F.get(lines, F.lit(0))
     return records.select(
@@ -63,8 +70,8 @@ def read_external2go(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_obo(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """A6.  ``edges(child, parent, relation)`` and ``terms(id, name, namespace, obsolete)``."""
-    stanza = spark.read.text(path, lineSep="[Term]").filter(F.col("value").rlike(r"(?m)^id: "))
+    """A6.  ``edges(child, parent, relation)`` and ``terms(id, name, namespace, obsolete)``; stanzas of other kinds are left out."""
+    stanza = spark.read.text(path, lineSep="\n[").filter(F.col("value").rlike(r"^\[?Term\]") & F.col("value").rlike(r"(?m)^id: "))
     get = lambda tag: F.regexp_extract("value", rf"(?m)^{tag}: (.*)$", 1)
     terms = stanza.select(get("id").alias("id"), get("name").alias("name"), get("namespace").alias("namespace"), (get("is_obsolete") == "true").alias("obsolete"))
     is_a = stanza.select(get("id").alias("child"), F.explode(F.regexp_extract_all("value", F.lit(r"(?m)^is_a: (\S+)"), F.lit(1))).alias("parent"), F.lit("is_a").alias("relation"))
@@ -89,10 +96,16 @@ def flatten_xrefs(df: DataFrame, json_col: str, databases: Sequence[str]) -> Dat
 
 
 def read_after_marker(spark: SparkSession, path: str, markers: Sequence[str], columns: Sequence[str], sep: str = "\t") -> DataFrame:
-    """A8.  Rows behind a preamble: comment lines and the marker's header line are left out."""
-    lines = spark.read.text(path).filter(~F.col("value").startswith("##") & (F.trim("value") != ""))
-    parts = lines.select(F.split("value", sep).alias("f")).filter(~F.get("f", F.lit(0)).isin(*markers))
-    return parts.select(*[F.get("f", F.lit(i)).alias(c) for i, c in enumerate(columns)])
+    """A8.  Rows behind the first line of their file whose first field is a marker; comment lines are left out.
+
+    Lines know their file, their block of it and their order there, so what a file's marker line comes before is told without
+    reading the file in one piece.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("n")).alias("_at"))
+    lines = lines.withColumn("f", F.split("value", sep))
+    begins = lines.filter(F.get("f", F.lit(0)).isin(*markers)).groupBy("_file").agg(F.min("_at").alias("_from"))
+    rows = lines.join(begins, "_file").filter((F.col("_at") > F.col("_from")) & ~F.col("value").startswith("##") & (F.trim("value") != ""))
+    return rows.select(*[F.get("f", F.lit(i)).alias(c) for i, c in enumerate(columns)])
 
 
 def read_manifest(spark: SparkSession, path: str, kinds: Mapping[str, str]) -> DataFrame:
@@ -111,9 +124,9 @@ def read_gff(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", comment="#", schema=schema)
 
 
-def read_groups(spark: SparkSession, path: str, known: DataFrame | None = None) -> DataFrame:
-    """A11.  ``(group, member)`` from a JSON object of lists, restricted to known members where given."""
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,array<string>>").alias("m"))
+def read_groups(spark: SparkSession, path: str, known: DataFrame | None = None, lines: bool = False) -> DataFrame:
+    """A11.  ``(group, member)`` from a JSON object of lists, or of one object a line, restricted to known members where given."""
+    whole = spark.read.text(path, wholetext=not lines).select(F.from_json("value", "map<string,array<string>>").alias("m"))
     pairs = whole.select(F.explode("m").alias("group", "members")).select("group", F.explode("members").alias("member"))
     return pairs if known is None else pairs.join(known.select("member"), "member", "left_semi")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from evidentia.operators import aggregate as A
 from evidentia.operators import database as H
 from evidentia.operators import graph as I
 from evidentia.operators import joins as J
+from evidentia.operators import records as X
 from evidentia.operators import sequence as G
 from evidentia.operators import stats as K
 from evidentia.operators import vectors as V
@@ -76,36 +79,39 @@ def test_digest(spark):
 
 
 MISMATCHES = [
-    ("MSKGPAIGIDLGTTYSCVGVFQHGKVEIIANDQGVD", "MSKGPAIGIDLGTTYSCVGVFQHGKVEIITNDQGVD", 1, ["A->T@29"], 1),
-    ("MSKGPAIGIDLGTTYSCVGVFQHF", "------------TTYSCVGVFQHF", 0, [], 0.5),
-    ("MSKGPAIGIDLGTTYS", "MSKRPAIGIDLGTTVS", 2, ["G->R@3", "Y->V@14"], 1),
-    ("MSKGPAIGIDLG", "MS[VTR]GPAIGIDLG", 1, ["K->R@2", "K->T@2", "K->V@2"], 1),
-    ("MSKGPAIGIDLG", "MS[VTR]GPAI[THA]IDLG", 2, ["G->A@7", "G->H@7", "G->T@7", "K->R@2", "K->T@2", "K->V@2"], 1),
-    ("MSKGPAIGIDLGTTYSCVGVFQHGKVEIIANDQGVD", "MSKGP---------YSCVGVFQ[AFR]GKVEIITQDQGNR", 5, ["A->T@29", "D->R@35", "H->A@22", "H->F@22", "H->R@22", "N->Q@30", "V->N@34"], 0.75),
+    ("ACDEFGHIK", "ACDEFGHIK", 0, [], 1),
+    ("ACDEFGHIK", "AC-EFW-IK", 1, ["G->W@5 NP->NP 1"], 7 / 9),
+    ("LMNP", "L[QS]NP", 1, ["M->Q@1 NP->PN 0", "M->S@1 NP->PN 0"], 1),
+    ("WYVT", "[WF]Y-[TS]", 2, ["T->S@3 PN->PN 1", "W->F@0 NP->NP 1"], 0.75),
+    ("DKIR", "NHMK", 4, ["D->N@0 PA->PN 0", "I->M@2 NP->NP 1", "K->H@1 PB->PB 1", "R->K@3 PB->PB 1"], 1),
+    ("QQQQ", "----", 0, [], 0),
 ]
 
 
 @pytest.mark.parametrize(("seq", "aligned", "n", "changes", "coverage"), MISMATCHES)
 def test_mismatches(spark, seq, aligned, n, changes, coverage):
     df = spark.createDataFrame([("x", seq, aligned)], "id string, seq string, al string")
-    assert sorted(f"{r['change']}@{r['index']}" for r in G.mismatches(df, "id", "seq", "al").collect()) == changes
+    got = G.mismatches(df, "id", "seq", "al").collect()
+    assert sorted(f"{r['change']}@{r['index']} {r['type']} {r['conservative']}" for r in got) == changes
     m = G.alignment_metrics(df, "id", "seq", "al").first()
     assert m["n_mismatches"] == n and m["coverage"] == pytest.approx(coverage)
 
 
+# (lines, consensus in the order of the lines, consensus with sorted alternatives)
 CONSENSUS = [
-    (["--AGFS--", "DSAGFS--"], "DSAGFS--"),
-    (["--[AG]FS--", "--GFS--"], "--[AG]FS--"),
-    (["--[AG]FS--", "--DFS--"], "--[ADG]FS--"),
-    (["--AGFS--", "--AG----"], "--AGFS--"),
-    (["--AGFS--", "--DF----"], "--[AD][FG]FS--"),
+    (["KL--", "--MN"], "KLMN", "KLMN"),
+    (["KQMN", "KLMN"], "K[QL]MN", "K[LQ]MN"),
+    (["K[TA]M", "KSM", "KAM"], "K[TAS]M", "K[AST]M"),
+    (["WV-", "YV-", "-I-"], "[WY][VI]-", "[WY][IV]-"),
+    (["---", "---"], "---", "---"),
 ]
 
 
-@pytest.mark.parametrize(("lines", "want"), CONSENSUS)
-def test_consensus(spark, lines, want):
-    df = spark.createDataFrame([("p", x) for x in lines], "p string, a string")
-    assert G.merge_alignments(df, ["p"], "a").first()["consensus"] == want
+@pytest.mark.parametrize(("lines", "want", "plain"), CONSENSUS)
+def test_consensus(spark, lines, want, plain):
+    df = spark.createDataFrame([("p", i, x) for i, x in enumerate(lines)], "p string, i int, a string")
+    assert G.merge_alignments(df, ["p"], "a", order="i").first()["consensus"] == want
+    assert G.merge_alignments(df, ["p"], "a").first()["consensus"] == plain
 
 
 def test_sequential_ids_are_dense(spark):
@@ -159,7 +165,7 @@ def test_flatten_xrefs(spark):
 def test_preamble_and_manifest(spark, tmp_path):
     from evidentia.sources import io
 
-    (tmp_path / "a.tsv").write_text("## tool 1.0\n##\n#query\tscore\nq1\t5\nq2\t7\n")
+    (tmp_path / "a.tsv").write_text("## tool 1.0\nmade\tby hand\n##\n#query\tscore\nq1\t5\nq2\t7\n## done\n")
     got = io.read_after_marker(spark, str(tmp_path / "a.tsv"), ["#query", "#qseqid"], ["query", "score"]).collect()
     assert sorted((r["query"], r["score"]) for r in got) == [("q1", "5"), ("q2", "7")]
     (tmp_path / "r.tsv").write_text("id\tscore\tproteins\np1\t3\tA\tB\tC\np2\t4\n")
@@ -196,6 +202,75 @@ def test_sampled_pairs_and_null(spark):
 def test_drop_contained_and_representatives(spark):
     rows = [(1, "abcdefghijklmnop"), (2, "cdefghijkl"), (3, "abcdefghijklmnop"), (4, "zzzzzzzzzzzz"), (5, "short")]
     df = spark.createDataFrame(rows, "id long, s string")
-    assert sorted(r["id"] for r in J.drop_contained(df, "id", "s").collect()) == [1, 4, 5]
+    more = spark.createDataFrame([(6, "cde"), (7, ""), (8, "z"), (9, None), (10, "hort"), (11, "ohrt")], "id long, s string")
+    assert sorted(r["id"] for r in J.drop_contained(df.union(more), "id", "s").collect()) == [1, 4, 5, 9, 11]
+    assert J.drop_contained(df.limit(0), "id", "s").count() == 0
     got = {r["id"]: (r["representative"], r["n_members"]) for r in V.representatives(df.withColumn("g", F.lit("x")), "g", "id", "s").collect()}
     assert got[2] == got[1] == got[3] == (1, 3) and got[4] == (4, 1)
+
+
+def test_fasta_and_obo_records(spark, tmp_path):
+    from evidentia.sources import io
+
+    (tmp_path / "a.fa").write_text(">P1 mutant A->T variant\nMKT\nAYI\n>P2\nGG\n")
+    assert sorted(tuple(r) for r in io.read_fasta(spark, str(tmp_path / "a.fa")).collect()) == [("P1", "mutant A->T variant", "MKTAYI"), ("P2", "", "GG")]
+    stanzas = "format-version: 1.2\n\n[Term]\nid: GO:1\nname: one\n\n[Term]\nid: GO:2\nis_a: GO:1 ! one\nrelationship: part_of GO:1\n\n[Typedef]\nid: regulates\nis_a: GO:9\n"
+    (tmp_path / "a.obo").write_text(stanzas)
+    edges, terms = io.read_obo(spark, str(tmp_path / "a.obo"))
+    assert sorted(map(tuple, edges.collect())) == [("GO:2", "GO:1", "is_a"), ("GO:2", "GO:1", "part_of")] and sorted(r["id"] for r in terms.collect()) == ["GO:1", "GO:2"]
+
+
+def test_profiles_that_share_nothing(spark):
+    df = spark.createDataFrame([("a", "x", 2), ("b", "y", 3), ("c", "x", 2), ("c", "y", 2)], "e string, f string, n long")
+    got = {(r["a"], r["b"]): (r["bray_curtis"], r["jaccard"]) for r in V.profile_distance(df, "e", "f", "n", block=1).collect()}
+    assert got[("a", "b")] == (1.0, 1.0) and got[("a", "c")][0] == pytest.approx(1 - 4 / 6) and got[("b", "c")][0] == pytest.approx(1 - 4 / 7) and len(got) == 3
+
+
+def test_tail_probabilities(spark):
+    assert K.upper_gamma(1.5, 7.814728 / 2) == pytest.approx(0.05, rel=1e-5) and K.upper_gamma(5, 0.5) == pytest.approx(0.9998279, rel=1e-6)
+    assert K.incomplete_beta(5, 0.5, 10 / (10 + 2.228139**2)) == pytest.approx(0.05, rel=1e-5)
+    df = spark.createDataFrame([(2, 5, 4, 20), (0, 3, 3, 10), (4, 4, 4, 8)], "k long, n long, m long, t long")
+    exact = [sum(math.comb(m, i) * math.comb(t - m, n - i) for i in range(k, min(n, m) + 1)) / math.comb(t, n) for k, n, m, t in ((2, 5, 4, 20), (0, 3, 3, 10), (4, 4, 4, 8))]
+    assert [r[0] for r in df.select(K.hypergeometric_tail("k", "n", "m", "t")).collect()] == pytest.approx(exact)
+    tested = K.alternatives(spark.createDataFrame([(1.96,), (-1.0,)], "z double")).collect()
+    assert tested[0]["p"] == pytest.approx(0.05, abs=1e-4) and tested[0]["p_greater"] == pytest.approx(0.025, abs=1e-4) and tested[1]["p_less"] == pytest.approx(0.158655, abs=1e-5)
+
+
+def test_gsea_draws_nobody_twice(spark):
+    """If a set is everybody, every draw is that set, so each replicate's score is the real one."""
+    ranked = spark.createDataFrame([(i, float(100 - i)) for i in range(37)], "e long, v double")
+    sets = spark.createDataFrame([("half", i) for i in range(18)] + [("most", i) for i in range(36)], "s string, e long")
+    got = {r["s"]: r for r in K.gsea(ranked, "e", "v", sets, "s", n_perm=15).collect()}
+    assert got["half"]["p"] == pytest.approx(1 / 16) and got["half"]["n_members"] == 18 and got["half"]["es"] == pytest.approx(1.0)
+
+
+def test_select_parents(spark):
+    edges = spark.createDataFrame([(c, c // 2) for c in range(2, 64)], "child int, parent int")
+    closed = I.closure(edges, "child", "parent")
+    level = I.levels(closed, spark.createDataFrame([(1,)], "node int"))
+    assert sorted(r["node"] for r in I.select_parents(closed, level, 4, min_level=2).collect()) == [4, 5, 6, 7]
+
+
+def test_fold_hits_with_errors(spark):
+    rows = [("q1", "s1", 0.5, [0.1, 0.2, 0.3]), ("q1", "s2", 0.4, [0.1, 0.2, 0.3]), ("q2", "s1", 0.1, [0.05])]
+    df = spark.createDataFrame(rows, "q string, s string, e double, pep array<double>")
+    got = {r["s"]: (r["queries"], r["pep"]) for r in J.fold_hits(df, "q", "s", F.col("e") < 1, ["e"], [], pep="pep", most_pep=0.3).collect()}
+    assert got == {"s1": (["q2"], [0.05])}
+
+
+def test_records(spark):
+    hits = spark.createDataFrame([("a", 0.01, 90.0), ("b", 0.2, 90.0), ("c", 0.01, 70.0)], "id string, q_value double, pident double")
+    assert [r["id"] for r in X.filter_hits(hits).collect()] == ["a"]
+    raw = spark.createDataFrame([("PEP|TIDE", "P1 (note),P2", 0.1, False), ("PEP", "P3", 0.05, False), ("PEP", "P4", 0.01, True)], "s string, p string, e double, d boolean")
+    got = {r["seq"]: (r["proteins"], r["score"]) for r in X.project_hits(raw, "x", "s", "p", {"e": "score"}, F.col("e"), F.col("d")).collect()}
+    assert got == {"PEP": ("P3", 0.05), "TIDE": ("P1;P2", 0.1)}
+    flags = spark.createDataFrame([("K.AAR.G",), ("-.AAK.P",), ("R.PAA.-",)], "f string")
+    assert [tuple(r) for r in flags.select(*S.tryptic_flags(F.col("f")).values()).collect()] == [(1, 1, 2), (1, 0, 1), (0, 1, 1)]
+
+
+def test_empai(spark):
+    """Of AAAAAAAAK, CCCCCCCCR and DK the first two are heavy enough; one of them and a short one were seen."""
+    proteins = spark.createDataFrame([("p", "AAAAAAAAKCCCCCCCCRDK"), ("q", "DKDK")], "id string, s string")
+    seen = spark.createDataFrame([("p", "AAAAAAAAK"), ("p", "DK"), ("q", "DK")], "id string, pep string")
+    got = A.empai(proteins, "id", "s", seen, "pep").collect()
+    assert [(r["id"], r["observable"], r["observed"]) for r in got] == [("p", 2, 2)] and got[0]["empai"] == pytest.approx(9)
