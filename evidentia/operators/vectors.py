@@ -16,23 +16,28 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def pairwise(df: DataFrame, id_col: str, vec: str, metric: str = "cosine", block: int = 256) -> DataFrame:
-    """J1.  ``(a, b, distance)`` for a < b: cosine distance, or squared euclidean.
+def pairwise(df: DataFrame, id_col: str, vec: str, metric: str = "cosine", block: int = 256, within: str | None = None) -> DataFrame:
+    """J1.  ``(a, b, distance)`` for a < b: cosine distance, or squared euclidean; only of rows that share ``within``, where given.
 
-    Ids are dealt into blocks, and pairs of blocks are the join's key: every row meets each block once, and no task
-    holds more than two blocks.  The result is quadratic by nature.
+    Ids are dealt into blocks, and pairs of blocks (the smaller first) are the join's key: every pair of rows is made once, and no
+    task holds more than two blocks.  The result is quadratic by nature, in the size of the groups where there are any.
     """
-    blocks = max(1, -(-df.count() // block))
-    sized = df.select(F.col(id_col).alias("a"), F.col(vec).alias("va"), F.sqrt(dot(F.col(vec), F.col(vec))).alias("na"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("i"))
-    other = sized.select(F.col("a").alias("b"), F.col("va").alias("vb"), F.col("na").alias("nb"), F.col("i").alias("j"))
-    left = sized.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    right = other.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    met = left.join(right, ["i", "j"]).filter("a < b")
+    row = df.select(F.col(id_col).alias("x"), F.col(vec).alias("vx"), F.sqrt(dot(F.col(vec), F.col(vec))).alias("nx"), *([F.col(within).alias("_g")] if within else []))
+    if within:
+        sizes = row.groupBy("_g").agg(F.ceil(F.count("*") / block).alias("_blocks"))
+        row = row.join(sizes, "_g")
+    else:
+        row = row.withColumns({"_g": F.lit(0), "_blocks": F.lit(max(1, -(-df.count() // block))).cast("long")})
+    row = row.withColumn("i", F.pmod(F.xxhash64("x"), F.col("_blocks")))
+    left = row.withColumn("j", F.explode(F.sequence(F.col("i"), F.col("_blocks") - 1))).drop("_blocks")
+    right = row.select("_g", F.col("x").alias("y"), F.col("vx").alias("vy"), F.col("nx").alias("ny"), F.col("i").alias("j"))
+    right = right.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("j"))))
+    met = left.join(right, ["_g", "i", "j"]).filter("i < j or x < y")
     if metric == "cosine":
-        d = 1 - dot(F.col("va"), F.col("vb")) / (F.col("na") * F.col("nb"))
+        d = 1 - dot(F.col("vx"), F.col("vy")) / (F.col("nx") * F.col("ny"))
     else:
-        d = F.aggregate(F.zip_with("va", "vb", lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0))), F.lit(0.0), lambda s, x: s + x)
-    return met.select("a", "b", d.alias("distance"))
+        d = F.aggregate(F.zip_with("vx", "vy", lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0))), F.lit(0.0), lambda s, x: s + x)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), d.alias("distance"))
 
 
 def pool(members: DataFrame, entity: str, member: str, vectors: DataFrame, vec: str, how: str = "mean") -> DataFrame:
@@ -45,11 +50,11 @@ def pool(members: DataFrame, entity: str, member: str, vectors: DataFrame, vec:
     return made.select(entity, F.transform("_v", lambda p: p["x"]).alias(vec))
 
 
-def group_cohesion(pairs: DataFrame, labels: DataFrame, id_col: str, group: str) -> DataFrame:
-    """J3.  Mean distance within groups over all pairs; 0 for groups of one."""
-    a, b = labels.select(F.col(id_col).alias("a"), F.col(group).alias("_g")), labels.select(F.col(id_col).alias("b"), F.col(group).alias("_h"))
-    inner = pairs.join(a, "a").join(b, "b").filter("_g = _h").groupBy(F.col("_g").alias(group)).agg(F.avg("distance").alias("cohesion"), F.count("*").alias("n_pairs"))
-    return labels.select(group).distinct().join(inner, group, "left").fillna(0, ["cohesion", "n_pairs"])
+def group_cohesion(df: DataFrame, id_col: str, vec: str, group: str, metric: str = "cosine") -> DataFrame:
+    """J3.  Mean distance within groups over all pairs; 0 for groups of one.  Only pairs within groups are made."""
+    near = pairwise(df, id_col, vec, metric, within=group)
+    own = near.join(df.select(F.col(id_col).alias("a"), group), "a").groupBy(group).agg(F.avg("distance").alias("cohesion"), F.count("*").alias("n_pairs"))
+    return df.select(group).distinct().join(own, group, "left").fillna(0, ["cohesion", "n_pairs"])
 
 
 def empirical_p(stats: DataFrame, stat: str, null: DataFrame, value: str, tail: str = "left") -> DataFrame:
@@ -123,14 +128,24 @@ def pca(df: DataFrame, vec: str, k: int) -> tuple[DataFrame, DataFrame]:
     return model.transform(ready).drop("_v"), explained.withColumn("cumulative", F.sum("share").over(W.orderBy("component")))
 
 
-def silhouette(pairs: DataFrame, labels: DataFrame, id_col: str, cluster: str) -> DataFrame:
-    """J9.  Each member's (b - a) / max(a, b); 0 for members of clusters of one."""
-    own, other = labels.select(F.col(id_col).alias("a"), F.col(cluster).alias("_g")), labels.select(F.col(id_col).alias("b"), F.col(cluster).alias("_h"))
-    both = pairs.select("a", "b", "distance").union(pairs.select("b", "a", "distance"))
-    mean = both.join(own, "a").join(other, "b").groupBy("a", "_g", "_h").agg(F.avg("distance").alias("_d"))
-    made = mean.groupBy("a", "_g").agg(F.min(F.when(F.col("_g") == F.col("_h"), F.col("_d"))).alias("_in"), F.min(F.when(F.col("_g") != F.col("_h"), F.col("_d"))).alias("_out"))
+def silhouette(df: DataFrame, id_col: str, vec: str, cluster: str) -> DataFrame:
+    """J9.  Each member's (b - a) / max(a, b) under cosine distance; 0 for members of clusters of one, or where there is no other.
+
+    The mean cosine distance from a vector to a cluster is 1 minus its product with the mean of the cluster's unit vectors, so
+    members meet cluster sums, not each other.
+    """
+    norm = F.sqrt(dot(F.col(vec), F.col(vec)))
+    unit = df.select(F.col(id_col), F.col(cluster), F.transform(vec, lambda x: x.cast("double") / norm).alias("_u"))
+    at = unit.select(cluster, F.posexplode("_u").alias("_i", "_x")).groupBy(cluster, "_i").agg(F.sum("_x").alias("_s"))
+    sums = at.groupBy(cluster).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_s"))), lambda p: p["_s"]).alias("_sum"))
+    sums = sums.join(df.groupBy(cluster).agg(F.count("*").alias("_n")), cluster).withColumnRenamed(cluster, "_h")
+    met = unit.join(sums)  # members by clusters: what is asked for
+    along = dot(F.col("_u"), F.col("_sum"))
+    own = F.when(F.col(cluster) == F.col("_h"), F.when(F.col("_n") > 1, (F.col("_n") - along) / (F.col("_n") - 1)))
+    other = F.when(F.col(cluster) != F.col("_h"), 1 - along / F.col("_n"))
+    made = met.groupBy(id_col, cluster).agg(F.min(own).alias("_in"), F.min(other).alias("_out"))
     width = F.when(F.col("_in").isNull() | F.col("_out").isNull(), 0.0).otherwise((F.col("_out") - F.col("_in")) / F.greatest("_in", "_out"))
-    return made.select(F.col("a").alias(id_col), F.col("_g").alias(cluster), width.alias("silhouette"))
+    return made.select(id_col, cluster, width.alias("silhouette"))
 
 
 def sampled_pairs(df: DataFrame, id_col: str, n: int, seed: int = 1) -> DataFrame:

@@ -176,7 +176,7 @@ select a.label, round(avg(1 - list_cosine_similarity(a.v, b.v)), 6) as cohesion,
 def group_cohesion(spark, sf_dir):
     """Mean distance within labels."""
     e = table(spark, sf_dir, "embeddings")
-    return J.group_cohesion(J.pairwise(e, "vec_id", "embedding"), e, "vec_id", "label").withColumn("cohesion", F.round("cohesion", 6))
+    return J.group_cohesion(e, "vec_id", "embedding", "label").withColumn("cohesion", F.round("cohesion", 6))
 
 
 @R.query("select o_orderkey, round((count(*) over (order by o_totalprice))::double / count(*) over (), 9) as p from orders")
@@ -219,6 +219,15 @@ def representatives(spark, sf_dir):
     return J.representatives(table(spark, sf_dir, "documents").select("source", "doc_id", "text"), "source", "doc_id", "text", k=24)
 
 
+@R.query("""
+with e as (select label, embedding::double[] as v, vec_id from embeddings), p as (select label, vec_id, unnest(v) as x, generate_subscripts(v, 1) as i from e), q as (select a.vec_id as a, b.vec_id as b, sum((p.x - r.x) ** 2) as d
+from e a join e b on a.label = b.label and a.vec_id < b.vec_id join p on p.vec_id = a.vec_id join p r on r.vec_id = b.vec_id and r.i = p.i group by all) select a, b, round(d, 6) as distance from q
+""")
+def pairwise_euclidean(spark, sf_dir):
+    """Squared euclidean distances within labels."""
+    return J.pairwise(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "euclidean", within="label").withColumn("distance", F.round("distance", 6))
+
+
 @R.query()
 def pca(spark, sf_dir):
     """Variance explained by three components."""
@@ -233,7 +242,7 @@ select vec_id, g as label, round(case when i is null or o is null then 0 else (o
 def silhouette(spark, sf_dir):
     """Silhouettes of vectors under their labels."""
     e = table(spark, sf_dir, "embeddings")
-    return J.silhouette(J.pairwise(e, "vec_id", "embedding"), e, "vec_id", "label").withColumn("silhouette", F.round("silhouette", 6))
+    return J.silhouette(e, "vec_id", "embedding", "label").withColumn("silhouette", F.round("silhouette", 6))
 
 
 QUERIES, ORACLES = R.queries, R.oracles

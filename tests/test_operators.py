@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -274,3 +275,15 @@ def test_empai(spark):
     seen = spark.createDataFrame([("p", "AAAAAAAAK"), ("p", "DK"), ("q", "DK")], "id string, pep string")
     got = A.empai(proteins, "id", "s", seen, "pep").collect()
     assert [(r["id"], r["observable"], r["observed"]) for r in got] == [("p", 2, 2)] and got[0]["empai"] == pytest.approx(9)
+
+
+def test_pca_scores_and_shares(spark):
+    r = np.random.RandomState(3)
+    x = r.normal(size=(60, 5)) * [4, 2, 1, 0.5, 0.1]
+    scores, explained = V.pca(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>"), "v", 2)
+    centred = x - x.mean(0)
+    _, d, w = np.linalg.svd(centred, full_matrices=False)
+    assert [q["share"] for q in explained.orderBy("component").collect()] == pytest.approx(list((d**2 / (d**2).sum())[:2]))
+    got = np.array([q["scores"].toArray() for q in scores.orderBy("id").collect()])
+    want = x @ w[:2].T  # scores aren't centred; directions are known up to their sign
+    assert np.allclose(np.abs(got), np.abs(want), atol=1e-6)
