@@ -54,6 +54,22 @@ def running_sums(df: DataFrame, order: Sequence[Column | str], sums: Mapping[str
     return made.select(*df.columns, *[(F.col(f"_before_{n}") + F.col(f"_run_{n}")).alias(n) for n in sums])
 
 
+def quantiles(df: DataFrame, col: str, shares: Mapping[str, float]) -> DataFrame:
+    """One row with interpolated quantiles of a column's values; null if there are none.  What is ordered are distinct values, by range."""
+    at = running_sums(df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("_n")), [col], {"_run": "_n"})
+    n = df.filter(F.col(col).isNotNull()).count()
+
+    def value(k: int) -> Column:
+        return F.max(F.when((F.col("_run") - F.col("_n") <= k) & (F.col("_run") > k), F.col(col)))
+
+    wanted = []
+    for name, share in shares.items():
+        place = max(n - 1, 0) * share
+        low = int(place)
+        wanted.append((value(low) + (place - low) * (value(min(low + 1, max(n - 1, 0))) - value(low))).alias(name))
+    return at.agg(*wanted)
+
+
 def assign_ids(df: DataFrame, prefix: str, order: Sequence[Column | str], name: str, part: Sequence[str] = ()) -> DataFrame:
     """E4.  ``<prefix>0`` .. in the given order, over all rows or within parts."""
     if part:

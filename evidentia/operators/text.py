@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evidentia.operators.aggregate import quantiles
+
 
 def top_terms(df: DataFrame, key: str, text: Column, n: int, keywords: Sequence[str] = (), stop: Sequence[str] = (), least: int = 3) -> DataFrame:
     """L1.  The n most frequent words of each group; a text with a keyword counts as the first such keyword alone."""
@@ -27,5 +29,5 @@ def term_cloud(terms: DataFrame, term: str, level: DataFrame, min_level: int, ma
     """L2.  Terms within a range of levels, at or above a percentile of frequency, the n most frequent."""
     count = terms.groupBy(term).agg(F.count("*").alias("n")).join(level.withColumnRenamed("node", term), term)
     count = count.filter(F.col("level").between(min_level, max_level))
-    bar = count.agg(F.percentile("n", F.lit(share)).alias("_bar"))
+    bar = quantiles(count, "n", {"_bar": share})
     return count.join(F.broadcast(bar)).filter("n >= _bar").drop("_bar").orderBy(F.desc("n"), term).limit(n)

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evidentia.operators.aggregate import quantiles, running_sums
+from evidentia.operators.graph import settled
+
 
 def window_size(n: int, window: int = 251, least: int = 29) -> int:
     """E1.  The window for n rows: as given if n is over five times it, else a fifth (``least`` at least); made odd."""
@@ -31,16 +34,16 @@ def combined_pep(df: DataFrame, key: str, source: str, pep: str, is_decoy: str,
         F.max(F.col(is_decoy).cast("int")).alias("decoy"),
     )
     keys = keys.select(key, "combination", "decoy", F.round(F.try_divide(F.col("_p"), F.col("_p") + F.col("_q")), 12).alias("bayes_pep"))
-    small = window_size(0, window)
-    ranked = W.partitionBy("combination").orderBy("bayes_pep", key)
-
-    def over(half: int) -> Column:
-        frame = ranked.rowsBetween(-half, half)
-        n = F.count("*").over(frame)
-        return F.least(2 * F.sum("decoy").over(frame), n) / n
-
-    size = F.count("*").over(W.partitionBy("combination"))
-    return keys.withColumn("combined_pep", F.when(F.floor(size / 5) > window, over(window // 2)).otherwise(over(small // 2)))
+    # running sums over range partitions, and for each row those at the two ends of its window: no task holds a whole combination
+    made = running_sums(keys.withColumn("_one", F.lit(1)), ["combination", "bayes_pep", key], {"_r": "_one", "_s": "decoy"}).drop("_one")
+    made = settled(made)
+    ends = made.groupBy("combination").agg(F.min("_r").alias("_low"), F.max("_r").alias("_high"))
+    half = F.when(F.floor((F.col("_high") - F.col("_low") + 1) / 5) > window, window // 2).otherwise(window_size(0, window) // 2)
+    rows = made.join(ends, "combination").withColumns({"_from": F.greatest(F.col("_r") - half, "_low"), "_to": F.least(F.col("_r") + half, "_high")})
+    first, last_ = made.select(F.col("_r").alias("_from"), (F.col("_s") - F.col("decoy")).alias("_before")), made.select(F.col("_r").alias("_to"), F.col("_s").alias("_upto"))
+    n = F.col("_to") - F.col("_from") + 1
+    share = F.least(2 * (F.col("_upto") - F.col("_before")), n) / n
+    return rows.join(first, "_from").join(last_, "_to").select(*keys.columns, share.alias("combined_pep"))
 
 
 def dedup(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -50,7 +53,7 @@ def dedup(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) ->
 
 def quantile_class(df: DataFrame, col: str, name: str = "class") -> DataFrame:
     """E5.  first up to the lower quartile, third from the upper one, second between."""
-    q = df.agg(F.percentile(col, F.lit(0.25)).alias("_q1"), F.percentile(col, F.lit(0.75)).alias("_q3"))
+    q = quantiles(df, col, {"_q1": 0.25, "_q3": 0.75})
     label = F.when(F.col(col) <= F.col("_q1"), "first").when(F.col(col) >= F.col("_q3"), "third").otherwise("second")
     return df.join(F.broadcast(q)).withColumn(name, label).drop("_q1", "_q3")
 
