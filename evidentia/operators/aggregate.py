@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidentia.functions.scalars import list_median, monoisotopic_mass
-from evidentia.operators.graph import settled
+from evidentia.scratch import settled
 
 
 def collapse(df: DataFrame, keys: Sequence[str], cols: Sequence[str], sep: str = ";") -> DataFrame:

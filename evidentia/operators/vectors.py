@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidentia.operators.aggregate import numbered, running_sums
-from evidentia.operators.graph import components, settled
+from evidentia.operators.graph import components
+from evidentia.scratch import settled
 
 
 def dot(a: Column, b: Column) -> Column:

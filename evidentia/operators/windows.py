@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidentia.operators.aggregate import quantiles, running_sums
-from evidentia.operators.graph import settled
+from evidentia.scratch import settled
 
 
 def window_size(n: int, window: int = 251, least: int = 29) -> int:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from evidentia.functions import scalars as S
-from evidentia.operators.graph import settled
+from evidentia.scratch import shared_folder
 from evidentia.plans.registry import Registry, table
 from evidentia.sources import io
 
@@ -122,9 +122,7 @@ def aligned_span(spark, sf_dir):
 
 def _place(spark, sf_dir, name):
     """A new path in the cluster's shared folder."""
-    settled(spark.range(1))  # makes sure that there is one
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{base}/scan-{uuid.uuid4().hex}/{name}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @R.query("select p_partkey::varchar as id, 'mutant A->T of ' || p_brand as description, p_name || p_type as seq from part")
