@@ -357,4 +357,41 @@ def combine_taxa(spark, sf_dir):
     return io.combine_taxa(spark, f"{path}/*", "id string, s_acctbal double", "id", F.col("s_acctbal") > 0, r"/t=(n\d+)/")
 
 
+@R.query("""select l_partkey, l_returnflag, median(distinct l_quantity) as l_quantity, string_agg(distinct l_suppkey::varchar, ';' order by l_suppkey::varchar) as l_suppkey from lineitem where l_quantity is not null group by all""")
+def consensus_rows(spark, sf_dir):
+    """Medians of a part's distinct quantities, and its distinct suppliers."""
+    li = table(spark, sf_dir, "lineitem").withColumn("l_suppkey", F.col("l_suppkey").cast("string"))
+    return A.distinct_median(li, ["l_partkey", "l_returnflag"], "l_quantity", ["l_suppkey"]).withColumn("l_suppkey", F.array_join("l_suppkey", ";"))
+
+
+@R.query(r"""with t as (select p_partkey, p_size, p_brand, case when p_partkey % 4 = 0 then 'AB[16]C' when p_partkey % 4 = 1 then 'ABC' when p_partkey % 4 = 2 then 'A.bc' else 'A]bC' end || upper(p_type) as s from part)
+select p_partkey, case when regexp_matches(s, '[\]a-z0-9.\-]') then regexp_replace(upper(s), '[^A-Z]', '', 'g') else s end as residues, regexp_replace(s, '\[[^\]]*\]', '', 'g') as plain, case when contains(s, ']') then regexp_replace(upper(s), '[^A-Z]', '', 'g') else s end as bracketed,
+case p_partkey % 3 when 0 then 'P' || p_partkey || '|NAME' when 1 then 'P' || p_partkey || '.1' else 'NONE' end as id from t""")
+def sequence_modes(spark, sf_dir):
+    """All modes of cleaning, and ids from headers of three kinds."""
+    k, own = F.col("p_partkey"), F.concat(F.lit("P"), F.col("p_partkey").cast("string"))
+    s = F.concat(F.when(k % 4 == 0, "AB[16]C").when(k % 4 == 1, "ABC").when(k % 4 == 2, "A.bc").otherwise("A]bC"), F.upper("p_type"))
+    header = F.when(k % 3 == 0, F.concat(F.lit("sp|"), own, F.lit("|NAME| more"))).when(k % 3 == 1, F.concat(own, F.lit(".1 protein"))).otherwise("no id here")
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", S.clean_sequence(s, "residues").alias("residues"), S.clean_sequence(s, "strip_mods").alias("plain"), S.clean_sequence(s, "brackets_only").alias("bracketed"), S.id_from_header(header).alias("id"),
+    )
+
+
+@R.query("""select event_id, user_id, case when event_id % 3 = 0 then null else value end as value, round(case when event_id % 3 = 0 then (user_id + 10) / 2 else list_median([value, user_id::double, 10.0]) end, 6) as middle from events""")
+def row_medians(spark, sf_dir):
+    """Columns without any value go, and medians over columns."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("value"), F.lit(None).cast("string").alias("nothing"))
+    made = S.drop_all_null_columns(e)
+    return made.withColumn("middle", F.round(S.row_median(F.col("value"), F.col("user_id"), F.lit(10.0)), 6))
+
+
+@R.query("""with g as (select l_orderkey, min(l_returnflag) as l_returnflag, (count(distinct l_returnflag) > 1)::int as mixed, sum(l_extendedprice) as v from lineitem group by 1), c as (select l_returnflag, count(*) as n_groups, sum(mixed)::bigint as n_mixed, sum(v) as v from g group by 1)
+select l_returnflag, n_groups, n_mixed, round(n_groups / sum(n_groups) over (), 9) as count_share, round(v / sum(v) over (), 9) as value_share, case l_returnflag when 'A' then 0.5 when 'N' then 0.3 else 0.2 end as truth,
+round(v / sum(v) over () - case l_returnflag when 'A' then 0.5 when 'N' then 0.3 else 0.2 end, 9) as off from c""")
+def composition_truth(spark, sf_dir):
+    """Shares of orders by their smallest flag, against given ones."""
+    made = A.composition(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_returnflag", "l_extendedprice", {"A": 0.5, "N": 0.3, "R": 0.2})
+    return made.withColumns({c: F.round(c, 9) for c in ("count_share", "value_share", "off")})
+
+
 QUERIES, ORACLES = R.queries, R.oracles

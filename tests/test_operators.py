@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -287,3 +288,19 @@ def test_pca_scores_and_shares(spark):
     got = np.array([q["scores"].toArray() for q in scores.orderBy("id").collect()])
     want = x @ w[:2].T  # scores aren't centred; directions are known up to their sign
     assert np.allclose(np.abs(got), np.abs(want), atol=1e-6)
+
+
+def test_conclude(spark):
+    rows = [("x", "y", 2.5, 0.01), ("x", "z", -3.0, 0.001), ("y", "z", 0.1, 0.9)]
+    got = [r["conclusion"] for r in K.conclude(spark.createDataFrame(rows, "a string, b string, z double, p_holm double")).collect()]
+    assert got == ["x is greater than y", "z is greater than x", "y and z don't differ"]
+
+
+def test_running_sums_and_quantiles(spark):
+    df = spark.range(1000).selectExpr("id * 7919 % 1009 as x", "id % 5 as v").repartition(7)
+    got = A.running_sums(df, ["x"], {"s": "v"}).orderBy("x").collect()
+    assert [r["s"] for r in got] == list(itertools.accumulate(r["v"] for r in got))
+    q = A.quantiles(df, "x", {"a": 0.25, "b": 0.5}).first()
+    x = sorted(i * 7919 % 1009 for i in range(1000))
+    assert (q["a"], q["b"]) == pytest.approx(tuple(np.quantile(x, [0.25, 0.5])))
+    assert A.quantiles(df.limit(0), "x", {"a": 0.25}).first()["a"] is None
