@@ -16,7 +16,7 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 
-from evidentia.llm import ann, html_extract, pii, secrets, sketching
+from evidentia.llm import ann, html_extract, mixing, pii, secrets, sketching
 from evidentia.llm.bpe import EncodedText, Encoder, PrefixTable, encode_documents, load_ranks
 from evidentia.llm.html_blocks import blocks
 from evidentia.llm.block_labels import DIM, Labeller, features, padded
@@ -202,6 +202,13 @@ def test_mixing_overlapping_sources(spark):
     assert sum(max(0, t - s) for t, s in taken.values()) <= max(0, want - sum(n.values())) + 10  # nothing repeated without need
 
 
+def test_mixing_too_many_patterns(docs, monkeypatch):
+    """More patterns than the driver should hold are an error, never a part of them."""
+    monkeypatch.setattr(mixing, "MOST_PATTERNS", 1)
+    with pytest.raises(ValueError, match="more than 1 membership patterns"):
+        mix(docs)
+
+
 def test_mixing_edges(edges, nothing):
     got = mix(edges).collect()
     assert len(got) == edges.count() and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
