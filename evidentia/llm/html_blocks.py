@@ -102,6 +102,9 @@ class _Reader(HTMLParser):
         self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag in CLOSED:  # nothing is in it, and no end tag of another is its own
+            self._flush()
+            return
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
             self.handle_endtag(tag)

@@ -258,6 +258,7 @@ def test_blocks_without_optional_tags():
     assert [b.text for b in blocks("<head><meta charset=x>loose words<p>one")] == ["loose words", "one"]
     assert [b.text for b in blocks("<div><button>Buy<p>one</p></div><object><p>two</p>")] == ["Buy", "one", "two"]
     assert [b.text for b in blocks("<button>Buy<button>Sell</button><p>one</p><select><option>a<option>b</select><p>two")] == ["one", "two"]
+    assert [b.text for b in blocks("<p>a<svg/>b</p><svg><text>x</text></svg><p>c<svg><text>y</text>")] == ["a", "b", "c", "y"]
     assert blocks("<div class='" + " ".join(f"w{i}" for i in range(40)) + " telling'>x</div>")[0].path[-1] == ".telling"
 
 
