@@ -160,6 +160,15 @@ def flanked(seq: Column, pre: Column | str = "-", post: Column | str = "-") -> C
     return F.concat(side(pre), F.lit("."), seq, F.lit("."), side(post))
 
 
+def kmer_hashes(chars: str, k: int | Column) -> Column:
+    """Hashes of all runs of k elements of an array column, in order; of the whole array where it is shorter.
+
+    Characters are taken from an array (``split(text, "")``): a substring would be looked for from the text's start each time.
+    """
+    starts = F.sequence(F.lit(1), F.greatest(F.size(chars) - k + 1, F.lit(1)))
+    return F.transform(starts, lambda i: F.xxhash64(F.slice(chars, i, k)))
+
+
 def first_substitution(col: Column, pairs: Sequence[tuple[str, str]]) -> Column:
     """B26.  Only the first pattern that matches is replaced."""
     out = None

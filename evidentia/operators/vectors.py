@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evidentia.functions.scalars import kmer_hashes
 from evidentia.operators.aggregate import numbered, running_sums
 from evidentia.operators.graph import components
 from evidentia.scratch import settled
@@ -99,8 +100,7 @@ def representatives(df: DataFrame, group: str, id_col: str, seq: str, k: int = 8
     ``n - ceil(least * n) + 1`` of its n k-mers; its rarest are taken, so what many members share isn't paired.  Candidates are
     then compared on full sets.
     """
-    starts = F.sequence(F.lit(1), F.greatest(F.length(seq) - k + 1, F.lit(1)))
-    made = df.select(group, id_col, F.array_sort(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(F.col(seq), i, F.lit(k)))))).alias("_set"))
+    made = df.select(group, id_col, F.split(seq, "").alias("_c")).select(group, id_col, F.array_sort(F.array_distinct(kmer_hashes("_c", k))).alias("_set"))
     made = settled(made)
     sets = settled(made.groupBy(group, "_set").agg(F.min(id_col).alias("_id")))
     each = sets.select(group, "_id", F.size("_set").alias("_n"), F.explode("_set").alias("_k"))
