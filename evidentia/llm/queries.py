@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evidentia.llm import ann, html_extract, licenses, pii, secrets
+from evidentia.llm import ann, fim, html_extract, licenses, pii, ranked_search, secrets
 from evidentia.llm.bpe import encode_documents
 from evidentia.llm.common import table
 from evidentia.llm.license_templates import TEMPLATES
 from evidentia.llm.line_dedup import dedup_lines
 from evidentia.llm.mixing import mix
 from evidentia.llm.near_dup import near_duplicates
+from evidentia.llm.part_enum import similar_documents
 from evidentia.llm.quality import judged, ledger
 
 
@@ -119,9 +121,69 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 """
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its middle lines moved to its end, as digests, and the text rebuilt from that."""
+    made = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    back = fim.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+OP11_SQL = r"""
+with d as (select doc_id, coalesce(text, '') as text, sha256('7:' || coalesce(doc_id::varchar, '')) as h from documents),
+l as (select *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') as u,
+      [list_sum([(strpos('0123456789abcdef', h[8 * g + i]) - 1) * (1 << (4 * (8 - i))) for i in range(1, 9)])::bigint for g in range(0, 4)] as r from d),
+c as (select *, len(u) as n, least(r[1] % (len(u) + 1), r[2] % (len(u) + 1)) as a, greatest(r[1] % (len(u) + 1), r[2] % (len(u) + 1)) as b from l),
+p as (select doc_id, n, text, case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or r[3] % 100 >= 100 then 'plain'
+      when r[4] % 100 < 50 then 'spm' else 'psm' end as form, array_to_string(u[1 : a], '') as x, array_to_string(u[a + 1 : b], '') as y, array_to_string(u[b + 1 : n], '') as z from c)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(x) end as prefix_chars, case when form <> 'plain' then length(y) end as middle_chars,
+       sha256(case form when 'plain' then text when 'psm' then '<P>' || x || '<S>' || z || '<M>' || y else '<S>' || z || '<P>' || x || '<M>' || y end) as output_sha256,
+       sha256(text) as restored_sha256 from p
+"""
+
+
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingle sets are at least 0.9 similar."""
+    return similar_documents(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
+OP12_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, array_to_string(w[p : p + 2], ' ') as s from (select doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) as p from w where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by 1),
+c as (select sha256(string_agg(s, chr(10) order by s)) as c, doc_id from s group by doc_id),
+f as (select c, min(doc_id) as one from c group by c),
+u as (select s.doc_id, s.s, n.n from s join n using (doc_id) join f on f.one = s.doc_id),
+e as (select a.doc_id as a, b.doc_id as b from u a join u b on a.s = b.s and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+      group by all having 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))),
+g as (select a, b from e union all select b, a from e),
+r(id, low) as (select one, one from f union select g.b, r.low from r join g on g.a = r.id),
+k as (select id, min(low) as low from r group by id)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(k.low, d.doc_id) as component_id
+from documents d left join n using (doc_id) left join c using (doc_id) left join f using (c) left join k on k.id = f.one
+"""
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents for each benchmark item."""
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+OP13_SQL = r"""
+with t as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents),
+c as (select doc_id, term, count(*) as tf from t group by all),
+d as (select doc_id, sum(tf)::bigint as n from c group by 1),
+z as (select count(*) as docs, sum(n)::bigint as l from d),
+w as (select term, floor(1000 * ln((2 * any_value(docs) + 2)::double / (2 * count(*) + 1)::double))::bigint as w from c cross join z group by term),
+q as (select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+i as (select doc_id, term, (1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // l)) as imp from c join d using (doc_id) cross join z),
+s as (select item_id, doc_id, sum(w * imp)::bigint as score from q join w using (term) join i using (term) group by all having sum(w * imp) > 0)
+select item_id, (row_number() over o)::int as rank, doc_id, score from s window o as (partition by item_id order by score desc, doc_id) qualify row_number() over o <= 50
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_html_text, op3_mixing, op4_bpe, op5_license_scan, op6_nearest, op7_near_duplicates, op8_pii, op9_quality_rules, op10_secrets)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_html_text, op3_mixing, op4_bpe, op5_license_scan, op6_nearest, op7_near_duplicates, op8_pii, op9_quality_rules, op10_secrets, op11_fill_in_middle, op12_ngram_join, op13_ranked_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op5_license_scan": op5_sql(), "op9_quality_rules": OP9_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op5_license_scan": op5_sql(), "op9_quality_rules": OP9_SQL, "op11_fill_in_middle": OP11_SQL, "op12_ngram_join": OP12_SQL, "op13_ranked_search": OP13_SQL}
