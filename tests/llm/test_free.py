@@ -580,3 +580,45 @@ def test_secret_lexer_is_linear():
         began = time.perf_counter()
         secrets.literal_spans(part * 20_000 + "password")
         assert time.perf_counter() - began < 20, part
+
+
+def test_secret_lists_of_any_length():
+    """Every literal of a list counts, however many there are, by itself or behind a name."""
+    literals = [f"aX9f83kd{i:05d}kQ" for i in range(1000)]
+    for text in ("api_tokens = [" + ", ".join(f'"{x}"' for x in literals) + "]", "tokens:\n" + "".join(f"  - {x}\n" for x in literals), "k = [" + ", ".join(f'"{x}"' for x in literals) + "]\npassword = k"):
+        assert [text[a:b] for _, a, b in secrets.literal_spans(text)] == literals
+    names = "".join(f'n{i} = "{x}"\n' for i, x in enumerate(literals)) + "tokens = [" + ", ".join(f"n{i}" for i in range(1000)) + "]"
+    assert len(secrets.literal_spans(names)) == 1000
+
+
+def test_secret_chains_of_names():
+    chain = lambda n: 'k0 = "aX9f83kdk29dkQ"\n' + "".join(f"k{i + 1} = k{i}\n" for i in range(n)) + f"password = k{n}"
+    assert len(secrets.literal_spans(chain(60))) == 1 and secrets.literal_spans(chain(500)) == []
+    doubled = 'k0 = "aX9f83kdk29dkQ"\n' + "".join(f"k{i + 1} = k{i} + k{i}\n" for i in range(40)) + "password = k40"
+    assert len(secrets.literal_spans(doubled)) == 1
+    assert secrets.literal_spans("password = a\na = b\nb = a") == [] and secrets.literal_spans('password = "aX9f83kdk29dkQ" + password') == []
+
+
+def test_secret_filter_hangs_on_no_other_text():
+    """What is found of a literal doesn't depend on words elsewhere, and the filter lets every name through that promises enough."""
+    rng = random.Random(4)
+    words = [*secrets.SENSITIVE, "pass", "word", "se", "cret", "to", "ken", "user", "my", "x"]
+    for _ in range(1500):
+        name = "".join(rng.choice(("", "_", "-", ".", "2")) + (rng.choice((str.title, str.upper, str.lower))(rng.choice(words))) for _ in range(rng.randint(1, 4))).lstrip("_-.2")
+        text = f'{name} = "Xq9$Tz7Lm2Pw4Rk8"'
+        if secrets.sensitivity(name) >= secrets.LEAST_PROMISE:
+            assert secrets.may_promise(text), name
+        assert secrets.literal_spans(text) == secrets.literal_spans(text + "\n# donkey passes\n"), name
+    assert secrets.literal_spans('private_access = "Xq9$Tz7Lm2Pw4Rk8"')
+
+
+def test_secret_scan_of_a_very_long_text():
+    """Millions of characters of dense code: tokens take a few bytes a character."""
+    import tracemalloc
+
+    text = 'f(x[1], {a: "b"}); ' * 50_000 + 'password = "aX9f83kdk29dkQ"\n'
+    tracemalloc.start()
+    assert len(secrets.literal_spans(text)) == 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * len(text), peak / len(text)
