@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from evidentia.llm.common import BITS, NO_ID, bitmap, id_in, id_out, staged
 from evidentia.llm.graph import connected_components
-from evidentia.llm.near_dup import BLOCK, CLASS, _against_first, _between_blocks, _members, _open_members, _sets, _verified
+from evidentia.llm.near_dup import BLOCK, CLASS, _between_blocks, _open_members, _sets, _verified
 from evidentia.llm.sketching import WordHasher, mix64, shingle_set
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -40,7 +40,7 @@ class Scheme:
     num: int
     den: int
     k2: int = 1
-    n2: int = 4
+    n2: int = 3
     growth: float = 1.5
     seed: int = 1
 
@@ -116,17 +116,32 @@ def _signed(scheme: Scheme):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for i, x in zip(batch["id"], batch["shingles"], strict=True):
-                own = np.frombuffer(x, np.uint64)
-                yield pd.DataFrame({"key": signatures(own, scheme), "id": i, "n": len(own)})
+                yield pd.DataFrame({"key": signatures(np.frombuffer(x, np.uint64), scheme), "id": i})
 
     return run
 
 
+def _members(entries: DataFrame) -> DataFrame:
+    """The entries ``(key, id)`` of keys that several ids share, with the first id of the key and how many it has."""
+    buckets = entries.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("size"))
+    buckets = staged(buckets.filter("low <> high").drop("high"), "buckets")
+    return staged(entries.join(buckets, "key").select("key", "id", "low", "size"), "members")
+
+
+def _against_first(members: DataFrame, sizes: DataFrame, s: Scheme) -> DataFrame:
+    """Pairs of each member and the first of its bucket, where their sets' sizes ``(id, n)`` allow a link."""
+    pairs = members.filter("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
+    for end in ("a", "b"):
+        pairs = pairs.join(sizes.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}")), end)
+    return staged(pairs.filter(f"{s.den} * least(n_a, n_b) >= {s.num} * greatest(n_a, n_b)").select("a", "b"), "pairs")
+
+
 def _links(classes: DataFrame, texts: DataFrame, k: int, first: Scheme, second: Scheme) -> DataFrame:
     """``(id, label)`` of the classes that link with another; label is the component's smallest id."""
     num, den = first.num, first.den
-    members = _members(classes.select(F.explode("keys").alias("key"), "id", F.col("n_shingles").alias("n")))
-    pairs = _against_first(members, num, den)
+    sizes = classes.select("id", F.col("n_shingles").alias("n"))
+    members = _members(classes.select(F.explode("keys").alias("key"), "id"))
+    pairs = _against_first(members, sizes, first)
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.filter("size > 2").select("id")).distinct()
     wanted = staged(wanted.join(classes.select("id", "first.doc_id", "first.version"), "id"), "wanted")
     at = F.xxhash64("doc_id", "version").bitwiseAND(F.lit((1 << BITS) - 1))
@@ -140,9 +155,9 @@ def _links(classes: DataFrame, texts: DataFrame, k: int, first: Scheme, second:
     if members.isEmpty():
         return labels
     own = staged(sets.join(members.select("id").distinct(), "id", "left_semi"), "own")
-    members = _members(staged(own.mapInPandas(_signed(second), "key long, id long, n long"), "signed"))
+    members = _members(staged(own.mapInPandas(_signed(second), "key long, id long"), "signed"))
     of = lambda end: labels.select(F.col("id").alias(end), F.col("label").alias(f"of_{end}"))
-    pairs = _against_first(members, num, den)
+    pairs = _against_first(members, sizes, second)
     pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
     links = staged(links.union(_verified(staged(pairs, "apart"), own, num, den)), "links")
     labels = connected_components(links)
@@ -150,10 +165,10 @@ def _links(classes: DataFrame, texts: DataFrame, k: int, first: Scheme, second:
     members = _open_members(members, labels)
     if members.isEmpty():
         return labels
-    loose = members.select(F.col("low.id").alias("a"), F.col("id").alias("b")).distinct()
+    loose = members.select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
     clusters = staged(connected_components(loose).withColumnRenamed("label", "cluster").join(labels, "id", "left"), "clusters")
-    sizes = staged(clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
-    dealt = clusters.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    blocks = staged(clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
+    dealt = clusters.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = staged(dealt.select("id", F.coalesce("label", "id").alias("label"), "cluster", "block", "blocks"), "dealt")
     spread = dealt.join(own, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "label", "shingles")

@@ -140,7 +140,7 @@ def test_similar_documents_last_step(spark, monkeypatch):
         [(i, len(s), (i, df.sparkSession.sql(f"select xxhash64('{dict(rows)[i]}')").first()[0]), [1]) for i, s in sets.items()],
         "id long, n_shingles long, first struct<doc_id: long, version: long>, keys array<long>",
     )
-    monkeypatch.setattr(part_enum, "_signed", lambda s: lambda batches: (b[["id"]].assign(key=1, n=[len(x) // 8 for x in b["shingles"]])[["key", "id", "n"]] for b in batches))
+    monkeypatch.setattr(part_enum, "_signed", lambda s: lambda batches: (b[["id"]].assign(key=1)[["key", "id"]] for b in batches))
     got = {r["id"]: r["label"] for r in part_enum._links(classes, texts, 3, Scheme(90, 100), Scheme(90, 100)).collect()}
     want = brute.components(dict(rows), 3, 90)
     assert {i: got.get(i, i) for i in sets} == want
