@@ -32,7 +32,6 @@ from evidentia.llm.spans import Span, identified, masked, sha256, written
 
 # The kinds of base spans in their order, and the characters of their patterns.
 KINDS = ("email", "ip", "card", "phone")
-LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 DIGITS = re.compile(r"(?<![0-9])[0-9]+")
@@ -223,46 +222,85 @@ def disclosed(n_docs: int, n_entity: Column, n_seen: Column, n_both: Column, n_a
     return F.log2(low * n_docs / n_entity) / F.log2(F.lit(n_docs) / n_entity), -F.log2(low)
 
 
-def telling_terms(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """``(entity, term, n_entity, n_seen, n_both, n_around, n_near, share, open)``: the pairs over the thresholds."""
+def _over(pairs: DataFrame, n_docs: int, n_seen: str, n_around: str) -> DataFrame:
+    """The pairs over both thresholds."""
+    share, open_ = disclosed(n_docs, *[F.col(c) for c in ("n_entity", n_seen, "n_both", n_around, "n_near")])
+    return pairs.withColumns({"share": share, "open": open_}).filter((F.col("share") >= DISCLOSES) & (F.col("open") <= LEAVES))
+
+
+def _digest(*cols: str) -> list[Column]:
+    """128 bits of a set of rows, whatever their order and number: nothing is collected."""
+    return [F.bit_xor(F.xxhash64(F.lit(i), *cols)).alias(f"d{i}") for i in (1, 2)]
+
+
+def telling_terms(texts: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Which terms tell of which entities: ``(near, far, members)``.
+
+    ``near(entity, term, ..)`` are pairs that stand beside each other somewhere.  ``far(entity, term, ..)`` are pairs that only documents bring
+    together; its entity stands for all of ``members(entity, member)``, which are in the same documents with passages that repeat in the
+    same way.  Both have ``n_entity n_seen n_both n_around n_near share open``.  A list of n addresses and m names that comes back in several
+    documents is a class or two of each side there, not n times m pairs.
+    """
     n_docs, doc = found.count(), ["doc_id", "version"]
     holds = found.filter("size(entities) > 0").dropDuplicates(doc)  # rows equal in doc_id and text are one document
-    holds = staged(holds.select(*doc, "entities", "terms"), "holds")
-    who = holds.select(*doc, F.inline("entities"), "terms")
+    holds = staged(holds.select(*doc, F.xxhash64(F.lit(0), *doc).alias("at"), "entities", "terms"), "holds")
+    who = holds.select("at", F.inline("entities"))
     near = who.select("entity", "around", F.explode("near").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_near"))
-    passages = F.xxhash64(F.sort_array(F.collect_set("around"))).alias("passages")
-    each = staged(who.groupBy(*doc, "entity").agg(passages, F.collect_set("near").alias("near"), F.first("terms").alias("terms")), "each")
+    each = staged(who.groupBy("at", "entity").agg(F.xxhash64(F.sort_array(F.collect_set("around"))).alias("passages")), "each")
     known = each.groupBy("entity").agg(F.count("*").alias("n_entity"), F.count_distinct("passages").alias("n_all")).filter(F.col("n_entity") < n_docs)
-    # beside an entity of one passage only what stands near it can disclose it; entities of several count in whole documents
-    own = F.array_distinct(F.when(F.col("n_all") > 1, F.col("terms")).otherwise(F.flatten("near")))
-    each = staged(each.join(known, "entity").select("entity", "n_entity", "passages", own.alias("terms")), "counted")
-    both = each.select("entity", "n_entity", F.explode("terms").alias("term")).groupBy("entity", "n_entity", "term").agg(F.count("*").alias("n_both"))
-    least = holds.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_least"))
-    pairs = both.join(near, ["entity", "term"], "left").join(least, "term").withColumn("n_near", F.coalesce("n_near", F.lit(0)))
-
-    def over(df: DataFrame, n_seen: str, n_around: str) -> DataFrame:
-        share, open_ = disclosed(n_docs, *[F.col(c) for c in ("n_entity", n_seen, "n_both", n_around, "n_near")])
-        return df.withColumns({"share": share, "open": open_}).filter((F.col("share") >= DISCLOSES) & (F.col("open") <= LEAVES))
-
-    # bounds: at least as many documents hold a term as do so with any entity, and each is one passage at most
-    pairs = staged(over(pairs, "n_least", "n_both").drop("n_least"), "bounded")
-    held = each.select("entity", F.explode("terms").alias("term"), "passages").join(pairs.select("entity", "term"), ["entity", "term"], "left_semi")
-    held = held.distinct().groupBy("entity", "term").agg(F.count("*").alias("n_around"))
-    pairs = staged(over(pairs.join(held, ["entity", "term"]), "n_both", "n_around"), "pairs")
-    seen = _occurrences(texts, staged(pairs.select("term").distinct(), "wanted"))
-    return staged(over(pairs.join(seen, "term"), "n_seen", "n_around"), "telling")
+    known = staged(known, "known")
+    held = staged(holds.select("at", F.explode("terms").alias("term")), "held")
+
+    # entities of several passages count in whole documents: classes of them, each by the documents and which of these repeat a passage
+    several = each.join(known.filter("n_all > 1").select("entity", "n_entity"), "entity")
+    labels = several.groupBy("entity", "passages").agg(F.min("at").alias("label"))
+    several = staged(several.join(labels, ["entity", "passages"]).select("entity", "n_entity", "at", "label"), "several")
+    classes = several.groupBy("entity", "n_entity").agg(*_digest("at", "label"))
+    lead = classes.groupBy("n_entity", "d1", "d2").agg(F.min("entity").alias("lead"))
+    members = staged(classes.join(lead, ["n_entity", "d1", "d2"]).select(F.col("lead").alias("entity"), F.col("entity").alias("member"), "n_entity"), "members")
+    # and of terms, by their documents
+    kinds = held.groupBy("term").agg(F.count("*").alias("n_least"), *_digest("at"))
+    first = kinds.groupBy("n_least", "d1", "d2").agg(F.min("term").alias("first"))
+    kinds = staged(kinds.join(first, ["n_least", "d1", "d2"]).select("term", "first", "n_least"), "kinds")
+
+    pairs = near.join(known, "entity").join(kinds, "term").join(members.select(F.col("entity").alias("lead"), F.col("member").alias("entity")), "entity", "left")
+    pairs = staged(pairs, "near")
+    asked = pairs.filter("lead is not null").select(F.col("lead").alias("entity"), F.col("first").alias("term"), F.lit(1).alias("asked")).distinct()
+    leads = several.join(members.select("entity").distinct(), "entity", "left_semi")
+    firsts = held.join(kinds.filter("term = first").select("term", "n_least"), "term")
+    # beside none of its mentions, a term discloses an entity only if most of the term's documents hold that, two at least
+    met = leads.join(firsts, "at").join(asked, ["entity", "term"], "left").filter("asked is not null or (n_least > 1 and 2 * n_entity > n_least)")
+    met = met.groupBy("entity", "term", "n_entity", "n_least").agg(F.max("asked").alias("asked"), F.count("*").alias("n_both"), F.count_distinct("label").alias("n_around"))
+    met = staged(met.filter("asked is not null or 2 * n_both > n_least"), "met")
+
+    # bound: at least as many documents hold a term as do so with any entity
+    far = _over(met.withColumn("n_near", F.lit(0).cast("long")), n_docs, "n_least", "n_around").select("entity", F.col("term").alias("first"), "n_entity", "n_both", "n_around", "n_near")
+    far = staged(far.join(kinds.select("first", "term"), "first").drop("first"), "far")
+    counts = met.select(F.col("entity").alias("lead"), F.col("term").alias("first"), "n_both", "n_around")
+    alone = F.col("lead").isNull()  # one passage only: it stands in all of the entity's documents
+    pairs = pairs.join(counts, ["lead", "first"], "left").withColumns({"n_both": F.when(alone, F.col("n_entity")).otherwise(F.col("n_both")), "n_around": F.when(alone, 1).otherwise(F.col("n_around"))})
+    pairs = staged(_over(pairs, n_docs, "n_least", "n_around").select("entity", "term", "n_entity", "n_both", "n_around", "n_near"), "bounded")
+    seen = staged(_occurrences(texts, staged(pairs.select("term").union(far.select("term")).distinct(), "wanted")), "seen")
+    return tuple(staged(_over(x.join(seen, "term"), n_docs, "n_seen", "n_around"), "telling") for x in (pairs, far)) + (members.select("entity", "member"),)
+
+
+def telling_pairs(near: DataFrame, far: DataFrame, members: DataFrame) -> DataFrame:
+    """All pairs of ``telling_terms``, one row for each entity and term: as many as there are, which may be entities times terms."""
+    every = far.join(members, "entity").drop("entity").withColumnRenamed("member", "entity")
+    return near.unionByName(every.join(near.select("entity", "term"), ["entity", "term"], "left_anti"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """``(doc_id, version, n_email, n_ip, n_card, n_phone, base_sha256, spans)`` for every row of ``docs(doc_id, text)``.
 
     Null and empty texts have no spans.  Rows equal in doc_id and text share one result.  Other columns are ignored.
-    Texts are read three times; what is shuffled are terms beside entities, all terms of documents with an entity of several
-    passages, counts of terms that may disclose one, and where those that do stand.
+    Texts of any length are read whole, three times; what is shuffled are the terms beside entities, the terms of documents that hold an
+    entity, classes of both that meet in a document, counts of terms that may disclose one, and where those that do stand.
     """
     texts, doc = identified(docs), ["doc_id", "version"]
     found = staged(texts.mapInPandas(_scan, SCANNED), "found")
-    telling = staged(telling_terms(texts, found).select("term").distinct(), "terms")
+    near, far, _ = telling_terms(texts, found)
+    telling = staged(near.select("term").union(far.select("term")).distinct(), "terms")
     more = _places(texts, telling).groupBy(*doc).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
     more = staged(more.withColumnsRenamed({"doc_id": "t_id", "version": "t_version"}), "more")
     added = F.array_join(F.transform("terms", lambda x: F.concat(F.lit("term:"), x["start"].cast("string"), F.lit(":"), x["end"].cast("string"))), ",")

@@ -498,7 +498,7 @@ def test_pii_terms_are_those_of_plain_counts(spark):
                 want[e, x] = (seen[x], len(both), n_around, n_near)
     texts = identified(docs)
     found = staged(texts.mapInPandas(pii._scan, pii.SCANNED), "found")
-    got = {(r["entity"], r["term"]): (r["n_seen"], r["n_both"], r["n_around"], r["n_near"]) for r in pii.telling_terms(texts, found).collect()}
+    got = {(r["entity"], r["term"]): (r["n_seen"], r["n_both"], r["n_around"], r["n_near"]) for r in pii.telling_pairs(*pii.telling_terms(texts, found)).collect()}
     assert got == want and len(want) > 20
     marked = {r["doc_id"]: r["spans"] for r in pii.scan(docs).collect()}
     telling = {x for _, x in want}
@@ -507,6 +507,36 @@ def test_pii_terms_are_those_of_plain_counts(spark):
         assert {(int(a), int(b)) for k, a, b in (x.split(":") for x in marked[i].split(",") if x) if k == "term"} == words
 
 
+def test_pii_rows_grow_with_the_text(spark, monkeypatch):
+    """Long lists of addresses and names that come back: what is written grows with the lists, not with their product."""
+    written = Counter()
+
+    def counted(df, name):
+        out = staged(df, name)
+        written["rows"] += out.count()
+        return out
+
+    monkeypatch.setattr(pii, "staged", counted)
+    totals = []
+    for n in (200, 400):
+        lists = lambda s: " ".join(f"name{i} {s}{i % 7} n{i}@x{i}.example" for i in range(n))  # noqa: E731, B023
+        rows = [(1, lists("a")), (2, lists("b")), (3, lists("c"))] + [(i, f"some other words {i}") for i in range(4, 60)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        written.clear()
+        got = {x["doc_id"]: x["spans"] for x in pii.scan(df).collect()}
+        totals.append(written["rows"])
+        assert got[1].count("term:") >= n and got[1].count("email:") == n and "term" not in got[9]
+    assert totals[1] < 2.5 * totals[0]
+
+
+def test_pii_of_a_very_long_text(spark):
+    """A text of 50,000 addresses and 100,000 words."""
+    rows = [(1, " ".join(f"w{i} v{i} n{i}@x.example" for i in range(50_000))), (2, " ".join(f"w{i} n{i}@x.example" for i in range(0, 50_000, 2)))]
+    rows += [(i, f"other words {i}") for i in range(3, 20)]
+    got = {r["doc_id"]: (r["n_email"], r["spans"]) for r in pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1][0] == 50_000 and got[2][0] == 25_000 and got[3] == (0, "")
+
+
 def test_pii_and_secrets_edges(edges, nothing):
     for scan in (pii.scan, secrets.scan):
         got = scan(edges).collect()
