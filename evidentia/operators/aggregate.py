@@ -54,6 +54,57 @@ def running_sums(df: DataFrame, order: Sequence[Column | str], sums: Mapping[str
     return made.select(*df.columns, *[(F.col(f"_before_{n}") + F.col(f"_run_{n}")).alias(n) for n in sums])
 
 
+def dealt_by_range(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """The rows written in range partitions of an order; ``_part`` is the partition's number.  Rows equal in it share a partition."""
+    return settled(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+
+
+#: What a running aggregate joins two stretches by: the aggregate itself, as all three are associative.
+FOLDS = {"sum": F.sum, "max": F.max, "min": F.min}
+
+
+def _joined(fold: str, a: Column, b: Column) -> Column:
+    both = a + b if fold == "sum" else F.greatest(a, b) if fold == "max" else F.least(a, b)
+    return F.coalesce(both, a, b)
+
+
+def scan(dealt: DataFrame, part: Sequence[str], order: Sequence[Column | str], *layers: Mapping[str, tuple[str, Column]], before: Sequence[str] = ()) -> DataFrame:
+    """Adds running aggregates ``{name: (fold, column)}`` within parts, up to each row or, for those named in ``before``, up to the row
+    before it.  A layer's columns may use the results of the layers before.
+
+    ``dealt`` comes from ``dealt_by_range`` over part and order, so a part lies in neighbouring partitions.  Each stretch (a part's rows in
+    one partition) is folded by itself; what the earlier stretches of its part come to is carried into it.  Only parts that go on from one
+    partition into the next have something to carry, so these tables have two rows a partition at most.  No task holds a whole part.
+    """
+    key = F.struct(F.lit(1), *[F.col(p) for p in part])
+    ends = dealt.groupBy("_part").agg(F.min(key).alias("_low"), F.max(key).alias("_high"))
+    ends = ends.select("_part", *[F.col(f"_low.{p}").alias(f"_l_{p}") for p in part], *[F.col(f"_high.{p}").alias(f"_h_{p}") for p in part])
+    lasts = ends.select(*[F.col(f"_h_{p}").alias(f"_key_{p}") for p in part], F.col("_part").alias("_from")).groupBy(*[f"_key_{p}" for p in part]).agg(F.min("_from").alias("_from"), F.max("_from").alias("_to"))
+    firsts = ends.select(*[F.col(f"_l_{p}").alias(f"_first_{p}") for p in part], F.col("_part").alias("_next"))
+    meets = [F.col(f"_key_{p}").eqNullSafe(F.col(f"_first_{p}")) for p in part]
+    on = lasts.join(firsts, [*meets, F.col("_next") > F.col("_from")], "left_semi").select(*[f"_key_{p}" for p in part], F.lit(1).alias("_goes_on"))
+    on = settled(on)
+    same = [F.col(p).eqNullSafe(F.col(f"_key_{p}")) for p in part]
+    # the rows of parts that go on: layers are made for these first, to know what is carried
+    going = dealt.join(F.broadcast(on), same or F.lit(True), "left_semi")
+    whole = dealt
+    for i, layer in enumerate(layers):
+        rows = {n: W.partitionBy("_part", *part).orderBy(*order).rowsBetween(W.unboundedPreceding, -1 if n in before else 0) for n in layer}
+        own = going.groupBy(*part, "_part").agg(*[FOLDS[f](c).alias(f"_all_{n}") for n, (f, c) in layer.items()])
+        earlier = W.partitionBy(*part).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+        carried = own.select(*[F.col(p).alias(f"_key_{p}") for p in part], F.col("_part").alias("_at"), *[FOLDS[f](f"_all_{n}").over(earlier).alias(f"_carry_{n}") for n, (f, _) in layer.items()])
+        last = i == len(layers) - 1
+        carried = carried if last else settled(carried)  # met twice
+
+        def folded(df: DataFrame) -> DataFrame:
+            run = df.withColumns({f"_run_{n}": FOLDS[f](c).over(rows[n]) for n, (f, c) in layer.items()})  # noqa: B023
+            run = run.join(F.broadcast(carried), [*same, F.col("_part") == F.col("_at")], "left")  # noqa: B023
+            return run.select(*[f"`{c}`" for c in df.columns], *[_joined(f, F.col(f"_carry_{n}"), F.col(f"_run_{n}")).alias(n) for n, (f, _) in layer.items()])  # noqa: B023
+
+        whole, going = folded(whole), going if last else folded(going)
+    return whole
+
+
 def quantiles(df: DataFrame, col: str, shares: Mapping[str, float]) -> DataFrame:
     """One row with interpolated quantiles of a column's values; null if there are none.  What is ordered are distinct values, by range."""
     at = running_sums(df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("_n")), [col], {"_run": "_n"})
@@ -108,33 +159,96 @@ def top_n_mean(df: DataFrame, key: str, values: Sequence[str], n: int = 3) -> Da
     return ranked.filter(F.col("_r") <= n).groupBy(key).agg(*[F.avg(c).alias(c) for c in values], F.count("*").alias("n_rows"))
 
 
-def maxlfq(df: DataFrame, protein: str, ion: str, sample: str, intensity: str) -> DataFrame:
-    """D9.  Protein profiles: medians of pairwise log-ratios between samples over shared ions, solved by least squares.
+def normalise_medians(df: DataFrame, sample: str, intensity: str) -> DataFrame:
+    """D9.  Positive intensities, scaled so that every sample's median log intensity is the mean of these medians."""
+    cells = df.filter(F.col(intensity) > 0)
+    medians = settled(cells.groupBy(sample).agg(F.median(F.log2(intensity)).alias("_m")))
+    shift = medians.join(F.broadcast(medians.agg(F.avg("_m").alias("_mean")))).select(sample, F.pow(F.lit(2.0), F.col("_mean") - F.col("_m")).alias("_by"))
+    return cells.join(shift, sample).withColumn(intensity, F.col(intensity) * F.col("_by")).select(*df.columns)
 
-    The published MaxLFQ idea: ratios are the more reliable quantity; the profile is the one that fits them best, scaled
-    to the protein's summed intensity.  One task holds one protein's (ion, sample) cells.
+
+def sample_ratios(cells: DataFrame, protein: str, ion: str, sample: str, log: str, least: int = 1) -> DataFrame:
+    """D9.  ``(protein, a, b, ratio, n_ions)``: the median log ratio of every two samples (a < b) that share ``least`` of a protein's ions.
+
+    Cells meet by protein and ion, so what meets are one ion's samples; medians are aggregates by protein and pair of samples.
+    """
+    left = cells.select(protein, ion, F.col(sample).alias("a"), F.col(log).alias("_la"))
+    right = cells.select(protein, ion, F.col(sample).alias("b"), F.col(log).alias("_lb"))
+    met = left.join(right, [protein, ion]).filter("a < b").groupBy(protein, "a", "b")
+    return met.agg(F.median(F.col("_la") - F.col("_lb")).alias("ratio"), F.count("*").alias("n_ions")).filter(F.col("n_ions") >= least)
+
+
+def laplacian_profiles(pairs: list[tuple[int, int, float]], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For n samples and ratios ``(i, j, x_i - x_j)``: each sample's component (its smallest sample) and the level that fits the ratios
+    best by least squares, with mean 0 in each component."""
+    component, level = np.arange(n), np.zeros(n)
+    for i, j, _ in pairs:
+        low, high = sorted((component[i], component[j]))
+        component[component == high] = low
+    for c in np.unique(component):
+        own = np.flatnonzero(component == c)
+        if len(own) < 2:
+            continue
+        at = {int(s): k for k, s in enumerate(own)}
+        laplacian, right = np.full((len(own), len(own)), 1.0), np.zeros(len(own))  # the ones fix the mean at 0
+        for i, j, r in pairs:
+            if i in at:
+                x, y = at[i], at[j]
+                laplacian[x, x] += 1
+                laplacian[y, y] += 1
+                laplacian[x, y] -= 1
+                laplacian[y, x] -= 1
+                right[x] += r
+                right[y] -= r
+        level[own] = np.linalg.solve(laplacian, right)
+    return component, level
+
+
+def maxlfq(df: DataFrame, protein: str, ion: str, sample: str, intensity: str, scale: str = "sum", least: int = 1) -> DataFrame:
+    """D9.  ``(protein, sample, component, lfq)``: protein profiles from the medians of ion ratios between samples (MaxLFQ).
+
+    Ratios are the more reliable quantity; a profile is the one that fits its protein's ratios best.  Samples that no chain of shared ions
+    connects can't be compared: each connected component (named by its smallest sample) is solved by itself and scaled to what its own
+    samples hold, so that its levels sum up to their summed intensities (``scale="sum"``, as published) or its mean log level is that of its
+    ions (``"log mean"``; a sample alone gets the median of its logs).  Samples in which a protein has no positive intensity have no row.
+    For normalisation between samples see ``normalise_medians``.  A task gets a protein's ratios and sums, as many as samples by samples at most.
     """
-    cells = df.filter(F.col(intensity) > 0).groupBy(protein, ion, sample).agg(F.sum(intensity).alias("v"))
-
-    def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        wide = np.log2(rows.pivot(index=ion, columns=sample, values="v").sort_index(axis=1))
-        names, m = list(wide.columns), wide.to_numpy()
-        n, a, b = len(names), [], []
-        for i in range(n):
-            for j in range(i + 1, n):
-                ratio = (m[:, i] - m[:, j])[np.isfinite(m[:, i] - m[:, j])]
-                if len(ratio):
-                    row = np.zeros(n)
-                    row[i], row[j] = 1, -1
-                    a.append(row)
-                    b.append(np.median(ratio))
-        a.append(np.ones(n) / n)
-        b.append(np.log2(np.nansum(2.0**m) / n))
-        level = np.linalg.lstsq(np.array(a), np.array(b), rcond=None)[0]
-        return pd.DataFrame({protein: key[0], sample: names, "lfq": 2.0**level})
-
-    kinds = dict(df.dtypes)
-    return cells.groupBy(protein).applyInPandas(solve, f"{protein} {kinds[protein]}, {sample} {kinds[sample]}, lfq double")
+    if scale not in ("sum", "log mean"):
+        raise ValueError(f"no such scale: {scale}")
+    cells = df.filter(F.col(intensity) > 0).groupBy(protein, ion, sample).agg(F.sum(intensity).cast("double").alias("_v")).withColumn("_log", F.log2("_v"))
+    cells = settled(cells)
+    held = cells.groupBy(protein, sample).agg(F.sum("_v").alias("_sum"), F.sum("_log").alias("_logs"), F.count("*").alias("_n"), F.median("_log").alias("_median"))
+    own = held.groupBy(protein).agg(F.array_sort(F.collect_list(F.struct(sample, "_sum", "_logs", "_n", "_median"))).alias("_own"))
+    ratios = sample_ratios(cells, protein, ion, sample, "_log", least)
+    pairs = ratios.groupBy(protein).agg(F.collect_list(F.struct("a", "b", "ratio")).alias("_pairs"))
+    rows = own.join(pairs, protein, "left").withColumn("_pairs", F.coalesce("_pairs", F.array()))
+    names = F.col(f"_own.{sample}")
+    place = lambda side: F.transform("_pairs", lambda x: (F.array_position(names, x[side]) - 1).cast("int"))
+
+    @F.pandas_udf("array<double>")
+    def solved(i: pd.Series, j: pd.Series, r: pd.Series, sums: pd.Series, logs: pd.Series, n: pd.Series, medians: pd.Series) -> pd.Series:
+        return pd.Series([_profile(*x, scale) for x in zip(i, j, r, sums, logs, n, medians, strict=True)])
+
+    made = rows.withColumn("_made", solved(place("a"), place("b"), F.col("_pairs.ratio"), *[F.col(f"_own.{c}") for c in ("_sum", "_logs", "_n", "_median")]))
+    each = made.select(protein, names.alias("_names"), "_made", F.posexplode(names).alias("_at", sample))
+    of = lambda offset: F.element_at("_made", F.col("_at") + offset + 1)
+    return each.select(protein, sample, F.element_at("_names", (of(0) + 1).cast("int")).alias("component"), of(F.size("_names")).alias("lfq"))
+
+
+def _profile(i: np.ndarray, j: np.ndarray, r: np.ndarray, sums: np.ndarray, logs: np.ndarray, n: np.ndarray, medians: np.ndarray, scale: str) -> np.ndarray:
+    """A protein's components and then its levels, sample by sample."""
+    component, level = laplacian_profiles(list(zip(i.tolist(), j.tolist(), r.tolist(), strict=True)), len(sums))
+    lfq = np.zeros(len(sums))
+    for c in np.unique(component):
+        part = component == c
+        if scale == "sum":
+            raw = 2.0 ** level[part]
+            lfq[part] = raw / raw.sum() * sums[part].sum()
+        elif part.sum() == 1:
+            lfq[part] = 2.0 ** medians[part]
+        else:
+            lfq[part] = 2.0 ** (level[part] + logs[part].sum() / n[part].sum())
+    return np.concatenate([component, lfq])
 
 
 def group_by_set(df: DataFrame, id_col: str, list_col: str, name: str = "group_id") -> DataFrame:

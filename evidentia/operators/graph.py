@@ -10,22 +10,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evidentia.scratch import settled
-
-
-def components(edges: DataFrame, a: str, b: str, most_rounds: int = 50) -> DataFrame:
-    """``(id, label)``: the smallest id reachable.  Nodes take their neighbours' smallest label, then labels' labels."""
-    both = settled(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(b, a)).distinct())
-    labels = settled(both.groupBy(F.col("x").alias("id")).agg(F.least(F.col("id"), F.min("y")).alias("label")))
-    for _ in range(most_rounds):
-        heard = both.join(labels, F.col("x") == F.col("id")).select(F.col("y").alias("id"), "label")
-        best = settled(labels.withColumn("old", F.col("label")).unionByName(heard, allowMissingColumns=True).groupBy("id").agg(F.min("label").alias("label"), F.min("old").alias("old")))
-        onward = best.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        new = settled(best.join(onward, "label", "left").select("id", F.coalesce("next", "label").alias("label"), "old"))
-        labels = new.select("id", "label")
-        if new.filter("label <> old").isEmpty():
+from evidentia.scratch import discard, settled
+
+
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """``(id, label)`` for the ends of edges between different ids: the smallest id reachable.
+
+    Each round points every node at its smallest neighbour (or itself, where that is smaller), follows the pointers once more and contracts
+    the edges to what is pointed at.  A node that stays is pointed at by another at least, so no more than half of a round's nodes are left
+    and the rounds end after log2 of their number.  A round's tables go when the next one's are written.
+    """
+    pairs = settled(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a <> b").distinct())
+    labels = None
+    while True:
+        ends = pairs.select("a", "b").union(pairs.select("b", "a"))
+        point = settled(ends.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("to")))
+        jump = point.join(point.select(F.col("id").alias("to"), F.col("to").alias("then")), "to").select("id", F.col("then").alias("to"))
+        if labels is None:
+            new = settled(jump.withColumnRenamed("to", "label"))
+        else:
+            new = settled(labels.join(jump.withColumnRenamed("id", "label"), "label", "left").select("id", F.coalesce("to", "label").alias("label")))
+        x, y = jump.select(F.col("id").alias("a"), F.col("to").alias("x")), jump.select(F.col("id").alias("b"), F.col("to").alias("y"))
+        left = settled(pairs.join(x, "a").join(y, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        discard(pairs, labels, point)
+        pairs, labels = left, new
+        if pairs.isEmpty():
+            discard(pairs)
             return labels
-    raise RuntimeError("groups did not settle")
 
 
 def unify_groups(df: DataFrame, id_col: str, groups: str, none: str = "U") -> DataFrame:
@@ -38,7 +49,7 @@ def unify_groups(df: DataFrame, id_col: str, groups: str, none: str = "U") -> Da
     return df.join(own, id_col, "left").withColumn("group", F.coalesce("group", F.lit(none)))
 
 
-def closure(edges: DataFrame, child: str, parent: str, most_rounds: int = 100) -> DataFrame:
+def closure(edges: DataFrame, child: str, parent: str) -> DataFrame:
     """I2, I3.  ``(node, ancestor, depth)`` for all ancestors by the shortest path.
 
     Each round joins what the last one found with all that is known by then, so paths double and old pairs aren't joined again:
@@ -46,16 +57,19 @@ def closure(edges: DataFrame, child: str, parent: str, most_rounds: int = 100) -
     """
     pair = ["node", "ancestor"]
     fresh = known = settled(edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).filter("node <> ancestor").distinct().withColumn("depth", F.lit(1)))
-    for _ in range(most_rounds):
+    while True:  # depths only fall, so this ends, also where edges form a cycle
         onward = known.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("far"), F.col("depth").alias("more"))
         longer = fresh.join(onward, "ancestor").select("node", F.col("far").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
         longer = longer.groupBy(*pair).agg(F.min("depth").alias("depth"))
         before = known.select(*pair, F.col("depth").alias("was"))
-        fresh = settled(longer.join(before, pair, "left").filter("was is null or depth < was").select(*pair, "depth"))
-        if fresh.isEmpty():
+        found = settled(longer.join(before, pair, "left").filter("was is null or depth < was").select(*pair, "depth"))
+        if fresh is not known:
+            discard(fresh)
+        if found.isEmpty():
             return known
-        known = settled(known.join(fresh, pair, "left_anti").unionByName(fresh))
-    raise RuntimeError("closure did not settle")
+        grown = settled(known.join(found, pair, "left_anti").unionByName(found))
+        discard(known)
+        fresh, known = found, grown
 
 
 def n_descendants(closed: DataFrame) -> DataFrame:
@@ -80,22 +94,25 @@ def map_to_slim(closed: DataFrame, slim: DataFrame, direct: bool = False) -> Dat
     return hits.join(beaten, ["node", "slim"], "left_anti")
 
 
-def semantic_values(edges: DataFrame, child: str, parent: str, weight: Column | float = 0.8, most_rounds: int = 100) -> DataFrame:
+def semantic_values(edges: DataFrame, child: str, parent: str, weight: Column | float = 0.8) -> DataFrame:
     """I5.  ``(node, ancestor, s)``: the best product of weights over paths, 1 for the node itself (Wang's S-values)."""
     w = weight if isinstance(weight, Column) else F.lit(float(weight))
     step = settled(edges.select(F.col(child).alias("ancestor"), F.col(parent).alias("up"), w.alias("w")))
     nodes = step.select(F.col("ancestor").alias("node")).union(step.select("up")).distinct()
     known = settled(nodes.select("node", F.col("node").alias("ancestor"), F.lit(1.0).alias("s")))
     frontier = known
-    for _ in range(most_rounds):
+    while True:  # weights are below 1 and edges acyclic, so values settle at every depth
         reached = frontier.join(step, "ancestor").select("node", F.col("up").alias("ancestor"), (F.col("s") * F.col("w")).alias("s"))
         reached = reached.groupBy("node", "ancestor").agg(F.max("s").alias("s"))
         better = reached.join(known.withColumnRenamed("s", "had"), ["node", "ancestor"], "left").filter("had is null or s > had").drop("had")
-        frontier = settled(better)
-        if frontier.isEmpty():
+        found = settled(better)
+        if frontier is not known:
+            discard(frontier)
+        if found.isEmpty():
             return known
-        known = settled(known.unionByName(frontier).groupBy("node", "ancestor").agg(F.max("s").alias("s")))
-    raise RuntimeError("values did not settle")
+        grown = settled(known.unionByName(found).groupBy("node", "ancestor").agg(F.max("s").alias("s")))
+        discard(known)
+        frontier, known = found, grown
 
 
 def wang_similarity(values: DataFrame, pairs: DataFrame, a: str, b: str) -> DataFrame:

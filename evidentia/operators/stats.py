@@ -6,14 +6,15 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from evidentia.operators.aggregate import numbered, running_sums
+from evidentia.operators import exact
+from evidentia.operators.aggregate import running_sums
+from evidentia.operators.windows import p_adjust
 
 
 @F.pandas_udf(DoubleType())
@@ -38,28 +39,41 @@ def average_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFram
     return df.join(n.withColumn("rank", F.col("_run") - (F.col("ties") - 1) / 2).drop("_run"), [*by, value])
 
 
-def rank_sum(df: DataFrame, value: str, group: str, a: str, b: str) -> DataFrame:
-    """K1.  U of the first group, and z with the tie correction (no continuity correction)."""
-    two = df.filter(F.col(group).isin(a, b) & F.col(value).isNotNull()).select(group, value)
-    r = average_ranks(two, value)
-    s = r.agg(
+def rank_sum(df: DataFrame, value: str, group: str, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
+    """K1.  U of the first group, z with the tie correction (no continuity correction), and whether any values tie; see ``with_p``.
+
+    One test over all rows, or one for each ``by`` (those are taken to be small: a task ranks the distinct values of one).
+    """
+    two = df.filter(F.col(group).isin(a, b) & F.col(value).isNotNull()).select(*by, group, value)
+    r = average_ranks(two, value, by)
+    s = r.groupBy(*by).agg(
         F.sum(F.when(F.col(group) == a, F.col("rank"))).alias("_r"),
         F.count_if(F.col(group) == a).alias("n_a"),
         F.count_if(F.col(group) == b).alias("n_b"),
         F.sum(F.pow(F.col("ties").cast("double"), F.lit(2.0)) - 1).alias("_t"),  # sum over rows = sum of t^3 - t over ties
     )
-    n = F.col("n_a") + F.col("n_b")
     u = F.col("_r") - F.col("n_a") * (F.col("n_a") + 1) / 2
-    var = F.col("n_a") * F.col("n_b") / 12 * ((n + 1) - F.col("_t") / (n * (n - 1)))
-    return s.select(F.lit(a).alias("a"), F.lit(b).alias("b"), "n_a", "n_b", u.alias("u"), F.try_divide(u - F.col("n_a") * F.col("n_b") / 2, F.sqrt(var)).alias("z"))
+    return _with_z(s.select(*by, F.lit(a).alias("a"), F.lit(b).alias("b"), "n_a", "n_b", F.coalesce(u, F.lit(0.0)).alias("u"), "_t"))
+
+
+def _with_z(s: DataFrame) -> DataFrame:
+    """Adds ``z``, ``sigma`` and ``tied`` to ``u n_a n_b`` and the sum of t^3 - t over ties."""
+    n = F.col("n_a") + F.col("n_b")
+    var = F.col("n_a") * F.col("n_b") / 12 * ((n + 1) - F.try_divide(F.col("_t"), n * (n - 1)))
+    s = s.withColumns({"sigma": F.sqrt(var), "tied": F.col("_t") > 0})
+    return s.withColumn("z", F.try_divide(F.col("u") - F.col("n_a") * F.col("n_b") / 2, F.col("sigma"))).drop("_t")
 
 
 def signed_rank(df: DataFrame, a: str, b: str) -> DataFrame:
-    """K2.  Sum of positive ranks of the differences, zeros and nulls left out, and its z."""
-    d = df.select((F.col(a) - F.col(b)).alias("d")).filter("d <> 0").withColumn("_m", F.abs("d"))
-    s = average_ranks(d, "_m").agg(F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0)).alias("w"), F.count("*").alias("n"), F.sum(F.pow(F.col("ties").cast("double"), F.lit(2.0)) - 1).alias("_t"))
+    """K2.  Sum of positive ranks of the differences, zeros and nulls left out, its z, and whether there were zeros or ties; see ``with_p``."""
+    every = df.select((F.col(a) - F.col(b)).alias("d")).filter("d is not null").withColumn("_m", F.abs("d"))
+    zeros = every.agg((F.count_if(F.col("d") == 0) > 0).alias("_zeros"))
+    d = average_ranks(every.filter("d <> 0"), "_m")
+    s = d.agg(F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0)).alias("w"), F.count("*").alias("n"), F.sum(F.pow(F.col("ties").cast("double"), F.lit(2.0)) - 1).alias("_t"))
     n = F.col("n")
-    return s.select("n", "w", F.try_divide(F.col("w") - n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("_t") / 48)).alias("z"))
+    s = s.join(F.broadcast(zeros))  # one row
+    s = s.select("n", "w", F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("_t") / 48).alias("sigma"), ((F.col("_t") > 0) | F.col("_zeros")).alias("tied"))
+    return s.withColumn("z", F.try_divide(F.col("w") - n * (n + 1) / 4, F.col("sigma")))
 
 
 def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
@@ -127,16 +141,38 @@ def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(v) or k <= 0 else incomplete_beta(k / 2, 0.5, k / (k + v * v)) for v, k in zip(t, df, strict=True)], dtype="float64")
 
 
-def one_sided(p: Column, z: Column, alternative: str) -> Column:
-    """The p-value of ``greater`` or ``less`` from a two-sided one."""
-    toward = z >= 0 if alternative == "greater" else z <= 0
-    return F.when(toward, p / 2).otherwise(1 - p / 2)
+@F.pandas_udf(DoubleType())
+def normal_upper(z: pd.Series) -> pd.Series:
+    """P(Z >= z)."""
+    return z.map(lambda x: math.erfc(x / math.sqrt(2)) / 2, na_action="ignore").astype("float64")
 
 
-def alternatives(df: DataFrame, z: str = "z") -> DataFrame:
-    """K1, K2.  Adds ``p``, ``p_greater`` and ``p_less`` by the normal approximation."""
-    p = df.withColumn("p", normal_two_sided(z))
-    return p.withColumns({f"p_{a}": one_sided(F.col("p"), F.col(z), a) for a in ("greater", "less")})
+def with_p(df: DataFrame, exact_below: int = 50) -> DataFrame:
+    """K1, K2.  Adds ``p``, ``p_greater`` and ``p_less`` to the result of ``rank_sum`` or ``signed_rank``.
+
+    Exact from the distribution of the statistic where each sample has fewer than ``exact_below`` values and none tie (or are 0, for
+    differences); else by the normal approximation with a continuity correction of one half.
+    """
+    if "u" in df.columns:
+        stat, mean, small = F.col("u"), F.col("n_a") * F.col("n_b") / 2, (F.col("n_a") < exact_below) & (F.col("n_b") < exact_below)
+        tails = {"_ge": exact.rank_sum_tail("u", "n_a", "n_b"), "_le": exact.rank_sum_tail(F.col("n_a") * F.col("n_b") - F.col("u"), "n_a", "n_b")}
+    else:
+        stat, mean, small = F.col("w"), F.col("n") * (F.col("n") + 1) / 4, F.col("n") < exact_below
+        tails = {"_ge": exact.signed_rank_tail("w", "n"), "_le": exact.signed_rank_tail(F.col("n") * (F.col("n") + 1) / 2 - F.col("w"), "n")}
+    off = stat - mean
+    z = {"_z": (off - F.signum(off) * 0.5) / F.col("sigma"), "_zg": (off - 0.5) / F.col("sigma"), "_zl": (off + 0.5) / F.col("sigma")}
+    fits = small & ~F.col("tied")
+    # the tails are symmetric, so P(S <= s) is the upper tail at the mirrored value
+    made = df.withColumns(tails).withColumns({n: F.when(F.col("sigma") > 0, c) for n, c in z.items()})
+    made = made.withColumns({"_p": normal_two_sided("_z"), "_pg": normal_upper("_zg"), "_pl": normal_upper(-F.col("_zl"))})
+    made = made.withColumns(
+        {
+            "p": F.when(fits, F.least(F.lit(1.0), 2 * F.least("_ge", "_le"))).otherwise(F.least(F.lit(1.0), "_p")),
+            "p_greater": F.when(fits, F.col("_ge")).otherwise(F.col("_pg")),
+            "p_less": F.when(fits, F.col("_le")).otherwise(F.col("_pl")),
+        }
+    )
+    return made.drop(*tails, *z, "_p", "_pg", "_pl")
 
 
 def cor_test(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -146,15 +182,22 @@ def cor_test(df: DataFrame, x: str, y: str) -> DataFrame:
     return s.withColumn("p", t_two_sided("t", F.col("n") - 2))
 
 
-def ks2(df: DataFrame, value: str, group: str, a: str, b: str) -> DataFrame:
-    """K5.  The largest difference of two groups' distribution functions, and its asymptotic p (Kolmogorov's series)."""
+def ks2(df: DataFrame, value: str, group: str, a: str, b: str, exact_below: int = 10_000) -> DataFrame:
+    """K5.  The largest difference of two groups' distribution functions and its p: exact where ``n_a * n_b < exact_below``, ties included,
+    else asymptotic (Kolmogorov's series)."""
     at = df.filter(F.col(group).isin(a, b) & F.col(value).isNotNull()).groupBy(value).agg(F.count_if(F.col(group) == a).alias("_a"), F.count_if(F.col(group) == b).alias("_b"))
     n = at.agg(F.sum("_a").alias("_na"), F.sum("_b").alias("_nb"))
     run = running_sums(at, [value], {"_ra": "_a", "_rb": "_b"}).join(F.broadcast(n))  # one row
-    d = run.groupBy("_na", "_nb").agg(F.max(F.abs(F.col("_ra") / F.col("_na") - F.col("_rb") / F.col("_nb"))).alias("d"))
+    small = F.col("_na") * F.col("_nb") < exact_below
+    d = run.groupBy("_na", "_nb").agg(
+        F.max(F.abs(F.try_divide("_ra", "_na") - F.try_divide("_rb", "_nb"))).alias("d"),
+        F.sort_array(F.collect_list(F.when(small, F.col("_ra") + F.col("_rb")))).alias("_ends"),  # where a run of ties ends; none kept of larger tests
+    )
     effective = F.col("_na") * F.col("_nb") / (F.col("_na") + F.col("_nb")) * F.col("d") * F.col("d")
     series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * effective))
-    return d.select(F.lit(a).alias("a"), F.lit(b).alias("b"), "d", F.when(effective < 0.01, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), series))).alias("p"))
+    limit = F.when(effective < 0.01, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), series)))
+    made = d.withColumn("_exact", exact.ks_tail("d", "_na", "_nb", "_ends"))
+    return made.select(F.lit(a).alias("a"), F.lit(b).alias("b"), "d", F.coalesce("_exact", limit).alias("p"))
 
 
 def chi_square_table(ct: DataFrame, a: str, b: str, n: str = "n") -> DataFrame:
@@ -189,92 +232,39 @@ def odds_ratio() -> dict[str, Column]:
 
 
 def all_pairs(df: DataFrame, value: str, group: str, groups: Sequence[str]) -> DataFrame:
-    """K8.  The rank-sum test of every two groups."""
-    out = None
-    for i, a in enumerate(groups):
-        for b in groups[i + 1 :]:
-            one = rank_sum(df, value, group, a, b)
-            out = one if out is None else out.unionByName(one)
-    return out
-
+    """K8.  The rank-sum test of every two groups, from one pass over the distinct values.
 
-def conclude(df: DataFrame, p: str = "p_holm", alpha: float = 0.05) -> DataFrame:
-    """K8.  In words: which of the two is greater, where the difference is significant."""
-    text = F.when(F.col(p) >= alpha, F.concat(F.col("a"), F.lit(" and "), F.col("b"), F.lit(" don't differ")))
-    text = text.when(F.col("z") > 0, F.concat(F.col("a"), F.lit(" is greater than "), F.col("b"))).otherwise(F.concat(F.col("b"), F.lit(" is greater than "), F.col("a")))
-    return df.withColumn("conclusion", text)
-
-
-@F.pandas_udf(DoubleType())
-def hypergeometric_tail(k: pd.Series, n: pd.Series, m: pd.Series, total: pd.Series) -> pd.Series:
-    """P(X >= k): of ``total`` entities m bear a term, n are drawn."""
-
-    def log_choose(a: int, b: int) -> float:
-        return math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
-
-    def tail(k: int, n: int, m: int, total: int) -> float:
-        low, top = max(k, n + m - total, 0), min(n, m)
-        if low > top:
-            return 0.0
-        first = log_choose(m, low) + log_choose(total - m, n - low) - log_choose(total, n)
-        i = np.arange(low, top, dtype=float)  # each term from the one before
-        steps = np.log((m - i) * (n - i)) - np.log((i + 1) * (total - m - n + i + 1))
-        logs = first + np.concatenate([[0.0], np.cumsum(steps)])
-        return min(1.0, float(np.exp(logs - logs.max()).sum() * math.exp(logs.max())))
-
-    return pd.Series([tail(*map(int, x)) for x in zip(k, n, m, total, strict=True)], dtype="float64")
-
-
-def enrich(members: DataFrame, group: str, entity: str, terms: DataFrame, term: str, least: int = 10) -> DataFrame:
-    """K9.  Over-representation of terms in groups of at least ``least`` entities: counts and the hypergeometric tail.
-
-    The universe is all entities that belong to a group.
-    """
-    universe = members.select(entity).distinct()
-    total = universe.agg(F.count("*").alias("n_universe"))
-    borne = terms.select(entity, term).distinct().join(universe, entity, "left_semi")
-    n_term = borne.groupBy(term).agg(F.count("*").alias("n_term"))
-    own = members.select(group, entity).distinct()
-    n_group = own.groupBy(group).agg(F.count("*").alias("n_group")).filter(F.col("n_group") >= least)
-    both = own.join(borne, entity).groupBy(group, term).agg(F.count("*").alias("n_both"))
-    counts = both.join(n_group, group).join(n_term, term).join(F.broadcast(total))
-    return counts.withColumn("p", hypergeometric_tail("n_both", "n_group", "n_term", "n_universe"))
-
-
-def running_sum_es(ranked: DataFrame, entity: str, score: str, sets: DataFrame, set_name: str) -> DataFrame:
-    """K10.  Each set's enrichment score: the highest point of the running sum that goes up by |score| shares at members
-    and down evenly elsewhere, with entities by falling score.
-
-    Only members' places matter: just after the i-th of them at rank r the sum is hits(i) - (r - i) / (n - n_set), so the
-    ranking is joined to the members and nothing is expanded to sets times entities.
+    A value has a vector of group counts, and running sums of these tell how many of each group lie below.  A pair's U sums, over the
+    first group's values, the second's below and half of those that tie; its tie correction needs the same counts.
     """
-    place = numbered(ranked.select(entity, score), [F.desc(score), F.col(entity)], "_rank").withColumn("_rank", F.col("_rank") + 1)
-    n = ranked.agg(F.count("*").alias("_n"))
-    hits = sets.select(set_name, entity).distinct().join(place, entity)
-    at, whole = W.partitionBy(set_name).orderBy("_rank"), W.partitionBy(set_name)
-    up = F.sum(F.abs(F.col(score))).over(at.rowsBetween(W.unboundedPreceding, 0)) / F.sum(F.abs(F.col(score))).over(whole)
-    i, size = F.row_number().over(at), F.count("*").over(whole)
-    walked = hits.join(F.broadcast(n)).select(set_name, (up - F.try_divide(F.col("_rank") - i, F.col("_n") - size)).alias("_es"), size.alias("n_members"))
-    return walked.groupBy(set_name).agg(F.max("_es").alias("es"), F.max("n_members").alias("n_members"))
-
-
-def gsea(ranked: DataFrame, entity: str, score: str, sets: DataFrame, set_name: str, n_perm: int = 100, seed: int = 1) -> DataFrame:
-    """K10.  Scores with permutation p-values: a replicate column, and in each replicate as many members drawn anew, none twice.
-
-    Replicate r of a set takes the places ``(x * i + y) mod p`` for i = 0, 1 .., with p the first prime from the number of entities on and x, y
-    hashed from both: these differ for different i, and what lies beyond the last place is passed over.
+    names = list(groups)
+    n = {g: f"_n{i}" for i, g in enumerate(names)}
+    run = {g: f"_r{i}" for i, g in enumerate(names)}
+    at = df.filter(F.col(group).isin(names) & F.col(value).isNotNull()).groupBy(value).agg(*[F.count_if(F.col(group) == g).alias(n[g]) for g in names])
+    at = running_sums(at, [value], {run[g]: n[g] for g in names})
+    real = lambda c: F.col(c).cast("double")
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    made = []
+    for i, (a, b) in enumerate(pairs):
+        t = real(n[a]) + real(n[b])
+        made += [F.sum(real(n[a]) * (real(run[b]) - real(n[b]) / 2)).alias(f"_u{i}"), F.sum(F.pow(t, F.lit(3.0)) - t).alias(f"_t{i}")]
+    one = at.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in n.values()], *made)
+    rows = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(n[a]).alias("n_a"), F.col(n[b]).alias("n_b"), F.col(f"_u{i}").alias("u"), F.col(f"_t{i}").alias("_t")) for i, (a, b) in enumerate(pairs)]
+    return _with_z(one.select(F.inline(F.array(*rows))))
+
+
+def conclude(df: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """K8, E7.  What pairs of groups come to, in words.
+
+    Takes ``with_p`` of ``all_pairs``.  The two-sided tests and those of "greater" of all pairs are one family for Holm's adjustment
+    (``p_adjusted``, ``p_greater_adjusted``).  Only where the two-sided test is significant does the one-sided one speak: significant, the
+    first group is greater, else the second.
     """
-    real = running_sum_es(ranked, entity, score, sets, set_name)
-    places = numbered(ranked.select(entity), [entity], "_k")
-    n = ranked.count()
-    prime = next(q for q in range(max(n, 2), 2 * n + 3) if all(q % f for f in range(2, math.isqrt(q) + 1)))
-    sizes = sets.select(set_name, entity).distinct().join(ranked.select(entity), entity, "left_semi").groupBy(set_name).agg(F.count("*").alias("_m"))
-    drawn = sizes.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
-    hashed = lambda salt, mod: F.pmod(F.xxhash64("rep", F.lit(seed + salt), set_name), F.lit(mod))
-    drawn = drawn.withColumns({"_x": hashed(0, prime - 1) + 1, "_y": hashed(1, prime)})
-    drawn = drawn.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1 + (prime - n))))
-    drawn = drawn.withColumn("_k", (F.col("_x") * F.col("_i") + F.col("_y")) % prime).filter(F.col("_k") < n)
-    drawn = drawn.withColumn("_nth", F.row_number().over(W.partitionBy(set_name, "rep").orderBy("_i"))).filter("_nth <= _m")
-    fake = drawn.join(places, "_k").select(F.concat_ws("\x1f", set_name, F.col("rep").cast("string")).alias("_sr"), entity)
-    null = running_sum_es(ranked, entity, score, fake, "_sr").select(F.split("_sr", "\x1f")[0].alias(set_name), F.col("es").alias("_null"))
-    return real.join(null, set_name).groupBy(set_name, "es", "n_members").agg(((F.count_if(F.col("_null") >= F.col("es")) + 1) / (F.count("*") + 1)).alias("p"))
+    both = F.array(F.struct(F.lit("two sided").alias("_test"), F.col("p").alias("_p")), F.struct(F.lit("greater").alias("_test"), F.col("p_greater").alias("_p")))
+    long = df.select("a", "b", F.inline(both))
+    adjusted = p_adjust(long, "_p", [], ["a", "b", "_test"], "_holm")
+    pick = lambda t: F.max(F.when(F.col("_test") == t, F.col("_holm")))
+    wide = adjusted.groupBy("a", "b").agg(pick("two sided").alias("p_adjusted"), pick("greater").alias("p_greater_adjusted"))
+    greater = lambda x, y: F.concat(F.col(x), F.lit(" is greater than "), F.col(y))
+    text = F.when(F.col("p_adjusted") < alpha, F.when(F.col("p_greater_adjusted") < alpha, greater("a", "b")).otherwise(greater("b", "a")))
+    return df.join(wide, ["a", "b"]).withColumn("conclusion", F.coalesce(text, F.concat(F.col("a"), F.lit(" and "), F.col("b"), F.lit(" don't differ"))))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -9,37 +14,126 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidentia.functions.scalars import kmer_hashes
-from evidentia.operators.aggregate import numbered, running_sums
+from evidentia.operators.aggregate import dealt_by_range, numbered, running_sums, scan
 from evidentia.operators.graph import components
-from evidentia.scratch import settled
+from evidentia.scratch import discard, settled
 
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+#: Distances of the rows of two matrices; cosine distances are of unit rows.
+def _distances(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
+    products = x @ y.T
+    if metric == "cosine":
+        return 1 - products
+    return np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * products, 0)
+
+
+def _matrix(column: pd.Series, metric: str) -> np.ndarray:
+    x = np.array(column.tolist(), np.float64).reshape(len(column), -1)
+    if metric == "cosine":
+        x = x / np.sqrt((x * x).sum(1, keepdims=True))
+    return x
+
+
+def _block_pairs(metric: str, by: Sequence[str], cutoff: float | None = None):
+    """All pairs between two blocks of rows ``(block, x, vx)``, or within one, by one matrix product."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        i, j = key[-2:]
+        left, right = rows[rows["block"] == i], rows[rows["block"] == j]
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=[*by, "a", "b", "distance"])
+        d = _distances(_matrix(left["vx"], metric), _matrix(right["vx"], metric), metric)
+        x, y = left["x"].to_numpy(), right["x"].to_numpy()
+        keep = np.triu(np.ones(d.shape, bool), 1) if i == j else np.ones(d.shape, bool)
+        keep &= x[:, None] != y[None, :]
+        if "home" in rows:  # copies from other cells don't meet each other
+            keep &= left["home"].to_numpy()[:, None] | right["home"].to_numpy()[None, :]
+        if cutoff is not None:
+            keep &= d <= cutoff + 1e-12
+        u, v = np.nonzero(keep)
+        a, b = x[u], y[v]
+        low = a < b
+        return pd.DataFrame({**{c: k for c, k in zip(by, key, strict=False)}, "a": np.where(low, a, b), "b": np.where(low, b, a), "distance": d[u, v]})
+
+    return run
+
+
 def pairwise(df: DataFrame, id_col: str, vec: str, metric: str = "cosine", block: int = 256, within: str | None = None) -> DataFrame:
-    """J1.  ``(a, b, distance)`` for a < b: cosine distance, or squared euclidean; only of rows that share ``within``, where given.
+    """J1.  ``(a, b, distance)`` for a < b: cosine distance, or squared euclidean; only of rows that share ``within``, where given, which
+    then comes first (an id that stands in two groups has its pairs in both).
 
-    Ids are dealt into blocks, and pairs of blocks (the smaller first) are the join's key: every pair of rows is made once, and no
-    task holds more than two blocks.  The result is quadratic by nature, in the size of the groups where there are any.
+    Ids are dealt into blocks, and pairs of blocks are the key: every pair of rows is made once, by a matrix product, and no task
+    holds more than two blocks.  The result is quadratic by nature, in the size of the groups where there are any.
     """
-    row = df.select(F.col(id_col).alias("x"), F.col(vec).alias("vx"), F.sqrt(dot(F.col(vec), F.col(vec))).alias("nx"), *([F.col(within).alias("_g")] if within else []))
-    if within:
-        sizes = row.groupBy("_g").agg(F.ceil(F.count("*") / block).alias("_blocks"))
-        row = row.join(sizes, "_g")
-    else:
-        row = row.withColumns({"_g": F.lit(0), "_blocks": F.lit(max(1, -(-df.count() // block))).cast("long")})
-    row = row.withColumn("i", F.pmod(F.xxhash64("x"), F.col("_blocks")))
-    left = row.withColumn("j", F.explode(F.sequence(F.col("i"), F.col("_blocks") - 1))).drop("_blocks")
-    right = row.select("_g", F.col("x").alias("y"), F.col("vx").alias("vy"), F.col("nx").alias("ny"), F.col("i").alias("j"))
-    right = right.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("j"))))
-    met = left.join(right, ["_g", "i", "j"]).filter("i < j or x < y")
+    by = [within] if within else ["_all"]
+    row = df.select(F.col(id_col).alias("x"), F.col(vec).alias("vx"), (F.col(within) if within else F.lit(0)).alias(by[0]))
+    sizes = row.groupBy(*by).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    row = row.join(sizes, by).withColumn("block", F.pmod(F.xxhash64("x"), F.col("_blocks")).cast("int"))
+    row = row.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    row = row.select(*by, F.least("block", "_o").alias("_i"), F.greatest("block", "_o").alias("_j"), "block", "x", "vx")
+    kinds = dict(row.dtypes)
+    made = row.groupBy(*by, "_i", "_j").applyInPandas(_block_pairs(metric, by), f"`{by[0]}` {kinds[by[0]]}, a {kinds['x']}, b {kinds['x']}, distance double")
+    return made if within else made.drop("_all")
+
+
+def near_pairs(df: DataFrame, id_col: str, vec: str, cutoff: float, metric: str = "cosine", most_pivots: int = 1024, block: int = 1024, seed: int = 1) -> DataFrame:
+    """J1, J5.  ``(a, b, distance)`` of all pairs at a distance of ``cutoff`` at most, exactly, without making the others where bounds tell.
+
+    Rows drawn by hash are pivots, about one for the square root of the rows' number, and each row belongs to the cell of its nearest.  A row
+    within e of one of another cell lies no farther than e from the plane between the two pivots, and its distance to the other pivot
+    is within e of those of that cell's rows; so it is copied only to cells (of smaller number, each pair counts once) for which both hold.
+    A cell's rows, ordered by their distance to its pivot, are cut into blocks, and only blocks whose distances come within e of each other
+    meet: a cell of any size is spread over tasks.  Vectors that are null, or zero under cosine distance, take no part; ids are unique.
+    """
+    usable = F.col(vec).isNotNull() & (F.size(vec) > 0)
     if metric == "cosine":
-        d = 1 - dot(F.col("vx"), F.col("vy")) / (F.col("nx") * F.col("ny"))
-    else:
-        d = F.aggregate(F.zip_with("vx", "vy", lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0))), F.lit(0.0), lambda s, x: s + x)
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), d.alias("distance"))
+        usable &= F.exists(vec, lambda v: v != 0)
+    rows = settled(df.filter(usable).select(F.col(id_col).alias("x"), F.transform(vec, lambda v: v.cast("double")).alias("vx")))
+    n, kind = rows.count(), dict(rows.dtypes)["x"]
+    schema = f"a {kind}, b {kind}, distance double"
+    if n < 2:
+        return df.sparkSession.createDataFrame([], schema)
+    wanted = min(most_pivots, max(1, math.isqrt(n)))
+    drawn = rows.orderBy(F.xxhash64(F.col("x"), F.lit(seed)), "x").limit(wanted).toPandas()  # most_pivots rows
+    pivots = _matrix(drawn["vx"], metric)
+    e = math.sqrt(2 * cutoff if metric == "cosine" else cutoff) + 1e-9
+    apart = np.sqrt(_distances(pivots, pivots, "euclidean"))
+
+    def home(batches):
+        for batch in batches:
+            d = np.sqrt(_distances(_matrix(batch["vx"], metric), pivots, "euclidean"))
+            yield batch.assign(cell=d.argmin(1), off=d.min(1))
+
+    homes = settled(rows.mapInPandas(home, f"x {kind}, vx array<double>, cell int, off double"))
+    ends = {r["cell"]: (r["low"], r["high"]) for r in homes.groupBy("cell").agg(F.min("off").alias("low"), F.max("off").alias("high")).collect()}  # a row for each pivot
+    low, high = (np.array([ends.get(c, (math.inf, -math.inf))[side] for c in range(len(pivots))]) for side in (0, 1))
+
+    def copied(batches):
+        for batch in batches:
+            d = np.sqrt(_distances(_matrix(batch["vx"], metric), pivots, "euclidean"))
+            own = batch["cell"].to_numpy()
+            with np.errstate(divide="ignore", invalid="ignore"):
+                plane = (d**2 - d[np.arange(len(d)), own][:, None] ** 2) / (2 * apart[own])
+            to = (np.nan_to_num(plane, nan=0.0, posinf=0.0) <= e) & (d <= high + e) & (d >= low - e) & (np.arange(len(pivots)) < own[:, None])
+            at, cell = np.nonzero(to)
+            yield pd.DataFrame({"x": batch["x"].to_numpy()[at], "vx": batch["vx"].to_numpy()[at], "cell": cell.astype(np.int32), "off": d[at, cell]})
+
+    copies = homes.mapInPandas(copied, f"x {kind}, vx array<double>, cell int, off double").withColumn("home", F.lit(False))
+    every = homes.withColumn("home", F.lit(True)).unionByName(copies)
+    order = ["off", "x"]
+    placed = scan(dealt_by_range(every, ["cell", *order]), ["cell"], order, {"_nth": ("sum", F.lit(1).cast("long"))})
+    placed = settled(placed.select("cell", F.floor((F.col("_nth") - 1) / block).cast("int").alias("block"), "x", "vx", "off", "home"))
+    spans = settled(placed.groupBy("cell", "block").agg(F.min("off").alias("low"), F.max("off").alias("high"), F.max("home").alias("any")))
+    i, j = (spans.select("cell", *[F.col(c).alias(f"{side}_{c}") for c in ("block", "low", "high", "any")]) for side in ("i", "j"))
+    meet = i.join(j, "cell").filter(f"i_block <= j_block and j_low - i_high <= {e!r} and (i_any or j_any)")
+    meet = settled(meet.select("cell", F.col("i_block").alias("_i"), F.col("j_block").alias("_j")))
+    sides = meet.select("cell", "_i", "_j", F.col("_i").alias("block")).unionByName(meet.filter("_i < _j").select("cell", "_i", "_j", F.col("_j").alias("block")))
+    dealt = placed.join(sides, ["cell", "block"]).select("cell", "_i", "_j", "block", "x", "vx", "home")
+    return dealt.groupBy("cell", "_i", "_j").applyInPandas(_block_pairs(metric, [], cutoff), schema)
 
 
 def pool(members: DataFrame, entity: str, member: str, vectors: DataFrame, vec: str, how: str = "mean") -> DataFrame:
@@ -53,9 +147,8 @@ def pool(members: DataFrame, entity: str, member: str, vectors: DataFrame, vec:
 
 
 def group_cohesion(df: DataFrame, id_col: str, vec: str, group: str, metric: str = "cosine") -> DataFrame:
-    """J3.  Mean distance within groups over all pairs; 0 for groups of one.  Only pairs within groups are made."""
-    near = pairwise(df, id_col, vec, metric, within=group)
-    own = near.join(df.select(F.col(id_col).alias("a"), group), "a").groupBy(group).agg(F.avg("distance").alias("cohesion"), F.count("*").alias("n_pairs"))
+    """J3.  Mean distance within groups over all pairs; 0 for groups of one.  Only pairs within groups are made; an id may stand in several."""
+    own = pairwise(df, id_col, vec, metric, within=group).groupBy(group).agg(F.avg("distance").alias("cohesion"), F.count("*").alias("n_pairs"))
     return df.select(group).distinct().join(own, group, "left").fillna(0, ["cohesion", "n_pairs"])
 
 
@@ -75,6 +168,52 @@ def cluster_at(pairs: DataFrame, cutoff: float) -> DataFrame:
     return components(pairs.filter(F.col("distance") <= cutoff), "a", "b")
 
 
+def average_linkage(pairs: DataFrame, cutoff: float) -> DataFrame:
+    """J5.  ``(id, label)``: average-linkage clusters of ``pairs(a, b, distance)`` cut at a height, named by their smallest id; ids that stay
+    alone have no row.
+
+    The closest two clusters merge until none are within the cutoff of each other, clusters being as far apart as their members on average;
+    ties (to 12 digits) go to the smaller ids.  Clusters never leave the single-linkage components of the cutoff, as the mean of
+    distances over it is over it.  So only pairs within a component count, and those must all be there, whatever their distance.  Each round
+    merges all clusters that are each other's nearest, which gives what merging one by one does, as a merger never comes nearer to a third
+    cluster than the nearer of its parts; distances of mergers are sums of their parts' (Lance and Williams), one aggregation a round.
+    """
+    near = settled(pairs.filter(F.col("distance") <= cutoff).select("a", "b"))
+    inside = settled(components(near, "a", "b"))
+    of = lambda end: inside.select(F.col("id").alias(end), F.col("label").alias(f"_{end}"))
+    held = pairs.join(of("a"), "a").join(of("b"), "b").filter(F.col("_a") == F.col("_b"))
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    table = settled(held.select(low.alias("a"), high.alias("b"), F.col("distance").cast("double").alias("far"), F.lit(1).cast("long").alias("n")))
+    labels = settled(inside.select("id", F.col("id").alias("label")))
+    mean = F.round(F.col("far") / F.col("n"), 12)
+    while True:
+        # each cluster's nearest, over both ends of the pairs; pairs beyond the cutoff can't merge now and don't count
+        close = table.select("a", "b", mean.alias("d")).filter(F.col("d") <= cutoff)
+        best = F.min(F.struct("d", "a", "b"))
+        ends = close.select(F.col("a").alias("c"), "d", "a", "b").unionByName(close.select(F.col("b").alias("c"), "d", "a", "b"))
+        nearest = ends.groupBy("c").agg(best.alias("p")).select("c", "p.a", "p.b")
+        merged = settled(nearest.groupBy("a", "b").agg(F.count("*").alias("k")).filter("k = 2").select("a", "b"))
+        if merged.isEmpty():
+            discard(table, merged)
+            return labels
+        into = merged.select(F.col("b").alias("was"), F.col("a").alias("now"))
+        moved = lambda df, c: df.join(into.withColumnsRenamed({"was": c, "now": "_now"}), c, "left").withColumn(c, F.coalesce("_now", c)).drop("_now")  # noqa: E731, B023
+        named = settled(moved(labels, "label"))
+        both = moved(moved(table, "a"), "b").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "far", "n")
+        fewer = settled(both.groupBy("a", "b").agg(F.sum("far").alias("far"), F.sum("n").alias("n")))
+        discard(table, labels, merged)
+        table, labels = fewer, named
+
+
+def average_clusters(df: DataFrame, id_col: str, vec: str, cutoff: float, metric: str = "cosine") -> DataFrame:
+    """J5.  Average-linkage clusters of vectors, without a table of all pairs: what is near comes from ``near_pairs``, and other distances
+    are made only within its components."""
+    near = settled(near_pairs(df, id_col, vec, cutoff, metric))
+    inside = components(near, "a", "b").select(F.col("id").alias(id_col), F.col("label").alias("_component"))
+    own = df.select(id_col, vec).join(inside, id_col)
+    return average_linkage(pairwise(own, id_col, vec, metric, within="_component").drop("_component"), cutoff)
+
+
 def profile_distance(counts: DataFrame, entity: str, feature: str, n: str, block: int = 256) -> DataFrame:
     """J6.  Bray-Curtis and quantitative Jaccard distance of all pairs of entities' count profiles; 1 where they share nothing.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evidentia.operators.aggregate import quantiles, running_sums
+from evidentia.operators.aggregate import dealt_by_range, quantiles, running_sums, scan
 from evidentia.scratch import settled
 
 
@@ -63,20 +63,38 @@ def top_k(df: DataFrame, order: Sequence[Column | str], k: int) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
-def p_adjust(df: DataFrame, p: str, by: Sequence[str], order: Sequence[str], name: str = "p_holm") -> DataFrame:
-    """E7.  Holm's adjustment within families; ``order`` breaks ties."""
-    family = W.partitionBy(*by)
-    stood = family.orderBy(p, *order)
-    step = (F.count(p).over(family) - F.row_number().over(stood) + 1) * F.col(p)
-    return df.withColumn("_s", step).withColumn(name, F.least(F.lit(1.0), F.max("_s").over(stood.rowsBetween(W.unboundedPreceding, 0)))).drop("_s")
+def p_adjust(df: DataFrame, p: str, by: Sequence[str] = (), order: Sequence[str] = (), name: str = "p_holm", method: str = "holm") -> DataFrame:
+    """E7.  Adjusted p-values within families, or over all rows; ``order`` breaks ties (needed by Holm's ranks only for repeatable plans).
+
+    ``holm``: the running maximum of (n - rank + 1) p from the smallest p on.  ``bh``: the running minimum of n p / rank from the
+    largest on (Benjamini and Hochberg).  Null p-values don't count and stay null.  Ranks and running values are scans over range
+    partitions, so a family of any size spreads over tasks.
+    """
+    if method not in ("holm", "bh"):
+        raise ValueError(f"no such method: {method}")
+    tested = df.filter(F.col(p).isNotNull())
+    n = tested.groupBy(*by).agg(F.count("*").alias("_n"))
+    if by:
+        n = n.select(*[F.col(c).alias(f"_family_{c}") for c in by], "_n")
+        tested = tested.join(n, [F.col(c).eqNullSafe(F.col(f"_family_{c}")) for c in by]).drop(*[f"_family_{c}" for c in by])
+    else:
+        tested = tested.join(F.broadcast(n))  # one row
+    if method == "holm":
+        step, fold, ordered = F.col("_n") - F.col("_rank") + 1, "max", [F.col(p), *[F.col(c) for c in order]]
+    else:
+        step, fold, ordered = F.try_divide(F.col("_n").cast("double"), F.col("_n") - F.col("_rank") + 1), "min", [F.desc(p), *[F.desc(c) for c in order]]
+    layers = {"_rank": ("sum", F.lit(1).cast("long"))}, {"_adjusted": (fold, step * F.col(p))}
+    made = scan(dealt_by_range(tested, [*by, *ordered]), by, ordered, *layers)
+    made = made.withColumn(name, F.least(F.lit(1.0), "_adjusted")).select(*df.columns, name)
+    return made.unionByName(df.filter(F.col(p).isNull()).withColumn(name, F.lit(None).cast("double")))
 
 
 def _islands(df: DataFrame, part: Sequence[str], start: str, end: str, touching: bool) -> DataFrame:
-    """A number for each run of overlapping intervals of a part."""
-    order = W.partitionBy(*part).orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(W.unboundedPreceding, -1))
+    """A number for each run of overlapping intervals of a part: scans over range partitions, so that a part of any size spreads over tasks."""
+    reach = F.col("_reach")
     opens = F.when(reach.isNull() | ((F.col(start) > reach) if touching else (F.col(start) >= reach)), 1).otherwise(0)
-    return df.withColumn("_o", opens).withColumn("island", F.sum("_o").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("_o")
+    layers = {"_reach": ("max", F.col(end))}, {"island": ("sum", opens)}
+    return scan(dealt_by_range(df, [*part, start, end]), part, [start, end], *layers, before=["_reach"]).drop("_part", "_reach")
 
 
 def interval_coverage(df: DataFrame, part: Sequence[str], start: str, end: str, total: Column | None = None, inclusive: bool = False) -> DataFrame:
@@ -87,21 +105,23 @@ def interval_coverage(df: DataFrame, part: Sequence[str], start: str, end: str,
 
 
 def resolve_overlaps(df: DataFrame, part: Sequence[str], start: str, end: str, curated: Column, lists: Sequence[str]) -> DataFrame:
-    """E9.  Overlapping runs; where one has a curated row, only curated rows count; what is left is collapsed."""
-    runs = _islands(df, part, start, end, True).withColumn("_c", curated.cast("int"))
-    best = F.max("_c").over(W.partitionBy(*part, "island"))
-    kept = runs.withColumn("_b", best).filter("_c = _b")
-    return kept.groupBy(*part, "island").agg(
-        F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n"), *[F.array_join(F.array_sort(F.collect_set(c)), ";").alias(c) for c in lists]
-    )
+    """E9.  Overlapping runs; where one has a curated row, only curated rows count; what is left is collapsed.
+
+    Runs keep what curated rows come to beside what all rows come to, and the first counts where there is any: one aggregation.
+    """
+    runs = _islands(df, part, start, end, True).withColumn("_c", F.coalesce(curated, F.lit(False)))
+    own = lambda agg, c: (agg(F.when(F.col("_c"), F.col(c))), agg(c))
+    kept = {start: own(F.min, start), end: own(F.max, end), "n": (F.count_if("_c"), F.count("*")), **{c: own(F.collect_set, c) for c in lists}}
+    made = runs.groupBy(*part, "island").agg(F.max("_c").alias("_any"), *[x.alias(f"_{i}_{c}") for c, both in kept.items() for i, x in enumerate(both)])
+    pick = lambda c: F.when(F.col("_any"), F.col(f"_0_{c}")).otherwise(F.col(f"_1_{c}"))
+    return made.select(*part, "island", *[pick(c).alias(c) for c in (start, end, "n")], *[F.array_join(F.array_sort(pick(c)), ";").alias(c) for c in lists])
 
 
 def merge_contained(df: DataFrame, part: Sequence[str], start: str, end: str, lists: Sequence[str]) -> DataFrame:
     """E11.  Intervals that lie inside an earlier one are folded into it, their payloads joined."""
-    order = W.partitionBy(*part).orderBy(start, F.desc(end))
-    reach = F.max(end).over(order.rowsBetween(W.unboundedPreceding, -1))
-    outer = F.when(reach.isNull() | (F.col(end) > reach), 1).otherwise(0)
-    marked = df.withColumn("_o", outer).withColumn("host", F.sum("_o").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    order = [F.col(start), F.desc(end)]
+    outer = F.when(F.col("_reach").isNull() | (F.col(end) > F.col("_reach")), 1).otherwise(0)
+    marked = scan(dealt_by_range(df, [*part, *order]), part, order, {"_reach": ("max", F.col(end))}, {"host": ("sum", outer)}, before=["_reach"])
     return marked.groupBy(*part, "host").agg(
         F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n"), *[F.array_join(F.array_sort(F.collect_set(c)), ";").alias(c) for c in lists]
     )

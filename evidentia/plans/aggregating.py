@@ -237,11 +237,33 @@ def union_distinct(spark, sf_dir):
     return A.union_distinct(table(spark, sf_dir, "customer").filter("c_acctbal > 9500").selectExpr("c_nationkey as nation"), table(spark, sf_dir, "supplier").filter("s_acctbal > 9500").selectExpr("s_nationkey as nation"))
 
 
-@R.query()
+# profiles of up to three samples have a closed form: with all three ratios each level is the mean of its own two, with two they fit exactly
+_LFQ = """
+r as (select p, median(ln_a - ln_n) filter (ln_a is not null and ln_n is not null) as an, median(ln_a - ln_r) filter (ln_a is not null and ln_r is not null) as ar, median(ln_n - ln_r) filter (ln_n is not null and ln_r is not null) as nr,
+      sum(a) as sa, sum(n) as sn, sum(r) as sr from (select *, log2(a) as ln_a, log2(n) as ln_n, log2(r) as ln_r from w) group by p),
+x as (select *, case when an is not null and ar is not null and nr is not null then (an + ar) / 3 when an is not null or ar is not null then 0 end as xa,
+      case when an is not null and ar is not null and nr is not null then (nr - an) / 3 when an is not null then -an when ar is not null and nr is not null then nr - ar when nr is not null then 0 end as xn,
+      case when an is not null and ar is not null and nr is not null then (-ar - nr) / 3 when ar is not null then -ar when an is not null and nr is not null then -nr - an when nr is not null then -nr end as xr from r),
+l as (select p, 'A' as s, coalesce(xa, 0) as x, sa as v, 'A' as c from x where sa is not null
+      union all select p, 'N', coalesce(xn, 0), sn, case when an is not null or (ar is not null and nr is not null) then 'A' else 'N' end from x where sn is not null
+      union all select p, 'R', coalesce(xr, 0), sr, case when ar is not null or (an is not null and nr is not null) then 'A' when nr is not null then 'N' else 'R' end from x where sr is not null)
+select p as {p}, s as l_returnflag, c as component, round(2 ** x / sum(2 ** x) over (partition by p, c) * sum(v) over (partition by p, c), 3) as lfq from l"""
+
+
+@R.query("""with c as (select p_brand as p, l_partkey as i, l_returnflag as s, sum(l_extendedprice)::double as v from lineitem join part on l_partkey = p_partkey group by all),
+w as (select p, i, max(v) filter (s = 'A') as a, max(v) filter (s = 'N') as n, max(v) filter (s = 'R') as r from c group by all),""" + _LFQ.format(p="p_brand"))
 def maxlfq(spark, sf_dir):
     """Profiles of brands over return flags from parts' revenues."""
     li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return A.maxlfq(li, "p_brand", "l_partkey", "l_returnflag", "l_extendedprice").withColumn("lfq", F.round("lfq", 4))
+    return A.maxlfq(li, "p_brand", "l_partkey", "l_returnflag", "l_extendedprice").withColumn("lfq", F.round("lfq", 3))
+
+
+@R.query("""with b as (select l_partkey as p, l_suppkey as i, l_returnflag as s, l_quantity::double as q from lineitem), m as (select s, median(log2(q)) as m from b group by s), t as (select s, 2 ** ((select avg(m) from m) - m) as f from m),
+c as (select p, i, s, sum(q * f) as v from b join t using (s) group by all), w as (select p, i, max(v) filter (s = 'A') as a, max(v) filter (s = 'N') as n, max(v) filter (s = 'R') as r from c group by all),""" + _LFQ.format(p="l_partkey"))
+def maxlfq_components(spark, sf_dir):
+    """Profiles of parts from suppliers' quantities, normalised between flags; flags without a common supplier are components of their own."""
+    li = A.normalise_medians(table(spark, sf_dir, "lineitem").withColumn("q", F.col("l_quantity").cast("double")), "l_returnflag", "q")
+    return A.maxlfq(li, "l_partkey", "l_suppkey", "l_returnflag", "q").withColumn("lfq", F.round("lfq", 3))
 
 
 _FULL = ["l_extendedprice", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate", "l_quantity", "l_discount", "l_tax", "l_linestatus"]

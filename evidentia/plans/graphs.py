@@ -179,6 +179,26 @@ def group_cohesion(spark, sf_dir):
     return J.group_cohesion(e, "vec_id", "embedding", "label").withColumn("cohesion", F.round("cohesion", 6))
 
 
+@R.query("""
+with e as (select vec_id, embedding::double[] as v, unnest(['label ' || label, 'digit ' || vec_id % 10]) as g from embeddings)
+select a.g, round(avg(1 - list_cosine_similarity(a.v, b.v)), 6) as cohesion, count(*) as n_pairs from e a join e b on a.g = b.g and a.vec_id < b.vec_id group by 1
+""")
+def overlapping_cohesion(spark, sf_dir):
+    """Mean distance within groups that share members: labels and last digits."""
+    e = table(spark, sf_dir, "embeddings")
+    groups = F.explode(F.array(F.concat(F.lit("label "), F.col("label").cast("string")), F.concat(F.lit("digit "), (F.col("vec_id") % 10).cast("string"))))
+    return J.group_cohesion(e.withColumn("g", groups), "vec_id", "embedding", "g").withColumn("cohesion", F.round("cohesion", 6))
+
+
+@R.query("""
+with e as (select vec_id, embedding::double[] as v from embeddings)
+select a.vec_id as a, b.vec_id as b, round(1 - list_cosine_similarity(a.v, b.v), 6) as distance from e a join e b on a.vec_id < b.vec_id where 1 - list_cosine_similarity(a.v, b.v) <= 0.6
+""")
+def near_vectors(spark, sf_dir):
+    """Pairs of vectors nearer than 0.6, by pivots and cells."""
+    return J.near_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.6).withColumn("distance", F.round("distance", 6))
+
+
 @R.query("select o_orderkey, round((count(*) over (order by o_totalprice))::double / count(*) over (), 9) as p from orders")
 def empirical_p(spark, sf_dir):
     """Every order's price against the distribution of all."""
@@ -192,7 +212,29 @@ u as (select a, b from d union select b, a from d), r as (select a as id, a as r
 """)
 def threshold_clusters(spark, sf_dir):
     """Components of vectors nearer than 0.71."""
-    return J.cluster_at(J.pairwise(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), 0.71)
+    return J.cluster_at(J.near_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.71), 0.71)
+
+
+@R.query("""
+with recursive i as (select p_partkey as id, p_brand || p_size as g, p_retailprice::double as v from part), p as (select a.g, a.id as a, b.id as b, abs(a.v - b.v) as d from i a join i b on a.g = b.g and a.id < b.id),
+s as (select 0 as step, g, id, id as label from i
+union all select step + 1, s.g, id, case when label = m.y then m.x else label end from s join (
+  select g, min_by(x, (d, x, y)) as x, min_by(y, (d, x, y)) as y from (
+    select p.g, least(u.label, w.label) as x, greatest(u.label, w.label) as y, round(avg(d), 12) as d from p join s u on u.id = p.a join s w on w.id = p.b where u.label <> w.label group by all)
+  where d <= 150 group by g) m on m.g = s.g)
+select id, max_by(label, step) as label from s where id in (select a from p where d <= 150 union select b from p where d <= 150) group by id
+""")
+def average_linkage(spark, sf_dir):
+    """Average-linkage clusters, cut at 150, of the prices of parts of one brand and size."""
+    i = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_brand", F.col("p_size").cast("string")).alias("g"), F.array(F.col("p_retailprice").cast("double")).alias("v"))
+    pairs = J.pairwise(i, "p_partkey", "v", "euclidean", within="g").select("a", "b", F.sqrt("distance").alias("distance"))
+    return J.average_linkage(pairs, 150)
+
+
+@R.query()
+def average_clusters(spark, sf_dir):
+    """Average-linkage clusters of vectors, cut at 0.6."""
+    return J.average_clusters(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.6)
 
 
 @R.query("""
@@ -225,7 +267,7 @@ from e a join e b on a.label = b.label and a.vec_id < b.vec_id join p on p.vec_i
 """)
 def pairwise_euclidean(spark, sf_dir):
     """Squared euclidean distances within labels."""
-    return J.pairwise(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "euclidean", within="label").withColumn("distance", F.round("distance", 6))
+    return J.pairwise(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "euclidean", within="label").select("a", "b", F.round("distance", 6).alias("distance"))
 
 
 @R.query()

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from evidentia.functions.scalars import first_match
 from evidentia.operators import aggregate as A
+from evidentia.operators import enrichment as N
+from evidentia.operators import graph as I
 from evidentia.operators import stats as K
 from evidentia.operators import text as L
-from evidentia.operators.windows import p_adjust
 from evidentia.plans.registry import Registry, table
 
 R = Registry()
@@ -22,7 +23,18 @@ select 'F' as a, 'O' as b, na::bigint as n_a, nb::bigint as n_b, round(ra - na *
 def rank_sum(spark, sf_dir):
     """K1: prices of finished and open orders."""
     made = K.rank_sum(table(spark, sf_dir, "orders"), "o_totalprice", "o_orderstatus", "F", "O")
-    return made.withColumns({"u": F.round("u", 3), "z": F.round("z", 6)})
+    return made.select("a", "b", "n_a", "n_b", F.round("u", 3).alias("u"), F.round("z", 6).alias("z"))
+
+
+@R.query("""with d as (select l_orderkey as k, l_returnflag = 'A' as g, l_extendedprice as v, row_number() over (partition by l_orderkey order by l_extendedprice) as r, count(*) over (partition by l_orderkey) as n,
+count(*) over (partition by l_orderkey, l_extendedprice) as t from lineitem where l_returnflag in ('A', 'R')), s as (select k, count(*) filter (g) as na, count(*) filter (not g) as nb, sum(case when g then r else 0 end) as ra, any_value(n) as n from d group by 1 having max(t) = 1 and bool_or(g) and bool_or(not g)),
+m as (select k, na, nb, ra - na * (na + 1) / 2 as u, unnest(range(0, 1 << n)) as mask, n from s), x as (select k, na, nb, u, list_sum([case when mask & (1 << (i - 1)) > 0 then i else 0 end for i in range(1, n + 1)]) - na * (na + 1) / 2 as other from m where bit_count(mask) = na)
+select k as l_orderkey, na as n_a, nb as n_b, round(u, 3) as u, round(least(1, 2 * least(avg((other >= u)::int), avg((other <= u)::int))), 9) as p, round(avg((other >= u)::int), 9) as p_greater, round(avg((other <= u)::int), 9) as p_less from x group by all""")
+def rank_sum_by_order(spark, sf_dir):
+    """K1: within each order, prices of accepted and returned lines; exact p-values (orders without ties)."""
+    made = K.with_p(K.rank_sum(table(spark, sf_dir, "lineitem"), "l_extendedprice", "l_returnflag", "A", "R", by=["l_orderkey"]))
+    whole = made.filter("n_a > 0 and n_b > 0 and not tied")
+    return whole.select("l_orderkey", "n_a", "n_b", F.round("u", 3).alias("u"), *[F.round(c, 9).alias(c) for c in ("p", "p_greater", "p_less")])
 
 
 @R.query("""with p as (select l_orderkey, avg(case when l_linestatus = 'F' then l_quantity end) as a, avg(case when l_linestatus = 'O' then l_quantity end) as b from lineitem group by 1), x as (select a - b as d from p where a - b <> 0),
@@ -32,7 +44,7 @@ def signed_rank(spark, sf_dir):
     """K2: quantities of closed and open lines within orders."""
     mean = lambda s: F.avg(F.when(F.col("l_linestatus") == s, F.col("l_quantity")))
     p = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(mean("F").alias("a"), mean("O").alias("b"))
-    return K.signed_rank(p, "a", "b").withColumns({"w": F.round("w", 3), "z": F.round("z", 6)})
+    return K.signed_rank(p, "a", "b").select("n", F.round("w", 3).alias("w"), F.round("z", 6).alias("z"))
 
 
 @R.query(f"""with d as (select event_type as g, value as v from events), {_RANKS}, q as (select g, sum(r) as r, count(*)::double as n, sum(t * t - 1) as t from r group by 1),
@@ -84,25 +96,64 @@ def pairwise_rank_sums(spark, sf_dir):
     return made.select("a", "b", F.round("z", 6).alias("z"))
 
 
-@R.query()
+# erf by its series of positive terms: P(|Z| >= z) = 1 - erf(z / sqrt 2)
+_ERF = "(2 / sqrt(pi()) * list_sum([exp(k * ln(2) + (2 * k + 1) * ln(greatest({x}, 1e-300)) - lgamma(2 * k + 3) + (k + 1) * ln(2) + lgamma(k + 2) - {x} * {x}) for k in range(0, 200)]))"
+_TWO, _ONE = _ERF.format(x="(abs(zc) / sqrt(2))"), _ERF.format(x="(abs(zg) / sqrt(2))")
+
+
+@R.query(f"""with f(a, b) as (values {_PAIRS}), d as (select a, b, event_type as g, value as v from events join f on event_type in (a, b)),
+r as (select *, count(*) over (partition by a, b, v) as t, rank() over (partition by a, b order by v) + (count(*) over (partition by a, b, v) - 1) / 2 as r from d),
+s as (select a, b, sum(r) filter (g = a) as ra, (count(*) filter (g = a))::double as na, (count(*) filter (g = b))::double as nb, sum(t * t - 1) as t from r group by 1, 2),
+z as (select a, b, ra - na * (na + 1) / 2 - na * nb / 2 as off, sqrt(na * nb / 12 * ((na + nb + 1) - t / ((na + nb) * (na + nb - 1)))) as sigma from s),
+c as (select a, b, off / sigma as z, (off - sign(off) * 0.5) / sigma as zc, (off - 0.5) / sigma as zg from z),
+p as (select a, b, z, greatest(0, 1 - {_TWO}) as p, (1 - sign(zg) * {_ONE}) / 2 as pg from c),
+l as (select a, b, 'two sided' as kind, p from p union all select a, b, 'greater', pg from p),
+h as (select a, b, kind, least(1, max(p * m) over (order by p, a, b, kind rows unbounded preceding)) as h from (select *, count(*) over () - row_number() over (order by p, a, b, kind) + 1 as m from l)),
+w as (select a, b, max(h) filter (kind = 'two sided') as h, max(h) filter (kind = 'greater') as hg from h group by 1, 2)
+select a, b, round(z, 6) as z, round(p, 7) as p, round(pg, 7) as p_greater, round(h, 7) as p_adjusted, round(hg, 7) as p_greater_adjusted,
+case when h >= 0.05 then a || ' and ' || b || ' don''t differ' when hg < 0.05 then a || ' is greater than ' || b else b || ' is greater than ' || a end as conclusion from p join w using (a, b)""")
 def all_pairs_tests(spark, sf_dir):
-    """Rank-sum tests of all pairs of event types, adjusted, in words."""
+    """Rank-sum tests of all pairs of event types, two-sided before one-sided, adjusted, in words."""
     made = K.all_pairs(table(spark, sf_dir, "events"), "value", "event_type", ["click", "error", "purchase", "signup", "view"])
-    tested = made.withColumn("p", K.normal_two_sided("z")).withColumn("family", F.lit("events"))
-    return K.conclude(p_adjust(tested, "p", ["family"], ["a", "b"])).select("a", "b", F.round("z", 6).alias("z"), F.round("p", 9).alias("p"), F.round("p_holm", 9).alias("p_holm"), "conclusion")
+    told = K.conclude(K.with_p(made))
+    return told.select("a", "b", F.round("z", 6).alias("z"), *[F.round(c, 7).alias(c) for c in ("p", "p_greater", "p_adjusted", "p_greater_adjusted")], "conclusion")
 
 
-@R.query("""with u as (select distinct p_brand as g, p_partkey as e from part), t as (select distinct p_partkey as e, unnest(string_split(p_name, ' ')) as term from part),
+def _enriched(universe: str, members: str, terms: str) -> str:
+    """SQL: hypergeometric tails of groups (g, e) and terms (e, term) within a universe (e), with Holm's adjustment."""
+    return f"""with v as ({universe}), u as (select distinct g, e from ({members}) where e in (from v)), t as (select distinct e, term from ({terms}) where e in (from v)),
 x as (select g, term, count(*) as n_both from u join t using (e) group by all), a as (select g, count(*) as n_group from u group by 1 having count(*) >= 10), b as (select term, count(*) as n_term from t group by 1),
-c as (select x.*, n_group, n_term, (select count(*) from part) as n_universe from x join a using (g) join b using (term)),
-k as (select *, unnest(range(n_both, least(n_group, n_term) + 1)) as i from c)
-select g as p_brand, term, n_both, n_group, n_term, n_universe, round(least(1, sum(exp(lgamma(n_term + 1) - lgamma(i + 1) - lgamma(n_term - i + 1) + lgamma(n_universe - n_term + 1) - lgamma(n_group - i + 1) - lgamma(n_universe - n_term - n_group + i + 1)
-- lgamma(n_universe + 1) + lgamma(n_group + 1) + lgamma(n_universe - n_group + 1)))), 6) as p from k where i >= n_group + n_term - n_universe group by all""")
+c as (select x.*, n_group, n_term, (select count(*) from v) as n_universe from x join a using (g) join b using (term)),
+k as (select *, unnest(range(n_both, least(n_group, n_term) + 1)) as i from c),
+p as (select g, term, n_both, n_group, n_term, n_universe, least(1, sum(exp(lgamma(n_term + 1) - lgamma(i + 1) - lgamma(n_term - i + 1) + lgamma(n_universe - n_term + 1) - lgamma(n_group - i + 1) - lgamma(n_universe - n_term - n_group + i + 1)
+- lgamma(n_universe + 1) + lgamma(n_group + 1) + lgamma(n_universe - n_group + 1)))) as p from k where i >= n_group + n_term - n_universe group by all),
+h as (select *, least(1, max(p * m) over (order by p, g, term rows unbounded preceding)) as h from (select *, count(*) over () - row_number() over (order by p, g, term) + 1 as m from p))"""
+
+
+@R.query(_enriched("select distinct p_partkey as e from part", "select p_brand as g, p_partkey as e from part", "select p_partkey as e, unnest(string_split(p_name, ' ')) as term from part")
++ " select g as p_brand, term, n_both, n_group, n_term, n_universe, round(p, 6) as p from h")
 def enrich(spark, sf_dir):
     """K9: words of part names over-represented in brands."""
     p = table(spark, sf_dir, "part")
     terms = p.select("p_partkey", F.explode(F.split("p_name", " ")).alias("term"))
-    return K.enrich(p, "p_brand", "p_partkey", terms, "term").withColumn("p", F.round("p", 6))
+    return N.enrich(p, "p_brand", "p_partkey", terms, "term").drop("p_adjusted").withColumn("p", F.round("p", 6))
+
+
+_LINEAGE = """with recursive up as (select p_partkey as node, p_partkey // 2 as ancestor from part where p_partkey > 1 union select node, ancestor // 2 from up where ancestor > 1)
+select l_suppkey as e, l_partkey as term from lineitem where l_partkey % 7 <> 0 union select l_suppkey, ancestor from lineitem join up on node = l_partkey where l_partkey % 7 <> 0"""
+
+
+@R.query(_enriched("select distinct s_suppkey as e from supplier where s_acctbal > 0", "select s_nationkey as g, s_suppkey as e from supplier", _LINEAGE)
++ " select g as s_nationkey, term, n_both, n_group, n_term, n_universe, round(p, 6) as p, round(h, 6) as p_adjusted from h")
+def enrich_lineage(spark, sf_dir):
+    """K9: parts, and all that stand above them in a tree, over-represented in nations' suppliers; a universe of its own, obsolete terms dropped."""
+    s = table(spark, sf_dir, "supplier")
+    terms = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), F.col("l_partkey").alias("term"))
+    part = table(spark, sf_dir, "part").select("p_partkey")
+    closed = I.closure(part.filter("p_partkey > 1").withColumn("up", F.floor(F.col("p_partkey") / 2)), "p_partkey", "up")
+    info = part.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 7 == 0).alias("obsolete"))
+    made = N.enrich(s, "s_nationkey", "s_suppkey", terms, "term", closed=closed, universe=s.filter("s_acctbal > 0"), info=info)
+    return made.withColumns({c: F.round(c, 6) for c in ("p", "p_adjusted")})
 
 
 @R.query("""with v as (select l_partkey, sum(l_extendedprice) as v from lineitem group by 1), r as (select l_partkey, v, row_number() over (order by v desc, l_partkey) as k, count(*) over () as n from v),
@@ -110,15 +161,35 @@ h as (select p_brand, v, k, n, row_number() over (partition by p_brand order by
 w as (select p_brand, m, sum(v) over (partition by p_brand order by k rows unbounded preceding) / sum(v) over (partition by p_brand) - (k - i) / (n - m) as es from h) select p_brand, round(max(es), 6) as es, max(m) as n_members from w group by 1""")
 def running_sum_es(spark, sf_dir):
     """brands' enrichment among parts ranked by revenue."""
-    v = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.sum("l_extendedprice").alias("v"))
-    return K.running_sum_es(v, "p_partkey", "v", table(spark, sf_dir, "part"), "p_brand").withColumn("es", F.round("es", 6))
+    return N.running_sum_es(_revenues(spark, sf_dir), "p_partkey", "v", table(spark, sf_dir, "part"), "p_brand").withColumn("es", F.round("es", 6))
 
 
-@R.query()
+def _revenues(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.sum("l_extendedprice").alias("v"))
+
+
+_WALK = "select {by}, any_value(m) as m, max(up / total - (k - i) / (n - m)) as es from (select {by}, k, n, m, i, sum(v) over (partition by {by} order by k rows unbounded preceding) as up, sum(v) over (partition by {by}) as total from {source}) group by all"
+
+
+@R.query(f"""with v as (select l_partkey as e, sum(l_extendedprice) as v from lineitem group by 1), r as (select e, v, row_number() over (order by v desc, e) as k, count(*) over () as n from v),
+h as (select p_brand, v, k, n, row_number() over (partition by p_brand order by k) as i, count(*) over (partition by p_brand) as m from r join part on p_partkey = e), w as ({_WALK.format(by="p_brand", source="h")}),
+x as (select e, v, k, n, rep, row_number() over (partition by rep order by md5('1:' || rep || ':' || e), e) as nth from r, range(1, 31) as g(rep)), z as (select distinct m from w),
+f as (select rep, m, m as size, v, k, n, row_number() over (partition by rep, m order by k) as i from x join z on nth <= m), y as ({_WALK.format(by="rep, size", source="f")}),
+c as (select p_brand, w.es, w.m, count(*) filter (round(y.es, 9) >= round(w.es, 9)) as b, avg(y.es) as mean from w join y on y.m = w.m group by 1, 2, 3), p as (select *, (b + 1) / 31.0::double as p from c),
+q as (select *, count(*) over () * p / row_number() over (order by p, p_brand) as q from p)
+select p_brand, round(es, 6) as es, round(es / mean, 6) as nes, m as n_members, b as n_beyond, round(p, 9) as p, round(least(1, min(q) over (order by p desc, p_brand desc rows unbounded preceding)), 9) as p_adjusted from q""")
 def gsea(spark, sf_dir):
-    """The same with permutation p-values."""
-    v = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.sum("l_extendedprice").alias("v"))
-    return K.gsea(v, "p_partkey", "v", table(spark, sf_dir, "part"), "p_brand", n_perm=20).withColumn("es", F.round("es", 6))
+    """brands' enrichment against thirty seeded random sets of each size, adjusted."""
+    made = N.gsea(_revenues(spark, sf_dir), "p_partkey", "v", table(spark, sf_dir, "part"), "p_brand", n_perm=30, few=0)
+    return made.select("p_brand", F.round("es", 6).alias("es"), F.round("nes", 6).alias("nes"), "n_members", "n_beyond", F.round("p", 9).alias("p"), F.round("p_adjusted", 9).alias("p_adjusted"))
+
+
+@R.query()
+def gsea_small_p(spark, sf_dir):
+    """The same with small p-values by multilevel splitting; sets are parts' sizes, one of which is made of the dearest parts."""
+    part = table(spark, sf_dir, "part").withColumn("set", F.when(F.col("p_retailprice") > 1800, "dear").otherwise(F.concat(F.lit("size "), F.col("p_size").cast("string"))))
+    priced = part.select("p_partkey", F.col("p_retailprice").alias("v"))
+    return N.gsea(priced, "p_partkey", "v", part.select("set", "p_partkey"), "set", n_perm=200).withColumns({c: F.round(c, 9) for c in ("es", "nes", "p", "p_adjusted")})
 
 
 @R.query("""with t as (select source, case when contains(lower(text), 'license') then ['license'] else string_split_regex(regexp_replace(lower(text), '[^\\p{L}\\s]', '', 'g'), '\\s+') end as w from documents),

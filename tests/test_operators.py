@@ -7,11 +7,14 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidentia.functions import scalars as S
 from evidentia.operators import aggregate as A
 from evidentia.operators import database as H
+from evidentia.operators import enrichment as N
+from evidentia.operators import exact
 from evidentia.operators import graph as I
 from evidentia.operators import joins as J
 from evidentia.operators import records as X
@@ -233,17 +236,169 @@ def test_tail_probabilities(spark):
     assert K.incomplete_beta(5, 0.5, 10 / (10 + 2.228139**2)) == pytest.approx(0.05, rel=1e-5)
     df = spark.createDataFrame([(2, 5, 4, 20), (0, 3, 3, 10), (4, 4, 4, 8)], "k long, n long, m long, t long")
     exact = [sum(math.comb(m, i) * math.comb(t - m, n - i) for i in range(k, min(n, m) + 1)) / math.comb(t, n) for k, n, m, t in ((2, 5, 4, 20), (0, 3, 3, 10), (4, 4, 4, 8))]
-    assert [r[0] for r in df.select(K.hypergeometric_tail("k", "n", "m", "t")).collect()] == pytest.approx(exact)
-    tested = K.alternatives(spark.createDataFrame([(1.96,), (-1.0,)], "z double")).collect()
-    assert tested[0]["p"] == pytest.approx(0.05, abs=1e-4) and tested[0]["p_greater"] == pytest.approx(0.025, abs=1e-4) and tested[1]["p_less"] == pytest.approx(0.158655, abs=1e-5)
-
-
-def test_gsea_draws_nobody_twice(spark):
-    """If a set is everybody, every draw is that set, so each replicate's score is the real one."""
-    ranked = spark.createDataFrame([(i, float(100 - i)) for i in range(37)], "e long, v double")
-    sets = spark.createDataFrame([("half", i) for i in range(18)] + [("most", i) for i in range(36)], "s string, e long")
-    got = {r["s"]: r for r in K.gsea(ranked, "e", "v", sets, "s", n_perm=15).collect()}
-    assert got["half"]["p"] == pytest.approx(1 / 16) and got["half"]["n_members"] == 18 and got["half"]["es"] == pytest.approx(1.0)
+    assert [r[0] for r in df.select(N.hypergeometric_tail("k", "n", "m", "t")).collect()] == pytest.approx(exact)
+
+
+def test_gsea_scores(spark):
+    """A set on top has the greatest score there is; null scores have no place; a set without a ranked member has no row."""
+    ranked = spark.createDataFrame([(i, float(100 - i)) for i in range(37)] + [(99, None)], "e long, v double")
+    sets = spark.createDataFrame([("half", i) for i in range(18)] + [("most", i) for i in range(36)] + [("half", 99), ("none", 99)], "s string, e long")
+    got = {r["s"]: r for r in N.gsea(ranked, "e", "v", sets, "s", n_perm=15, few=0).collect()}
+    assert got["half"]["p"] == pytest.approx(1 / 16) and got["half"]["n_members"] == 18 and got["half"]["es"] == pytest.approx(1.0) and set(got) == {"half", "most"}
+
+
+def test_gsea_p_is_uniform_for_random_sets(spark):
+    """Random sets of several sizes: the p-values' distribution is that of the null (Kolmogorov's distance)."""
+    rng = np.random.default_rng(5)
+    n, sets = 300, []
+    for i in range(240):
+        sets += [(f"s{i}", int(e)) for e in rng.choice(n, [5, 20, 60][i % 3], replace=False)]
+    ranked = spark.createDataFrame([(i, float(1000 - i)) for i in range(n)], "e long, v double")
+    made = N.gsea(ranked, "e", "v", spark.createDataFrame(sets, "s string, e long"), "s", n_perm=200, few=0).collect()
+    p = np.sort([r["p"] for r in made])
+    off = np.abs(p - (np.arange(len(p)) + 0.5) / len(p)).max()
+    assert len(p) == 240 and off < 1.63 / math.sqrt(240) + 0.01 and abs(p.mean() - 0.5) < 0.06
+    assert min(r["p_adjusted"] for r in made) >= min(p)
+
+
+def test_splitting_p():
+    """Against all sets of 3 of 20 places, down to the rarest; means over seeds, as each estimate is random."""
+    weights = np.arange(20, 0, -1).astype(float)
+    scores = []
+    for own in itertools.combinations(range(20), 3):
+        w = weights[list(own)]
+        scores.append(max(np.cumsum(w) / w.sum() - (np.array(own) - np.arange(3)) / 17))
+    scores = np.sort(scores)[::-1]
+    for k in (2, 12, 100, 500):
+        want = (scores >= scores[k - 1] - 1e-12).mean()
+        got = [N.splitting_p(round(float(scores[k - 1]), 9) - 1e-9, 3, 20, weights, np.random.default_rng(i), moves=30) for i in range(30)]
+        assert abs(np.log(np.mean(got) / want)) < 0.4, (k, want, np.mean(got))
+
+
+def test_exact_rank_tests(spark):
+    """Against enumeration of all arrangements, up to eight values, and a normal tail with continuity beyond."""
+    for m, n in ((1, 1), (2, 3), (4, 4), (3, 5), (1, 7)):
+        us = [sum(sum(1 for x in own if x > y) for y in set(range(m + n)) - set(own)) for own in itertools.combinations(range(m + n), m)]
+        counts = exact.rank_sum_counts(m, n)
+        assert [int(c) for c in counts] == [us.count(u) for u in range(m * n + 1)]
+        assert exact.upper_tail(counts, 2) == pytest.approx(sum(u >= 2 for u in us) / len(us))
+    for n in range(1, 9):
+        ws = [sum(i + 1 for i in range(n) if signs >> i & 1) for signs in range(1 << n)]
+        assert [int(c) for c in exact.signed_rank_counts(n)] == [ws.count(w) for w in range(n * (n + 1) // 2 + 1)]
+    rows = [("x", v) for v in (1.0, 4.0, 6.0, 8.0)] + [("y", v) for v in (2.0, 3.0, 5.0)]
+    r = K.with_p(K.rank_sum(spark.createDataFrame(rows, "g string, v double"), "v", "g", "x", "y")).first()
+    us = [sum(sum(1 for a in own if a > b) for b in set(range(7)) - set(own)) for own in itertools.combinations(range(7), 4)]
+    assert r["u"] == 8 and r["p_greater"] == pytest.approx(sum(u >= 8 for u in us) / 35) and r["p_less"] == pytest.approx(sum(u <= 8 for u in us) / 35)
+    assert r["p"] == pytest.approx(min(1, 2 * min(r["p_greater"], r["p_less"])))
+    d = spark.createDataFrame([(float(v), 0.0) for v in (3, -1, 4, 7, -2, 6)], "a double, b double")
+    w = K.with_p(K.signed_rank(d, "a", "b")).first()
+    ws = [sum(i + 1 for i in range(6) if signs >> i & 1) for signs in range(64)]
+    assert w["w"] == 18 and w["p_greater"] == pytest.approx(sum(x >= 18 for x in ws) / 64) and w["p"] == pytest.approx(2 * sum(x >= 18 for x in ws) / 64)
+    tied = K.with_p(K.rank_sum(spark.createDataFrame([*rows, ("y", 8.0)], "g string, v double"), "v", "g", "x", "y")).first()
+    assert tied["tied"] and tied["p"] == pytest.approx(math.erfc((abs(tied["u"] - 8) - 0.5) / tied["sigma"] / math.sqrt(2)))
+
+
+def test_exact_ks(spark):
+    """Against all arrangements, with and without ties."""
+    for values, m in (([1, 2, 3, 4, 5, 6, 7], 3), ([1, 1, 2, 2, 2, 3, 4, 4], 4), ([1, 2, 2, 3, 3, 3], 2)):
+        def distance(own):
+            other = [i for i in range(len(values)) if i not in own]
+            return max(abs(sum(values[i] <= v for i in own) / len(own) - sum(values[i] <= v for i in other) / len(other)) for v in values)
+
+        every = [distance(own) for own in itertools.combinations(range(len(values)), m)]
+        for own in itertools.islice(itertools.combinations(range(len(values)), m), 0, None, 5):
+            rows = [("x" if i in own else "y", float(v)) for i, v in enumerate(values)]
+            r = K.ks2(spark.createDataFrame(rows, "g string, v double"), "v", "g", "x", "y").first()
+            assert r["d"] == pytest.approx(distance(own)) and r["p"] == pytest.approx(np.mean([d >= distance(own) - 1e-9 for d in every]))
+
+
+def test_scan_carries_over_partitions(spark):
+    """A part that lies in many partitions, null keys, and a layer that uses the one before, against plain windows."""
+    df = spark.range(2000).selectExpr("case when id % 3 = 0 then 'hot' when id % 50 = 1 then null else concat('p', id % 20) end as k", "id * 7919 % 2003 as x", "id * 31 % 101 as v")
+    dealt = df.repartitionByRange(9, "k", "x").withColumn("_part", F.spark_partition_id())
+    dealt = A.settled(dealt)
+    assert dealt.filter("k = 'hot'").select("_part").distinct().count() > 1
+    rises = F.when(F.col("v") > F.coalesce("m", F.lit(-1)), 1).otherwise(0)
+    got = A.scan(dealt, ["k"], ["x"], {"s": ("sum", F.col("v")), "m": ("max", F.col("v"))}, {"c": ("sum", rises), "lo": ("min", F.col("s"))}, before=["m"]).drop("_part")
+    up, low = W.partitionBy("k").orderBy("x").rowsBetween(W.unboundedPreceding, 0), W.partitionBy("k").orderBy("x").rowsBetween(W.unboundedPreceding, -1)
+    want = df.withColumns({"s": F.sum("v").over(up), "m": F.max("v").over(low)}).withColumn("c", F.sum(rises).over(up)).withColumn("lo", F.min("s").over(up))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_adjusted_p(spark):
+    ps = [0.01, 0.02, 0.02, 0.2, 0.5, None]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(ps)], "i int, p double")
+    holm = [r["a"] for r in E.p_adjust(df, "p", [], ["i"], "a").orderBy("i").collect()]
+    bh = [r["a"] for r in E.p_adjust(df, "p", [], ["i"], "a", method="bh").orderBy("i").collect()]
+    assert holm == pytest.approx([0.05, 0.08, 0.08, 0.4, 0.5, None]) and bh == pytest.approx([5 * 0.02 / 3] * 3 + [0.25, 0.5, None])
+
+
+def test_maxlfq_components(spark):
+    """One and two components, a sample without a value, zero intensities, and what the total comes to."""
+    rows = [("one", "i", "a", 100.0), ("one", "i", "b", 900.0), ("two", "i", "a", 5.0), ("two", "j", "b", 50_000.0), ("two", "j", "c", 100_000.0), ("gap", "i", "a", 7.0), ("gap", "i", "b", 0.0)]
+    got = {(r["p"], r["s"]): (r["component"], r["lfq"]) for r in A.maxlfq(spark.createDataFrame(rows, "p string, i string, s string, v double"), "p", "i", "s", "v").collect()}
+    want = {("one", "a"): ("a", 100), ("one", "b"): ("a", 900), ("two", "a"): ("a", 5), ("two", "b"): ("b", 50_000), ("two", "c"): ("b", 100_000), ("gap", "a"): ("a", 7)}
+    assert set(got) == set(want) and all(got[k][0] == c and got[k][1] == pytest.approx(v) for k, (c, v) in want.items())
+    logs = {r["s"]: math.log2(r["lfq"]) for r in A.maxlfq(spark.createDataFrame([("p", i, s, 2.0**v) for i, s, v in (("i", "a", 1), ("i", "b", 3), ("j", "a", 2), ("j", "b", 5), ("k", "c", 4))], "p string, i string, s string, v double"), "p", "i", "s", "v", scale="log mean").collect()}
+    assert logs == pytest.approx({"a": 2.75 - 1.25, "b": 2.75 + 1.25, "c": 4})
+
+
+def test_median_normalisation(spark):
+    df = spark.createDataFrame([("i", "a", 2.0), ("j", "a", 8.0), ("i", "b", 16.0), ("j", "b", 64.0), ("k", "b", 0.0)], "i string, s string, v double")
+    got = {(r["i"], r["s"]): r["v"] for r in A.normalise_medians(df, "s", "v").collect()}
+    assert got == pytest.approx({("i", "a"): 2 * 2**1.5, ("j", "a"): 8 * 2**1.5, ("i", "b"): 16 / 2**1.5, ("j", "b"): 64 / 2**1.5})
+
+
+def brute_linkage(d, cutoff):
+    own = {i: [i] for i in range(len(d))}
+    while len(own) > 1:
+        best = min((round(float(np.mean([d[x][y] for x in own[a] for y in own[b]])), 12), a, b) for a in own for b in own if a < b)
+        if best[0] > cutoff:
+            break
+        own[best[1]] += own.pop(best[2])
+    return {x: c for c, members in own.items() for x in members}
+
+
+@pytest.mark.parametrize("tied", [False, True])
+def test_average_linkage_brute(spark, tied):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(8, 6))[np.arange(30) % 8] + rng.normal(size=(30, 6)) * 0.35
+    if tied:
+        x = np.round(x) + (np.abs(np.round(x)).sum(1, keepdims=True) == 0)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = {r["id"]: r["label"] for r in V.average_clusters(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, v array<double>"), "i", "v", 0.1).collect()}
+    want = brute_linkage(1 - u @ u.T, 0.1)
+    assert {i: got.get(i, i) for i in range(30)} == want and len(set(want.values())) < 30
+
+
+@pytest.mark.parametrize(("cutoff", "metric"), [(0.05, "cosine"), (0.4, "euclidean")])
+def test_near_pairs_brute(spark, cutoff, metric, monkeypatch):
+    """The pairs are exactly those of brute force, each once; few of the others are tested."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(20, 8))[rng.integers(0, 20, 400)] + rng.normal(size=(400, 8)) * 0.12
+    x[7] = x[8]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = 1 - u @ u.T if metric == "cosine" else ((x[:, None] - x[None]) ** 2).sum(-1)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [])] + ([(1002, [0.0] * 8)] if metric == "cosine" else [])
+    df = spark.createDataFrame(rows, "i long, v array<double>")
+    got = [(r["a"], r["b"]) for r in V.near_pairs(df, "i", "v", cutoff, metric, block=16).collect()]
+    assert set(got) == {(i, j) for i in range(400) for j in range(i + 1, 400) if d[i, j] <= cutoff} and len(got) == len(set(got))
+    assert V.near_pairs(df.limit(0), "i", "v", cutoff, metric).count() == 0
+
+
+def test_groups_that_share_members(spark):
+    """A member of two groups counts in each by its own distances."""
+    df = spark.createDataFrame([("x", "g1", [1.0, 0.0]), ("y", "g1", [0.0, 1.0]), ("x", "g2", [1.0, 0.0]), ("z", "g2", [1.0, 0.1]), ("x", "g3", [1.0, 0.0])], "i string, g string, v array<double>")
+    got = {r["g"]: (r["cohesion"], r["n_pairs"]) for r in V.group_cohesion(df, "i", "v", "g").collect()}
+    assert got["g1"] == (pytest.approx(1.0), 1) and got["g2"] == (pytest.approx(1 - 1 / math.sqrt(1.01)), 1) and got["g3"] == (0, 0)
+
+
+def test_components_of_a_long_path(spark):
+    rng = np.random.default_rng(3)
+    names = rng.permutation(600)
+    edges = [(int(names[i]), int(names[i + 1])) for i in range(599) if i != 300] + [(5, 5)]
+    got = {r["id"]: r["label"] for r in I.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    assert {got[int(x)] for x in names[:301]} == {int(min(names[:301]))} and {got[int(x)] for x in names[301:]} == {int(min(names[301:]))}
 
 
 def test_select_parents(spark):
@@ -291,9 +446,11 @@ def test_pca_scores_and_shares(spark):
 
 
 def test_conclude(spark):
-    rows = [("x", "y", 2.5, 0.01), ("x", "z", -3.0, 0.001), ("y", "z", 0.1, 0.9)]
-    got = [r["conclusion"] for r in K.conclude(spark.createDataFrame(rows, "a string, b string, z double, p_holm double")).collect()]
-    assert got == ["x is greater than y", "z is greater than x", "y and z don't differ"]
+    """The one-sided test speaks only where the two-sided one is significant."""
+    rows = [("x", "y", 0.001, 0.0005), ("x", "z", 0.001, 0.9995), ("y", "z", 0.9, 0.45)]
+    got = {(r["a"], r["b"]): r for r in K.conclude(spark.createDataFrame(rows, "a string, b string, p double, p_greater double")).collect()}
+    assert got["x", "y"]["conclusion"] == "x is greater than y" and got["x", "z"]["conclusion"] == "z is greater than x" and got["y", "z"]["conclusion"] == "y and z don't differ"
+    assert got["x", "y"]["p_greater_adjusted"] == pytest.approx(0.003) and got["x", "y"]["p_adjusted"] == pytest.approx(0.005)
 
 
 def test_running_sums_and_quantiles(spark):
