@@ -28,6 +28,7 @@ LAYOUTS = 3  # layouts made of each of them
 BLOCKS = 20_000  # of the pages that are labelled together, the last one's aside
 MAIN_TAGS = frozenset(("article", "main"))
 OTHER_TAGS = frozenset(("nav", "footer", "aside", "form", "menu"))
+TELLING = OTHER_TAGS | {"header"}
 
 # Names that pages give to their parts.
 WRAPS = (
@@ -35,7 +36,7 @@ WRAPS = (
     ("div", ".entry", ".content"), ("div", ".main", "article"), ("div", ".container", "article"), ("div", ".text"), ("div", ".page", "div", ".article"),
 )
 TOP = (
-    ("nav", "ul", "li"), ("header",), ("header", "nav", "ul", "li"), ("div", ".menu", "ul", "li"), ("ul", ".navbar", "li"), ("div", ".header"), ("div", ".topbar"),
+    ("nav", "ul", "li"), ("nav",), ("nav", "p"), ("header",), ("header", "nav", "ul", "li"), ("div", ".menu", "ul", "li"), ("ul", ".navbar", "li"), ("div", ".header"), ("div", ".topbar"),
     ("div", ".site", ".header", "p"), ("div", ".breadcrumb"), ("div", ".nav"), ("div", ".cookie", ".notice", "p"), ("div", ".banner"), ("div", ".notice"),
     ("div", ".consent"), ("div", ".alert"), ("header", "h1"), ("header", "p"), ("div", ".cookies"), ("div", ".login"), ("div", ".search"),
 )
@@ -45,7 +46,7 @@ SIDE = (
     ("form", "label"), ("div", ".newsletter"), ("div", ".share"), ("div", ".social"), ("div", ".subscribe"), ("aside", ".sidebar", "h3"), ("div", ".popup"), ("div", ".tags"),
 )
 END = (
-    ("footer",), ("footer", "p"), ("footer", "ul", "li"), ("div", ".footer"), ("div", ".copyright"), ("section", ".comments", "p"), ("div", ".comments", "div", ".comment"),
+    ("footer",), ("footer", "p"), ("footer", "ul", "li"), ("div", ".footer"), ("div", ".footer", "p"), ("div", ".copyright"), ("section", ".comments", "p"), ("div", ".comments", "div", ".comment"),
     ("section", ".comments", "article", ".comment", "p"), ("div", ".comment", "p"), ("div", ".comment"), ("ul", ".comments", "li"), ("ol", ".comment", ".list", "li"), ("div", ".reader", ".comments", "p"),
     ("div", ".disqus"), ("section", ".comments", "h2"), ("div", ".responses", "p"), ("div", ".replies"), ("div", ".legal"), ("footer", "div"),
 )
@@ -78,19 +79,22 @@ def layout(main: list[Block], other: list[str], r: random.Random) -> tuple[list[
             place = r.choice(places)
             if r.random() < 0.1:
                 place = tuple(n for n in place if not n.startswith(".")) or ("div",)
+            told = any(n.startswith(".") or n in TELLING for n in place)
             if place[-1] not in ("p", "li") and r.random() < 0.3:
                 place = (*place, r.choice(("p", "p", "div", "h3")))
             for _ in range(r.choice((1, 1, 2, 5))):
                 comment = any("comment" in n or n in (".replies", ".responses", ".disqus") for n in place)
-                text = " ".join(r.choice(main).text.split()[: r.randint(4, 60)]) if r.random() < (0.6 if comment else 0.1) else short()
-                linked = len(text) if ("li" in place and not comment) or r.random() < 0.15 else 0
+                # whole sentences stand in any place whose names tell what it is, so that length alone decides nothing
+                sentence = 0.6 if comment else 0.4 if told else 0.05
+                text = " ".join(r.choice(main).text.split()[: r.randint(4, 60)]) if r.random() < sentence else short()
+                linked = len(text) if ("li" in place and not comment and r.random() < 0.6) or r.random() < 0.15 else 0
                 out.append((Block(root + under + place, text, linked), False))
 
     put(TOP, 3)
-    wrap = r.choice(WRAPS)
+    wrap = r.choice(WRAPS) if r.random() < 0.7 else r.choice(WRAPS[:3])  # plain elements are the commonest
     if r.random() < 0.1:
         wrap = tuple(n for n in wrap if not n.startswith("."))
-    put(SIDE, 2)
+    put(SIDE, 2, wrap if r.random() < 0.2 else ())
     if r.random() < 0.4:
         out += [(Block(root + wrap + r.choice((("h1",), ("header", "h1"), ("h1", ".title"), ("h2",))), " ".join(r.choice(main).text.split()[:9]), 0), True)]
     for b in main:
@@ -100,10 +104,10 @@ def layout(main: list[Block], other: list[str], r: random.Random) -> tuple[list[
         if r.random() < 0.15:
             inner = r.choice((("blockquote",), ("blockquote", "p"), ("ul", "li"), ("figure", "figcaption"), ("pre",), ("div",)))
         out.append((Block(root + wrap + inner, b.text if r.random() < 0.7 else " ".join(b.text.split()[: r.randint(4, 14)]), b.linked), True))
-        if r.random() < 0.12:
-            put(SIDE, 1, wrap if r.random() < 0.6 else ())
-    put(SIDE, 2)
-    put(END, 3, wrap if r.random() < 0.15 else ())
+        if r.random() < 0.3:
+            put(r.choice((SIDE, SIDE, TOP, END)), 1, wrap if r.random() < 0.8 else ())
+    put(SIDE, 2, wrap if r.random() < 0.3 else ())
+    put(END, 3, wrap if r.random() < 0.4 else ())
     return [b for b, _ in out], np.array([y for _, y in out], np.float32)
 
 
@@ -124,9 +128,12 @@ def train(sample: list[str], seed: int = 5) -> Labeller:
         for _ in range(max(LAYOUTS, LAYOUTS * SAMPLE // len(texts))):  # as many in all from a smaller sample
             own, y = layout(main[: LONGEST // 2], other, r)
             made.append((features(own)[:LONGEST], y[:LONGEST]))
-    drop = np.random.RandomState(seed)  # in some blocks words are left out, so that their tags must do
+    drop = np.random.RandomState(seed)  # in many blocks words are left out, or are none that were ever seen, so that their tags must do
     for x, _ in made:
-        x[drop.random_sample(len(x)) < 0.3, PATH_DIM : PATH_DIM + WORD_DIM] = 0
+        chance = drop.random_sample(len(x))
+        x[chance < 0.7, PATH_DIM : PATH_DIM + WORD_DIM] = 0
+        strange = chance < 0.4
+        x[strange, PATH_DIM : PATH_DIM + WORD_DIM] = drop.normal(size=(int(strange.sum()), WORD_DIM)) / np.sqrt(WORD_DIM) * 1.5
     return Labeller(seed).fit(made, seed=seed)
 
 

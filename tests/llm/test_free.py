@@ -298,6 +298,40 @@ def test_extraction_of_pages_labelled_by_hand(spark, sf_dir):
     assert right / (right + wrong) >= 0.9
 
 
+# kinds of places that are no main text, each to hold a whole sentence
+EXCLUDED = {
+    "menu": "<nav><p>{}</p></nav>", "header": "<div class='site-header'><p>{}</p></div>", "footer": "<footer><p>{}</p></footer>", "footer div": "<div class=footer>{}</div>",
+    "sidebar": "<div class=sidebar><p>{}</p></div>", "aside": "<aside><p>{}</p></aside>", "cookies": "<div class='cookie-notice'><p>{}</p></div>", "notice": "<div class=notice>{}</div>",
+    "advert": "<div class=advert><p>{}</p></div>", "ad": "<div class=ad>{}</div>", "form": "<form><p>{}</p></form>", "label": "<form><label>{}</label><input></form>",
+    "newsletter": "<div class=newsletter><p>{}</p></div>", "comments": "<section class=comments><p>{}</p></section>", "comment": "<div class=comment><p>{}</p></div>", "related": "<div class=related><ul><li>{}</li></ul></div>",
+}
+WRAPPED = ("<article>{}</article>", "<main>{}</main>", "<div class=content>{}</div>", "<div class='post content'>{}</div>", "<section class=story>{}</section>", "<div class='article-body'>{}</div>")
+
+
+def test_extraction_of_sentences_in_excluded_places(spark):
+    """A sentence of the length of the article's own, in every kind of excluded place, inside the article and behind it."""
+    first, other, last = (
+        "The river rose through the night, and by morning the lower fields stood under water.",
+        "Sign up today and get our best stories every week in your inbox, free of charge and without any delay.",
+        "Nobody in the village could remember a spring like it, though older people spoke of a flood.",
+    )
+    net = html_extract.train(html_extract.sampled(spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")))
+    made, wrong, total = [], Counter(), 0
+    for wrap in WRAPPED:
+        for kind, place in EXCLUDED.items():
+            for inside in (True, False):
+                extra = place.format(other)
+                body = wrap.format(f"<h1>Floods return</h1><p>{first}</p>{extra if inside else ''}<p>{last}</p>")
+                made.append((kind, inside, blocks(f"<body><nav><ul><li><a href=/>Home</a></li></ul></nav>{body}{'' if inside else extra}<footer>All rights reserved</footer></body>")))
+    for (kind, inside, page), marks in zip(made, net.label([features(p) for _, _, p in made]), strict=True):
+        for b, m in zip(page, marks, strict=True):
+            total += 1
+            if bool(m) != (b.text in (first, last, "Floods return")):
+                wrong[kind, inside] += 1
+    assert wrong.total() <= 0.02 * total, wrong
+    assert not any(wrong[k, False] for k in EXCLUDED) and not any(wrong[k, True] for k in ("form", "label", "aside", "notice", "advert", "comments", "sidebar")), wrong
+
+
 def test_extraction_without_semantic_elements(spark):
     """Pages of plain div layouts: a labeller is fitted all the same, and finds their texts."""
     fill = lambda i: f"Sentence number {i} tells of things that happened long ago, in a place that nobody knows any more, as it is told."
