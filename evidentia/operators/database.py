@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evidentia.functions.scalars import resolve_ambiguous
+from evidentia.functions.scalars import monoisotopic_mass, resolve_ambiguous
+from evidentia.operators.aggregate import assign_ids
 from evidentia.operators.windows import dedup
 
 
@@ -23,6 +24,20 @@ def build_database(parts: Sequence[DataFrame], id_col: str, seq: str, min_len: i
     return targets.unionByName(decoys).withColumn("length", F.length(seq))
 
 
+def database_entries(database: DataFrame, id_col: str, seq: str, header: Column | str, prefix: str = "P") -> DataFrame:
+    """H1.  A target/decoy table with what a search needs: ``entry`` (P0, P1 .. over targets and decoys by sequence length, descending, and
+    id), ``mass``, and ``header`` (decoys: that of their target with ``rev_`` before it)."""
+    headed = database.withColumn("header", F.concat(F.when(F.col("decoy"), "rev_").otherwise(""), header if isinstance(header, Column) else F.col(header)))
+    made = headed.withColumn("mass", monoisotopic_mass(F.col(seq)))
+    return assign_ids(made, prefix, [F.desc("length"), F.col(id_col)], "entry")
+
+
+def database_views(entries: DataFrame, seq: str) -> dict[str, DataFrame]:
+    """H1.  The table's views: targets alone, decoys alone, the FASTA records of all, and entries by their ids."""
+    fasta = entries.select("entry", F.concat(F.lit(">"), F.col("entry"), F.lit(" "), F.col("header"), F.lit("\n"), F.col(seq)).alias("record"))
+    return {"targets": entries.filter("not decoy"), "decoys": entries.filter("decoy"), "fasta": fasta, "mapping": entries.select("entry", "header", "length", "mass")}
+
+
 def balance_decoys(identified: DataFrame, id_col: str, database: DataFrame, seq: str, seed: int = 1) -> DataFrame:
     """H2.  Identified rows of the database, with as many decoys as targets: missing ones are reversed targets, drawn
     with replacement by hashed numbers.

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evidentia.operators.aggregate import numbered
 from evidentia.scratch import discard, settled
 
 
@@ -72,6 +73,41 @@ def closure(edges: DataFrame, child: str, parent: str) -> DataFrame:
         fresh, known = found, grown
 
 
+def reach(edges: DataFrame, child: str, parent: str, wanted: DataFrame, levels: int = 4) -> DataFrame:
+    """I4, I7, I8.  ``(node, ancestor)`` for the ancestors in ``wanted(node)`` alone, without the closure.
+
+    Each wanted node is a bit; what a node stands under is the union of its parents' bits and of those of them that are wanted.  Bits are
+    pushed down from the wanted nodes, ``levels`` levels between two written tables, and only where they are news; a node's bits are rows of
+    64, so that few ancestors cost little and many are no limit.
+    """
+    step = settled(edges.select(F.col(parent).alias("node"), F.col(child).alias("_child")).filter("node <> _child").distinct())
+    chosen = numbered(wanted.select("node").distinct(), ["node"], "_bit")
+    chosen = settled(chosen.select("node", F.floor(F.col("_bit") / 64).alias("_word"), F.expr("shiftleft(1L, cast(_bit % 64 as int))").alias("_bits")))
+    known, fresh = None, chosen
+    while True:
+        at, found = fresh, None
+        for _ in range(levels):
+            at = at.join(step, "node").groupBy(F.col("_child").alias("node"), "_word").agg(F.bit_or("_bits").alias("_bits"))
+            found = at if found is None else found.unionByName(at)
+        found = found.groupBy("node", "_word").agg(F.bit_or("_bits").alias("_bits"))
+        if known is not None:
+            had = known.withColumnRenamed("_bits", "_had")
+            found = found.join(had, ["node", "_word"], "left").withColumn("_bits", F.expr("_bits & ~coalesce(_had, 0L)")).filter("_bits <> 0").drop("_had")
+        found = settled(found)
+        if found.isEmpty():
+            break
+        grown = found if known is None else settled(known.unionByName(found).groupBy("node", "_word").agg(F.bit_or("_bits").alias("_bits")))
+        if known is not None:
+            discard(known)
+        if fresh is not chosen and fresh is not known:
+            discard(fresh)
+        known, fresh = grown, found
+    if known is None:
+        return chosen.select("node", F.col("node").alias("ancestor")).limit(0)
+    each = known.join(chosen.select(F.col("node").alias("ancestor"), "_word", F.col("_bits").alias("_one")), "_word")
+    return each.filter(F.expr("_bits & _one") != 0).select("node", "ancestor")
+
+
 def n_descendants(closed: DataFrame) -> DataFrame:
     """I2.  How many nodes each node stands above."""
     return closed.groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("n_children"))
@@ -84,7 +120,7 @@ def levels(closed: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def map_to_slim(closed: DataFrame, slim: DataFrame, direct: bool = False) -> DataFrame:
-    """I4.  ``(node, slim)``: ancestors (or the node itself) in the slim; ``direct``: none that is above another of them."""
+    """I4.  ``closed`` is the closure, or what ``reach`` gives for the slim.  ``(node, slim)``: ancestors (or the node itself) in the slim; ``direct``: none that is above another of them."""
     own = slim.select("node", F.col("node").alias("slim"))
     hits = closed.select("node", F.col("ancestor").alias("slim")).join(slim.select(F.col("node").alias("slim")), "slim").select("node", "slim").unionByName(own)
     if not direct:
@@ -164,6 +200,16 @@ def assign_category(items: DataFrame, item: str, term: str, mapping: DataFrame,
     return out.withColumn("category", F.coalesce("category", F.when(F.coalesce(F.size(term), F.lit(0)) > 0, "other").otherwise("unknown")))
 
 
+def category_counts(assigned: DataFrame, ontology: str, category: str = "category", missing: str = "unknown") -> DataFrame:
+    """I8.  One row for each category with its number of items by ontology (columns), and ``n_missing``: items of that ontology without a
+    term, repeated in each row's total ``n``."""
+    names = sorted(r[0] for r in assigned.select(ontology).distinct().collect())  # one for each ontology
+    counts = assigned.groupBy(category).pivot(ontology, names).agg(F.count(F.lit(1))).fillna(0, names)
+    gone = assigned.agg(F.count_if(F.col(category) == missing).alias("n_missing"))
+    total = sum((F.col(f"`{n}`") for n in names), F.lit(0).cast("long"))
+    return counts.withColumn("n", total).join(F.broadcast(gone))  # one row
+
+
 def has_any(terms: Column, wanted: Column) -> Column:
     """I9."""
     return F.arrays_overlap(terms, wanted)

@@ -233,28 +233,41 @@ def profile_distance(counts: DataFrame, entity: str, feature: str, n: str, block
 
 def representatives(df: DataFrame, group: str, id_col: str, seq: str, k: int = 8, least: float = 0.8) -> DataFrame:
     """J7.  Members of a group whose k-mers lie within another member's by ``least`` cluster with it; the longest stands
-    for the cluster (ties: the smallest id).
+    for the cluster (ties: the smallest id).  An id may stand in several groups; clusters never cross them.
 
     Members with the same k-mers are one.  If a set lies within another by ``least``, then so does at least one of any
-    ``n - ceil(least * n) + 1`` of its n k-mers; its rarest are taken, so what many members share isn't paired.  Candidates are
-    then compared on full sets.
+    ``n - ceil(least * n) + 1`` of its n k-mers; its rarest are taken, so what many members share isn't paired.  All that hold such a k-mer
+    are first compared, on full sets, with one of them, which joins near copies without pairing them; only k-mers whose holders are then
+    still in several clusters bring others together, and of those only members of different clusters.
     """
     made = df.select(group, id_col, F.split(seq, "").alias("_c")).select(group, id_col, F.array_sort(F.array_distinct(kmer_hashes("_c", k))).alias("_set"))
     made = settled(made)
-    sets = settled(made.groupBy(group, "_set").agg(F.min(id_col).alias("_id")))
-    each = sets.select(group, "_id", F.size("_set").alias("_n"), F.explode("_set").alias("_k"))
-    rare = each.join(each.groupBy(group, "_k").agg(F.count("*").alias("_f")), [group, "_k"]).filter("_f > 1 or _n = 1")
-    firsts = rare.groupBy(group, "_id", "_n").agg(F.array_sort(F.collect_list(F.struct("_f", "_k"))).alias("_all"))
+    sets = settled(made.groupBy(group, "_set").agg(F.min(id_col).alias("_id")).withColumn("_node", F.struct(F.col(group), F.col("_id").alias("_id"))))
+    each = settled(sets.select("_node", group, F.size("_set").alias("_n"), F.explode("_set").alias("_k")))
+    rare = each.join(each.groupBy(group, "_k").agg(F.count("*").alias("_f"), F.min("_node").alias("_pivot")), [group, "_k"]).filter("_f > 1")
+    firsts = rare.groupBy("_node", group, "_n").agg(F.array_sort(F.collect_list(F.struct("_f", "_k", "_pivot"))).alias("_all"))
     # k-mers of one member alone come first in the order and can be passed over, but they count
     wanted = F.col("_n") - F.ceil(F.col("_n") * least) + 1 - (F.col("_n") - F.size("_all"))
-    firsts = firsts.filter(wanted > 0).select(group, F.col("_id").alias("a"), F.explode(F.slice("_all", 1, wanted.cast("int"))).alias("_x")).select(group, "a", F.col("_x._k").alias("_k"))
-    met = firsts.join(each.select(group, F.col("_id").alias("b"), "_k"), [group, "_k"]).filter("a <> b").select(group, "a", "b").distinct()
-    side = lambda end: sets.select(group, F.col("_id").alias(end), F.col("_set").alias(f"_{end}"))
-    pairs = met.join(side("a"), [group, "a"]).join(side("b"), [group, "b"])
-    linked = pairs.filter(F.size(F.array_intersect("_a", "_b")) >= least * F.least(F.size("_a"), F.size("_b"))).select("a", "b")
-    same = made.join(sets, [group, "_set"]).filter(F.col(id_col) != F.col("_id")).select(F.col("_id").alias("a"), F.col(id_col).alias("b"))
-    labels = components(linked.union(same), "a", "b")
-    own = df.join(labels.withColumnRenamed("id", id_col), id_col, "left").withColumn("cluster", F.coalesce("label", id_col)).drop("label")
+    firsts = firsts.filter(wanted > 0).select(group, F.col("_node").alias("a"), F.explode(F.slice("_all", 1, wanted.cast("int"))).alias("_x"))
+    firsts = settled(firsts.select(group, "a", F.col("_x._k").alias("_k"), F.col("_x._pivot").alias("b")))
+    side = lambda end: sets.select(F.col("_node").alias(end), F.col("_set").alias(f"_{end}"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        return both.filter(F.size(F.array_intersect("_a", "_b")) >= least * F.least(F.size("_a"), F.size("_b"))).select("a", "b")
+
+    links = settled(linked(firsts.filter("a <> b").select("a", "b").distinct()))
+    labels = settled(components(links, "a", "b"))
+    holders = firsts.select(group, "_k").distinct().join(each.select(group, "_k", F.col("_node").alias("b")), [group, "_k"])
+    holders = holders.join(labels.select(F.col("id").alias("b"), F.col("label").alias("_lb")), "b", "left").withColumn("_lb", F.coalesce("_lb", "b"))
+    several = holders.groupBy(group, "_k").agg(F.min("_lb").alias("_low"), F.max("_lb").alias("_high")).filter("_low <> _high").select(group, "_k")
+    open_ = settled(holders.join(several, [group, "_k"]))
+    left = firsts.select(group, "_k", "a").join(several, [group, "_k"]).join(labels.select(F.col("id").alias("a"), F.col("label").alias("_la")), "a", "left")
+    met = left.join(open_, [group, "_k"]).filter(F.coalesce("_la", "a") != F.col("_lb")).select("a", "b").distinct()
+    same = made.join(sets, [group, "_set"]).select(F.col("_node").alias("a"), F.struct(F.col(group), F.col(id_col).alias("_id")).alias("b")).filter("a <> b")
+    labels = components(links.union(linked(met)).union(same), "a", "b")
+    named = labels.select(F.col(f"id.{group}").alias(group), F.col("id._id").alias(id_col), F.col("label._id").alias("_label"))
+    own = df.join(named, [group, id_col], "left").withColumn("cluster", F.coalesce("_label", id_col)).drop("_label")
     best = own.groupBy(group, "cluster").agg(F.min_by(id_col, F.struct(-F.length(seq), F.col(id_col))).alias("representative"), F.count("*").alias("n_members"))
     return own.select(group, id_col, "cluster").join(best, [group, "cluster"])
 

@@ -14,7 +14,10 @@ MODULES: tuple[str, ...] = ("joining", "aggregating", "positions", "graphs", "te
 def _gather(attribute: str) -> dict:
     found: dict = {}
     for name in MODULES:
-        found |= getattr(importlib.import_module(f"evidentia.plans.{name}"), attribute)
+        own = getattr(importlib.import_module(f"evidentia.plans.{name}"), attribute)
+        if twice := found.keys() & own.keys():
+            raise ValueError(f"queries named twice: {sorted(twice)}")
+        found |= own
     return found
 
 

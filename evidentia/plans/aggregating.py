@@ -117,7 +117,7 @@ def incidence(spark, sf_dir):
 select l_linestatus, count(*) as n_lines, count(distinct l_orderkey) as n_orders, count(*) filter (l_discount <= 0.05) as n_below, count(distinct case when l_discount <= 0.05 then l_partkey end) as n_parts_below,
 count(*) filter (l_returnflag = 'R') as n_r from lineitem group by 1
 """)
-def search_report(spark, sf_dir):
+def conditional_counts(spark, sf_dir):
     """Conditional counts by state."""
     ok = F.col("l_discount") <= 0.05
     return table(spark, sf_dir, "lineitem").groupBy("l_linestatus").agg(

@@ -48,7 +48,7 @@ b as (select distinct h.node, c.ancestor as slim from h join c on c.node = h.sli
 def slim(spark, sf_dir):
     """I4: nearest slim ancestors."""
     chosen = table(spark, sf_dir, "part").filter("p_partkey between 5 and 40 and p_partkey % 3 <> 1").select(F.col("p_partkey").alias("node"))
-    return I.map_to_slim(I.closure(dag(spark, sf_dir), "child", "parent"), chosen, direct=True)
+    return I.map_to_slim(I.reach(dag(spark, sf_dir), "child", "parent", chosen), chosen, direct=True)
 
 
 _S = """with recursive e as (select distinct p_partkey as child, unnest([p_partkey // 2, p_partkey // 3]) as parent from part), d as (select * from e where parent >= 1),
@@ -73,6 +73,21 @@ def wang_similarity(spark, sf_dir):
     return made.withColumn("similarity", F.round("similarity", 6))
 
 
+@R.query(f"""{_S}, t as (select node, sum(s) as sv from s group by 1), p as (select p_partkey as a, p_partkey + 1 as b from part where p_partkey + 1 in (select p_partkey from part)),
+x as (select a, b, sum(sa.s + sb.s) as top from p join s sa on sa.node = a join s sb on sb.node = b and sb.ancestor = sa.ancestor group by all),
+w as materialized (select a, b, coalesce(top, 0) / (ta.sv + tb.sv) as v from p left join x using (a, b) join t ta on ta.node = a join t tb on tb.node = b), o as (select a as t, b as u, v from w union all select b, a, v from w),
+h as materialized (select distinct l_suppkey as e, l_partkey as t from lineitem), k as materialized (select o.t, o.u, o.v, x.e from o join h x on x.t = o.t),
+m as (select k.e as e1, y.e as e2, k.t, max(v) as m from k join h y on y.t = k.u where k.e <> y.e group by all)
+select least(e1, e2) as e1, greatest(e1, e2) as e2, round(avg(m), 6) as similarity from m group by 1, 2""")
+def entity_similarity(spark, sf_dir):
+    """suppliers' similarity by the best matches among neighbouring parts."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("a"))
+    pairs = part.withColumn("b", F.col("a") + 1).join(part.select(F.col("a").alias("b")), "b").select("a", "b")
+    near = I.wang_similarity(I.semantic_values(dag(spark, sf_dir), "child", "parent"), pairs, "a", "b")
+    terms = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    return I.best_match_average(terms, near, "l_suppkey", "l_partkey", "a", "b").withColumn("similarity", F.round("similarity", 6))
+
+
 @R.query(f"""{_DAG}, l as (select node, min(depth) as level from c where ancestor = 1 group by 1 union all select 1, 0), n as (select ancestor as node, count(distinct node) as n from c group by 1),
 k as (select node, n, row_number() over (order by n desc, node) as r from n join l using (node) where n <= (select count(*) from l) / 5 and level >= 2), u as (select distinct node, ancestor from c),
 g as (select 0::bigint as r, []::bigint[] as s union all select g.r + 1, case when len(g.s) < 5 and not exists (select 1 from u where u.node = k.node and list_contains(g.s, u.ancestor)) then list_append(g.s, k.node) else g.s end from g join k on k.r = g.r + 1)
@@ -89,13 +104,27 @@ r as (select *, row_number() over (partition by l_orderkey order by (parent = 7)
 select o.l_orderkey, coalesce(parent::varchar, 'other') as category from (select distinct l_orderkey from t) o left join r on r.l_orderkey = o.l_orderkey and r = 1""")
 def majority_category(spark, sf_dir):
     """I8: the upper node that most of an order's parts stand under; node 7 wins outright."""
-    closed = I.closure(dag(spark, sf_dir), "child", "parent")
     upper = table(spark, sf_dir, "part").filter("p_partkey between 4 and 7").select(F.col("p_partkey").alias("node"))
-    mapping = I.map_to_slim(closed, upper).withColumnRenamed("slim", "parent")
+    mapping = I.map_to_slim(I.reach(dag(spark, sf_dir), "child", "parent", upper), upper).withColumnRenamed("slim", "parent")
     items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("parts"))
     return I.assign_category(items, "l_orderkey", "parts", mapping, "parent", priority=[7]).select("l_orderkey", "category")
 
 
+@R.query(f"""{_DAG}, m as (select distinct node, ancestor as parent from c where ancestor between 4 and 7 union select p_partkey, p_partkey from part where p_partkey between 4 and 7),
+i as (select o_orderkey, o_orderpriority, l_partkey from orders left join lineitem on l_orderkey = o_orderkey and l_quantity > 30), t as (select distinct o_orderkey, l_partkey from i where l_partkey is not null),
+n as (select o_orderkey, parent, count(*) as n from t join m on m.node = l_partkey group by all), r as (select *, row_number() over (partition by o_orderkey order by n desc, parent) as r from n),
+a as (select o_orderkey, any_value(o_orderpriority) as p, case when count(l_partkey) = 0 then 'unknown' else 'other' end as c from i group by 1), k as (select p, coalesce(parent::varchar, c) as category from a left join r on r.o_orderkey = a.o_orderkey and r = 1)
+select category, count(*) filter (p = '1-URGENT') as "1-URGENT", count(*) filter (p = '2-HIGH') as "2-HIGH", count(*) filter (p = '3-MEDIUM') as "3-MEDIUM", count(*) filter (p = '4-NOT SPECIFIED') as "4-NOT SPECIFIED", count(*) filter (p = '5-LOW') as "5-LOW",
+count(*) as n, (select count(*) from k where category = 'unknown') as n_missing from k group by 1""")
+def category_counts(spark, sf_dir):
+    """I8: orders' majority categories by priority, those without a large line counted as missing."""
+    upper = table(spark, sf_dir, "part").filter("p_partkey between 4 and 7").select(F.col("p_partkey").alias("node"))
+    mapping = I.map_to_slim(I.reach(dag(spark, sf_dir), "child", "parent", upper), upper).withColumnRenamed("slim", "parent")
+    large = table(spark, sf_dir, "lineitem").filter("l_quantity > 30").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set("l_partkey").alias("parts"))
+    items = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority").join(large, "o_orderkey", "left")
+    return I.category_counts(I.assign_category(items, "o_orderkey", "parts", mapping, "parent"), "o_orderpriority")
+
+
 @R.query("select o_custkey, max((o_orderpriority in ('1-URGENT', '2-HIGH'))::int)::boolean as any_high, count(distinct case when o_orderstatus in ('F', 'O') then o_orderstatus end) = 2 as both from orders group by 1")
 def term_predicates(spark, sf_dir):
     """Customers whose sets hold any, or all, of given values."""

@@ -281,7 +281,9 @@ select s as l_returnflag, n_lines, mean from a join b using (s)
 def pair_by_source(spark, sf_dir):
     """Two aggregates paired by source."""
     li = table(spark, sf_dir, "lineitem")
-    return li.groupBy("l_returnflag").agg(F.count("*").alias("n_lines")).join(li.filter("l_linestatus = 'F'").groupBy("l_returnflag").agg(F.round(F.avg("l_quantity"), 6).alias("mean")), "l_returnflag")
+    lines = li.groupBy("l_returnflag").agg(F.count("*").alias("n_lines"))
+    means = li.filter("l_linestatus = 'F'").groupBy("l_returnflag").agg(F.round(F.avg("l_quantity"), 6).alias("mean"))
+    return J.pair_sources({"lines": lines, "means": means}, "l_returnflag")
 
 
 @R.query("""
@@ -291,7 +293,7 @@ def keep_and_drop(spark, sf_dir):
     """Customers with a large order and none pending."""
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     has = lambda cond: o.filter(cond).select(F.col("o_custkey").alias("c_custkey"))
-    return c.join(has("o_totalprice > 300000"), "c_custkey", "left_semi").join(has("o_orderstatus = 'P'"), "c_custkey", "left_anti")
+    return J.keep_in(c, "c_custkey", has("o_totalprice > 300000"), has("o_orderstatus = 'P'"))
 
 
 @R.query("""
@@ -318,16 +320,14 @@ select o_orderkey from orders where o_custkey in (select o_custkey from g) and o
 """)
 def label_from_group(spark, sf_dir):
     """Small orders of customers that have several orders and a large one."""
-    o = table(spark, sf_dir, "orders")
-    groups = o.groupBy("o_custkey").agg(F.count("*").alias("n"), F.max("o_totalprice").alias("top")).filter("n > 1 and top > 350000")
-    return o.filter("o_totalprice <= 350000").join(groups, "o_custkey", "left_semi").select("o_orderkey")
+    return J.associated(table(spark, sf_dir, "orders"), "o_custkey", F.col("o_totalprice") > 350000).select("o_orderkey")
 
 
 @R.query("""
 select event_id, user_id, event_type, coalesce(nullif(props, ''), '{}') as props, cast(json_extract_string(props, '$.k') as bigint) as k from events
 """)
 def flatten_json(spark, sf_dir):
-    """A field out of JSON payloads."""
+    """A field out of JSON payloads (see flatten_xrefs for A7)."""
     e = table(spark, sf_dir, "events")
     return e.select("event_id", "user_id", "event_type", F.coalesce(F.nullif("props", F.lit("")), F.lit("{}")).alias("props"), F.from_json("props", "k long")["k"].alias("k"))
 
@@ -337,7 +337,7 @@ with d as (select *, row_number() over (partition by l_orderkey, l_returnflag or
 select l_orderkey, l_returnflag, l_partkey, l_extendedprice from d where n = 1
 """)
 def keep_first(spark, sf_dir):
-    """The dearest line of each order and flag."""
+    """The dearest line of each order and flag."""
     order = [F.desc("l_extendedprice"), "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate", "l_quantity", "l_discount", "l_tax", "l_linestatus"]
     return dedup(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_returnflag"], order).select("l_orderkey", "l_returnflag", "l_partkey", "l_extendedprice")
 

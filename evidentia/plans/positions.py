@@ -145,6 +145,20 @@ def target_decoy(spark, sf_dir):
     return both.select(own.alias("doc_id"), "decoy", F.length("seq").alias("n"), F.regexp_replace("seq", "[BNDZQEJLI]", "?").alias("others"))
 
 
+@R.query("""
+with d as (select doc_id, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'BZJXU', '') as s, source from documents), t as (select * from d where length(s) >= 10),
+b as (select doc_id::varchar as id, false as decoy, length(s) as n, source as header from t union all select 'rev_' || doc_id, true, length(s), 'rev_' || source from t)
+select 'P' || (row_number() over (order by n desc, id) - 1) as entry, id, decoy, n::int as n, header, count(*) over (partition by decoy) as n_view from b
+""")
+def database_entries(spark, sf_dir):
+    """The entries of a target/decoy table, with headers and the size of the view that each belongs to."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "BZJXU", "").alias("seq"), "source")
+    entries = H.database_entries(H.build_database([d], "doc_id", "seq"), "doc_id", "seq", "source")
+    views = H.database_views(entries, "seq")
+    sizes = views["targets"].agg(F.count("*").alias("n_view")).withColumn("decoy", F.lit(False)).union(views["decoys"].agg(F.count("*").alias("n_view")).withColumn("decoy", F.lit(True)))
+    return entries.join(F.broadcast(sizes), "decoy").select("entry", F.col("doc_id").alias("id"), "decoy", F.col("length").alias("n"), "header", "n_view")
+
+
 @R.query("""
 with d as (select doc_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) as s from documents where length(regexp_replace(text, '[^A-Za-z]', '', 'g')) >= 10)
 select count(*) as n_targets, count(*) as n_decoys, true as kept_targets, true as real_decoys from d

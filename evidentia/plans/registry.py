@@ -16,6 +16,8 @@ class Registry:
 
     def query(self, oracle: str | None = None) -> Callable[[Query], Query]:
         def add(f: Query) -> Query:
+            if f.__name__ in self.queries:
+                raise ValueError(f"a query named twice: {f.__name__}")
             self.queries[f.__name__] = f
             if oracle:
                 self.oracles[f.__name__] = oracle

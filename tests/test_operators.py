@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidentia.functions import scalars as S
+from evidentia.functions.winnowing import minimisers
 from evidentia.operators import aggregate as A
 from evidentia.operators import database as H
 from evidentia.operators import enrichment as N
@@ -204,6 +205,76 @@ def test_sampled_pairs_and_null(spark):
     assert {r["s"]: r["p"] for r in V.empirical_p(stats, "s", null, "v", tail="right").collect()} == {1.0: 0.9, 9.5: 0.0}
 
 
+def test_minimisers_of_a_part_are_the_wholes():
+    rng = np.random.default_rng(1)
+    for k, w in ((1, 1), (3, 5), (8, 8), (48, 7)):
+        for _ in range(60):
+            whole = "".join(rng.choice(list("abcé\U0001f389"), 200))
+            a, b = sorted(rng.integers(0, 201, 2))
+            assert set(minimisers(whole[a:b], k, w)) <= set(minimisers(whole, k, w))
+            assert (len(minimisers(whole[a:b], k, w)) > 0) == (b - a >= k + w - 1)
+    assert len(minimisers(None, 3, 3)) == 0
+
+
+def test_drop_contained_brute(spark):
+    """Random texts and parts of them, of every length, under one heading that all share; ids that repeat go by their own text."""
+    rng = np.random.default_rng(4)
+    head = "the same heading stands above every text of this table "
+    rows = []
+    for i in range(120):
+        text = head + "".join(rng.choice(list("abcdef "), rng.integers(0, 90)))
+        a, b = sorted(rng.integers(0, len(text) + 1, 2))
+        rows += [(i, text), (1000 + i % 40, text[a:b]), (2000 + i, text[-int(rng.integers(1, 30)) :])]
+    got = sorted((r["id"], r["s"]) for r in J.drop_contained(spark.createDataFrame(rows, "id long, s string"), "id", "s").collect())
+    first = {}
+    for i, s in sorted(rows):
+        first.setdefault(s, i)
+    want = sorted((i, s) for i, s in rows if first[s] == i and not any(s in t and s != t for t in first))
+    assert got == want and 0 < len(got) < len(rows)
+
+
+def test_representatives_brute(spark):
+    """Groups that share members, near copies, and a heading: against all pairs of k-mer sets within each group."""
+    rng = np.random.default_rng(6)
+    base = ["".join(rng.choice(list("abcdefgh"), 80)) for _ in range(6)]
+    rows = []
+    for i in range(48):
+        text = base[i % 6]
+        at = int(rng.integers(0, 70))
+        text = text[:at] + "".join(rng.choice(list("xyz"), int(rng.integers(0, 3)))) + text[at + 1 :] if i >= 6 else text
+        rows += [(g, i, "one heading " + text) for g in ("g1", "g2", "g3")[: 1 + i % 3]]
+    got = {(r["g"], r["i"]): r["cluster"] for r in V.representatives(spark.createDataFrame(rows, "g string, i long, s string"), "g", "i", "s", k=8).collect()}
+    want = {}
+    for g in ("g1", "g2", "g3"):
+        sets = {i: {s[j : j + 8] for j in range(len(s) - 7)} for h, i, s in rows if h == g}
+        label = {i: i for i in sets}
+        for _ in sets:
+            for i, j in itertools.combinations(sets, 2):
+                if len(sets[i] & sets[j]) >= 0.8 * min(len(sets[i]), len(sets[j])):
+                    label[i] = label[j] = min(label[i], label[j])
+        want |= {(g, i): x for i, x in label.items()}
+    assert got == want and len(set(want.values())) < len(want)
+
+
+def test_small_joins(spark):
+    df = spark.createDataFrame([("a", "g", True), ("b", "g", False), ("c", "h", None), ("d", "i", True), (None, "i", False)], "k string, g string, m boolean")
+    assert {r["k"] for r in J.associated(df, "g", F.col("m")).collect()} == {"b", None}
+    assert {r["k"] for r in J.keep_in(df, "k", df.filter("m"), df.filter("g = 'i'")).collect()} == {"a"}
+    x, y = spark.createDataFrame([("s", 1), ("t", 2)], "source string, n int"), spark.createDataFrame([("s", 3), ("u", 4)], "source string, n int")
+    assert [tuple(r) for r in J.pair_sources({"x": x, "y": y}, "source").collect()] == [("s", 1, 3)]
+    assert J.pair_sources({"x": x, "y": y}, "source", fill=True).count() == 3
+
+
+def test_reach_is_the_closure_of_chosen_nodes(spark):
+    """More chosen nodes than a word has bits, diamonds, and a graph deeper than a round's levels."""
+    edges = spark.createDataFrame([(c, p) for c in range(2, 400) for p in {c // 2, c // 3, c - 1 if c % 17 else c // 2} if p], "child long, parent long")
+    chosen = spark.range(1, 200, 2).withColumnRenamed("id", "node")
+    got = {(r["node"], r["ancestor"]) for r in I.reach(edges, "child", "parent", chosen).collect()}
+    closed = I.closure(edges, "child", "parent").join(chosen.withColumnRenamed("node", "ancestor"), "ancestor")
+    assert got == {(r["node"], r["ancestor"]) for r in closed.collect()}
+    assert I.reach(edges, "child", "parent", chosen.limit(0)).count() == 0
+
+
 def test_drop_contained_and_representatives(spark):
     rows = [(1, "abcdefghijklmnop"), (2, "cdefghijkl"), (3, "abcdefghijklmnop"), (4, "zzzzzzzzzzzz"), (5, "short")]
     df = spark.createDataFrame(rows, "id long, s string")
