@@ -63,8 +63,8 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None) -
     """``(doc_id, license, notice, n_shared, n_notice, containment, at_word)``: a row for each notice a document holds.
 
     ``n_shared`` counts the notice's distinct shingles that are anywhere in the text, and ``at_word`` is the place among its words
-    of the first of them.  Null, empty and short texts match
-    nothing; rows equal in doc_id and text give one row for each notice, not one each.  Rows without doc_id are told
+    of the first of them.  Windows retrieve what is alike; texts that hold a notice torn apart are found by counting.  Null, empty and short
+    texts match nothing; rows equal in doc_id and text give one row for each notice, not one each.  Rows without doc_id are told
     apart by their texts.  Other columns are ignored.
     """
     known = staged(notices(docs.sparkSession, templates), "notices")
@@ -73,19 +73,24 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None) -
     some = F.array(*[F.lit(x) for x in listed]).cast("array<long>")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("version"), tokens(F.col("text")).alias("tokens"))
     texts = fenced(texts.select("doc_id", "version", _hashed("tokens").alias("sh")))
-    held = staged(texts.filter(F.arrays_overlap("sh", some)), "held")
+    # which of the listed shingles a text holds is told once; windows are then looked at for these few
+    held = staged(texts.filter(F.arrays_overlap("sh", some)).withColumn("mine", F.array_intersect("sh", some)), "held")
 
     found = None
     for scale in SCALES:
         own = known.filter(F.size("sh") == 1 if scale == 1 else F.size("sh") >= scale)
         segments = fenced(_cut(own, scale, max(1, scale // 2)).select("license", "notice", "scale", "part")).select("license", "notice", "scale", F.explode(_bands("part")).alias("band"))
-        windows = fenced(_cut(held, scale, max(1, scale // 4)).select("doc_id", "version", "scale", "start", "part")).filter(F.arrays_overlap("part", some))
+        windows = fenced(_cut(held, scale, max(1, scale // 4)).select("doc_id", "version", "scale", "start", "part", "mine")).filter(F.arrays_overlap("part", "mine"))
         windows = windows.select("doc_id", "version", "scale", "start", F.explode(_bands("part")).alias("band"))
         met = windows.join(F.broadcast(segments), ["scale", "band"]).select("doc_id", "version", "license", "notice", "scale", "start").distinct()
         found = met if found is None else found.unionByName(met)
-    proposed = staged(found.select("doc_id", "version", "license", "notice").distinct(), "proposed")
+    # what windows can't see, as shingles that never stand two in a row: texts' own shares of the listed shingles, counted
+    each = known.select("license", "notice", F.size("sh").alias("n"), F.explode("sh").alias("x"))
+    rest = held.dropDuplicates(["doc_id", "version"]).select("doc_id", "version", F.explode("mine").alias("x")).join(F.broadcast(each), "x")  # the fixed list
+    rest = rest.groupBy("doc_id", "version", "license", "notice", "n").agg(F.count("*").alias("k")).filter(100 * F.col("k") >= CONTAINED * F.col("n"))
+    proposed = staged(found.unionByName(rest, allowMissingColumns=True).select("doc_id", "version", "license", "notice").distinct(), "proposed")
     same = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.version") == F.col("p.version"))
-    pairs = held.dropDuplicates(["doc_id", "version"]).alias("d").join(proposed.alias("p"), same).join(F.broadcast(known.withColumnRenamed("sh", "wanted")), ["license", "notice"])
+    pairs = held.drop("mine").dropDuplicates(["doc_id", "version"]).alias("d").join(proposed.alias("p"), same).join(F.broadcast(known.withColumnRenamed("sh", "wanted")), ["license", "notice"])
     counted = fenced(pairs.select(F.col("d.doc_id").alias("doc_id"), "license", "notice", "d.sh", F.size("wanted").cast("long").alias("n_notice"), F.array_intersect("d.sh", "wanted").alias("shared")))
     matches = counted.filter(100 * F.size("shared") >= CONTAINED * F.col("n_notice"))
     first = F.array_min(F.transform("shared", lambda x: F.array_position("sh", x))) - 1

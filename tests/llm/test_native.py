@@ -121,3 +121,20 @@ def test_licenses_in_pieces_and_twice(spark):
 
 def test_licenses_edges(edges, nothing):
     assert licenses.scan(edges).count() == 0 and licenses.scan(nothing).count() == 0
+
+
+def test_license_scan_of_torn_notices(spark):
+    """Foreign words between the words of a notice, one after every g: found just where 80 % of its shingles are left."""
+    text = next(t for own in TEMPLATES.values() for t in own if len(t.split()) > 60)
+    words_, rows, want = re.findall(r"[\w]+", text.lower()), [], {}
+    whole = {tuple(words_[i : i + 5]) for i in range(len(words_) - 4)}
+    for g in [*range(1, 21), 30, 45, 80]:
+        torn = [x for i, w in enumerate(words_) for x in ((w, f"zq{i}") if i % g == g - 1 else (w,))]
+        left = {tuple(torn[i : i + 5]) for i in range(len(torn) - 4)} & whole
+        rows.append((g, " ".join(torn)))
+        want[g] = 100 * len(left) >= 80 * len(whole)
+    # every shingle by itself, a foreign word behind each
+    rows.append((1000, " ".join(" ".join(words_[i : i + 5]) + f" zq{i}" for i in range(len(words_) - 4))))
+    want[1000] = True
+    found = {r["doc_id"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), {"one": (text,)}).collect()}
+    assert found == {g for g, w in want.items() if w} and not all(want.values())
