@@ -25,8 +25,13 @@ def positions(text: Column, part: Column) -> Column:
     ).otherwise(F.array().cast("array<int>"))
 
 
-def exact_coverage(seqs: DataFrame, id_col: str, seq: str, parts: DataFrame, part: str, compat: bool = False) -> DataFrame:
-    """G1.  Share of a sequence that exact occurrences of its parts cover; with ``compat``, 0 if any part is absent."""
+def exact_coverage(seqs: DataFrame, id_col: str, seq: str, parts: DataFrame, part: str, compat: bool = False, strip: str | None = None) -> DataFrame:
+    """G1.  Share of a sequence that exact occurrences of its parts cover; with ``compat``, 0 if any part is absent.
+
+    What the pattern ``strip`` matches (``[^A-Z]+`` for all but residues) is taken out of sequences first and doesn't count; a sequence of which
+    nothing is left has no coverage (null)."""
+    if strip is not None:
+        seqs = seqs.withColumn(seq, F.nullif(F.regexp_replace(seq, strip, ""), F.lit("")))
     at = seqs.join(parts, id_col).select(id_col, seq, part, positions(F.col(seq), F.col(part)).alias("_at"))
     each = at.select(id_col, F.length(part).alias("_n"), F.explode("_at").alias("start")).withColumn("end", F.col("start") + F.col("_n") - 1)
     covered = interval_coverage(each, [id_col], "start", "end", inclusive=True)

@@ -217,20 +217,64 @@ def average_clusters(df: DataFrame, id_col: str, vec: str, cutoff: float, metric
 def profile_distance(counts: DataFrame, entity: str, feature: str, n: str, block: int = 256) -> DataFrame:
     """J6.  Bray-Curtis and quantitative Jaccard distance of all pairs of entities' count profiles; 1 where they share nothing.
 
-    Counts are summed up by entity into a map first.  Pairs are made as in ``pairwise``: all of them are the result.
+    Counts are summed up by entity into a map first.  Entities are dealt into blocks, and each pair of blocks meets once: all pairs are
+    the result.  Where pairs that share nothing, or are far apart, aren't wanted, ``sharing_profiles`` makes only the others.
     """
     profile = counts.groupBy(entity, feature).agg(F.sum(n).alias("_n")).groupBy(entity).agg(F.map_from_entries(F.collect_list(F.struct(feature, "_n"))).alias("_p"), F.sum("_n").alias("_t"))
     profile = settled(profile)
     blocks = max(1, -(-profile.count() // block))
-    left = profile.select(F.col(entity).alias("a"), F.col("_p").alias("_pa"), F.col("_t").alias("_ta"), F.pmod(F.xxhash64(entity), F.lit(blocks)).alias("i"))
-    right = profile.select(F.col(entity).alias("b"), F.col("_p").alias("_pb"), F.col("_t").alias("_tb"), F.pmod(F.xxhash64(entity), F.lit(blocks)).alias("j"))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    met = left.withColumn("j", every).join(right.withColumn("i", every), ["i", "j"]).filter("a < b")
-    both = F.aggregate(F.map_keys("_pa"), F.lit(0).cast("double"), lambda s, k: s + F.coalesce(F.least(F.try_element_at("_pa", k), F.try_element_at("_pb", k)), F.lit(0)) * F.try_element_at("_pb", k).isNotNull().cast("int"))
-    made = met.select("a", "b", (1 - 2 * both / (F.col("_ta") + F.col("_tb"))).alias("bray_curtis"))
+    own = F.pmod(F.xxhash64(entity), F.lit(blocks))
+    left = profile.select(F.col(entity).alias("x"), F.col("_p").alias("_px"), F.col("_t").alias("_tx"), own.alias("i"))
+    right = profile.select(F.col(entity).alias("y"), F.col("_p").alias("_py"), F.col("_t").alias("_ty"), own.alias("j"))
+    met = left.withColumn("j", F.explode(F.sequence("i", F.lit(blocks - 1).cast("long")))).join(right.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), "j"))), ["i", "j"])
+    met = met.filter("i < j or x < y")
+    both = F.aggregate(F.map_keys("_px"), F.lit(0).cast("double"), lambda s, k: s + F.coalesce(F.least(F.try_element_at("_px", k), F.try_element_at("_py", k)), F.lit(0)) * F.try_element_at("_py", k).isNotNull().cast("int"))
+    return _profiles_apart(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), both.alias("_both"), (F.col("_tx") + F.col("_ty")).alias("_t")))
+
+
+def _profiles_apart(shared: DataFrame) -> DataFrame:
+    made = shared.select("a", "b", (1 - 2 * F.col("_both") / F.col("_t")).alias("bray_curtis"))
     return made.select("a", "b", "bray_curtis", (2 * F.col("bray_curtis") / (1 + F.col("bray_curtis"))).alias("jaccard"))
 
 
+def _met_by(holders: DataFrame, feature: str, block: int) -> DataFrame:
+    """Pairs of the rows ``(feature, x, _n, _t)`` of each feature, as x, y: a feature's holders are dealt into blocks, and pairs of blocks are the
+    key, so a feature that many hold is spread over tasks."""
+    sizes = holders.groupBy(feature).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    dealt = settled(holders.join(sizes, feature).withColumn("_own", F.pmod(F.xxhash64("x"), F.col("_blocks")).cast("int")))
+    left = dealt.select(feature, "x", F.col("_n").alias("_nx"), F.col("_t").alias("_tx"), F.col("_own").alias("_i"), F.explode(F.sequence(F.col("_own"), F.col("_blocks") - 1)).alias("_j"))
+    right = dealt.select(feature, F.col("x").alias("y"), F.col("_n").alias("_ny"), F.col("_t").alias("_ty"), F.col("_own").alias("_j"), F.explode(F.sequence(F.lit(0), F.col("_own"))).alias("_i"))
+    return left.join(right, [feature, "_i", "_j"]).filter("_i < _j or x < y")
+
+
+def sharing_profiles(counts: DataFrame, entity: str, feature: str, n: str, cutoff: float | None = None, block: int = 1024) -> DataFrame:
+    """J6.  ``(a, b, bray_curtis, jaccard)`` of the pairs a < b whose count profiles share a feature; any other pair is at a distance of 1 and has no
+    row.  With ``cutoff`` only pairs at a Bray-Curtis distance of that at most, exactly, and without making most of the others.
+
+    Counts are positive; rows without entity, feature or count take no part.  Without a cutoff, what pairs share is summed up over an index of
+    features.  With one, c, a pair's sizes differ by no more than the factor (1 + c) / (1 - c), and it shares at least the (1 - c) / (1 + c)-th part of
+    each side's size; so both have a common feature among their rarest, those before that part of the size is left.  Only pairs that
+    meet there are compared, feature by feature; profiles are rows, never one value.
+    """
+    cells = counts.filter(F.col(entity).isNotNull() & F.col(feature).isNotNull()).groupBy(F.col(entity).alias("x"), feature).agg(F.sum(n).alias("_n"))
+    cells = settled(cells.filter("_n > 0"))
+    total = settled(cells.groupBy("x").agg(F.sum("_n").alias("_t")))
+    ends = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
+    if cutoff is None or cutoff >= 1:
+        met = _met_by(cells.join(total, "x"), feature, block)
+        return _profiles_apart(met.groupBy(*ends).agg(F.sum(F.least("_nx", "_ny")).alias("_both"), F.first(F.col("_tx") + F.col("_ty")).alias("_t")))
+    part = (1 - cutoff) / (1 + cutoff)
+    known = cells.join(cells.groupBy(feature).agg(F.count("*").alias("_f")), feature)
+    order = ["_f", feature]
+    run = scan(dealt_by_range(known, ["x", *order]), ["x"], order, {"_to": ("sum", F.col("_n"))}).join(total, "x")
+    rarest = run.filter(F.col("_t") - F.col("_to") + F.col("_n") >= part * F.col("_t") * (1 - 1e-9)).select("x", feature, "_n", "_t")
+    met = _met_by(rarest, feature, block).filter(F.least("_tx", "_ty") >= part * F.greatest("_tx", "_ty") * (1 - 1e-9))
+    pairs = settled(met.groupBy(*ends).agg(F.first(F.col("_tx") + F.col("_ty")).alias("_t")))
+    side = lambda end: cells.select(F.col("x").alias(end), feature, F.col("_n").alias(f"_n{end}"))
+    both = pairs.join(side("a"), "a").join(side("b"), ["b", feature]).groupBy("a", "b").agg(F.sum(F.least("_na", "_nb")).alias("_both"), F.first("_t").alias("_t"))
+    return _profiles_apart(both).filter(F.col("bray_curtis") <= cutoff + 1e-12)
+
+
 def representatives(df: DataFrame, group: str, id_col: str, seq: str, k: int = 8, least: float = 0.8) -> DataFrame:
     """J7.  Members of a group whose k-mers lie within another member's by ``least`` cluster with it; the longest stands
     for the cluster (ties: the smallest id).  An id may stand in several groups; clusters never cross them.
@@ -272,6 +316,18 @@ def representatives(df: DataFrame, group: str, id_col: str, seq: str, k: int = 8
     return own.select(group, id_col, "cluster").join(best, [group, "cluster"])
 
 
+def subgroups(df: DataFrame, group: str, id_col: str, seq: str, made: DataFrame) -> DataFrame:
+    """J7.  ``(group, id, subgroup, representative)`` from what ``representatives`` made of ``df``: the clusters of a group with more than one
+    distinct sequence are ``<group>.0``, ``<group>.1`` .. by their smallest ids; in other groups each member represents itself and the subgroup is
+    the group.  Numbers are running sums over range partitions, so a group of any size spreads over tasks."""
+    several = df.groupBy(group).agg((F.count_distinct(seq) > 1).alias("_several"))
+    order = [group, "cluster"]
+    nth = scan(dealt_by_range(made.select(*order).distinct(), order), [group], ["cluster"], {"_nth": ("sum", F.lit(1).cast("long"))}).select(*order, "_nth")
+    out = made.join(nth, order).join(several, group)
+    name = F.when(F.col("_several"), F.concat_ws(".", F.col(group).cast("string"), (F.col("_nth") - 1).cast("string"))).otherwise(F.col(group).cast("string"))
+    return out.select(group, id_col, name.alias("subgroup"), F.when(F.col("_several"), F.col("representative")).otherwise(F.col(id_col)).alias("representative"))
+
+
 def pca(df: DataFrame, vec: str, k: int) -> tuple[DataFrame, DataFrame]:
     """J8.  Scores, and each component's share of the variance with its cumulative sum."""
     ready = df.withColumn("_v", array_to_vector(F.col(vec).cast("array<double>")))
@@ -281,24 +337,68 @@ def pca(df: DataFrame, vec: str, k: int) -> tuple[DataFrame, DataFrame]:
     return model.transform(ready).drop("_v"), explained.withColumn("cumulative", F.sum("share").over(W.orderBy("component")))
 
 
-def silhouette(df: DataFrame, id_col: str, vec: str, cluster: str) -> DataFrame:
-    """J9.  Each member's (b - a) / max(a, b) under cosine distance; 0 for members of clusters of one, or where there is no other.
+def _widths(near: DataFrame, id_col: str, cluster: str) -> DataFrame:
+    """Silhouettes from each member's mean distance to its own cluster (``_in``) and to the nearest other (``_out``)."""
+    width = F.when(F.col("_in").isNull() | F.col("_out").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("_out") - F.col("_in"), F.greatest("_in", "_out")), F.lit(0.0)))
+    return near.select(id_col, cluster, width.alias("silhouette"))
 
-    The mean cosine distance from a vector to a cluster is 1 minus its product with the mean of the cluster's unit vectors, so
-    members meet cluster sums, not each other.
+
+def silhouette(df: DataFrame, id_col: str, vec: str, cluster: str, metric: str = "cosine", block: int = 2048) -> DataFrame:
+    """J9.  Each member's (b - a) / max(a, b) under cosine or squared euclidean distance; 0 for members of clusters of one, or where there is no other.
+
+    The mean distance from a vector to a cluster follows from the sum of the cluster's vectors (of their unit vectors, under cosine) and of their
+    squared lengths, so members meet cluster sums, not each other.  Members and clusters are dealt into blocks; a pair of blocks is a matrix
+    product, and each member's nearest other cluster is the least over these.
     """
-    norm = F.sqrt(dot(F.col(vec), F.col(vec)))
-    unit = df.select(F.col(id_col), F.col(cluster), F.transform(vec, lambda x: x.cast("double") / norm).alias("_u"))
-    at = unit.select(cluster, F.posexplode("_u").alias("_i", "_x")).groupBy(cluster, "_i").agg(F.sum("_x").alias("_s"))
-    sums = at.groupBy(cluster).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_s"))), lambda p: p["_s"]).alias("_sum"))
-    sums = sums.join(df.groupBy(cluster).agg(F.count("*").alias("_n")), cluster).withColumnRenamed(cluster, "_h")
-    met = unit.join(sums)  # members by clusters: what is asked for
-    along = dot(F.col("_u"), F.col("_sum"))
-    own = F.when(F.col(cluster) == F.col("_h"), F.when(F.col("_n") > 1, (F.col("_n") - along) / (F.col("_n") - 1)))
-    other = F.when(F.col(cluster) != F.col("_h"), 1 - along / F.col("_n"))
-    made = met.groupBy(id_col, cluster).agg(F.min(own).alias("_in"), F.min(other).alias("_out"))
-    width = F.when(F.col("_in").isNull() | F.col("_out").isNull(), 0.0).otherwise((F.col("_out") - F.col("_in")) / F.greatest("_in", "_out"))
-    return made.select(id_col, cluster, width.alias("silhouette"))
+    x = F.transform(vec, lambda v: v.cast("double"))
+    if metric == "cosine":
+        norm = F.sqrt(dot(F.col(vec), F.col(vec)))
+        x = F.transform(vec, lambda v: v.cast("double") / norm)
+    unit = df.select(F.col(id_col).alias("x"), F.col(cluster).alias("g"), x.alias("v"))
+    at = unit.select("g", F.posexplode("v").alias("_i", "_x")).groupBy("g", "_i").agg(F.sum("_x").alias("_s"), F.sum(F.col("_x") * F.col("_x")).alias("_q"))
+    sums = at.groupBy("g").agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_s"))), lambda p: p["_s"]).alias("v"), F.sum("_q").alias("q"))
+    sums = settled(sums.join(unit.groupBy("g").agg(F.count("*").alias("n")), "g"))
+    unit = settled(unit)
+    many, few = (max(1, -(-t.count() // block)) for t in (unit, sums))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = unit.withColumn("i", F.pmod(F.xxhash64("x"), F.lit(many)).cast("int")).withColumn("j", every(few))
+    right = sums.withColumn("j", F.pmod(F.xxhash64("g"), F.lit(few)).cast("int")).withColumn("i", every(many))
+
+    def met(members: pd.DataFrame, clusters: pd.DataFrame) -> pd.DataFrame:
+        if not len(members) or not len(clusters):
+            return pd.DataFrame({"x": [], "g": [], "_in": [], "_out": []})
+        u, c, n = _matrix(members["v"], ""), _matrix(clusters["v"], ""), clusters["n"].to_numpy(float)
+        far = (u * u).sum(1)[:, None] * n - 2 * (u @ c.T) + clusters["q"].to_numpy()  # sums of squared distances
+        far = np.maximum(far if metric != "cosine" else far / 2, 0)
+        own = members["g"].to_numpy()[:, None] == clusters["g"].to_numpy()
+        inside = np.where(own & (n > 1), far / np.maximum(n - 1, 1), np.inf).min(1)
+        outside = np.where(own, np.inf, far / n).min(1)
+        told = lambda d: [None if np.isinf(k) else k for k in d]
+        return pd.DataFrame({"x": members["x"], "g": members["g"], "_in": told(inside), "_out": told(outside)})
+
+    kinds = dict(unit.dtypes)
+    near = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(met, f"x {kinds['x']}, g {kinds['g']}, _in double, _out double")
+    near = near.groupBy(F.col("x").alias(id_col), F.col("g").alias(cluster)).agg(F.min("_in").alias("_in"), F.min("_out").alias("_out"))
+    return _widths(near, id_col, cluster)
+
+
+def silhouette_from(pairs: DataFrame, labels: DataFrame, id_col: str, cluster: str) -> DataFrame:
+    """J9.  Silhouettes from a table of distances ``(a, b, distance)``, each pair once, of any measure; means are over the pairs given.  0 for members of
+    clusters of one, or without a pair to another cluster."""
+    ends = pairs.select(F.col("a").alias(id_col), F.col("b").alias("_o"), "distance").union(pairs.select("b", "a", "distance"))
+    mean = ends.join(labels.select(F.col(id_col).alias("_o"), F.col(cluster).alias("_h")), "_o").groupBy(id_col, "_h").agg(F.avg("distance").alias("_d"))
+    own = F.col(cluster) == F.col("_h")
+    near = labels.select(id_col, cluster).join(mean, id_col, "left").groupBy(id_col, cluster).agg(F.min(F.when(own, F.col("_d"))).alias("_in"), F.min(F.when(~own, F.col("_d"))).alias("_out"))
+    return _widths(near, id_col, cluster)
+
+
+def mean_silhouette(widths: DataFrame, cluster: str, by: Sequence[str] = ()) -> DataFrame:
+    """J9.  One row (for each setting in ``by``): the number of clusters and the members' mean silhouette; null where there is one cluster alone, or
+    all are of one member: then silhouettes say nothing of the setting."""
+    each = widths.groupBy(*by, cluster).agg(F.sum("silhouette").alias("_s"), F.count("*").alias("_n"))
+    made = each.groupBy(*by).agg(F.count("*").alias("n_clusters"), F.sum("_s").alias("_s"), F.sum("_n").alias("_n"), F.max("_n").alias("_most"))
+    mean = F.when((F.col("n_clusters") > 1) & (F.col("_most") > 1), F.col("_s") / F.col("_n"))
+    return made.select(*by, "n_clusters", mean.alias("silhouette"))
 
 
 def sampled_pairs(df: DataFrame, id_col: str, n: int, seed: int = 1) -> DataFrame:

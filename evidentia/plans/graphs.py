@@ -278,18 +278,53 @@ def profile_distance(spark, sf_dir):
     return J.profile_distance(n, "user_id", "k", "n").withColumns({c: F.round(c, 9) for c in ("bray_curtis", "jaccard")})
 
 
-@R.query("""
+_PROFILES = """with e as (select user_id, event_type || (user_id % 5) as k from events), n as (select user_id, k, count(*) as n from e group by all), t as (select user_id, sum(n) as t from n group by 1),
+m as (select a.user_id as a, b.user_id as b, sum(least(a.n, b.n)) as m from n a join n b on a.k = b.k and a.user_id < b.user_id group by all), d as (select a, b, 1 - 2 * m / (x.t + y.t) as d from m join t x on x.user_id = a join t y on y.user_id = b)
+select a, b, round(d, 9) as bray_curtis, round(2 * d / (1 + d), 9) as jaccard from d"""
+
+
+def _event_profiles(spark, sf_dir):
+    kind = F.concat("event_type", (F.col("user_id") % 5).cast("string")).alias("k")
+    return table(spark, sf_dir, "events").groupBy("user_id", kind).agg(F.count("*").alias("n"))
+
+
+@R.query(_PROFILES)
+def sharing_profiles(spark, sf_dir):
+    """Distances of the users whose profiles share events of one class, by an index of features."""
+    return J.sharing_profiles(_event_profiles(spark, sf_dir), "user_id", "k", "n").withColumns({c: F.round(c, 9) for c in ("bray_curtis", "jaccard")})
+
+
+@R.query(f"{_PROFILES} where d <= 0.05")
+def near_profiles(spark, sf_dir):
+    """Users with profiles at a distance of 0.05 at most, by their rarest features."""
+    return J.sharing_profiles(_event_profiles(spark, sf_dir), "user_id", "k", "n", cutoff=0.05).withColumns({c: F.round(c, 9) for c in ("bray_curtis", "jaccard")})
+
+
+_REPRESENTATIVES = """
 with recursive k as (select distinct source, doc_id, substr(text, i, 24) as k from (select source, doc_id, text, unnest(range(1, greatest(length(text) - 23, 1) + 1)) as i from documents)), n as (select source, doc_id, count(*) as n from k group by all),
 s as (select a.source, a.doc_id as a, b.doc_id as b, count(*) as s from k a join k b on a.source = b.source and a.k = b.k and a.doc_id < b.doc_id group by all),
 e as (select a, b from s join n x on x.source = s.source and x.doc_id = a join n y on y.source = s.source and y.doc_id = b where s >= 0.8 * least(x.n, y.n)), u as (select a, b from e union select b, a from e),
 r as (select a as id, a as root from u union select u.b, r.root from r join u on u.a = r.id), l as (select id, min(root) as label from r group by 1), c as (select source, doc_id, length(text) as n, coalesce(label, doc_id) as cluster from documents left join l on id = doc_id),
-b as (select source, cluster, count(*) as n_members, arg_min(doc_id, (-n, doc_id)) as representative from c group by all) select c.source, doc_id, c.cluster, representative, n_members from c join b on b.source = c.source and b.cluster = c.cluster
-""")
+b as (select source, cluster, count(*) as n_members, arg_min(doc_id, (-n, doc_id)) as representative from c group by all)
+"""
+
+
+@R.query(f"{_REPRESENTATIVES} select c.source, doc_id, c.cluster, representative, n_members from c join b on b.source = c.source and b.cluster = c.cluster")
 def representatives(spark, sf_dir):
     """Documents of a source that stand for those that lie within them."""
     return J.representatives(table(spark, sf_dir, "documents").select("source", "doc_id", "text"), "source", "doc_id", "text", k=24)
 
 
+@R.query(f"""{_REPRESENTATIVES}, m as (select source, count(distinct text) > 1 as several from documents group by 1),
+o as (select source, cluster, row_number() over (partition by source order by cluster) - 1 as i from b)
+select c.source, doc_id, case when several then c.source || '.' || i else c.source end as subgroup, case when several then representative else doc_id end as representative
+from c join b on b.source = c.source and b.cluster = c.cluster join o on o.source = c.source and o.cluster = c.cluster join m on m.source = c.source""")
+def subgroups(spark, sf_dir):
+    """sources' documents in numbered subgroups, each with the document that stands for it."""
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
+    return J.subgroups(docs, "source", "doc_id", "text", J.representatives(docs, "source", "doc_id", "text", k=24))
+
+
 @R.query("""
 with e as (select label, embedding::double[] as v, vec_id from embeddings), p as (select label, vec_id, unnest(v) as x, generate_subscripts(v, 1) as i from e), q as (select a.vec_id as a, b.vec_id as b, sum((p.x - r.x) ** 2) as d
 from e a join e b on a.label = b.label and a.vec_id < b.vec_id join p on p.vec_id = a.vec_id join p r on r.vec_id = b.vec_id and r.i = p.i group by all) select a, b, round(d, 6) as distance from q
@@ -316,4 +351,19 @@ def silhouette(spark, sf_dir):
     return J.silhouette(e, "vec_id", "embedding", "label").withColumn("silhouette", F.round("silhouette", 6))
 
 
+@R.query("""
+with i as (select p_partkey as id, p_brand || p_size as g, p_brand || p_size || p_type as c, p_retailprice::double as v from part), p as (select a.id as x, a.c as c, b.c as h, abs(a.v - b.v) as d from i a join i b on a.g = b.g and a.id <> b.id),
+d as (select x, c, h, avg(d) as d from p group by all), m as (select x, c, min(case when c = h then d end) as i, min(case when c <> h then d end) as o from d group by all),
+w as (select id, i.c, case when i is null or o is null then 0 when greatest(i, o) = 0 then 0 else (o - i) / greatest(i, o) end as s from i left join m on x = id)
+select substr(c, 1, 7) as brand, count(distinct c) as n_clusters, round(avg(s), 6) as silhouette from w group by 1 having count(distinct c) > 1 and count(*) > count(distinct c)
+""")
+def silhouette_distances(spark, sf_dir):
+    """Silhouettes, by brand, of the types of parts of one brand and size, from a table of price differences."""
+    i = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_brand", F.col("p_size").cast("string")).alias("g"), "p_type", F.array(F.col("p_retailprice").cast("double")).alias("v"))
+    pairs = J.pairwise(i, "p_partkey", "v", "euclidean", within="g").select("a", "b", F.sqrt("distance").alias("distance"))
+    widths = J.silhouette_from(pairs, i.select("p_partkey", F.concat("g", "p_type").alias("c")), "p_partkey", "c")
+    made = J.mean_silhouette(widths.withColumn("brand", F.substring("c", 1, 7)), "c", ["brand"]).filter("silhouette is not null")
+    return made.withColumn("silhouette", F.round("silhouette", 6))
+
+
 QUERIES, ORACLES = R.queries, R.oracles

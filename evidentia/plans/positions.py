@@ -79,6 +79,21 @@ def exact_coverage(spark, sf_dir):
     return G.exact_coverage(b, "item_id", "text", parts, "part").withColumn("coverage", F.round("coverage", 9))
 
 
+@R.query("""
+with s as (select item_id, regexp_replace(text, '[^A-Za-z]+', '', 'g') as text from benchmark), p as (select item_id, text, unnest([substr(text, length(text) // 2 + 1, 25), substr(text, length(text) - 19), substr(text, length(text) // 2 + 11, 30), 'th']) as part from s),
+h as (select item_id, unnest(list_filter(range(1, length(text) - length(part) + 2), lambda i: substr(text, i, length(part)) = part)) as a, length(part) as n from p where length(part) > 0),
+c as (select item_id, count(distinct a + k) as c from h, range(0, 40) as r(k) where k < n group by 1)
+select item_id, round(coalesce(c, 0) / nullif(length(text), 0), 9) as coverage from s left join c using (item_id)
+""")
+def coverage_of_letters(spark, sf_dir):
+    """G1: share of a benchmark item's letters, all else stripped first, that pieces from its middle and end and a short part cover."""
+    b = table(spark, sf_dir, "benchmark")
+    letters = b.select("item_id", F.regexp_replace("text", "[^A-Za-z]+", "").alias("t")).withColumn("h", F.floor(F.length("t") / 2).cast("int"))
+    cut = lambda a, n: F.substring(F.col("t"), a, F.lit(n))
+    parts = letters.select("item_id", F.explode(F.array(cut(F.col("h") + 1, 25), cut(F.length("t") - 19, 20), cut(F.col("h") + 11, 30), F.lit("th"))).alias("part"))
+    return G.exact_coverage(b, "item_id", "text", parts, "part", strip="[^A-Za-z]+").withColumn("coverage", F.round("coverage", 9))
+
+
 def aligned_documents(spark, sf_dir):
     """Documents as upper-case sequences of letters and an edited copy: every 7th place changed, every 11th a gap."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("seq")).filter("length(seq) >= 30")

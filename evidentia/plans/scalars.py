@@ -203,6 +203,17 @@ def groups_roundtrip(spark, sf_dir):
     return io.read_groups(spark, path, p.filter("p_size < 20").select("member"), lines=True).select("group", "member")
 
 
+@R.query("""select p_brand || ', ' || p_size as "group", 'm"' || p_partkey || ',' || p_name as member from part where p_size < 20""")
+def groups_of_one_object(spark, sf_dir):
+    """One JSON object of all groups, indented, with commas and quotes in its strings, read in pieces."""
+    path = _place(spark, sf_dir, "object")
+    p = table(spark, sf_dir, "part").withColumn("member", F.concat(F.lit('m"'), F.col("p_partkey").cast("string"), F.lit(","), F.col("p_name")))
+    groups = p.groupBy(F.concat_ws(", ", "p_brand", F.col("p_size").cast("string")).alias("g")).agg(F.collect_list("member").alias("m"))
+    one = groups.agg(F.map_from_entries(F.collect_list(F.struct("g", "m"))).alias("m"))
+    one.select(F.to_json("m", {"pretty": "true"})).write.text(path)
+    return io.read_groups(spark, path, p.filter("p_size < 20").select("member"))
+
+
 @R.query("select vec_id, len(embedding)::int as dim from embeddings where vec_id in (select p_partkey from part where p_size = 7)")
 def embeddings_by_id(spark, sf_dir):
     """Vectors of ids that a table holds."""

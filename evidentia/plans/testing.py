@@ -219,4 +219,23 @@ def term_cloud(spark, sf_dir):
     return L.term_cloud(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("term")), "term", level, 3, 7).withColumnRenamed("term", "node")
 
 
+@R.query("""
+with l as (select case when p_size > 40 then (p_size % 7 + 1)::bigint else p_partkey end as id from lineitem join part on l_partkey = p_partkey), c as (select id, count(*) as n from l group by 1),
+e as (select c.n, lower(p_name) as t, p_name, p_type = 'SMALL' as own, p_name like '%small%' or p_name like '%red%' as size, p_name like '%bolt%' as bolt from c join part on id = p_partkey where floor(log2(p_partkey) + 1e-9) between 3 and 7),
+x as (select 'size' as cloud, case when t like '%small%' then 'little' else 'coloured' end as type, t as token, n from e where own and size union all
+select 'bolt', case when t like '%blue%' then 'blue' else 'plain' end, t, n from e where own and bolt union all select 'main', null, p_name, n from e where not (own and (size or bolt))),
+k as (select cloud, token, max(type) as type, max(n) as n from x join (select cloud, quantile_cont(n, 0.8) as bar from x group by 1) using (cloud) where n > bar group by all)
+select cloud, type, regexp_replace(token, '\\bsmall\\b', 'sm.', 'g') as token, n, rank from (select *, row_number() over (partition by cloud order by n desc, token) as rank from k) where rank <= 50""")
+def term_clouds(spark, sf_dir):
+    """L2: the fifty commonest names of parts (a top-k report) in typed clouds and the rest, after the parts of large sizes are rolled up."""
+    p = table(spark, sf_dir, "part")
+    info = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("namespace"))
+    level = p.select(F.col("p_partkey").alias("node"), F.floor(F.log2("p_partkey") + 1e-9).cast("int").alias("level"))
+    generic = p.filter("p_size > 40").select(F.col("p_partkey").alias("child"), (F.col("p_size") % 7 + 1).cast("long").alias("parent"))
+    rolled = L.rolled_up(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("term")), "term", generic)
+    clouds = {"size": ("small|red", [("little", "small")], "coloured"), "bolt": ("bolt", [("blue", "blue")], "plain")}
+    made = L.term_clouds(rolled, "term", info, level, namespace="SMALL", clouds=clouds, words={"small": "sm."})
+    return made.withColumn("rank", F.col("rank").cast("long"))
+
+
 QUERIES, ORACLES = R.queries, R.oracles

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidentia.operators.aggregate import assign_ids, dealt_by_range, scan
+
 
 def read_table(spark: SparkSession, path: str, schema: str, sep: str = "\t", null: str = "NA") -> DataFrame:
     """A1."""
@@ -125,10 +127,37 @@ def read_gff(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_groups(spark: SparkSession, path: str, known: DataFrame | None = None, lines: bool = False) -> DataFrame:
-    """A11.  ``(group, member)`` from a JSON object of lists, or of one object a line, restricted to known members where given."""
-    whole = spark.read.text(path, wholetext=not lines).select(F.from_json("value", "map<string,array<string>>").alias("m"))
-    pairs = whole.select(F.explode("m").alias("group", "members")).select("group", F.explode("members").alias("member"))
-    return pairs if known is None else pairs.join(known.select("member"), "member", "left_semi")
+    """A11.  ``(group, member)`` from a JSON object of lists a file, or of one object a line (``lines``), restricted to known members where given.
+
+    A file's object may be of any size, and so may its lists: it is read in pieces between commas.  Running sums of the quotes before a piece
+    tell which commas stand within strings; the pieces of such a string are put together again, and a piece belongs to the last group named
+    before it.  Members are strings or numbers; groups without members have no row, and of groups named twice all members count.
+    """
+    pairs = _pairs_of_lines(spark, path) if lines else _pairs_of_objects(spark, path)
+    return pairs if known is None else pairs.join(known.select("member"), "member", "left_semi").select("group", "member")
+
+
+def _pairs_of_lines(spark: SparkSession, path: str) -> DataFrame:
+    each = spark.read.text(path).select(F.from_json("value", "map<string,array<string>>").alias("m"))
+    return each.select(F.explode("m").alias("group", "members")).select("group", F.explode("members").alias("member"))
+
+
+def _pairs_of_objects(spark: SparkSession, path: str) -> DataFrame:
+    at = F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("n"))
+    pieces = spark.read.text(path, lineSep=",").select(F.col("_metadata.file_path").alias("_file"), at.alias("_place"), F.col("value").alias("_piece"))
+    plain = F.regexp_replace("_piece", r"\\.", "")  # without escaped quotes
+    pieces = dealt_by_range(pieces.withColumn("_quotes", F.length(plain) - F.length(F.replace(plain, F.lit('"')))), ["_file", "_place"])
+    before = {"_before": ("sum", F.col("_quotes").cast("long"))}
+    begins = {"_token": ("sum", (F.coalesce("_before", F.lit(0)) % 2 == 0).cast("long"))}
+    cut = scan(pieces, ["_file"], ["_place"], before, begins, before=["_before"])
+    tokens = cut.groupBy("_file", "_token").agg(F.array_sort(F.collect_list(F.struct("_place", "_piece"))).alias("_all"))
+    text = F.array_join(F.transform("_all", lambda p: p["_piece"]), ",")
+    name, one = r'("(?:[^"\\]|\\.)*")\s*:', r'("(?:[^"\\]|\\.)*"|[-+.0-9A-Za-z]+)'
+    parts = tokens.select("_file", "_token", F.regexp_extract(text, name, 1).alias("_name"), F.regexp_extract(text, rf"^(?:[\s{{\]]*{name})?[\s\[]*{one}[\s\]}}]*$", 2).alias("_member"))
+    read = lambda c: F.from_json(F.concat(F.lit('{"v":'), c, F.lit("}")), "v string")["v"]
+    named = parts.select("_file", "_token", F.when(F.col("_name") != "", F.struct("_token", read(F.col("_name")).alias("v"))).alias("_name"), F.when(F.col("_member") != "", read(F.col("_member"))).alias("member"))
+    owned = scan(dealt_by_range(named, ["_file", "_token"]), ["_file"], ["_token"], {"_last": ("max", F.col("_name"))})
+    return owned.filter(F.col("member").isNotNull() & F.col("_last").isNotNull()).select(F.col("_last.v").alias("group"), "member")
 
 
 def read_embeddings(spark: SparkSession, path: str, ids: DataFrame, id_col: str) -> DataFrame:
@@ -138,7 +167,5 @@ def read_embeddings(spark: SparkSession, path: str, ids: DataFrame, id_col: str)
 
 def denovo_to_peptides(df: DataFrame, col: str, name: str, least: int = 0) -> DataFrame:
     """A13.  Upper-case residues of each sequence, unknown-token rows left out, ids ``<name><n>-DENOVO``."""
-    from evidentia.operators.aggregate import assign_ids
-
     clean = df.filter(~F.col(col).rlike("<s>|<unk>")).select(F.regexp_replace(col, "[^A-Z]", "").alias("seq")).filter(F.length("seq") >= max(1, least)).distinct()
     return assign_ids(clean, name, ["seq"], "id").withColumn("id", F.concat("id", F.lit("-DENOVO")))

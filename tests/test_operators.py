@@ -532,3 +532,108 @@ def test_running_sums_and_quantiles(spark):
     x = sorted(i * 7919 % 1009 for i in range(1000))
     assert (q["a"], q["b"]) == pytest.approx(tuple(np.quantile(x, [0.25, 0.5])))
     assert A.quantiles(df.limit(0), "x", {"a": 0.25}).first()["a"] is None
+
+
+def test_sharing_profiles(spark):
+    """Equal to all pairs by brute force, with a feature that everyone holds, and for every cutoff; blocks of three split it."""
+    rng = np.random.default_rng(3)
+    counts = {}
+    for e in range(60):
+        own = {"hot": int(rng.integers(1, 4))} if e % 10 else {}
+        base = 7 * (e // 6)
+        own |= {f"f{base + int(i)}": int(rng.integers(1, 9)) for i in rng.choice(7, int(rng.integers(1, 7)), replace=False)}
+        counts[e] = own
+    counts[61] = dict(counts[60 - 1])
+    rows = [(e, f, n) for e, own in counts.items() for f, n in own.items()] + [(None, "hot", 1), (5, None, 2), (70, "hot", None), (71, "lonely", 3)]
+    df = spark.createDataFrame(rows, "e long, f string, n long")
+
+    def apart(a, b):
+        both = sum(min(n, counts[b].get(f, 0)) for f, n in counts[a].items())
+        return 1 - 2 * both / (sum(counts[a].values()) + sum(counts[b].values()))
+
+    every = {(a, b): apart(a, b) for a, b in itertools.combinations(sorted(counts), 2)}
+    for cutoff in (None, 0.0, 0.3, 0.6, 0.95):
+        got = {(r["a"], r["b"]): (r["bray_curtis"], r["jaccard"]) for r in V.sharing_profiles(df, "e", "f", "n", cutoff, block=3).collect()}
+        want = {p: d for p, d in every.items() if (d < 1 if cutoff is None else d <= cutoff + 1e-12)}
+        assert set(got) == set(want), cutoff
+        assert all(got[p][0] == pytest.approx(d) and got[p][1] == pytest.approx(2 * d / (1 + d)) for p, d in want.items())
+    assert V.sharing_profiles(df.limit(0), "e", "f", "n", 0.5).count() == 0
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_silhouettes(spark, metric):
+    """From cluster sums and from a table of pairs: the same as from all distances; clusters of one, one cluster alone, ids as text."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(40, 5)) + 1
+    labels = [int(i) for i in rng.integers(0, 6, 39)] + [9]
+    df = spark.createDataFrame([(f"i{i}", x[i].tolist(), g) for i, g in enumerate(labels)], "id string, v array<double>, g int")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = 1 - unit @ unit.T if metric == "cosine" else ((x[:, None] - x[None]) ** 2).sum(2)
+    want = {}
+    for i, g in enumerate(labels):
+        mean = {h: np.mean([d[i, j] for j, k in enumerate(labels) if k == h and j != i]) for h in set(labels) if any(k == h and j != i for j, k in enumerate(labels))}
+        a, b = mean.get(g), min(m for h, m in mean.items() if h != g)
+        want[f"i{i}"] = 0.0 if a is None else (b - a) / max(a, b)
+    made = V.silhouette(df, "id", "v", "g", metric, block=7)
+    assert {r["id"]: r["silhouette"] for r in made.collect()} == pytest.approx(want)
+    pairs = V.pairwise(df, "id", "v", metric)
+    assert {r["id"]: r["silhouette"] for r in V.silhouette_from(pairs, df, "id", "g").collect()} == pytest.approx(want)
+    mean = V.mean_silhouette(made, "g").first()
+    assert mean["n_clusters"] == len(set(labels)) and mean["silhouette"] == pytest.approx(np.mean(list(want.values())))
+    for alone in (F.lit(1), F.col("id")):
+        made = V.mean_silhouette(V.silhouette_from(pairs, df.withColumn("g", alone), "id", "g"), "g").first()
+        assert made["silhouette"] is None and made["n_clusters"] in (1, 40)
+
+
+def test_groups_of_one_large_object(spark, tmp_path):
+    """Commas, brackets, colons, quotes and lines within strings; empty lists, groups named twice, numbers, nulls, several files, small splits."""
+    import json
+
+    from evidentia.sources import io
+
+    odd = {'a, "b": [c]': ["x,y", 'q"', "]", "\\", 'e\\",', "é\n", ""], "none": [], "empty too": [], "num": [1, 2.5, None, "3"], "long": [f"m{i},{i}" for i in range(3000)]}
+    (tmp_path / "1.json").write_text(json.dumps(odd, indent=2, ensure_ascii=False))
+    (tmp_path / "2.json").write_text('{"twice":["u"],"k":[],"twice":["v","w,"]}\n')
+    (tmp_path / "3.json").write_text("{}")
+    want = [(g, str(m)) for g, ms in odd.items() for m in ms if m is not None] + [("twice", "u"), ("twice", "v"), ("twice", "w,")]
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = [tuple(r) for r in io.read_groups(spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert sorted(got) == sorted(want)
+    known = spark.createDataFrame([("v",), ("m7,7",), ("absent",)], "member string")
+    assert sorted(map(tuple, io.read_groups(spark, str(tmp_path), known).collect())) == [("long", "m7,7"), ("twice", "v")]
+
+
+def test_subgroups(spark):
+    text = "abcdefghijklmnopqrstuvwxyz0123456789"
+    rows = [("g", 1, text), ("g", 2, text[:30]), ("g", 3, text[::-1]), ("h", 4, text), ("h", 5, text), ("s", 6, text), ("s", 1, text[:3])]
+    df = spark.createDataFrame(rows, "g string, id long, seq string")
+    made = V.subgroups(df, "g", "id", "seq", V.representatives(df, "g", "id", "seq"))
+    got = {(r["g"], r["id"]): (r["subgroup"], r["representative"]) for r in made.collect()}
+    assert got[("g", 1)] == got[("g", 2)] == ("g.0", 1) and got[("g", 3)] == ("g.1", 3)
+    assert got[("h", 4)] == ("h", 4) and got[("h", 5)] == ("h", 5) and got[("s", 1)][0] != got[("s", 6)][0]
+
+
+def test_term_clouds(spark):
+    from evidentia.operators import text as L
+
+    names = {1: "positive regulation of Growth", 2: "regulation of catabolic process", 3: "lipid biosynthetic process", 4: "protein folding", 5: "transport", 6: None, 7: "rare thing"}
+    info = spark.createDataFrame([(i, n, "biological_process" if i != 4 else "molecular_function") for i, n in names.items()], "id long, name string, namespace string")
+    level = spark.createDataFrame([(i, 9 if i == 5 else 4) for i in names], "node long, level int")
+    counts = {1: 4, 2: 3, 3: 6, 4: 5, 5: 50, 6: 9, 7: 1, 8: 2}
+    terms = spark.createDataFrame([(i,) for i, n in counts.items() for _ in range(n)], "t long")
+    terms = L.rolled_up(terms, "t", spark.createDataFrame([(8, 2), (8, 4)], "child long, parent long"))
+    got = sorted(tuple(r) for r in L.term_clouds(terms, "t", info, level, share=0.0).select("cloud", "type", "token", "n", "rank").collect())
+    assert got == [("main", None, "protein folding", 5, 1), ("process", "anabolic", "lipid biosynthetic process", 6, 1), ("regulation", "unspecified effect", "reg. of catabolic process", 5, 1)]
+    got = sorted(tuple(r) for r in L.term_clouds(terms.union(terms.filter("t = 2")), "t", info, level, share=0.0).select("cloud", "type", "token", "n").collect())
+    assert ("regulation", "unspecified effect", "reg. of catabolic process", 10) in got and ("process", "catabolic", "reg. of catabolic process", 10) in got
+
+
+def test_coverage_of_letters_alone(spark):
+    seqs = spark.createDataFrame([(1, "AB-C*D\nE"), (2, "ABCDE"), (3, "--"), (4, None)], "id long, s string")
+    parts = spark.createDataFrame([(1, "BCD"), (2, "BCD"), (3, "A"), (4, "A")], "id long, p string")
+    got = {r["id"]: r["coverage"] for r in G.exact_coverage(seqs, "id", "s", parts, "p", strip="[^A-Z]+").collect()}
+    assert got == {1: 0.6, 2: 0.6, 3: None, 4: None}
