@@ -169,6 +169,16 @@ def kmer_hashes(chars: str, k: int | Column) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(F.slice(chars, i, k)))
 
 
+def piece_hashes(pieces: str, k: int) -> Column:
+    """What ``kmer_hashes`` gives, of an array column of pieces of one length (k at least; the last may be shorter) that make up a text: hashes of all its
+    substrings of k characters.  A substring is looked for within a piece and what follows it, not from the text's start."""
+    rest = F.zip_with(pieces, F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))), lambda c, n: F.concat(c, F.coalesce(F.substring(n, 1, k - 1), F.lit(""))))
+    at = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - k + 1), lambda i: F.xxhash64(F.substring(c, i, F.lit(k))))
+    made = F.flatten(F.transform(rest, lambda c: F.when(F.length(c) >= k, at(c)).otherwise(F.array().cast("array<bigint>"))))
+    short = F.coalesce(F.size(pieces), F.lit(0)) < 2
+    return F.when(short & (F.coalesce(F.length(F.get(pieces, F.lit(0))), F.lit(0)) < k), F.array(F.xxhash64(F.get(pieces, F.lit(0))))).otherwise(made)
+
+
 def first_substitution(col: Column, pairs: Sequence[tuple[str, str]]) -> Column:
     """B26.  Only the first pattern that matches is replaced."""
     out = None

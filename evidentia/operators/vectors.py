@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evidentia.functions.scalars import kmer_hashes
+from evidentia.functions.scalars import piece_hashes
 from evidentia.operators.aggregate import dealt_by_range, numbered, running_sums, scan
 from evidentia.operators.graph import components
 from evidentia.scratch import discard, settled
@@ -284,12 +284,13 @@ def representatives(df: DataFrame, group: str, id_col: str, seq: str, k: int = 8
     are first compared, on full sets, with one of them, which joins near copies without pairing them; only k-mers whose holders are then
     still in several clusters bring others together, and of those only members of different clusters.
     """
-    made = df.select(group, id_col, F.split(seq, "").alias("_c")).select(group, id_col, F.array_sort(F.array_distinct(kmer_hashes("_c", k))).alias("_set"))
+    pieces = F.when(F.col(seq) == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(seq, F.lit(f"(?s).{{1,{max(128, k)}}}"), F.lit(0)))
+    made = df.select(group, id_col, pieces.alias("_c")).select(group, id_col, F.sort_array(F.array_distinct(piece_hashes("_c", k))).alias("_set"))
     made = settled(made)
     sets = settled(made.groupBy(group, "_set").agg(F.min(id_col).alias("_id")).withColumn("_node", F.struct(F.col(group), F.col("_id").alias("_id"))))
     each = settled(sets.select("_node", group, F.size("_set").alias("_n"), F.explode("_set").alias("_k")))
     rare = each.join(each.groupBy(group, "_k").agg(F.count("*").alias("_f"), F.min("_node").alias("_pivot")), [group, "_k"]).filter("_f > 1")
-    firsts = rare.groupBy("_node", group, "_n").agg(F.array_sort(F.collect_list(F.struct("_f", "_k", "_pivot"))).alias("_all"))
+    firsts = rare.groupBy("_node", group, "_n").agg(F.sort_array(F.collect_list(F.struct("_f", "_k", "_pivot"))).alias("_all"))
     # k-mers of one member alone come first in the order and can be passed over, but they count
     wanted = F.col("_n") - F.ceil(F.col("_n") * least) + 1 - (F.col("_n") - F.size("_all"))
     firsts = firsts.filter(wanted > 0).select(group, F.col("_node").alias("a"), F.explode(F.slice("_all", 1, wanted.cast("int"))).alias("_x"))
@@ -320,7 +321,8 @@ def subgroups(df: DataFrame, group: str, id_col: str, seq: str, made: DataFrame)
     """J7.  ``(group, id, subgroup, representative)`` from what ``representatives`` made of ``df``: the clusters of a group with more than one
     distinct sequence are ``<group>.0``, ``<group>.1`` .. by their smallest ids; in other groups each member represents itself and the subgroup is
     the group.  Numbers are running sums over range partitions, so a group of any size spreads over tasks."""
-    several = df.groupBy(group).agg((F.count_distinct(seq) > 1).alias("_several"))
+    made = settled(made)  # met twice
+    several = df.groupBy(group).agg((F.countDistinct(F.xxhash64(seq), F.md5(seq)) > 1).alias("_several"))
     order = [group, "cluster"]
     nth = scan(dealt_by_range(made.select(*order).distinct(), order), [group], ["cluster"], {"_nth": ("sum", F.lit(1).cast("long"))}).select(*order, "_nth")
     out = made.join(nth, order).join(several, group)

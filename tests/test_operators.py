@@ -637,3 +637,15 @@ def test_coverage_of_letters_alone(spark):
     parts = spark.createDataFrame([(1, "BCD"), (2, "BCD"), (3, "A"), (4, "A")], "id long, p string")
     got = {r["id"]: r["coverage"] for r in G.exact_coverage(seqs, "id", "s", parts, "p", strip="[^A-Z]+").collect()}
     assert got == {1: 0.6, 2: 0.6, 3: None, 4: None}
+
+
+def test_hashes_of_substrings(spark):
+    """All substrings of k characters across pieces, whatever their lengths; a shorter text is one, and so are an empty one and null."""
+    texts = ["", "a", "abc", "abcd", "é\n😀d" * 3, "x" * 10, "abcdefgh", "abcdefghij😀klm\n", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    for k in (1, 3, 4):
+        pieces = F.when(F.col("t") == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all("t", F.lit("(?s).{1,4}"), F.lit(0)))
+        got = {r["i"]: r["h"] for r in df.withColumn("c", pieces).select("i", S.piece_hashes("c", k).alias("h")).collect()}
+        runs = [(i, j, None if t is None else t[j : j + k]) for i, t in enumerate(texts) for j in range(max(1, len(t or "") - k + 1))]
+        want = spark.createDataFrame(runs, "i long, j long, s string").select("i", "j", F.xxhash64("s").alias("h")).collect()
+        assert got == {i: [r["h"] for r in sorted(want, key=lambda r: r["j"]) if r["i"] == i] for i in range(len(texts))}
