@@ -279,7 +279,7 @@ def profile_distance(spark, sf_dir):
 
 
 _PROFILES = """with e as (select user_id, event_type || (user_id % 5) as k from events), n as (select user_id, k, count(*) as n from e group by all), t as (select user_id, sum(n) as t from n group by 1),
-m as (select a.user_id as a, b.user_id as b, sum(least(a.n, b.n)) as m from n a join n b on a.k = b.k and a.user_id < b.user_id group by all), d as (select a, b, 1 - 2 * m / (x.t + y.t) as d from m join t x on x.user_id = a join t y on y.user_id = b)
+m as (select a.user_id as a, b.user_id as b, sum(least(a.n, b.n)) as m from n a join n b on a.k = b.k and a.user_id < b.user_id group by all), d as (select a, b, m, x.t + y.t as t, 1 - 2 * m / (x.t + y.t) as d from m join t x on x.user_id = a join t y on y.user_id = b)
 select a, b, round(d, 9) as bray_curtis, round(2 * d / (1 + d), 9) as jaccard from d"""
 
 
@@ -294,7 +294,7 @@ def sharing_profiles(spark, sf_dir):
     return J.sharing_profiles(_event_profiles(spark, sf_dir), "user_id", "k", "n").withColumns({c: F.round(c, 9) for c in ("bray_curtis", "jaccard")})
 
 
-@R.query(f"{_PROFILES} where d <= 0.05")
+@R.query(f"{_PROFILES} where 20 * (t - 2 * m) <= t")
 def near_profiles(spark, sf_dir):
     """Users with profiles at a distance of 0.05 at most, by their rarest features."""
     return J.sharing_profiles(_event_profiles(spark, sf_dir), "user_id", "k", "n", cutoff=0.05).withColumns({c: F.round(c, 9) for c in ("bray_curtis", "jaccard")})
