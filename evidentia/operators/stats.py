@@ -70,7 +70,7 @@ def signed_rank(df: DataFrame, a: str, b: str) -> DataFrame:
     zeros = every.agg((F.count_if(F.col("d") == 0) > 0).alias("_zeros"))
     d = average_ranks(every.filter("d <> 0"), "_m")
     s = d.agg(F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0)).alias("w"), F.count("*").alias("n"), F.sum(F.pow(F.col("ties").cast("double"), F.lit(2.0)) - 1).alias("_t"))
-    n = F.col("n")
+    n = F.col("n").cast("double")  # its cube is beyond a long from two million differences on
     s = s.join(F.broadcast(zeros))  # one row
     s = s.select("n", "w", F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("_t") / 48).alias("sigma"), ((F.col("_t") > 0) | F.col("_zeros")).alias("tied"))
     return s.withColumn("z", F.try_divide(F.col("w") - n * (n + 1) / 4, F.col("sigma")))
