@@ -281,7 +281,7 @@ def generic_terms(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     edges = p.select(F.col("p_partkey").alias("child"), F.explode(F.array_distinct(F.array(F.floor(F.col("p_partkey") / 2), F.floor(F.col("p_partkey") / 3)))).alias("parent")).filter("parent >= 1 and child <> parent")
     closed = I.closure(edges, "child", "parent")
-    level = I.levels(closed, spark.range(1, 2).select(F.col("id").alias("node")))
+    level = I.levels_below(edges, "child", "parent", spark.range(1, 2).select(F.col("id").alias("node")))
     return I.generic_terms(closed, p.select(F.col("p_partkey").alias("node"), F.col("p_name").alias("name")), level, 1, 2)
 
 
