@@ -256,6 +256,25 @@ def test_representatives_brute(spark):
     assert got == want and len(set(want.values())) < len(want)
 
 
+def test_representatives_short_and_missing(spark):
+    """Texts of few k-mers, whose kept part alone would miss links, and absent ones, which are like nothing."""
+    rng = np.random.default_rng(8)
+    long = ["".join(rng.choice(list("abcdefghijkl"), 2000)) for _ in range(4)]
+    rows = [(i, x) for i, x in enumerate(long)] + [(90, None), (91, None), (92, ""), (93, "")]
+    for i in range(10, 70):
+        at = int(rng.integers(0, 1900))
+        text = long[i % 4][at : at + int(rng.integers(3, 40))]
+        rows.append((i, text[:-1] + "z" if i % 3 == 0 else text))
+    got = {r["i"]: r["cluster"] for r in V.representatives(spark.createDataFrame([("g", *r) for r in rows], "g string, i long, s string"), "g", "i", "s", k=8).collect()}
+    sets = {i: {s[j : j + 8] for j in range(max(1, len(s) - 7))} for i, s in rows if s is not None}
+    label = {i: i for i, _ in rows}
+    for _ in range(4):
+        for i, j in itertools.combinations(sets, 2):
+            if len(sets[i] & sets[j]) >= 0.8 * min(len(sets[i]), len(sets[j])):
+                label[i] = label[j] = min(label[i], label[j])
+    assert got == label and got[90] == 90 and got[91] == 91 and got[93] == 92 and len(set(got.values())) < len(got)
+
+
 def test_small_joins(spark):
     df = spark.createDataFrame([("a", "g", True), ("b", "g", False), ("c", "h", None), ("d", "i", True), (None, "i", False)], "k string, g string, m boolean")
     assert {r["k"] for r in J.associated(df, "g", F.col("m")).collect()} == {"b", None}
