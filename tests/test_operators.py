@@ -767,3 +767,32 @@ def test_profiles_by_blocks(spark):
     assert read(V.profile_distance(df, "e", "f", "n", block=20)) == pytest.approx(d)
     assert read(V.sharing_profiles(df, "e", "f", "n", block=20)) == pytest.approx({k: v for k, v in d.items() if v < 1})
     assert read(V.sharing_profiles(df, "e", "f", "n", 0.2)) == pytest.approx({k: v for k, v in d.items() if v <= 0.2 + 1e-12})
+
+
+def test_tail_of_very_large_groups(spark):
+    """Only the terms that add something are made: before, one for each of a thousand million places."""
+    df = spark.createDataFrame([(1_000_000_000, 2_000_000_000, 2_000_000_000, 4_000_000_000), (2, 3, 4, 10)], "k long, n long, m long, total long")
+    half, third = (r["p"] for r in df.coalesce(1).select(N.hypergeometric_tail("k", "n", "m", "total").alias("p")).collect())
+    assert abs(half - 0.5) < 1e-3 and abs(third - 1 / 3) < 1e-9
+
+
+def test_any_key_without_distinct_pairs(spark):
+    """A pair that agrees in several keys, rows that repeat, ids with several keys, absent keys; pairs aren't brought together to tell them apart."""
+    a = spark.createDataFrame([(1, "x", "u"), (1, "x", "u"), (2, "x", None), (3, None, "u"), (4, "y", "v")], "i long, p string, q string")
+    b = spark.createDataFrame([(7, "x", "u"), (8, "x", "w"), (9, None, None), (10, "z", "v")], "j long, r string, s string")
+    made = J.join_any_key(a, b, [("p", "r"), ("q", "s")], ["j", "i"])
+    assert sorted(map(tuple, made.collect())) == [(7, 1), (7, 2), (7, 3), (8, 1), (8, 2), (10, 4)]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan.split("Aggregate")[0] or plan.index("Join") < plan.index("Aggregate")  # no aggregate above a join
+    more = spark.createDataFrame([(5, "x", "k"), (5, "m", "u")], "i long, p string, q string")  # one id, two keys
+    assert sorted(map(tuple, J.join_any_key(more, b, [("p", "r"), ("q", "s")], ["j", "i"]).collect())) == [(7, 5), (8, 5)]
+
+
+def test_search_report_counts_without_copies(spark):
+    """Absent sources, groups, items and members; the rows aren't copied for each column that is counted."""
+    rows = [("a", 1, [1, 2], 7, 0.1), ("a", 1, [1, 2], 8, 0.9), ("a", 2, [1], 7, 0.9), ("a", None, [1, 2], None, 0.1), (None, 3, None, 9, 0.1), (None, 3, [1, 2], 9, None)]
+    df = spark.createDataFrame(rows, "s string, g long, m array<int>, i long, v double")
+    made = X.search_report(df, ["s"], "g", "m", "i", "v", 0.5, {"low": F.col("v") < 0.5})
+    got = {r["s"]: (r["n_groups"], r["n_multi"], r["n_items"], r["n_below"], r["n_low"], r["share_below"]) for r in made.collect()}
+    assert got == {"a": (2, 1, 2, 1, 2, 0.5), None: (1, 1, 1, 1, 1, 1.0)}
+    assert "Expand" not in made._jdf.queryExecution().optimizedPlan().toString()
