@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -88,12 +90,15 @@ def map_scans(psms: DataFrame, scans: DataFrame, scan: str, protein: str, unmatc
 def search_report(df: DataFrame, by: Sequence[str], group: str, members: str, item: str, score: str, most: float, kinds: Mapping[str, Column]) -> DataFrame:
     """D16.  One row for each source and pass: groups, groups of several members, distinct items, items below a threshold and their share,
     and items of each kind."""
-    below = F.col(score) <= most
-    report = df.groupBy(*by).agg(
-        F.count_distinct(group).alias("n_groups"), F.count_distinct(F.when(F.size(members) > 1, F.col(group))).alias("n_multi"),
-        F.count_distinct(item).alias("n_items"), F.count_distinct(F.when(below, F.col(item))).alias("n_below"),
-        *[F.count_if(c).alias(f"n_{k}") for k, c in kinds.items()],
-    )
+    flag = lambda c: F.max(F.coalesce(c, F.lit(False)).cast("int"))
+    # a row for each group, and for each item, of a source; then their numbers: rows aren't copied for each column that is counted
+    groups = df.groupBy(*by, group).agg(flag(F.size(members) > 1).alias("_m"), *[F.count_if(c).alias(f"n_{k}") for k, c in kinds.items()])
+    groups = groups.groupBy(*by).agg(F.count(group).alias("n_groups"), F.count_if((F.col("_m") == 1) & F.col(group).isNotNull()).alias("n_multi"), *[F.sum(f"n_{k}").alias(f"n_{k}") for k in kinds])
+    items = df.groupBy(*by, item).agg(flag(F.col(score) <= most).alias("_b"))
+    items = items.groupBy(*by).agg(F.count(item).alias("n_items"), F.count_if((F.col("_b") == 1) & F.col(item).isNotNull()).alias("n_below"))
+    same = lambda c: F.col(f"g.{c}").eqNullSafe(F.col(f"i.{c}"))
+    both = groups.alias("g").join(items.alias("i"), functools.reduce(operator.and_, [same(c) for c in by], F.lit(True)))  # a row for each source
+    report = both.select(*[F.col(f"g.{c}") for c in by], "n_groups", "n_multi", "n_items", "n_below", *[f"n_{k}" for k in kinds])
     return report.withColumn("share_below", F.col("n_below") / F.col("n_items"))
 
 
