@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from evidentia.functions.scalars import monoisotopic_mass, resolve_ambiguous
 from evidentia.operators.aggregate import assign_ids
 from evidentia.operators.windows import dedup
+from evidentia.scratch import settled
 
 
 def build_database(parts: Sequence[DataFrame], id_col: str, seq: str, min_len: int = 10) -> DataFrame:
@@ -28,8 +29,8 @@ def database_entries(database: DataFrame, id_col: str, seq: str, header: Column
     """H1.  A target/decoy table with what a search needs: ``entry`` (P0, P1 .. over targets and decoys by sequence length, descending, and
     id), ``mass``, and ``header`` (decoys: that of their target with ``rev_`` before it)."""
     headed = database.withColumn("header", F.concat(F.when(F.col("decoy"), "rev_").otherwise(""), header if isinstance(header, Column) else F.col(header)))
-    made = headed.withColumn("mass", monoisotopic_mass(F.col(seq)))
-    return assign_ids(made, prefix, [F.desc("length"), F.col(id_col)], "entry")
+    made = assign_ids(headed, prefix, [F.desc("length"), F.col(id_col)], "entry")
+    return made.withColumn("mass", monoisotopic_mass(F.col(seq)))  # after the numbers are written: made only where it is asked for
 
 
 def database_views(entries: DataFrame, seq: str) -> dict[str, DataFrame]:
@@ -44,19 +45,20 @@ def balance_decoys(identified: DataFrame, id_col: str, database: DataFrame, seq:
 
     A draw names a hash bucket and a place in it, so draws and targets meet in an equi-join.
     """
-    own = database.join(identified.select(id_col).distinct(), id_col, "left_semi")
+    own = settled(database.join(identified.select(id_col).distinct(), id_col, "left_semi"))
     n = {r["decoy"]: r["n"] for r in own.groupBy("decoy").agg(F.count("*").alias("n")).collect()}
     missing = n.get(False, 0) - n.get(True, 0)
     if missing <= 0 or not n.get(False):
         return own
     buckets = max(1, n[False] // 1000)
-    targets = own.filter("not decoy").withColumn("_b", F.pmod(F.xxhash64(id_col), F.lit(buckets)))
-    targets = targets.withColumn("_k", F.row_number().over(W.partitionBy("_b").orderBy(id_col)) - 1).withColumn("_n", F.count("*").over(W.partitionBy("_b")))
-    sizes = targets.select("_b", "_n").distinct()
+    places = own.filter("not decoy").select(id_col, F.pmod(F.xxhash64(id_col), F.lit(buckets)).alias("_b"))  # ids alone are sorted, not their sequences
+    places = settled(places.withColumn("_k", F.row_number().over(W.partitionBy("_b").orderBy(id_col)) - 1))
+    sizes = places.groupBy("_b").agg(F.count("*").alias("_n"))
     draws = own.sparkSession.range(missing).select("id", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(buckets)).alias("_b"))
-    draws = draws.join(sizes, "_b").withColumn("_k", F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.col("_n"))).drop("_n")
-    added = targets.drop("_n").join(draws, ["_b", "_k"]).withColumns(
-        {id_col: F.concat(F.lit("rev_"), F.col(id_col), F.lit("_added"), F.col("id").cast("string")), seq: F.reverse(seq), "decoy": F.lit(True)}
+    draws = draws.join(sizes, "_b").withColumn("_k", F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.col("_n"))).select(F.col("id").alias("_draw"), "_b", "_k")
+    drawn = places.join(draws, ["_b", "_k"]).select(id_col, "_draw")
+    added = own.filter("not decoy").join(drawn, id_col).withColumns(
+        {id_col: F.concat(F.lit("rev_"), F.col(id_col), F.lit("_added"), F.col("_draw").cast("string")), seq: F.reverse(seq), "decoy": F.lit(True)}
     )
     return own.unionByName(added.select(*own.columns))
 

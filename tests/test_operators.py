@@ -796,3 +796,13 @@ def test_search_report_counts_without_copies(spark):
     got = {r["s"]: (r["n_groups"], r["n_multi"], r["n_items"], r["n_below"], r["n_low"], r["share_below"]) for r in made.collect()}
     assert got == {"a": (2, 1, 2, 1, 2, 0.5), None: (1, 1, 1, 1, 1, 1.0)}
     assert "Expand" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_masses_are_made_late(spark):
+    """Masses aren't written with the numbers; decoys are drawn over ids alone, which may be named as any."""
+    both = H.build_database([spark.createDataFrame([(i, "ACDEFGHIKLMN"[i:] + "PQRSTVWY" * 2, "h") for i in range(4)], "id long, s string, h string")], "id", "s")
+    made = H.database_entries(both, "id", "s", "h")
+    assert "mass" in made.columns and "mass" not in spark.read.parquet(*made.inputFiles()).columns
+    kept = H.balance_decoys(both.filter("not decoy or id = 'rev_1'").select("id"), "id", both, "s").collect()
+    targets = {r["s"] for r in kept if not r["decoy"]}
+    assert sum(r["decoy"] for r in kept) == 4 == len(targets) and all(r["s"][::-1] in targets for r in kept if r["decoy"]) and len({r["id"] for r in kept}) == 8
