@@ -7,7 +7,6 @@ executor costs a round.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidentia.operators.aggregate import numbered
@@ -298,7 +297,7 @@ def assign_category(items: DataFrame, item: str, term: str, mapping: DataFrame,
     terms = items.select(item, F.explode(term).alias("_t"))
     n = terms.join(mapping.select(F.col("node").alias("_t"), parent), "_t").groupBy(item, parent).agg(F.count("*").alias("_n"))
     first = F.col(parent).isin(priority or []).cast("int")
-    best = n.withColumn("_r", F.row_number().over(W.partitionBy(item).orderBy(first.desc(), F.desc("_n"), parent))).filter("_r = 1")
+    best = n.groupBy(item).agg(F.min_by(parent, F.struct(-first, -F.col("_n"), F.col(parent))).alias(parent))
     out = items.join(best.select(item, F.col(parent).cast("string").alias("category")), item, "left")
     return out.withColumn("category", F.coalesce("category", F.when(F.coalesce(F.size(term), F.lit(0)) > 0, "other").otherwise("unknown")))
 

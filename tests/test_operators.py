@@ -806,3 +806,13 @@ def test_masses_are_made_late(spark):
     kept = H.balance_decoys(both.filter("not decoy or id = 'rev_1'").select("id"), "id", both, "s").collect()
     targets = {r["s"] for r in kept if not r["decoy"]}
     assert sum(r["decoy"] for r in kept) == 4 == len(targets) and all(r["s"][::-1] in targets for r in kept if r["decoy"]) and len({r["id"] for r in kept}) == 8
+
+
+def test_category_by_one_aggregate(spark):
+    """Priority first, then the number of terms, then the smaller parent; items aren't sorted for it."""
+    items = spark.createDataFrame([(1, [1, 2, 3]), (2, [1, 2]), (3, [9]), (4, []), (5, [3, 4, 5])], "i long, t array<long>")
+    mapping = spark.createDataFrame([(1, 6), (2, 7), (3, 6), (4, 8), (5, 8)], "node long, parent long")
+    made = I.assign_category(items, "i", "t", mapping, "parent", priority=[7])
+    assert {r["i"]: r["category"] for r in made.collect()} == {1: "7", 2: "7", 3: "other", 4: "unknown", 5: "8"}
+    assert {r["i"]: r["category"] for r in I.assign_category(items, "i", "t", mapping, "parent").collect()}[2] == "6"
+    assert "Window" not in made._jdf.queryExecution().optimizedPlan().toString()
