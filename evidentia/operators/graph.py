@@ -6,6 +6,8 @@ executor costs a round.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -169,6 +171,82 @@ def n_descendants(closed: DataFrame) -> DataFrame:
     return closed.groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("n_children"))
 
 
+def _edges_above(edges: DataFrame, start: DataFrame, most: int | None = None, steps: int = 4) -> DataFrame | None:
+    """``(_c, node, parent)``: for each label ``_c`` of ``start(_c, node)`` the edges above its nodes, once for all of them, ``steps`` levels between two
+    written tables; None where they go up more than ``most`` levels."""
+    fresh, known, made, depth = settled(start.select("_c", "node").distinct()), None, None, 0
+    while True:
+        at, rows = fresh, None
+        for _ in range(steps):
+            step = at.join(edges, "node").select("_c", "node", "parent")
+            rows = step if rows is None else rows.unionByName(step)
+            at = step.select("_c", F.col("parent").alias("node")).distinct()
+        found = settled(rows.distinct())
+        made = found if made is None else made.unionByName(found)
+        had = found.select("_c", "node").distinct()
+        known = had if known is None else known.unionByName(had)
+        # those whose edges aren't there yet; nodes without any bring nothing more
+        fresh = settled(found.select("_c", F.col("parent").alias("node")).distinct().join(known, ["_c", "node"], "left_anti").join(edges.select("node"), "node", "left_semi"))
+        depth += steps
+        if fresh.isEmpty():
+            return made
+        if most is not None and depth >= most:
+            return None
+
+
+#: Words of bits by edges that a task takes at once, and the edges above a chunk up to which a task gets them all.
+BITS_AT_ONCE, MOST_ABOVE = 1 << 22, 1 << 22
+
+
+def _counted(rows: pd.DataFrame) -> pd.DataFrame:
+    """How many of a chunk's nodes (``own``) each node of ``(node, parent, own)`` stands above: a bit for each, carried up until nothing is news."""
+    of, names = pd.factorize(pd.concat([rows["node"], rows["parent"]], ignore_index=True))
+    u, v = of[: len(rows)], of[len(rows) :]
+    order = np.argsort(v, kind="stable")
+    u, v, own = u[order], v[order], np.unique(u[rows["own"].to_numpy(bool)])
+    count, step = np.zeros(len(names), np.int64), 64 * max(1, min(64, BITS_AT_ONCE // len(u)))
+    for s in range(0, len(own), step):
+        part = own[s : s + step]
+        mine = np.zeros((len(names), -(-len(part) // 64)), np.uint64)
+        bit = np.arange(len(part))
+        mine[part, bit // 64] = np.uint64(1) << (bit % 64).astype(np.uint64)
+        below, news = np.zeros_like(mine), np.zeros(len(names), bool)
+        news[part] = True
+        while news.any():
+            e = np.flatnonzero(news[u])
+            if not len(e):
+                break
+            first = np.flatnonzero(np.r_[True, v[e][1:] != v[e][:-1]])
+            to = v[e][first]
+            grown = below[to] | np.bitwise_or.reduceat(below[u[e]] | mine[u[e]], first, axis=0)
+            news = np.zeros(len(names), bool)
+            news[to] = (grown != below[to]).any(1)
+            below[to] = grown
+        count += np.bitwise_count(below).sum(1, dtype=np.int64)
+    return pd.DataFrame({"node": names[count > 0], "_n": count[count > 0]})
+
+
+def descendant_counts(edges: DataFrame, child: str, parent: str, chunk: int = 4096) -> DataFrame:
+    """I2.  ``n_descendants`` of the closure without its pairs: ``(node, n_children)``.
+
+    Nodes are dealt into chunks, those with the same parents side by side.  A chunk takes the edges above it, each once for all of its nodes, and
+    a task counts with a bit for each node how many of them stand below each ancestor; a node's counts are then summed up.  Chunks share
+    their ancestors, so a fraction of the closure's rows moves, and never more.  Where edges go up more than MOST_RANKS levels (or in circles
+    that long), or a chunk has more than MOST_ABOVE edges above it, the closure is made.
+    """
+    edges = settled(edges.select(F.col(child).alias("node"), F.col(parent).alias("parent")).filter("node <> parent").distinct())
+    ends = edges.groupBy("node").agg(F.min("parent").alias("_low"), F.max("parent").alias("_high"))
+    dealt = numbered(ends, ["_low", "_high", "node"], "_i").select("node", F.floor(F.col("_i") / chunk).cast("int").alias("_c"))
+    dealt = settled(dealt)
+    above = _edges_above(edges, dealt, MOST_RANKS)
+    if above is None or (above.groupBy("_c").count().agg(F.max("count")).first()[0] or 0) > MOST_ABOVE:
+        return n_descendants(closure(edges, "node", "parent"))
+    mine = dealt.withColumn("own", F.lit(True))
+    rows = above.join(mine, ["_c", "node"], "left").select("_c", "node", "parent", F.coalesce("own", F.lit(False)).alias("own"))
+    each = rows.groupBy("_c").applyInPandas(_counted, f"node {dict(edges.dtypes)['parent']}, _n long")
+    return each.groupBy("node").agg(F.sum("_n").alias("n_children"))
+
+
 def levels(closed: DataFrame, roots: DataFrame) -> DataFrame:
     """I3.  The least depth below any root; roots have 0."""
     below = closed.join(roots.select(F.col("node").alias("ancestor")), "ancestor").groupBy("node").agg(F.min("depth").alias("level"))
@@ -291,6 +369,36 @@ def select_parents(closed: DataFrame, level: DataFrame, n: int, min_level: int =
     return closed.sparkSession.createDataFrame([(c,) for c in chosen], level.select("node").schema)
 
 
+def representative_parents(edges: DataFrame, child: str, parent: str, level: DataFrame, n: int, min_level: int = 2, at_once: int = 256) -> DataFrame:
+    """I7.  ``select_parents`` without the closure.
+
+    What stands above a node has more below it (or is in a circle with it), so the first ``at_once`` nodes by number below are taken greedily as soon as
+    it is known which of them stand under which.  Only where that isn't enough, what stands under the chosen ones goes, and the next follow.
+    """
+    edges = settled(edges.select(F.col(child).alias("node"), F.col(parent).alias("parent")).filter("node <> parent").distinct())
+    total, chosen = level.count(), []
+    left = descendant_counts(edges, "node", "parent").join(level, "node").filter((F.col("n_children") <= total / n) & (F.col("level") >= min_level))
+    left = settled(left.select("node", "n_children"))
+    while len(chosen) < n:
+        top = settled(left.orderBy(F.desc("n_children"), "node").limit(at_once))
+        rows = [r["node"] for r in top.orderBy(F.desc("n_children"), "node").collect()]  # at_once rows
+        walked = _edges_above(edges, top.select(F.col("node").alias("_c"), "node")).select("_c", F.col("parent").alias("node")).distinct()
+        under: dict = {}
+        for r in walked.join(top.select("node"), "node", "left_semi").collect():  # pairs of these rows
+            under.setdefault(r["_c"], set()).add(r["node"])
+        new: list = []
+        for x in rows:
+            if len(chosen) + len(new) < n and not under.get(x, set()).intersection(new):
+                new.append(x)
+        chosen += new
+        if len(rows) < at_once or len(chosen) == n:
+            break
+        found = edges.sparkSession.createDataFrame([(c,) for c in new], level.select("node").schema)
+        gone = reach(edges, "node", "parent", found).select("node").unionByName(top.select("node"))
+        left = settled(left.join(gone, "node", "left_anti"))
+    return edges.sparkSession.createDataFrame([(c,) for c in chosen], level.select("node").schema)
+
+
 def assign_category(items: DataFrame, item: str, term: str, mapping: DataFrame, parent: str, priority: list | None = None) -> DataFrame:
     """I8.  The parent that most of an item's terms map to; a priority parent wins outright, ties go to the smaller;
     ``other`` if no term maps, ``unknown`` if there is no term."""

@@ -513,6 +513,24 @@ def test_components_of_a_long_path(spark):
     assert {got[int(x)] for x in names[:301]} == {int(min(names[:301]))} and {got[int(x)] for x in names[301:]} == {int(min(names[301:]))}
 
 
+def test_descendants_and_parents_without_closure(spark, monkeypatch):
+    """Chunks of a few nodes, diamonds, a circle, names; more candidates under the first than are taken at once; the closure is not made."""
+    edges = [(c, p) for c in range(2, 500) for p in {c // 2, c // 3, c - 7 if c % 5 == 0 else c // 2} if p > 0]
+    edges += [(900, 901), (901, 902), (902, 900), (3, 900)]
+    df = spark.createDataFrame(edges, "child long, parent long")
+    level = I.levels_below(df, "child", "parent", spark.range(1, 2).withColumnRenamed("id", "node")).unionByName(spark.createDataFrame([(900, 2), (901, 3)], "node long, level int"))
+    closed = I.closure(df, "child", "parent").cache()
+    want = {tuple(r) for r in I.n_descendants(closed).collect()}
+    chosen = [[r[0] for r in I.select_parents(closed, level, n, m).collect()] for n, m in ((4, 2), (9, 1))]
+    monkeypatch.setattr(I, "MOST_RANKS", 1000)
+    monkeypatch.setattr(I, "BITS_AT_ONCE", 1)
+    monkeypatch.setattr(I, "closure", None)
+    assert {tuple(r) for r in I.descendant_counts(df, "child", "parent", chunk=150).collect()} == want
+    assert [[r[0] for r in I.representative_parents(df, "child", "parent", level, n, m, at_once=k).collect()] for n, m, k in ((4, 2, 3), (9, 1, 256))] == chosen
+    names = df.select(*[F.concat(F.lit("n"), F.col(c).cast("string")).alias(c) for c in df.columns])
+    assert {(r["node"], r["n_children"]) for r in I.descendant_counts(names, "child", "parent").collect()} == {(f"n{a}", b) for a, b in want}
+
+
 def test_select_parents(spark):
     edges = spark.createDataFrame([(c, c // 2) for c in range(2, 64)], "child int, parent int")
     closed = I.closure(edges, "child", "parent")
