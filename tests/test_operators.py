@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
 
@@ -359,6 +360,22 @@ def test_gsea_scores(spark):
     assert got["half"]["p"] == pytest.approx(1 / 16) and got["half"]["n_members"] == 18 and got["half"]["es"] == pytest.approx(1.0) and set(got) == {"half", "most"}
 
 
+def test_null_scores_by_blocks(spark):
+    """Random sets of several sizes, that of all entities too, cut into blocks: as walks of each set by itself."""
+    rng = np.random.default_rng(5)
+    place = [(f"e{i}", i + 1, float(w)) for i, w in enumerate(np.sort(rng.random(60))[::-1])]
+    ranked, sizes = spark.createDataFrame(place, "e string, _rank long, _w double"), (1, 7, 23, 60)
+    got = N._null(ranked, "e", 60, spark.createDataFrame([(m,) for m in sizes], "n_members long"), 3, 1, block=9).collect()
+    want = []
+    for rep in (1, 2, 3):
+        drawn = sorted(place, key=lambda x: (hashlib.md5(f"1:{rep}:{x[0]}".encode()).hexdigest(), x[0]))
+        for m in sizes:
+            held = sorted(x[1:] for x in drawn[:m])
+            up, whole = np.cumsum([w for _, w in held]), sum(w for _, w in held)
+            want.append((m, max(u / whole - ((r - i) / (60 - m) if m < 60 else 0) for i, (u, (r, _)) in enumerate(zip(up, held, strict=True), 1))))
+    assert sorted((r[0], round(r[1], 9)) for r in got) == sorted((m, round(float(es), 9)) for m, es in want)
+
+
 def test_gsea_p_is_uniform_for_random_sets(spark):
     """Random sets of several sizes: the p-values' distribution is that of the null (Kolmogorov's distance)."""
     rng = np.random.default_rng(5)
