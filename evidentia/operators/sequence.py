@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evidentia.operators.windows import interval_coverage
 
@@ -62,22 +67,94 @@ def merge_alignments(df: DataFrame, part: Sequence[str], aligned: str, order: st
     return joined.select(*part, F.array_join(F.transform("_all", lambda x: x["_w"]), "").alias("consensus"))
 
 
+GAP = ord("-")
+_TOKEN = re.compile("\\[[A-Z]+\\]|[^\n\r\u0085\u2028\u2029]")  # as in ``tokens``
+_UNEVEN = re.compile("[\\[\\]\n\r\u0085\u2028\u2029]")  # what makes tokens other than code points
+_MOST_ROWS = 1 << 17  # rows handed on at once
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4")
+
+
+def _placed(seq: str, aligned: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, the sequence's letters there and those aligned with them, once for each alternative, as code points."""
+    s = _codes(seq)
+    if not _UNEVEN.search(aligned):
+        t = _codes(aligned)[: len(s)]
+        return np.arange(len(t)), s[: len(t)], t
+    parts = [p.strip("[]") for p in _TOKEN.findall(aligned)[: len(s)]]
+    at = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    return at, s[at], _codes("".join(parts))
+
+
+def _mismatched(names: Sequence[str], classes: Mapping[str, str]):
+    """Rows of these columns from rows of id, sequence and aligned text; what is said of a change is made once for a batch."""
+
+    def made(ids: pa.Array, found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        row, index, pair = (np.concatenate(c) for c in zip(*found, strict=True))
+        changes, which = np.unique(pair, return_inverse=True)
+        letters = [(chr(c >> 32), chr(c & 0xFFFFFFFF)) for c in changes.tolist()]
+        kinds = [(classes.get(a), classes.get(b)) for a, b in letters]
+        known = [None not in k for k in kinds]
+        told = [
+            pa.array([f"{a}->{b}" for a, b in letters], pa.string()),
+            pa.array([f"{a}->{b}" if k else None for (a, b), k in zip(kinds, known, strict=True)], pa.string()),
+            pa.array([int(a == b) if k else None for (a, b), k in zip(kinds, known, strict=True)], pa.int32()),
+        ]
+        for i in range(0, len(row), _MOST_ROWS):
+            part = slice(i, i + _MOST_ROWS)
+            change, kind, conservative = (x.take(pa.array(which[part])) for x in told)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[part])), change, kind, pa.array(index[part].astype(np.int32)), conservative], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, seqs, aligned = batch.columns
+            found, held = [], 0
+            for r, (x, y) in enumerate(zip(seqs, aligned, strict=True)):
+                if not (x.is_valid and y.is_valid):
+                    continue
+                at, s, t = _placed(x.as_py(), y.as_py())
+                differ = np.nonzero((t != s) & (t != GAP))[0]
+                if len(differ):
+                    found.append((np.full(len(differ), r), at[differ], s[differ].astype(np.int64) << 32 | t[differ]))
+                    held += len(differ)
+                if held >= _MOST_ROWS:
+                    yield from made(ids, found)
+                    found, held = [], 0
+            if found:
+                yield from made(ids, found)
+
+    return run
+
+
 def mismatches(df: DataFrame, id_col: str, seq: str, aligned: str, classes: Mapping[str, str] = RESIDUE_CLASS) -> DataFrame:
-    """G3, G6.  A row for each alternative that differs from the sequence: change, class change, index (0-based)."""
-    table = F.create_map(*[F.lit(x) for pair in classes.items() for x in pair])
-    each = df.select(id_col, F.posexplode(F.arrays_zip(F.split(seq, "").alias("s"), tokens(F.col(aligned)).alias("t"))).alias("index", "_z"))
-    each = each.select(id_col, "index", F.col("_z.s").alias("_s"), F.explode(F.split(F.regexp_replace("_z.t", r"[\[\]]", ""), "")).alias("_t"))
-    made = each.filter((F.col("_t") != "-") & (F.col("_t") != "") & (F.col("_t") != F.col("_s")))
-    a, b = F.element_at(table, F.col("_s")), F.element_at(table, F.col("_t"))
-    return made.select(id_col, F.concat("_s", F.lit("->"), "_t").alias("change"), F.concat(a, F.lit("->"), b).alias("type"), "index", (a == b).cast("int").alias("conservative"))
+    """G3, G6.  A row for each alternative that differs from the sequence: change, class change, index (0-based).
+
+    Texts are compared whole in the tasks that hold them, and only places that differ become rows."""
+    rows = df.select(id_col, seq, aligned)
+    texts = [T.StructField("change", T.StringType()), T.StructField("type", T.StringType())]
+    schema = T.StructType([rows.schema[0], *texts, T.StructField("index", T.IntegerType()), T.StructField("conservative", T.IntegerType())])
+    return rows.mapInArrow(_mismatched(schema.names, dict(classes)), schema)
+
+
+def _n_differing(seq: str, aligned: str) -> int:
+    """Number of places whose token is neither a gap nor the sequence's letter."""
+    if _UNEVEN.search(aligned):
+        return sum(t not in ("-", s) for s, t in zip(seq, _TOKEN.findall(aligned), strict=False))
+    _, s, t = _placed(seq, aligned)
+    return int(np.count_nonzero((t != s) & (t != GAP)))
 
 
 def alignment_metrics(df: DataFrame, id_col: str, seq: str, aligned: str) -> DataFrame:
     """G3.  Positions that differ (a bracket always does), and the share of positions that aren't gaps."""
-    t = tokens(F.col(aligned))
-    zipped = F.arrays_zip(F.split(seq, "").alias("s"), t.alias("t"))
-    differ = F.size(F.filter(zipped, lambda z: (z["t"] != "-") & (z["t"] != z["s"])))
-    return df.select(id_col, differ.alias("n_mismatches"), (F.lit(1) - F.size(F.filter(t, lambda x: x == "-")) / F.length(seq)).alias("coverage"))
+
+    @F.pandas_udf("int")
+    def differing(seqs: pd.Series, alignments: pd.Series) -> pd.Series:
+        return pd.Series([None if s is None or t is None else _n_differing(s, t) for s, t in zip(seqs, alignments, strict=True)], dtype="Int32")
+
+    gaps = F.length(aligned) - F.length(F.replace(F.col(aligned), F.lit("-"), F.lit("")))  # no bracket holds one
+    return df.select(id_col, differing(seq, aligned).alias("n_mismatches"), (F.lit(1) - gaps / F.length(seq)).alias("coverage"))
 
 
 def coverage_by_source(df: DataFrame, part: str, source: str, sources: Sequence[str], start: str, end: str) -> DataFrame:

@@ -96,9 +96,11 @@ def coverage_of_letters(spark, sf_dir):
 
 def aligned_documents(spark, sf_dir):
     """Documents as upper-case sequences of letters and an edited copy: every 7th place changed, every 11th a gap."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("seq")).filter("length(seq) >= 30")
-    edit = F.transform(F.split("seq", ""), lambda x, i: F.when(i % 11 == 0, "-").when((i + F.col("doc_id")) % 7 == 0, "K").otherwise(x))
-    return d.withColumn("aligned", F.array_join(edit, ""))
+    d = table(spark, sf_dir, "documents").filter(F.col("text").rlike("([A-Za-z][^A-Za-z]*+){30}"))  # of 30 letters or more
+    d = d.select("doc_id", F.upper(F.regexp_replace("text", "[^A-Za-z]+", "")).alias("seq"))
+    before = F.pmod(-F.col("doc_id"), F.lit(7)).cast("int")  # letters before the first place changed
+    changed = F.concat(F.left("seq", before), F.regexp_replace(F.substring("seq", before + 1, F.length("seq")), "[A-Z]([A-Z]{0,6})", "K$1"))
+    return d.withColumn("aligned", F.regexp_replace(F.coalesce(changed, "seq"), "[A-Z]([A-Z]{0,10})", "-$1"))
 
 
 _D = """with d as (select doc_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) as seq from documents), p as (select doc_id, seq, unnest(range(0, length(seq))) as i from d where length(seq) >= 30),

@@ -888,3 +888,16 @@ def test_category_by_one_aggregate(spark):
     assert {r["i"]: r["category"] for r in made.collect()} == {1: "7", 2: "7", 3: "other", 4: "unknown", 5: "8"}
     assert {r["i"]: r["category"] for r in I.assign_category(items, "i", "t", mapping, "parent").collect()}[2] == "6"
     assert "Window" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_only_mismatches_become_rows(spark):
+    """F32: texts are compared without a row for each place; alternatives, stray brackets, line ends, characters of two units, uneven ends, absent texts."""
+    cases = [("ACDEF", "AC-K"), ("AC", "ACKKK"), ("ACD", "[KL]C[D]"), ("A[C]", "A[CK"), ("ACD", "A\nKD"), ("A😀C", "A😁C"), ("AxC", "KyC"), (None, "A"), ("A", None), ("LMN", "")]
+    df = spark.createDataFrame([(None if i == 6 else i, *c) for i, c in enumerate(cases)], "i long, s string, a string")
+    made = G.mismatches(df, "i", "s", "a")
+    want = [(0, "E->K", "PA->PB", 3, 0), (2, "A->K", "NP->PB", 0, 0), (2, "A->L", "NP->NP", 0, 1), (3, "]->K", None, 3, None), (4, "C->K", "PN->PB", 1, 0)]
+    want += [(5, "😀->😁", None, 1, None), (None, "A->K", "NP->PB", 0, 0), (None, "x->y", None, 1, None)]
+    assert sorted(map(str, map(tuple, made.collect()))) == sorted(map(str, want))
+    assert "Generate" not in made._jdf.queryExecution().optimizedPlan().toString()
+    metrics = {r["i"]: (r["n_mismatches"], r["coverage"]) for r in G.alignment_metrics(df.filter("i is not null"), "i", "s", "a").collect()}
+    assert metrics == {0: (1, 0.8), 1: (0, 1), 2: (2, 1), 3: (1, 1), 4: (1, 1), 5: (1, 1), 7: (None, None), 8: (None, None), 9: (0, 1)}
