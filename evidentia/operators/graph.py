@@ -6,6 +6,9 @@ executor costs a round.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Any
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -340,15 +343,140 @@ def wang_similarity(values: DataFrame, pairs: DataFrame, a: str, b: str) -> Data
     return pairs.join(top, [a, b]).select(a, b, "similarity")
 
 
-def best_match_average(terms: DataFrame, similarity: DataFrame, entity: str, term: str, a: str, b: str) -> DataFrame:
+#: Pairs of a chunk that are compared at once, with all that stands above them.
+PAIRS_AT_ONCE = 128
+
+
+def _similar(rows: pd.DataFrame) -> pd.DataFrame:
+    """The similarity of a chunk's pairs ``(node, parent, pair)`` from the edges above them ``(node, parent, w)``: a column of S-values for each term, carried up
+    until nothing is news."""
+    of, names = pd.factorize(pd.concat([rows["node"], rows["parent"]], ignore_index=True))
+    pair = rows["pair"].to_numpy(bool)
+    u, v, w = of[: len(rows)][~pair], of[len(rows) :][~pair], rows["w"].to_numpy(float)[~pair]
+    order = np.argsort(v, kind="stable")
+    u, v, w = u[order], v[order], w[order]
+    a, b = of[: len(rows)][pair], of[len(rows) :][pair]
+    order = np.lexsort((b, names[a]))
+    a, b = a[order], b[order]
+    out = np.empty(len(a))
+    for s in range(0, len(a), PAIRS_AT_ONCE):
+        own, at = np.unique(np.concatenate([a[s : s + PAIRS_AT_ONCE], b[s : s + PAIRS_AT_ONCE]]), return_inverse=True)
+        held = np.zeros(len(names), bool)
+        held[own] = True
+        fresh = held.copy()
+        while fresh.any():
+            up = np.zeros(len(names), bool)
+            up[v[fresh[u]]] = True
+            fresh = up & ~held
+            held |= fresh
+        place = np.cumsum(held) - 1
+        edge = np.flatnonzero(held[u])
+        x, y, k = place[u[edge]], place[v[edge]], w[edge]
+        values = np.full((int(held.sum()), len(own)), np.nan)
+        values[place[own], np.arange(len(own))] = 1.0
+        news = np.zeros(len(values), bool)
+        news[place[own]] = True
+        while (e := np.flatnonzero(news[x])).size:
+            first = np.flatnonzero(np.r_[True, y[e][1:] != y[e][:-1]])
+            to = y[e][first]
+            had = values[to]
+            grown = np.fmax(had, np.fmax.reduceat(values[x[e]] * k[e, None], first, axis=0))
+            news = np.zeros(len(values), bool)
+            news[to] = ((grown > had) | (np.isnan(had) & ~np.isnan(grown))).any(1)
+            values[to] = grown
+        p, q = at[: len(at) // 2], at[len(at) // 2 :]
+        total = np.nansum(values, 0)
+        top = np.nansum(values[:, p] + values[:, q], 0)  # of ancestors that both have
+        out[s : s + PAIRS_AT_ONCE] = top / (total[p] + total[q])
+    return pd.DataFrame({"node": names[a], "parent": names[b], "similarity": out})
+
+
+def similarity_above(edges: DataFrame, child: str, parent: str, pairs: DataFrame, a: str, b: str, weight: Column | float = 0.8, chunk: int = 4096) -> DataFrame:
+    """I6.  ``wang_similarity`` of the pairs over ``semantic_sets``, without making these.
+
+    Pairs are dealt into chunks in their order; a chunk takes the edges above its terms, each once for all of them, and a task carries S-values up
+    along these.  Neighbours share most of their ancestors, so a fraction of the lists moves.  Where edges go up more than MOST_RANKS levels, or a
+    chunk has more than MOST_ABOVE edges above it, the lists are made.
+    """
+    w = weight if isinstance(weight, Column) else F.lit(float(weight))
+    step = settled(edges.select(F.col(child).alias("node"), F.col(parent).alias("parent"), w.alias("w")).groupBy("node", "parent").agg(F.max("w").alias("w")))
+    nodes = step.select("node").union(step.select("parent")).distinct()
+    known = pairs.select(F.col(a).alias("_a"), F.col(b).alias("_b")).distinct()
+    known = known.join(nodes.withColumnRenamed("node", "_a"), "_a", "left_semi").join(nodes.withColumnRenamed("node", "_b"), "_b", "left_semi")
+    dealt = settled(numbered(known, ["_a", "_b"], "_i").select("_a", "_b", F.floor(F.col("_i") / chunk).cast("int").alias("_c")))
+    start = dealt.select("_c", F.col("_a").alias("node")).union(dealt.select("_c", "_b"))
+    above = _edges_above(step.filter("node <> parent").select("node", "parent"), start, MOST_RANKS)
+    if above is None or (above.groupBy("_c").count().agg(F.max("count")).first()[0] or 0) > MOST_ABOVE:
+        return wang_similarity(semantic_sets(edges, child, parent, weight), pairs, a, b)
+    kind = dict(step.dtypes)["node"]
+    rows = above.join(step, ["node", "parent"]).select("_c", "node", "parent", "w", F.lit(False).alias("pair"))
+    rows = rows.unionByName(dealt.select("_c", F.col("_a").alias("node"), F.col("_b").alias("parent"), F.lit(None).cast("double").alias("w"), F.lit(True).alias("pair")))
+    made = rows.groupBy("_c").applyInPandas(_similar, f"node {kind}, parent {kind}, similarity double").withColumnsRenamed({"node": a, "parent": b})
+    return pairs.join(made, [a, b]).select(a, b, "similarity")
+
+
+#: Products of entities by their best matches that are summed at once, terms of a block of entities, and its entities.
+PRODUCTS_AT_ONCE, MOST_TERMS, MOST_ENTITIES = 1 << 21, 1 << 22, 4096
+
+
+def _mean_matches(key: tuple[Any, ...], frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Mean best matches between two blocks of entities, or within one, of rows ``(_x, _y, _m, _turned)``: a term's entities of one block, and those of the
+    other with their best match with it; ``_turned``, where the first are the second block's."""
+    alone, parts = key[0] == key[1], []
+    for f in frames:
+        for turned in (False, True):
+            own = f[f["_turned"] == turned]
+            if len(own):
+                sizes = [own[c].map(len).to_numpy() for c in ("_x", "_y")]
+                x, y, m = (np.concatenate(own[c].tolist()) for c in ("_x", "_y", "_m"))
+                parts.append((turned, *sizes, x, y, m))
+    side = lambda turn: pd.unique(np.concatenate([p[4 if p[0] == turn else 3] for p in parts]))
+    low, high = side(True), side(False)
+    low, high = (np.sort(pd.unique(np.concatenate([low, high]))),) * 2 if alone else (np.sort(low), np.sort(high))
+    total, n = np.zeros(len(low) * len(high)), np.zeros(len(low) * len(high), np.int64)
+    for turned, many, few, x, y, m in parts:
+        x, y = (np.searchsorted(high, x), np.searchsorted(low, y) * len(high)) if turned else (np.searchsorted(low, x) * len(high), np.searchsorted(high, y))
+        each = np.repeat(few, many)  # matches that an entry of x meets
+        start = np.repeat(np.cumsum(few) - few, many)
+        done = np.cumsum(each)
+        s = 0
+        while s < len(x):
+            e = max(s + 1, int(np.searchsorted(done, (done[s - 1] if s else 0) + PRODUCTS_AT_ONCE, "right")))
+            k = each[s:e]
+            at = np.arange(k.sum()) + np.repeat(start[s:e] - (np.cumsum(k) - k), k)
+            cell = np.repeat(x[s:e], k) + y[at]
+            np.add.at(total, cell, m[at])
+            np.add.at(n, cell, 1)
+            s = e
+    total, n = total.reshape(len(low), len(high)), n.reshape(len(low), len(high))
+    if alone:
+        total, n = np.triu(total + total.T, 1), np.triu(n + n.T, 1)
+    step = max(1, (1 << 20) // len(high))
+    for s in range(0, len(low), step):
+        i, j = np.nonzero(n[s : s + step])
+        if len(i):
+            yield pd.DataFrame({"e1": low[s + i], "e2": high[j], "similarity": total[s + i, j] / n[s + i, j]})
+
+
+def best_match_average(terms: DataFrame, similarity: DataFrame, entity: str, term: str, a: str, b: str, most: int = MOST_ENTITIES) -> DataFrame:
     """I6.  Entity similarity over given term pairs: the mean of every term's best match, both ways.
 
-    The best match of a term with each entity is found first, so entities meet at the term alone and only their sums are shuffled."""
+    A term's entities, and those that match it with their best matches, are lists; entities are dealt into blocks by their order, and a pair of blocks gets
+    the lists of the terms that both have.  A task sums up its products, so only lists are shuffled, not a row for each term and pair of entities."""
+    terms = terms.select(F.col(entity).alias("_e"), F.col(term).alias("_t")).filter("_e is not null")
+    names = numbered(terms.select("_e").distinct(), ["_e"], "_i")
+    n = names.count()
+    size = max(64, min(most, MOST_TERMS * n // max(1, terms.count()), -(-n // 12)))
+    blocks = settled(names.select("_e", F.floor(F.col("_i") / size).cast("int").alias("_block")))
+    lists = terms.join(blocks, "_e").repartition("_t").groupBy("_t", "_block").agg(F.collect_set("_e").alias("_x"))
     both = similarity.select(F.col(a).alias("_t"), F.col(b).alias("_u"), "similarity").union(similarity.select(b, a, "similarity"))
-    x, y = terms.select(F.col(entity).alias("e1"), F.col(term).alias("_t")).distinct(), terms.select(F.col(entity).alias("e2"), F.col(term).alias("_u"))
-    best = both.join(y, "_u").groupBy("_t", "e2").agg(F.max("similarity").alias("_m"))
-    each = best.join(x, "_t").filter("e1 <> e2")
-    return each.groupBy(F.least("e1", "e2").alias("e1"), F.greatest("e1", "e2").alias("e2")).agg(F.avg("_m").alias("similarity"))
+    near = both.join(lists.withColumnsRenamed({"_t": "_u", "_block": "_of"}), "_u").select("_t", "_of", "similarity", "_x").repartition("_t")
+    best = near.select("_t", "_of", "similarity", F.explode("_x").alias("_y")).groupBy("_t", "_of", "_y").agg(F.max("similarity").alias("_m"))
+    best = best.groupBy("_t", "_of").agg(F.collect_list("_y").alias("_y"), F.collect_list("_m").alias("_m"))
+    met = lists.join(best, "_t").select(F.least("_block", "_of").alias("_i"), F.greatest("_block", "_of").alias("_j"), "_x", "_y", "_m", (F.col("_block") > F.col("_of")).alias("_turned"))
+    kind = dict(terms.dtypes)["_e"]
+    made = met.groupBy("_i", "_j").applyInPandas(_mean_matches, f"e1 {kind}, e2 {kind}, similarity double")
+    return made.select(F.least("e1", "e2").alias("e1"), F.greatest("e1", "e2").alias("e2"), "similarity")
 
 
 def select_parents(closed: DataFrame, level: DataFrame, n: int, min_level: int = 2) -> DataFrame:
